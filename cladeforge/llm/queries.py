@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules
+from . import bpe, license_scan, quality_rules
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op9_license_rules": license_scan.op9_license_rules,
     "op10_quality_divergence": quality_rules.op10_quality_divergence,
 }
 ORACLES: dict[str, str] = {}
