@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, quality_rules
+from . import bpe, license_scan, quality_rules, warc
 
 QUERIES = {
+    "op1_warc_index": warc.op1_warc_index,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op9_license_rules": license_scan.op9_license_rules,
     "op10_quality_divergence": quality_rules.op10_quality_divergence,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_index": """
+        WITH held AS (SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+        named AS (
+            SELECT page_id, url, strlen(payload)::BIGINT AS payload_bytes,
+                array_to_string(list_transform(range(0, 8), g -> array_to_string(list_transform(range(0, 4), c ->
+                    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, (1 + 5 * g)::INT, 5))::BIGINT >> (15 - 5 * c)::BIGINT) & 31)::INT, 1)), '')), '') AS payload_digest
+            FROM held),
+        firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM named)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url
+        FROM firsts""",
+}
