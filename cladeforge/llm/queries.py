@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, quality_rules, warc
+from . import bpe, flac, license_scan, quality_rules, warc
 
 QUERIES = {
     "op1_warc_index": warc.op1_warc_index,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_flac_media": flac.op4_flac_media,
     "op9_license_rules": license_scan.op9_license_rules,
     "op10_quality_divergence": quality_rules.op10_quality_divergence,
 }
@@ -15,7 +16,7 @@ ORACLES: dict[str, str] = {
         WITH held AS (SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
         named AS (
             SELECT page_id, url, strlen(payload)::BIGINT AS payload_bytes,
-                array_to_string(list_transform(range(0, 8), g -> array_to_string(list_transform(range(0, 4), c ->
+                array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform(range(0, 4), lambda c:
                     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, (1 + 5 * g)::INT, 5))::BIGINT >> (15 - 5 * c)::BIGINT) & 31)::INT, 1)), '')), '') AS payload_digest
             FROM held),
         firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM named)
