@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, license_scan, quality_rules, warc
+from . import bpe, flac, language_id, license_scan, quality_classifier, quality_rules, warc
 
 QUERIES = {
     "op1_warc_index": warc.op1_warc_index,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_flac_media": flac.op4_flac_media,
+    "op5_rule_ensemble": quality_classifier.op5_rule_ensemble,
+    "op8_byte_cnn": language_id.op8_byte_cnn,
     "op9_license_rules": license_scan.op9_license_rules,
     "op10_quality_divergence": quality_rules.op10_quality_divergence,
 }
