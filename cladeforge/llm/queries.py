@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, language_id, license_scan, quality_classifier, quality_rules, warc
+from . import bpe, flac, language_id, license_scan, minhash, quality_classifier, quality_rules, warc
 
 QUERIES = {
     "op1_warc_index": warc.op1_warc_index,
+    "op2_hyperminhash": minhash.op2_hyperminhash,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_flac_media": flac.op4_flac_media,
     "op5_rule_ensemble": quality_classifier.op5_rule_ensemble,
