@@ -23,6 +23,7 @@ from .common import fresh, table
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
 TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH, RATE, SEED = 8000, 3, 500, 256, 0.01, 7
 AT_ONCE = 1024  # windows
+MAX_LANGUAGES = 10_000  # whose counts are broadcast
 
 
 class ByteCNN:
@@ -125,6 +126,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         return None
     each = max(1, max_docs // n_languages)
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1_000_000))
+    counts = F.broadcast(counts) if n_languages <= MAX_LANGUAGES else counts
     picked = rows.join(counts, rows[lang] == F.col("__lang")).filter(draw < F.lit(1e6) * each / F.col("__n"))
     body = F.encode(F.col(text), "UTF-8")
     room = F.greatest(F.length(body) - WINDOW, F.lit(0)) + 1
