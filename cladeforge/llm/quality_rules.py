@@ -35,6 +35,8 @@ WORD_LIST = sorted({w for words in COMMON_WORDS.values() for w in words})
 N_CLASSES, N_WORDS = len(CLASSES), len(WORD_LIST) + 1
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_hist array<int>, word_hist array<int>"
 WINDOW = 8
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept")
+LIMITS = {"max_char_distance": 0.35, "max_word_distance": 0.40, "min_chars": 200, "min_words": 60}
 
 
 def _class_table() -> np.ndarray:
@@ -138,9 +140,9 @@ def _lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(matrix.astype(np.int32).ravel()))
 
 
-def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without ``text`` and with one ``stats`` struct (a clashing column's place is taken by ``stats_``...)."""
-    keep, name = [c for c in docs.columns if c != text], fresh(docs, "stats")
+def with_stats(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with one ``stats`` struct (``stats_`` ... where that name is taken), last; without ``text`` unless asked."""
+    keep, name = [c for c in docs.columns if keep_text or c != text], fresh(docs, "stats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,10 +186,10 @@ def quality_rules(
     docs: DataFrame,
     text: str = "text",
     lang: str = "lang",
-    max_char_distance: float = 0.35,
-    max_word_distance: float = 0.40,
-    min_chars: int = 200,
-    min_words: int = 60,
+    max_char_distance: float = LIMITS["max_char_distance"],
+    max_word_distance: float = LIMITS["max_word_distance"],
+    min_chars: int = LIMITS["min_chars"],
+    min_words: int = LIMITS["min_words"],
 ) -> DataFrame:
     """``docs`` without ``text``, plus counts, ``char_distance``, ``word_distance``, ``base_failed`` and ``kept``.
 
@@ -196,10 +198,15 @@ def quality_rules(
     judged like others, since each is held against its *nearest* reference. Repeated rows are judged one by one. Added
     columns take the place of input columns of the same names.
     """
-    source = docs.drop(*[c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept") if c != text])
-    name = fresh(source, "stats")
+    source = docs.drop(*[c for c in docs.columns if c.lower() in MADE and c != text])
     stats = materialize(with_stats(source, text), "quality-stats")
-    refs = language_references(stats, lang, name)
+    refs = language_references(stats, lang, stats.columns[-1])
+    return _judged(stats, refs, max_char_distance, max_word_distance, min_chars, min_words)
+
+
+def _judged(stats: DataFrame, refs: dict, max_char_distance: float, max_word_distance: float, min_chars: int, min_words: int) -> DataFrame:
+    """Counts, distances and verdicts in place of the ``stats`` struct, the last column."""
+    name = stats.columns[-1]
 
     def nearest(field: str, i: int) -> F.Column:
         references = [r[i] for r in refs.values()]
@@ -221,6 +228,20 @@ def quality_rules(
     return judged.drop(name).withColumn("kept", ~F.col("base_failed") & ~far)
 
 
+def passing(docs: DataFrame, text: str = "text", lang: str = "lang", **limits: float) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, columns unchanged.
+
+    Counts are made twice, for the references and for the verdicts, so that no text is shuffled or stored.
+    """
+    kept = LIMITS | limits
+    first = with_stats(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")))
+    refs = language_references(first, "lang", first.columns[-1])
+    verdict = fresh(docs, "verdict")
+    # one struct keeps the columns of docs apart from those made here
+    held = with_stats(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(verdict), F.col(f"`{text}`").alias("text")))
+    return _judged(held, refs, **kept).filter("kept").select(*[F.col(f"{verdict}.`{c}`").alias(c) for c in docs.columns])
+
+
 def op10_quality_divergence(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, language_id, license_scan, minhash, quality_classifier, quality_rules, suffix_dedup, warc
+from . import bpe, flac, language_id, license_scan, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, warc
 
 QUERIES = {
     "op1_warc_index": warc.op1_warc_index,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_flac_media": flac.op4_flac_media,
     "op5_rule_ensemble": quality_classifier.op5_rule_ensemble,
+    "op6_temperature_mix": mixing.op6_temperature_mix,
     "op7_suffix_repeats": suffix_dedup.op7_suffix_repeats,
     "op8_byte_cnn": language_id.op8_byte_cnn,
     "op9_license_rules": license_scan.op9_license_rules,
