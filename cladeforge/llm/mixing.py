@@ -110,7 +110,7 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
     order = Window.partitionBy("of").orderBy(_hash(F.col("block")), "block")
     ranked = sized.withColumns({"rank": F.row_number().over(order), "before": F.sum("n").over(order) - F.col("n")})
     ranked = ranked.join(few.select("source", "rest"), _same(F.col("of"), F.col("source"))).drop("source")
-    state = F.when(F.col("before") + F.col("n") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0).otherwise(2)
+    state = F.when(F.col("rest") == 0, 0).when(F.col("before") + F.col("n") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0).otherwise(2)
     ranked = materialize(ranked.withColumn("state", state), "mix-blocks")
     cut = ranked.filter("state = 2").select(F.col("of").alias("cut_of"), F.col("block").alias("cut_block"), (F.col("rest") - F.col("before")).alias("room"))
     inside = dealt.join(cut, _same(F.col("of"), F.col("cut_of")) & (F.col("block") == F.col("cut_block")))

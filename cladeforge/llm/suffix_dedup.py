@@ -29,16 +29,9 @@ from .common import fresh, materialize, table
 from .repeats import anchors
 
 WINDOW, GRAM, BLOCK = 200, 64, 16
-#: Tables of names of at most so many rows (16 bytes each) are broadcast; larger ones are joined by shuffles.
-MAX_BROADCAST = 2_000_000
 SPAN = "doc_id long, row long, begin long, end long"
 
 
-def narrow(names: DataFrame) -> DataFrame:
-    """Broadcast a written table of names if its counted size allows."""
-    return F.broadcast(names) if names.count() <= MAX_BROADCAST else names
-
-
 def _chunked(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = tk.utf8(batch.column(column))
     for a, b in tk.chunks(offsets):
@@ -177,23 +170,23 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """``doc_id, row, begin, end``: byte ranges that repeated windows cover, of ``rows(doc_id, row, text)``; they may overlap."""
     n = lambda: F.count(F.lit(1)).alias("n")
     repeated = materialize(grams(rows, window, gram).groupBy("gram").agg(n()).filter("n > 1").select("gram"), "suffix-grams")
-    hits = materialize(runs(rows, window, gram).join(narrow(repeated), "gram"), "suffix-runs")
+    hits = materialize(runs(rows, window, gram).join(repeated, "gram"), "suffix-runs")
     named = materialize(hits.groupBy("gram", "name").agg(n(), F.min(F.struct("doc_id", "row", "anchor", "first", "last")).alias("one")), "suffix-names")
     settled = materialize(named.filter("n > 1").select("gram", "name"), "suffix-settled")
-    spans = hits.join(narrow(settled), ["gram", "name"]).select("doc_id", "row", F.col("first").cast("long").alias("begin"), (F.col("last") + window).cast("long").alias("end"))
+    spans = hits.join(settled, ["gram", "name"]).select("doc_id", "row", F.col("first").cast("long").alias("begin"), (F.col("last") + window).cast("long").alias("end"))
 
     mixed = materialize(named.groupBy("gram").agg(n()).filter("n > 1").select("gram"), "suffix-mixed")
-    wanted = named.join(narrow(mixed), "gram").select("gram", "name", (F.col("n") == 1).alias("single"), "one.*")
+    wanted = named.join(mixed, "gram").select("gram", "name", (F.col("n") == 1).alias("single"), "one.*")
     contexts = _contexts(rows, wanted, window)
     cut = blocks(contexts, window)
     wholes = materialize(cut.groupBy("core", "whole").agg(n()), "suffix-wholes")
     whole = materialize(wholes.filter("n > 1").select("core", "whole"), "suffix-whole")
     opened = materialize(wholes.groupBy("core").agg(n()).filter("n > 1").select("core"), "suffix-open")
-    found = cut.filter("single").join(narrow(whole), ["core", "whole"]).select("gram", "name", "start", "stop")
+    found = cut.filter("single").join(whole, ["core", "whole"]).select("gram", "name", "start", "stop")
 
-    last = windows(contexts, cut.join(narrow(opened), "core"), window)
+    last = windows(contexts, cut.join(opened, "core"), window)
     twice = materialize(last.groupBy("window").agg(n()).filter("n > 1").select("window"), "suffix-twice")
-    found = found.union(last.filter("single").join(narrow(twice), "window").select("gram", "name", "place", F.col("place").alias("stop")))
+    found = found.union(last.filter("single").join(twice, "window").select("gram", "name", "place", F.col("place").alias("stop")))
     fine = found.join(contexts.select("gram", "name", "doc_id", "row", "first"), ["gram", "name"])
     return spans.union(fine.select("doc_id", "row", (F.col("first") + F.col("start")).cast("long"), (F.col("first") + F.col("stop") + window).cast("long")))
 
