@@ -7,8 +7,9 @@ reach the threshold are confirmed on full sets. Sets too small to fill the regis
 keys are the rarest ones, as many as two similar sets must share one of (prefix filter), so none of those pairs is missed.
 
 Equal sets count as one from the start. Within a key, all are held against its smallest member first (a star, not all
-pairs). What that leaves in different components is compared in blocks inside the tasks, on sketches; each document names
-the best partner in each foreign component, and once more, after those links, all partners that remain.
+pairs). What that leaves in different components is compared in blocks inside the tasks, on sketches: each document names its
+best partner in a block first, and once those links have joined components, all partners that remain. Before that, documents
+drop out whose shingles occur too seldom outside their component for any link.
 """
 
 from __future__ import annotations
@@ -30,10 +31,15 @@ BANDS = REGISTERS // ROWS
 #: Sets of at most SPARSE shingles are found by their rarest shingles, those of more than DENSE by bands; both, in between.
 DENSE, SPARSE = 64, 85
 #: Standard deviations below the threshold at which an estimate still counts as a candidate.
-MARGIN, BLOCK = 5.0, 256
+MARGIN, BLOCK = 5.0, 1024
+#: Ids that are broadcast at most (8 bytes each).
+MAX_BROADCAST = 1_000_000
 # Fixed value: expected chance collisions of a register with sets of equal size, times 2**mantissa bits.
 COLLISION = 0.169919487159739093975315012348
-_SALTS = tk.mix(np.arange(101, 101 + STREAMS, dtype=np.uint64))
+#: Streams and bits of the fine registers, which only documents in still open keys get.
+FINE_STREAMS, FINE_BITS = 32, 8
+FINE = FINE_STREAMS * BUCKETS
+_SALTS = tk.mix(np.arange(101, 101 + FINE_STREAMS, dtype=np.uint64))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,13 +70,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return h, np.searchsorted(row, np.arange(len(offsets)))
 
 
-def registers(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(rows, REGISTERS) of 16 bits: 1 + (leading zeros << MANTISSA | mantissa) of the least hash of a bucket, 0 if it is empty."""
+def registers(h: np.ndarray, first: np.ndarray, streams: int = STREAMS) -> np.ndarray:
+    """(rows, streams * BUCKETS) of 16 bits: 1 + (leading zeros << MANTISSA | mantissa) of the least hash of a bucket, 0 if it is empty."""
     n = len(first) - 1
     row = np.repeat(np.arange(n), np.diff(first))
-    out = np.zeros((n, REGISTERS), dtype=np.uint16)
+    out = np.zeros((n, streams * BUCKETS), dtype=np.uint16)
     top = tk.U64(0xFFFFFFFFFFFFFFFF)
-    for s in range(STREAMS):
+    for s in range(streams):
         g = tk.mix(h ^ _SALTS[s])
         least = np.full(n * BUCKETS, top)
         np.minimum.at(least, row * BUCKETS + (g >> tk.U64(59)).astype(np.int64), g & tk.U64((1 << 59) - 1))
@@ -86,6 +92,12 @@ def registers(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def fine_registers(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(rows, FINE) of 8 bits: registers of more streams, folded; 0 still means empty."""
+    wide = registers(h, first, FINE_STREAMS).astype(np.uint32)
+    return np.where(wide > 0, 1 + (wide * np.uint32(2654435761) >> np.uint32(8)) % np.uint32((1 << FINE_BITS) - 1), 0).astype(np.uint8)
+
+
 def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each row's bands, and which count: a band with two empty registers or more tells too little."""
     bands = regs[:, : BANDS * ROWS].reshape(len(regs), BANDS, ROWS).astype(tk.U64)
@@ -94,17 +106,22 @@ def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, (bands == 0).sum(axis=2) < ROWS - 1
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from register matches, less the matches that chance would give; arrays broadcast, registers last."""
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, folded: float = 0.0) -> np.ndarray:
+    """Jaccard similarity from register matches, less the matches that chance would give; arrays broadcast, registers last.
+
+    ``folded``: the chance that two different registers are folded into one.
+    """
     used = ((a != 0) | (b != 0)).sum(axis=-1)
     same = ((a == b) & (a != 0)).sum(axis=-1)
     ratio = np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
     chance = COLLISION * 4 * ratio / (1 + ratio) ** 2 / 2**MANTISSA
+    chance = chance + (1 - chance) * folded
     return (same - chance * used) / np.maximum(used * (1 - chance), 1)
 
 
-def floor_of(threshold: float) -> float:
-    return threshold - MARGIN * float(np.sqrt(threshold * (1 - threshold) / REGISTERS))
+def floor_of(threshold: float, n: float | np.ndarray = REGISTERS) -> float | np.ndarray:
+    """The least estimate from ``n`` registers that a pair at the threshold may be expected to show."""
+    return threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / n)
 
 
 def similar_sizes(a: F.Column, b: F.Column, percent: int) -> F.Column:
@@ -165,11 +182,11 @@ def rare_keys(nodes: DataFrame, percent: int) -> DataFrame:
     return listed.filter(needed > 0).select("id", F.explode(F.slice("held", F.lit(1), needed.cast("int"))).alias("s")).select(F.xxhash64(F.lit("rare"), F.col("s.shingle")).alias("key"), "id")
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(column: pa.Array, width: int = REGISTERS, kind: type = np.uint16) -> tuple[np.ndarray, np.ndarray]:
     """Registers of a binary column, zeros where null; and where it is not null."""
     has = column.is_valid().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(column), REGISTERS), dtype=np.uint16)
-    out[has] = np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), dtype=np.uint16).reshape(-1, REGISTERS)
+    out = np.zeros((len(column), width), dtype=kind)
+    out[has] = np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), dtype=kind).reshape(-1, width)
     return out, has
 
 
@@ -188,9 +205,13 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, text: str, key: str) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. Only documents in a pair have their sets rebuilt."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def shingle_tables(wanted: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """``id, held``: the full shingle sets of the documents in ``wanted(id)``, rebuilt from their texts.
+
+    The ids are broadcast if their counted number allows, so that texts stay where they are; else texts are shuffled.
+    """
+    wanted = materialize(wanted.distinct(), "wanted-sets")
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted.hint("shuffle_hash")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,8 +221,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, text: str, key: str
                 raw = h.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([raw[8 * i : 8 * j] for i, j in zip(first[:-1], first[1:], strict=True)], type=pa.binary())], names=["id", "held"])
 
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(wanted.hint("shuffle_hash"), "id", "left_semi")
-    held = materialize(texts.mapInArrow(sets, "id long, held binary"), "shingle-sets")
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(wanted, "id", "left_semi")
+    return materialize(texts.mapInArrow(sets, "id long, held binary"), "shingle-sets")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int, text: str, key: str) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold. Only documents in a pair have their sets rebuilt."""
+    held = shingle_tables(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, text, key)
     both = pairs.join(held.select(F.col("id").alias("b"), F.col("held").alias("held_b")), "b").join(held.select(F.col("id").alias("a"), F.col("held").alias("held_a")), "a")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +243,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, text: str, key: str
     return materialize(both.select("a", "b", "held_a", "held_b").mapInArrow(run, "a long, b long"), "near-links")
 
 
+def _in_parts(f, u: np.ndarray, v: np.ndarray, size: int = 4096) -> np.ndarray:
+    return np.concatenate([f(u[s : s + size], v[s : s + size]) for s in range(0, len(u), size)])
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Sorted batches, cut anew so that rows with equal first ``keys`` columns are never apart."""
     held: list[pa.RecordBatch] = []
@@ -240,49 +270,93 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def cross_pairs(entries: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Plausible pairs that share a key but no component, leaders' own pairs apart, found in blocks within tasks.
+def still_open(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, apart from leaders, of the keys whose members are in two components or more; with the component of each."""
+    named = entries.filter("id <> leader").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    return materialize(named.join(materialize(mixed, "open-keys"), "key"), "open-members")
+
+
+def linkable(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, text: str, key: str) -> DataFrame:
+    """The nodes that may have a link out of their component, with ``most``: how many shingles such a link can share.
+
+    Those are the shingles that stand in open members of another component too; a document where they are too few of all
+    can't reach the threshold with any. This is exact, and settles large groups whose members are just too far apart.
+    """
+    ids = materialize(members.select("id", "comp").distinct(), "open-ids")
+    held = shingle_tables(ids.select("id"), docs, text, key)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(2).to_pylist()
+            take = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(take)) for i in range(2)), pa.array(np.frombuffer(b"".join(raw), dtype=np.int64))], names=["id", "comp", "shingle"])
+
+    each = ids.join(held.dropDuplicates(["id"]), "id").select("id", "comp", "held").mapInArrow(run, "id long, comp long, shingle long")
+    each = materialize(each, "open-shingles")
+    outside = each.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("shingle")
+    most = each.join(materialize(outside, "open-shared"), "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("most"))
+    able = materialize(nodes.select("id", "n", "regs").join(most, "id").filter(100 * F.col("most") >= percent * F.col("n")), "open-nodes")
+
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            fine = fine_registers(np.frombuffer(b"".join(raw), dtype=np.uint64), np.cumsum([0, *(len(x) // 8 for x in raw)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in fine], type=pa.binary())], names=["id", "fine"])
+
+    fine = held.dropDuplicates(["id"]).join(able.select("id"), "id", "left_semi").mapInArrow(sketch, "id long, fine binary")
+    return materialize(able.join(fine, "id"), "open-sketches")
+
+
+def cross_pairs(members: DataFrame, nodes: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Plausible pairs that share a key but no component, found in blocks within tasks; ``nodes(id, n, most, regs, fine)``.
 
     In each key the component with most members is never held against itself: only the others are, and against it.
+    ``best_only``: of each document's partners in a block, the one with the highest estimate.
     """
     least = floor_of(percent / 100)
-    named = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "leader", F.coalesce("component", "id").alias("comp"))
-    sizes = named.filter("id <> leader").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most")).filter("comps > 1")
+    named = members.join(nodes.select("id"), "id", "left_semi")
+    sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most")).filter("comps > 1")
     open_keys = materialize(sizes.select("key", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("ask_blocks")), "open-keys")
-    rows = named.filter("id <> leader").join(open_keys, "key").join(nodes.select("id", "n", "regs"), "id")
+    rows = named.join(open_keys, "key").join(nodes.select("id", "n", "most", "regs", "fine"), "id").withColumn("other", F.col("comp") != F.col("main"))
     place = F.xxhash64("id")
-    asks = rows.filter("comp <> main").select("key", F.pmod(place, F.col("ask_blocks")).alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"), "id", "comp", "n", "regs", F.lit(True).alias("asks"))
-    told = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("q"), F.pmod(place, F.col("blocks")).alias("c"), "id", "comp", "n", "regs", F.lit(False).alias("asks"))
-    dealt = asks.select("key", F.col("q").cast("int"), F.col("c").cast("int"), "id", "comp", "n", "regs", "asks").union(told.select("key", F.col("q").cast("int"), F.col("c").cast("int"), "id", "comp", "n", "regs", "asks"))
+    last = ["id", "comp", "n", "most", "regs", "fine", "other"]
+    # where all fit in one block, the rows that are told ask too
+    asks = rows.filter("other AND blocks > 1").select("key", F.pmod(place, F.col("ask_blocks")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"), *last, F.lit(True).alias("asks"))
+    told = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("q"), F.pmod(place, F.col("blocks")).cast("int").alias("c"), *last, (F.col("other") & (F.col("blocks") == 1)).alias("asks"))
+    dealt = asks.withColumn("told", F.lit(False)).union(told.withColumn("told", F.lit(True)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches, 3):
             part = part.combine_chunks()
-            key, q, c, ids, comp, n = (part.column(i).to_numpy() for i in range(6))
-            regs, has = _matrix(part.column(6).combine_chunks() if isinstance(part.column(6), pa.ChunkedArray) else part.column(6))
-            asks = part.column(7).to_numpy(zero_copy_only=False)
+            key, q, c, ids, comp, n, most = (part.column(i).to_numpy() for i in range(7))
+            regs, has = _matrix(part.column(7).combine_chunks())
+            fine, has_fine = _matrix(part.column(8).combine_chunks(), FINE, np.uint8)
+            asks, told = (part.column(i).to_numpy(zero_copy_only=False) for i in (10, 11))
             edge = np.flatnonzero((key[1:] != key[:-1]) | (q[1:] != q[:-1]) | (c[1:] != c[:-1])) + 1
             out_a, out_b = [], []
             for i, j in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]]), strict=True):
-                x, y = i + np.flatnonzero(asks[i:j]), i + np.flatnonzero(~asks[i:j])
+                x, y = i + np.flatnonzero(asks[i:j]), i + np.flatnonzero(told[i:j])
                 if not len(x) or not len(y):
                     continue
-                ok = (comp[x][:, None] != comp[y][None, :]) & (100 * np.minimum(n[x][:, None], n[y][None, :]) >= percent * np.maximum(n[x][:, None], n[y][None, :]))
+                u, v = x[:, None], y[None, :]
+                ok = (comp[u] != comp[v]) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v])) & ((100 + percent) * np.minimum(most[u], most[v]) >= percent * (n[u] + n[v]))
                 u, v = np.nonzero(ok)
                 if not len(u):
                     continue
-                e = np.concatenate([estimate(regs[x[u[s : s + 8192]]], regs[y[v[s : s + 8192]]], n[x[u[s : s + 8192]]], n[y[v[s : s + 8192]]]) for s in range(0, len(u), 8192)])
-                e = np.where(has[x[u]] & has[y[v]], e, 1.0)
-                fit = e >= least
-                u, v, e = u[fit], v[fit], e[fit]
+                u, v = x[u], y[v]
+                e = _in_parts(lambda a, b: np.where(has[a] & has[b], estimate(regs[a], regs[b], n[a], n[b]), 1.0), u, v)
+                u, v, e = u[e >= least], v[e >= least], e[e >= least]
+                if len(u) and has_fine.any():
+                    close = _in_parts(lambda a, b: estimate(fine[a], fine[b], n[a], n[b], 1 / ((1 << FINE_BITS) - 1)) >= floor_of(percent / 100, ((fine[a] != 0) | (fine[b] != 0)).sum(axis=1)), u, v)
+                    u, v, e = u[close], v[close], e[close]
                 if best_only and len(u):
-                    order = np.lexsort((ids[y[v]], -e, comp[y[v]], u))
+                    order = np.lexsort((ids[v], -e, u))
                     u, v = u[order], v[order]
-                    first = np.ones(len(u), dtype=bool)
-                    first[1:] = (u[1:] != u[:-1]) | (comp[y[v[1:]]] != comp[y[v[:-1]]])
+                    first = np.append(True, u[1:] != u[:-1])
                     u, v = u[first], v[first]
-                out_a.append(ids[x[u]])
-                out_b.append(ids[y[v]])
+                out_a.append(ids[u])
+                out_b.append(ids[v])
             if out_a:
                 a, b = np.concatenate(out_a), np.concatenate(out_b)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -314,13 +388,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", key:
     labels = components(links)
     crowded = shared.filter("members > 2").select("key", "id", "leader")
     for best_only in (True, False):
-        more = materialize(cross_pairs(crowded, nodes, labels, percent, best_only).join(checked, ["a", "b"], "left_anti"), "near-pairs")
-        if more.isEmpty():
+        members = still_open(crowded, labels)
+        if members.isEmpty():
             break
-        checked = checked.union(more)
-        fresh = confirm(more, docs, percent, text, key)
-        if not fresh.isEmpty():
-            links = links.union(fresh)
+        able = nodes.withColumns({"most": F.col("n"), "fine": F.lit(None).cast("binary")}) if best_only else linkable(members, nodes, docs, percent, text, key)
+        more = materialize(cross_pairs(members, able, percent, best_only).join(checked, ["a", "b"], "left_anti"), "near-pairs")
+        if not more.isEmpty():
+            checked = checked.union(more)
+            links = links.union(confirm(more, docs, percent, text, key))
             labels = components(links)
     copies = groups.filter("copies > 1").select("n_shingles", "d1", "d2", F.col("id").alias("first_id"))
     rows = made.select("doc_id", "n_shingles", "d1", "d2").join(copies, ["n_shingles", "d1", "d2"], "left").withColumn("first_id", F.coalesce("first_id", "doc_id"))
