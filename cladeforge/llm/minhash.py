@@ -315,7 +315,7 @@ def cross_pairs(members: DataFrame, nodes: DataFrame, percent: int, best_only: b
     ``best_only``: of each document's partners in a block, the one with the highest estimate.
     """
     least = floor_of(percent / 100)
-    named = members.join(nodes.select("id"), "id", "left_semi")
+    named = members if best_only else materialize(members.join(nodes.select("id"), "id", "left_semi"), "open-members")
     sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most")).filter("comps > 1")
     open_keys = materialize(sizes.select("key", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("ask_blocks")), "open-keys")
     rows = named.join(open_keys, "key").join(nodes.select("id", "n", "most", "regs", "fine"), "id").withColumn("other", F.col("comp") != F.col("main"))
