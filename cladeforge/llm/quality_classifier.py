@@ -17,8 +17,8 @@ from .common import materialize, table
 from .language_id import held_out
 from .quality_rules import CLASSES, with_stats
 
-#: At most so many labelled rows are learnt from (those with the smallest hashes of their ids).
-TRAIN_ROWS = 20_000
+#: About so many labelled documents are learnt from at most; where there are more, a hash of the id draws them.
+TRAIN_ROWS, SEED = 20_000, 5
 TREES, DEPTH, BINS, SHRINK, MIN_LEAF, LASSO, STEPS = 40, 3, 32, 0.3, 10, 0.002, 400
 THRESHOLD = 0.3
 
@@ -140,12 +140,15 @@ class RuleEnsemble:
 
 
 def train(stats: DataFrame, labels: DataFrame, names: list[str], key: str = "doc_id", label: str = "quality", max_rows: int = TRAIN_ROWS) -> RuleEnsemble:
-    """Fit on at most ``max_rows`` rows that have a label; a repeated label of a document counts as its smallest.
+    """Fit on about ``max_rows`` labelled documents at most, drawn by hash; of repeated labels the smallest counts.
 
     Without rows of both classes there are no rules, and the score is the share of label 1 (one half without labels).
     """
     known = labels.filter(F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("__label"))
-    rows = stats.dropDuplicates([key]).join(known, key).orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(max_rows).select("__label", *names).toPandas()
+    n = known.count()
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1_000_000))
+    known = known.filter(draw < F.lit(1e6) * min(1.0, max_rows / max(n, 1)))
+    rows = stats.join(known, key).select("__label", key, *names).toPandas().drop_duplicates(key).sort_values(key).drop(columns=[key])
     y = (rows.pop("__label").to_numpy() > 0).astype(float)
     x = rows.to_numpy(dtype=float)
     if len(np.unique(y)) < 2:
