@@ -16,7 +16,43 @@ QUERIES = {
     "op9_license_rules": license_scan.op9_license_rules,
     "op10_quality_divergence": quality_rules.op10_quality_divergence,
 }
+_CLASSES = {
+    "lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x09-\x0D\x20]", "symbol": r"[#*$%&|<>]", "other": r"[\x00-\x08\x0E-\x1F\x7F]", "wide": r"[^\x00-\x7F]",
+}
+_IN_CLASS = {c: f"length(regexp_replace(t, '{r.replace('[^', '[') if r.startswith('[^') else '[^' + r[1:]}', '', 'g'))" for c, r in _CLASSES.items()}
+_POINT = f"length(t) - ({' + '.join(_IN_CLASS.values())})"
+_LISTED = ", ".join(f"('{w}')" for w in quality_rules.WORD_LIST)
+_LIMIT = quality_rules.LIMITS
+
 ORACLES: dict[str, str] = {
+    "op10_quality_divergence": rf"""
+        WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM texts) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        runs AS (SELECT doc_id, k, array_to_string(w[k : k + 7], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM texts WHERE len(w) >= 8)),
+        twice AS (SELECT doc_id, r FROM runs GROUP BY ALL HAVING count(*) > 1),
+        inside AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT runs.doc_id, unnest(range(k, k + 8)) AS p FROM runs JOIN twice USING (doc_id, r)) GROUP BY doc_id),
+        cells AS (
+            SELECT doc_id, lang, 'c' AS kind, bin, n::DOUBLE AS n FROM (SELECT doc_id, lang, unnest([{", ".join(f"'{c}'" for c in _CLASSES)}, 'point']) AS bin, unnest([{", ".join(_IN_CLASS.values())}, {_POINT}]) AS n FROM texts)
+            UNION ALL
+            SELECT doc_id, lang, 'w', coalesce(x, '-'), count(*)::DOUBLE
+            FROM (SELECT doc_id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS v FROM texts) LEFT JOIN (VALUES {_LISTED}) l(x) ON x = v GROUP BY ALL),
+        refs AS (SELECT lang AS ref, kind, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, kind) AS q FROM cells WHERE lang IS NOT NULL GROUP BY lang, kind, bin),
+        shares AS (SELECT doc_id, kind, bin, n / sum(n) OVER (PARTITION BY doc_id, kind) AS p FROM cells QUALIFY sum(n) OVER (PARTITION BY doc_id, kind) > 0),
+        -- what a text lacks counts q * log2(2) of the reference: all of it, less the bins the text has
+        parts AS (
+            SELECT doc_id, kind, ref, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) + 1 - sum(q) AS d
+            FROM (SELECT s.doc_id, s.kind, r.ref, s.bin, s.p, coalesce(f.q, 0) AS q FROM shares s JOIN (SELECT DISTINCT ref, kind FROM refs) r ON r.kind = s.kind LEFT JOIN refs f ON f.ref = r.ref AND f.kind = s.kind AND f.bin = s.bin) GROUP BY ALL),
+        best AS (SELECT doc_id, kind, min(sqrt(greatest(d, 0) / 2)) AS d FROM parts GROUP BY ALL),
+        counted AS (
+            SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, {_IN_CLASS["symbol"]}::BIGINT AS n_symbols,
+                coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(inside.n, 0)::BIGINT AS n_repeat_words,
+                CASE WHEN length(t) >= {_LIMIT["min_chars"]} THEN c.d END AS char_distance, CASE WHEN len(w) >= {_LIMIT["min_words"]} THEN v.d END AS word_distance
+            FROM texts t LEFT JOIN lines USING (doc_id) LEFT JOIN inside USING (doc_id) LEFT JOIN best c ON c.doc_id = t.doc_id AND c.kind = 'c' LEFT JOIN best v ON v.doc_id = t.doc_id AND v.kind = 'w'),
+        judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND coalesce(char_distance, 0) <= {_LIMIT["max_char_distance"]} AND coalesce(word_distance, 0) <= {_LIMIT["max_word_distance"]} AS kept,
+            coalesce(round(char_distance, 6), -1) AS char_distance, coalesce(round(word_distance, 6), -1) AS word_distance
+        FROM judged""",
     "op1_warc_index": """
         WITH held AS (SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
         named AS (
@@ -28,4 +64,31 @@ ORACLES: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url
         FROM firsts""",
+    # all pairs that share a shingle: for small tables
+    "op2_hyperminhash": """
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM worded WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+        both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y)
+        SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+        FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id""",
+    # every window of every text: for small tables
+    "op7_suffix_repeats": """
+        WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+        windows AS (SELECT doc_id, p, hash(substr(h, (2 * p + 1)::INT, 400)) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS p FROM bytes WHERE n >= 200)),
+        repeated AS (SELECT doc_id, p FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+        marked AS (SELECT doc_id, p, p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 AS apart FROM repeated),
+        numbered AS (SELECT doc_id, p, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked),
+        spans AS (SELECT doc_id, k, min(p) AS b, max(p) + 200 AS e FROM numbered GROUP BY ALL),
+        gaps AS (SELECT doc_id, e AS b, lead(b) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM spans UNION ALL SELECT doc_id, 0, min(b) FROM spans GROUP BY doc_id),
+        kept AS (SELECT g.doc_id, string_agg(substr(h, (2 * g.b + 1)::INT, (2 * (coalesce(g.e, n) - g.b))::INT), '' ORDER BY g.b) AS k FROM gaps g JOIN bytes x ON x.doc_id = g.doc_id GROUP BY g.doc_id),
+        counted AS (SELECT doc_id, sum(e - b)::BIGINT AS r, count(*) AS s FROM spans GROUP BY doc_id)
+        SELECT x.doc_id, x.n::BIGINT AS n_bytes, coalesce(c.r, 0) AS n_removed, coalesce(c.s, 0) AS n_spans, sha256(unhex(coalesce(k.k, x.h))) AS kept_sha256
+        FROM bytes x LEFT JOIN kept k ON k.doc_id = x.doc_id LEFT JOIN counted c ON c.doc_id = x.doc_id""",
 }
