@@ -149,9 +149,11 @@ def site_counts(a: str, b: str, path: str) -> tuple[int, int]:
 ALIGNMENT = StructType([StructField("score", IntegerType()), StructField("cigar", StringType()), StructField("different", IntegerType()), StructField("sites", IntegerType())])
 
 
-def aligned(pairs: DataFrame, aligner: str = "affine", a: str = "a", b: str = "b", name: str = "alignment") -> DataFrame:
+def aligned(pairs: DataFrame, aligner: str = "affine", a: str = "a", b: str = "b", name: str = "alignment", max_score: int | None = None) -> DataFrame:
     """``pairs`` with a struct (score, cigar, different, sites) of columns ``a`` and ``b``; null where either is null.
 
+    With ``max_score``, null too where the score is above it.
+
     Pairs are aligned in groups of like size whose dynamic programs fit CELLS cells; a longer pair is a group of its own.
     """
     scoring = SCORINGS[aligner]
@@ -178,7 +180,8 @@ def aligned(pairs: DataFrame, aligner: str = "affine", a: str = "a", b: str = "b
             kind = pa.struct([("score", pa.int32()), ("cigar", pa.string()), ("different", pa.int32()), ("sites", pa.int32())])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=kind)], names=[*batch.schema.names, name])
 
-    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField(name, ALIGNMENT)]))
+    out = pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField(name, ALIGNMENT)]))
+    return out if max_score is None else out.withColumn(name, F.when(F.col(f"{name}.score") <= max_score, F.col(name)))
 
 
 @F.udf(StructType([StructField("different", IntegerType()), StructField("sites", IntegerType())]), useArrow=True)

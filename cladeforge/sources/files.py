@@ -89,6 +89,27 @@ def unique_names(sequences: DataFrame) -> DataFrame:
     return sequences.withColumn("name", F.when(k > 0, F.concat("name", F.lit("_"), k)).otherwise(F.col("name")))
 
 
+def detect_format(spark: SparkSession, path: str) -> str:
+    """``fasta``, ``clustal``, ``msf`` or ``unknown``, by marks in the first 100 lines."""
+    head = spark.read.text(path).limit(100)
+    seen = head.agg(*[F.count_if(F.col("value").rlike(r)).alias(k) for k, r in (("fasta", "^>"), ("clustal", "^CLUSTAL|multiple sequence alignment"), ("msf", r"^//|MSF:|!!NA_MULT|!!AA_MULT"))]).first()
+    return next((k for k in ("msf", "clustal", "fasta") if seen[k]), "unknown")
+
+
+def is_aligned(sequences: DataFrame) -> str:
+    """``aligned`` (gaps and one length), ``maybe`` (one length, no gaps) or ``unaligned``, by the first 50 sequences."""
+    row = sequences.orderBy("seq_id").limit(50).agg(F.max(F.length("seq")).alias("most"), F.min(F.length("seq")).alias("least"), F.count_if(F.contains("seq", F.lit("-"))).alias("gaps")).first()
+    return "unaligned" if row.most != row.least else "aligned" if row.gaps else "maybe"
+
+
+def merged(*tables: DataFrame) -> DataFrame:
+    """Sequences of several inputs, one after the other, with new dense ranks."""
+    out = tables[0].withColumn("__t", F.lit(0))
+    for k, t in enumerate(tables[1:], 1):
+        out = out.unionByName(t.withColumn("__t", F.lit(k)))
+    return ranked(out.withColumnRenamed("seq_id", "__s"), ["__t", "__s"]).drop("__t", "__s")
+
+
 def read_clustal(spark: SparkSession, path: str) -> DataFrame:
     """``name, aligned`` of a Clustal file: blocks of ``name letters`` lines are joined in file order."""
     line = F.trim(F.regexp_replace("value", "\r$", ""))

@@ -166,3 +166,37 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     got = sorted((r.seq_id, r.cluster_id, round(r.d, 9), r.is_assigned) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted((r.seq_id, r.cluster_id, round(r.d, 9), r.is_assigned) for r in clusters.assign(table, roots, 0.5).collect())
     assert all(c == rows[i][2] for i, c, *_ in got)
+
+
+def test_formats_and_merges(spark, tmp_path):
+    (tmp_path / "a").write_text(">x\nAC-T\n>y\nACGT\n")
+    (tmp_path / "b").write_text("CLUSTAL W\n\nx AC-T\n")
+    (tmp_path / "c").write_text(" MSF: 4 Type: N Check: 1 ..\n//\n x ACGT\n")
+    (tmp_path / "d").write_text("nothing\n")
+    assert [files.detect_format(spark, str(tmp_path / k)) for k in "abcd"] == ["fasta", "clustal", "msf", "unknown"]
+    one = files.read_fasta(spark, str(tmp_path / "a"))
+    assert files.is_aligned(one) == "aligned" and files.is_aligned(one.filter("name = 'y'")) == "maybe"
+    both = files.merged(one, one).orderBy("seq_id").collect()
+    assert [(r.seq_id, r.name) for r in both] == [(0, "x"), (1, "y"), (2, "x"), (3, "y")]
+
+
+def test_score_cap(spark):
+    pairs = spark.createDataFrame([("ACGT", "ACGT"), ("AAAA", "TTTT")], "a string, b string")
+    assert [r.alignment is None for r in aligned(pairs, max_score=8).collect()] == [False, True]
+
+
+def test_command_line(spark, tmp_path):
+    from cladeforge.__main__ import arguments, cluster_files
+
+    rows = evolved(random.Random(11), 3, 8, 90)
+    (tmp_path / "in.fa").write_text("".join(f">s{i}\n{s.lower()}\n" for i, s, _ in rows))
+    (tmp_path / "tax.tsv").write_text("".join(f"s{i}\tD;g{g}\n" for i, _, g in rows))
+    args = arguments(["-i", str(tmp_path / "in.fa"), "-r", "18", "-b", "3", "-p", "2", "-o", str(tmp_path / "out"), "-t", str(tmp_path / "tax.tsv"), "-f", "-q"])
+    members = cluster_files(spark, args)
+    assert members.count() == len(rows)
+    assert files.read_fasta(spark, str(tmp_path / "out/fasta/*")).count() == len(rows)
+    assert files.read_taxonomy(spark, str(tmp_path / "out/taxonomy/*")).count() == len(rows)
+    assert files.read_fasta(spark, str(tmp_path / "out/roots")).count() == members.select("cluster_id").distinct().count()
+    (tmp_path / "bad.fa").write_text(">q\nACXE\n")
+    with pytest.raises(ValueError):
+        cluster_files(spark, arguments(["-i", str(tmp_path / "bad.fa"), "-r", "2", "-b", "2", "-o", str(tmp_path / "out2")]))
