@@ -243,6 +243,17 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, text: str, key: str
     return materialize(both.select("a", "b", "held_a", "held_b").mapInArrow(run, "a long, b long"), "near-links")
 
 
+def first_shared(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether ``key`` is that of the first band that two rows of registers share, or they share none.
+
+    Of all keys in which a pair meets, it needs to be told in this one only; the pair is known already if one of the two is
+    that key's leader.
+    """
+    keys, counts = band_keys(a)
+    same = (a == b)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2) & counts
+    return ~same.any(axis=1) | (keys[np.arange(len(a)), same.argmax(axis=1)].view(np.int64) == key)
+
+
 def _in_parts(f, u: np.ndarray, v: np.ndarray, size: int = 4096) -> np.ndarray:
     return np.concatenate([f(u[s : s + size], v[s : s + size]) for s in range(0, len(u), size)])
 
@@ -350,6 +361,9 @@ def cross_pairs(members: DataFrame, nodes: DataFrame, percent: int, best_only: b
                 if len(u) and has_fine.any():
                     close = _in_parts(lambda a, b: estimate(fine[a], fine[b], n[a], n[b], 1 / ((1 << FINE_BITS) - 1)) >= floor_of(percent / 100, ((fine[a] != 0) | (fine[b] != 0)).sum(axis=1)), u, v)
                     u, v, e = u[close], v[close], e[close]
+                if not best_only and len(u):
+                    told_here = _in_parts(lambda a, b: ~(has[a] & has[b]) | first_shared(regs[a], regs[b], key[a]), u, v)
+                    u, v = u[told_here], v[told_here]
                 if best_only and len(u):
                     order = np.lexsort((ids[v], -e, u))
                     u, v = u[order], v[order]
