@@ -14,7 +14,7 @@ from ..functions.alignment import SCORINGS, align_batch, site_counts
 
 #: Bytes of root sequences that are sent to all tasks at most.
 MAX_ROOT_BYTES = 64 << 20
-ASSIGNED = "seq_id long, cluster_id long, different int, sites int"
+TOLD = "seq_id long, told array<struct<cluster_id:long,different:int,sites:int>>"
 
 
 def _counts(seqs: list[str], root: str, aligner: str) -> list[tuple[int, int]]:
@@ -30,40 +30,46 @@ def _counts(seqs: list[str], root: str, aligner: str) -> list[tuple[int, int]]:
     return out
 
 
-def distances_to_roots(sequences: DataFrame, roots: DataFrame, aligner: str = "affine", at_once: int = 16) -> DataFrame:
-    """``seq_id, cluster_id, d`` of every sequence to every root. Roots (a few a cluster) go to all tasks once their size is checked.
+def held_against(sequences: DataFrame, roots: DataFrame, aligner: str = "affine", at_once: int = 16) -> DataFrame:
+    """``seq_id, told``: an array of (cluster_id, different, sites) of each sequence against every root, in order of cluster.
 
-    Nothing is shuffled: each task holds its sequences against the roots, ``at_once`` at a time.
+    Roots (one a cluster) go to all tasks once their size is checked, and each task holds its sequences against them,
+    ``at_once`` at a time: nothing is shuffled. Works on streams too.
     """
     size = roots.agg(F.sum(F.length("root_seq")).alias("n")).first().n or 0
     if size > MAX_ROOT_BYTES:
         raise ValueError(f"roots of {size} letters are too many to send to all tasks")
     held = [(r.cluster_id, r.root_seq) for r in roots.select("cluster_id", "root_seq").orderBy("cluster_id").collect()]
     few = sequences.sparkSession.sparkContext.broadcast(held)
+    kind = pa.list_(pa.struct([("cluster_id", pa.int64()), ("different", pa.int32()), ("sites", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, seqs = batch.column(0), batch.column(1).to_pylist()
+            seqs = [s or "" for s in batch.column(1).to_pylist()]
             for start in range(0, len(seqs), at_once):
-                part = [s or "" for s in seqs[start : start + at_once]]
-                taken = ids.slice(start, len(part))
-                for cluster, root in few.value:
-                    counts = _counts(part, root, aligner)
-                    yield pa.RecordBatch.from_arrays([taken, pa.array([cluster] * len(part), pa.int64()), pa.array([c[0] for c in counts], pa.int32()), pa.array([c[1] for c in counts], pa.int32())], names=["seq_id", "cluster_id", "different", "sites"])
+                part = seqs[start : start + at_once]
+                counts = [_counts(part, root, aligner) for _, root in few.value]
+                told = [[{"cluster_id": c, "different": x[k][0], "sites": x[k][1]} for (c, _), x in zip(few.value, counts, strict=True)] for k in range(len(part))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(told, type=kind)], names=["seq_id", "told"])
 
-    rows = sequences.select(F.col("seq_id").cast("long").alias("seq_id"), "seq").mapInArrow(run, ASSIGNED)
-    return rows.select("seq_id", "cluster_id", S.jukes_cantor(F.col("different"), F.col("sites")).alias("d"))
+    return sequences.select(F.col("seq_id").cast("long").alias("seq_id"), "seq").mapInArrow(run, TOLD)
 
 
-def nearest(distances: DataFrame) -> DataFrame:
-    """``seq_id, cluster_id, d``: the nearest root of each sequence, ties to the lowest cluster."""
-    return distances.groupBy("seq_id").agg(F.min(F.struct("d", "cluster_id")).alias("best")).select("seq_id", "best.cluster_id", "best.d")
+def distances_to_roots(sequences: DataFrame, roots: DataFrame, aligner: str = "affine") -> DataFrame:
+    """``seq_id, cluster_id, d`` of every sequence to every root."""
+    each = held_against(sequences, roots, aligner).select("seq_id", F.explode("told").alias("t"))
+    return each.select("seq_id", "t.cluster_id", S.jukes_cantor(F.col("t.different"), F.col("t.sites")).alias("d"))
 
 
 def assign(sequences: DataFrame, roots: DataFrame, threshold: float, aligner: str = "affine") -> DataFrame:
-    """``seq_id, cluster_id, d, is_assigned``: nearer than 1 and not beyond the threshold; else it stays for a later round."""
-    best = nearest(distances_to_roots(sequences, roots, aligner))
-    return best.withColumn("is_assigned", (F.col("d") < 1) & (F.col("d") <= threshold))
+    """``seq_id, cluster_id, d, is_assigned``: the nearest root, ties to the lowest cluster.
+
+    A sequence is assigned if that is nearer than 1 and not beyond the threshold; else it stays for a later round. The
+    minimum is taken row by row, so neither a shuffle nor, on a stream, a watermark is needed.
+    """
+    near = F.array_min(F.transform("told", lambda t: F.struct(S.jukes_cantor(t["different"], t["sites"]).alias("d"), t["cluster_id"].alias("cluster_id"))))
+    best = held_against(sequences, roots, aligner).select("seq_id", near.alias("best")).select("seq_id", "best.cluster_id", "best.d")
+    return best.withColumn("is_assigned", F.coalesce((F.col("d") < 1) & (F.col("d") <= threshold), F.lit(False)))
 
 
 def sizes(members: DataFrame) -> DataFrame:

@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import sequence as S
-from ..operators.clusters import MAX_ROOT_BYTES, _counts
+from ..operators.clusters import assign
 
 
-def assign_stream(sequences: DataFrame, roots: DataFrame, threshold: float, aligner: str = "affine") -> DataFrame:
-    """``seq_id, cluster_id, d, is_assigned`` of a streaming ``sequences(seq_id, seq)``; ties go to the lowest cluster.
+def start_assigning(sequences: DataFrame, roots: DataFrame, threshold: float, out: str, checkpoint: str, aligner: str = "affine") -> StreamingQuery:
+    """Append assignments of a streaming ``sequences(seq_id, seq)`` to a Parquet folder, from where the last run stopped.
 
-    The argmin is taken inside the task, since a stream allows no aggregate without a watermark here.
+    Rows with ``is_assigned`` false are the pool of a later clustering run.
     """
-    held = [(r.cluster_id, r.root_seq) for r in roots.orderBy("cluster_id").collect()]
-    if sum(len(r) for _, r in held) > MAX_ROOT_BYTES:
-        raise ValueError("roots are too many to send to all tasks")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seqs = [s or "" for s in batch.column(1).to_pylist()]
-            counts = [_counts(seqs, root, aligner) for _, root in held]
-            flat = {"seq_id": batch.column(0), "told": pa.array([[{"cluster_id": c, "different": x[k][0], "sites": x[k][1]} for (c, _), x in zip(held, counts, strict=True)] for k in range(len(seqs))], type=pa.list_(pa.struct([("cluster_id", pa.int64()), ("different", pa.int32()), ("sites", pa.int32())])))}
-            yield pa.RecordBatch.from_pydict(flat)
-
-    rows = sequences.select(F.col("seq_id").cast("long").alias("seq_id"), "seq").mapInArrow(run, "seq_id long, told array<struct<cluster_id:long,different:int,sites:int>>")
-    best = F.array_min(F.transform("told", lambda t: F.struct(S.jukes_cantor(t["different"], t["sites"]).alias("d"), t["cluster_id"].alias("cluster_id"))))
-    return rows.select("seq_id", best.alias("best")).select("seq_id", "best.cluster_id", "best.d", ((F.col("best.d") < 1) & (F.col("best.d") <= threshold)).alias("is_assigned"))
-
-
-def start_assigning(sequences: DataFrame, roots: DataFrame, threshold: float, out: str, checkpoint: str, aligner: str = "affine") -> StreamingQuery:
-    """Append assignments to a Parquet folder; rows with ``is_assigned`` false are the pool of a later clustering run."""
-    told = assign_stream(sequences, roots, threshold, aligner)
+    told = assign(sequences, roots, threshold, aligner)
     return told.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
