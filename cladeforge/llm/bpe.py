@@ -22,10 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .common import fresh
 
 #: Chunks of which a worker keeps the ids; longer ones are not kept. Characters and new chunks that are worked on at once.
-CACHE_CHUNKS, LONG_CHUNK, AT_ONCE_CHARS, JOINED = 500_000, 256, 2_000_000, 500
+CACHE_CHUNKS, LONG_CHUNK, AT_ONCE_CHARS, JOINED = 150_000, 256, 1_000_000, 500
 _CHUNK = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
@@ -117,24 +118,30 @@ def _as_strings(column: pa.Array) -> list[str]:
     return column.fill_null("").to_pylist()
 
 
-def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with a binary column ``ids`` (little-endian unsigned 32-bit) of each whole text.
 
+    With ``decoded``, a binary column of that name too: what the ids decode to, made in the same pass.
+
     Null and empty texts have no ids (an empty value). An input column of the same name is replaced. Rows are encoded one
     by one: repeated rows give repeated results, an empty table an empty one. ``path`` must lie on every node, as an
     installed package's file does.
     """
-    source = docs.drop(*[c for c in docs.columns if c.lower() == ids.lower()]) if ids.lower() != text.lower() else docs
+    made = [n for n in (ids, decoded) if n]
+    source = docs.drop(*[c for c in docs.columns if c != text and c.lower() in {n.lower() for n in made}])
     names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         for batch in batches:
-            found = coder.encode(_as_strings(batch.column(batch.schema.get_field_index(text))))
-            columns = {c: batch.column(i) for i, c in enumerate(names)}
-            yield pa.RecordBatch.from_pydict(columns | {ids: pa.array(found, type=pa.binary())})
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields] + [f"`{ids}` binary"]
+            for part in tk.pieces(batch, names.index(text)):
+                found = coder.encode(_as_strings(part.column(names.index(text))))
+                columns = {c: part.column(i) for i, c in enumerate(names)} | {ids: pa.array(found, type=pa.binary())}
+                if decoded:
+                    columns[decoded] = pa.array([coder.decode(x) for x in found], type=pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields] + [f"`{n}` binary" for n in made]
     return source.mapInArrow(run, ", ".join(fields))
 
 
@@ -146,9 +153,10 @@ def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         for batch in batches:
-            found = [None if x is None else coder.decode(x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
-            columns = {c: batch.column(i) for i, c in enumerate(names)}
-            yield pa.RecordBatch.from_pydict(columns | {decoded: pa.array(found, type=pa.binary())})
+            for part in tk.pieces(batch, names.index(ids)):
+                found = [None if x is None else coder.decode(x) for x in part.column(names.index(ids)).to_pylist()]
+                columns = {c: part.column(i) for i, c in enumerate(names)}
+                yield pa.RecordBatch.from_pydict(columns | {decoded: pa.array(found, type=pa.binary())})
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields] + [f"`{decoded}` binary"]
     return source.mapInArrow(run, ", ".join(fields))
@@ -173,7 +181,7 @@ def tokenizer_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
 
 def encode_and_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens``, and digests of the ids and of the decoded bytes, a row for each row of ``docs``."""
-    both = bpe_decode(bpe_encode(docs.select("doc_id", F.col(text).alias("text")), path).drop("text"), path)
+    both = bpe_encode(docs.select("doc_id", F.col(text).alias("text")), path, decoded="decoded")
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -77,8 +77,9 @@ def packed(rows: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            texts = [None if t is None else press.compress(t.encode()) for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, type=pa.binary())], names=[*keep, "body"])
+            for part in tk.pieces(batch, len(keep)):
+                texts = [None if t is None else press.compress(t.encode()) for t in part.column(len(keep)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(texts, type=pa.binary())], names=[*keep, "body"])
 
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     return rows.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(run, ", ".join([*fields, "body binary"]))
@@ -91,7 +92,7 @@ def _contexts(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loose = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (part for whole in batches for part in tk.pieces(whole, 2)):
             lists = batch.column(3)
             flat, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
             at = np.repeat(np.arange(batch.num_rows), count)
@@ -191,9 +192,11 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     return spans.union(fine.select("doc_id", "row", (F.col("first") + F.col("start")).cast("long"), (F.col("first") + F.col("stop") + window).cast("long")))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """``docs`` without ``text``, with ``n_bytes, n_removed, n_spans`` and binary ``kept`` (what is left, joined).
 
+    With ``as_text``, ``kept`` is a string; bytes of a character that was cut through are left out of it.
+
     Removes each byte of a ``window``-byte string that starts anywhere else too, in the same text or another; matches are on
     UTF-8 bytes, never cross rows, and are judged on the input. Null texts count as empty; texts shorter than a window stay
     whole. Repeated rows are copies of each other, so all their windows go. Input columns with the names of results are
@@ -208,11 +211,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "spans")
     carried = packed(whole, [*keep, row])
     joined = carried.join(spans.hint("shuffle_hash"), (F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-1)) == F.col("__id")) & (F.col(row) == F.col("__row")), "left")
-    kinds = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}
+    kinds = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "string" if as_text else "binary"}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loose = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (part for many in batches for part in tk.pieces(many, len(keep))):
             bodies, lists = [loose.decompress(x) for x in batch.column(len(keep)).to_pylist()], batch.column(len(keep) + 1)
             sizes, removed, counts, kept = [], [], [], []
             flat = lists.flatten()
@@ -237,7 +240,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
                 removed.append(len(body) - len(rest))
                 counts.append(len(cut))
                 kept.append(rest)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], names=[*keep, *kinds])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*keep, *kinds])
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{k} {v}" for k, v in kinds.items()]
     return joined.select(*[F.col(f"`{c}`") for c in keep], "body", "spans").mapInArrow(run, ", ".join(fields))
@@ -245,13 +248,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with repeated strings cut from the text; bytes of a character that was cut through go with it."""
-
-    @F.udf("string", useArrow=True)
-    def decoded(body):
-        return bytes(body).decode("utf-8", errors="ignore")
-
-    cut = remove_repeats(docs, text, key)
-    return cut.withColumn(text, decoded("kept")).select(docs.columns)
+    # one struct keeps the columns of docs apart from those made here
+    held = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("held"))
+    cut = remove_repeats(held, as_text=True)
+    return cut.select(*[F.col("kept").alias(c) if c == text else F.col(f"held.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_suffix_repeats(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 19
@@ -65,6 +66,13 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         row = end
 
 
+def pieces(batch: pa.RecordBatch, column: int, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of a string or binary column each, so that work on one stays small."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    for a, b in chunks(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), size):
+        yield batch.slice(a, b - a)
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 

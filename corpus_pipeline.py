@@ -36,8 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of what they decode to."""
-    path = bpe.tokenizer_path()
-    both = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
+    both = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), bpe.tokenizer_path(), decoded="decoded")
     return both.select("doc_id", "lang", "source", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
