@@ -421,7 +421,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", key:
 def keep_one_of_each(docs: DataFrame, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
     gone = near_duplicates(docs, percent, text, key).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(materialize(gone, "near-gone"), key, "left_anti").select(docs.columns)
+    gone = materialize(gone, "near-gone")
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone.hint("shuffle_hash")
+    return docs.join(gone, key, "left_anti").select(docs.columns)
 
 
 def op2_hyperminhash(spark, sf_dir: str) -> DataFrame:
