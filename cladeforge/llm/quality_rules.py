@@ -34,7 +34,7 @@ CLASSES = ("lower", "upper", "digit", "space", "point", "symbol", "other", "wide
 WORD_LIST = sorted({w for words in COMMON_WORDS.values() for w in words})
 N_CLASSES, N_WORDS = len(CLASSES), len(WORD_LIST) + 1
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_hist array<int>, word_hist array<int>"
-WINDOW = 8
+WINDOW, MAX_LANGUAGES = 8, 10_000
 MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept")
 LIMITS = {"max_char_distance": 0.35, "max_word_distance": 0.40, "min_chars": 200, "min_words": 60}
 
@@ -163,9 +163,11 @@ def _elements(column: F.Column, n: int) -> list[F.Column]:
 
 
 def language_references(stats: DataFrame, lang: str, name: str) -> dict[str, tuple[list[int], list[int]]]:
-    """Summed histograms of all documents of each language: one row a language, so their number bounds what is collected."""
+    """Summed histograms of all documents of each language: one row a language, of which MAX_LANGUAGES are collected at most."""
     grouped = stats.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("ref_lang"))
-    rows = grouped.agg(F.array(*_elements(F.col(f"{name}.char_hist"), N_CLASSES)).alias("chars"), F.array(*_elements(F.col(f"{name}.word_hist"), N_WORDS)).alias("words")).collect()
+    rows = grouped.agg(F.array(*_elements(F.col(f"{name}.char_hist"), N_CLASSES)).alias("chars"), F.array(*_elements(F.col(f"{name}.word_hist"), N_WORDS)).alias("words")).limit(MAX_LANGUAGES + 1).collect()
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: is {lang} a language column?")
     return {r.ref_lang: (r.chars, r.words) for r in rows if sum(r.chars) and sum(r.words)}
 
 
