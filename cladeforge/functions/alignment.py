@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 #: Cells of the dynamic program that are held at once.
-CELLS = 8_000_000
+CELLS = 32_000_000
 FAR = 1 << 28
 DIAGONAL, UP, LEFT, UP_OPENS, LEFT_OPENS = 0, 1, 2, 4, 8
 
@@ -61,7 +61,8 @@ def align_batch(a: list[str], b: list[str], scoring: Scoring) -> tuple[np.ndarra
     x, n = _padded(a, 0)
     y, m = _padded(b, 1)
     size, height, width = len(a), x.shape[1], y.shape[1]
-    lanes, columns = np.arange(size), np.arange(width + 1)
+    lanes, columns = np.arange(size), np.arange(width + 1, dtype=np.int32)
+    costs = np.array([scoring.mismatch, scoring.match], dtype=np.int32)
     ext, both = scoring.extending, scoring.opening + scoring.extending
     first = np.where(columns > 0, 0 if scoring.free_ends else scoring.opening + ext * columns, 0)
     h = np.broadcast_to(first, (size, width + 1)).astype(np.int32).copy()
@@ -79,16 +80,22 @@ def align_batch(a: list[str], b: list[str], scoring: Scoring) -> tuple[np.ndarra
         elif i == 1:
             up[:, 0] = both
         diagonal = np.full_like(h, FAR)
-        diagonal[:, 1:] = h[:, :-1] + np.where(x[:, i - 1 : i] == y, scoring.match, scoring.mismatch)
+        diagonal[:, 1:] = h[:, :-1] + costs[(x[:, i - 1 : i] == y).view(np.uint8)]
         best = np.minimum(diagonal, up)
         # a gap along the row that starts after column k costs opening + ext * (j - k)
         reach = np.minimum.accumulate(best - ext * columns, axis=1)
         left = np.full_like(h, FAR)
         left[:, 1:] = reach[:, :-1] + scoring.opening + ext * columns[1:]
         new = np.minimum(best, left)
-        choice = np.where(left == new, LEFT, np.where(up == new, UP, DIAGONAL)) if scoring.gaps_first else np.where(diagonal == new, DIAGONAL, np.where(up == new, UP, LEFT))
-        choice |= np.where(opened <= extended, UP_OPENS, 0)
-        choice[:, 1:] |= np.where(new[:, :-1] + both <= left[:, 1:], LEFT_OPENS, 0)
+        # bytes 0, 1, 2 for the diagonal, up and left, without wide intermediates
+        if scoring.gaps_first:
+            right, below = left != new, up != new
+            choice = (~right).view(np.uint8) * LEFT + (right & ~below).view(np.uint8)
+        else:
+            across, below = diagonal != new, up != new
+            choice = across.view(np.uint8) + (across & below).view(np.uint8)
+        choice |= (opened <= extended).view(np.uint8) << 2
+        choice[:, 1:] |= (new[:, :-1] + both <= left[:, 1:]).view(np.uint8) << 3
         choice[:, 0] = UP
         moves[i] = choice
         h = new
