@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch: whole texts are long, and a batch stands in memory several times over.
+BATCH_ROWS, ROWS_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query or stage (its first argument is the session) whose session has small Arrow batches, unless it sets their size."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        if spark.conf.get(ROWS_KEY, None) is None:
+            spark.conf.set(ROWS_KEY, str(BATCH_ROWS))
+        return query(spark, *args)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 

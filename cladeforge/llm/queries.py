@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from . import bpe, flac, language_id, license_scan, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, warc
+from .common import small_batches
 
-QUERIES = {
-    "op1_warc_index": warc.op1_warc_index,
-    "op2_hyperminhash": minhash.op2_hyperminhash,
-    "op3_byte_bpe": bpe.op3_byte_bpe,
-    "op4_flac_media": flac.op4_flac_media,
-    "op5_rule_ensemble": quality_classifier.op5_rule_ensemble,
-    "op6_temperature_mix": mixing.op6_temperature_mix,
-    "op7_suffix_repeats": suffix_dedup.op7_suffix_repeats,
-    "op8_byte_cnn": language_id.op8_byte_cnn,
-    "op9_license_rules": license_scan.op9_license_rules,
-    "op10_quality_divergence": quality_rules.op10_quality_divergence,
-}
+QUERIES = {f.__name__: small_batches(f) for f in (
+    warc.op1_warc_index,
+    minhash.op2_hyperminhash,
+    bpe.op3_byte_bpe,
+    flac.op4_flac_media,
+    quality_classifier.op5_rule_ensemble,
+    mixing.op6_temperature_mix,
+    suffix_dedup.op7_suffix_repeats,
+    language_id.op8_byte_cnn,
+    license_scan.op9_license_rules,
+    quality_rules.op10_quality_divergence,
+)}
 _CLASSES = {
     "lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x09-\x0D\x20]", "symbol": r"[#*$%&|<>]", "other": r"[\x00-\x08\x0E-\x1F\x7F]", "wide": r"[^\x00-\x7F]",
 }

@@ -10,30 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeforge.llm import bpe, minhash, mixing, quality_rules, suffix_dedup
-from cladeforge.llm.common import materialize, table
+from cladeforge.llm.common import materialize, small_batches, table
 
 
+@small_batches
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.passing(docs)
 
 
+@small_batches
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group of near copies."""
     return minhash.keep_one_of_each(docs)
 
 
+@small_batches
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 200-byte strings that stand elsewhere too; those with nothing left go."""
     cut = suffix_dedup.without_repeats(docs)
     return cut.filter(F.length(F.trim("text")) > 0).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, repeated as the temperature-mixed weights of their sources say."""
     return mixing.mix(docs)
 
 
+@small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of what they decode to."""
     both = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), bpe.tokenizer_path(), decoded="decoded")
