@@ -57,10 +57,15 @@ def mean_between(distances: DataFrame, members: DataFrame, leave_out: int | None
 
 def seed_similarity(of: DataFrame, least: float = 61.08) -> DataFrame:
     """``i, j, similarity``: matches of spaced seeds on diagonals that have more than ``least`` of them (larger is closer)."""
-    seeds = lambda c: F.explode(S.spaced_seeds(F.col(c))).alias("s")
-    left = of.select("i", "j", seeds("a")).select("i", "j", F.col("s.code").alias("code"), F.col("s.place").alias("pa"))
-    right = of.select("i", "j", seeds("b")).select("i", "j", F.col("s.code").alias("code"), F.col("s.place").alias("pb"))
-    diagonals = left.join(right, ["i", "j", "code"]).groupBy("i", "j", (F.col("pb") - F.col("pa")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+    def seeds(key: str, seq: str, place: str) -> DataFrame:
+        """Codes of each sequence once, by plain substrings; N is read as A."""
+        rows = of.select(key, F.translate(seq, "N", "A").alias("s")).distinct().filter(F.length("s") >= 6)
+        rows = rows.select(key, "s", F.explode(F.sequence(F.lit(1), F.length("s") - 5)).alias(place)).repartition(key, place)
+        codes = [F.concat(F.lit(f"{k}:"), *[F.substr("s", F.col(place) + o, F.lit(1)) for o in seed]) for k, seed in enumerate(S.SPACED_SEEDS)]
+        return rows.select(key, place, F.explode(F.array(*codes)).alias("code"))
+
+    left, right = of.select("i", "j").join(seeds("i", "a", "pa"), "i"), seeds("j", "b", "pb")
+    diagonals = left.join(right, ["j", "code"]).groupBy("i", "j", (F.col("pb") - F.col("pa")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
     return of.select("i", "j").join(diagonals.groupBy("i", "j").agg(F.sum("n").alias("similarity")), ["i", "j"], "left").fillna(0, ["similarity"])
 
 
