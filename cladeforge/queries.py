@@ -33,11 +33,22 @@ def _sample(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return sampling.sample_k(sequences(spark, sf_dir), k, SEED)
 
 
-def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _language_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One representative of each language: the first of the sample's order with 100 letters or more."""
     able = sequences(spark, sf_dir).filter("len >= 100")
     first = able.groupBy("lang").agg(F.min_by("seq", F.struct(sampling.draw(F.col("seq_id"), SEED), F.col("seq_id"))).alias("root_seq"))
-    return first.select((F.row_number().over(Window.orderBy("lang")) - 1).cast("long").alias("cluster_id"), "root_seq")  # a row a language
+    return first.select("lang", (F.row_number().over(Window.orderBy("lang")) - 1).cast("long").alias("cluster_id"), "root_seq")  # a row a language
+
+
+def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language_roots(spark, sf_dir).drop("lang")
+
+
+def _against_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every root: ``i, j, a, b`` as of pairs, ``j`` the root's cluster. Linear in the documents."""
+    rows = sequences(spark, sf_dir).select(F.col("seq_id").alias("i"), F.col("seq").alias("a"))
+    roots = _roots(spark, sf_dir).select(F.col("cluster_id").alias("j"), F.col("root_seq").alias("b"))
+    return rows.join(F.broadcast(roots)).repartition("i", "j")
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,13 +144,23 @@ def align_edit_score(spark, sf_dir):
     return aligned(_pairs_of_benchmark(spark, sf_dir), "edit").select("i", "j", F.col("alignment.score").cast("long").alias("d"))
 
 
+def site_patterns_roots(spark, sf_dir):
+    return distances.binary_patterns(_against_roots(spark, sf_dir))
+
+
+def jc_distance_roots(spark, sf_dir):
+    return distances.pair_distances(_against_roots(spark, sf_dir), "ungapped").select("i", "j", F.round("d", 6).alias("d"))
+
+
 def align_affine_score(spark, sf_dir):
-    rows = aligned(distances.pairs(_sample(spark, sf_dir, 12)), "affine").select("i", "j", "a", "b", "alignment.*")
+    """Every document against every root."""
+    rows = aligned(_against_roots(spark, sf_dir), "affine").select("i", "j", "a", "b", "alignment.*")
     return rows.select("i", "j", "score", "different", "sites", S.cigar_affine_cost(F.col("cigar")).alias("cigar_cost"))
 
 
 def align_nw_score(spark, sf_dir):
-    return aligned(distances.pairs(_sample(spark, sf_dir, 12)), "nw").select("i", "j", "alignment.score", "alignment.different", "alignment.sites")
+    """Every document against every root."""
+    return aligned(_against_roots(spark, sf_dir), "nw").select("i", "j", "alignment.score", "alignment.different", "alignment.sites")
 
 
 def mean_between_groups(spark, sf_dir):
@@ -149,6 +170,16 @@ def mean_between_groups(spark, sf_dir):
     return distances.mean_between(d, members).select(F.round("mean", 6).alias("mean"))
 
 
+def mean_between_roots(spark, sf_dir):
+    """As ``mean_between_groups``, of every document: those of a language against the roots of the others."""
+    d = distances.pair_distances(_against_roots(spark, sf_dir), "ungapped")
+    own = _language_roots(spark, sf_dir).select("lang", F.col("cluster_id").alias("ci"))
+    members = sequences(spark, sf_dir).select(F.col("seq_id").alias("i"), "lang").join(F.broadcast(own), "lang").select("i", "ci")
+    named = d.select("i", F.col("j").alias("cj"), "d").join(members, "i").filter("ci <> cj")
+    each = named.groupBy(F.least("ci", "cj"), F.greatest("ci", "cj")).agg(F.avg("d").alias("d"))
+    return each.agg(F.round(F.avg("d"), 6).alias("mean"))
+
+
 def nearest_root_assign(spark, sf_dir):
     return _assigned(spark, sf_dir).select("seq_id", "cluster_id", F.round("d", 6).alias("d"), "is_assigned")
 
@@ -238,10 +269,24 @@ def consensus_base(spark, sf_dir):
     return alignments.consensus(_side_by_side(spark, sf_dir))
 
 
+def gapped_columns_all(spark, sf_dir):
+    rows = sequences(spark, sf_dir).select(F.lit(0).cast("long").alias("cluster_id"), "seq")
+    return alignments.kept(alignments.side_by_side_columns(rows)).select("cluster_id", "col", "n", "gaps")
+
+
+def consensus_base_all(spark, sf_dir):
+    rows = sequences(spark, sf_dir).select(F.lit(0).cast("long").alias("cluster_id"), "seq")
+    return alignments.consensus_of(alignments.side_by_side_columns(rows))
+
+
 def spaced_seed_similarity(spark, sf_dir):
     return distances.seed_similarity(distances.pairs(_sample(spark, sf_dir, 8)))
 
 
+def spaced_seed_roots(spark, sf_dir):
+    return distances.seed_similarity(_against_roots(spark, sf_dir))
+
+
 def anchors_by_length(spark, sf_dir):
     return sampling.anchors_by_length(sequences(spark, sf_dir)).select("seq_id", "len", "rank")
 
@@ -314,7 +359,7 @@ QUERIES = {f.__name__: f for f in (
     site_patterns, jc_distance, edit_distance_pairs, align_edit_score, align_affine_score, align_nw_score, mean_between_groups, nearest_root_assign, saved_for_later, cluster_sizes,
     largest_cluster, size_cv, nmi_vs_taxonomy, taxonomy_join, clstr_lines, length_summary, dup_names, unique_names, dense_ranks, top_branches, nearest_cut, tree_labels,
     common_ancestors, gapped_columns, consensus_base, spaced_seed_similarity, anchors_by_length, euclid_to_anchor, kmeans_one_step, cigar_ops, nj_tree, midpoint_root, msa_columns, gtr_root,
-    full_clustering, stream_assign,
+    full_clustering, stream_assign, site_patterns_roots, jc_distance_roots, mean_between_roots, gapped_columns_all, consensus_base_all, spaced_seed_roots,
 )}
 
 # --- the same in SQL --------------------------------------------------------------------------------------------------
@@ -358,6 +403,8 @@ _UP = "up(node, steps, anc) AS (SELECT node, 0, node FROM n UNION ALL SELECT up.
 _ND = "nd AS (SELECT anc AS node, count(*) AS nd FROM up WHERE node < 8 GROUP BY anc)"
 _FROM_ROOT = "dr AS (SELECT up.node, sum(n.bl) AS dist, count(*) - 1 AS depth FROM up JOIN n ON n.node = up.anc GROUP BY up.node)"
 _ALIGNED = f"{_SEQ}, {_sampled(30)}, w AS (SELECT max(len) AS w FROM p), m AS (SELECT seq_id, rpad(seq, (SELECT w FROM w)::INT, '-') AS aligned FROM p), c AS (SELECT k - 1 AS col, substr(aligned, k::INT, 1) AS x FROM (SELECT aligned, unnest(range(1, length(aligned) + 1)) AS k FROM m)), h AS (SELECT col, count(*) AS n, count(*) FILTER (x IN ('N', '-')) AS gaps, count(*) FILTER (x = 'A') AS ca, count(*) FILTER (x = 'C') AS cc, count(*) FILTER (x = 'G') AS cg, count(*) FILTER (x = 'T') AS ct FROM c GROUP BY col), k AS (SELECT * FROM h WHERE gaps <= n // 2)"
+# All documents side by side: what is beyond a sequence's end is a gap, so only its own letters are counted.
+_COLUMNS = f"{_SEQ}, c AS (SELECT k - 1 AS col, substr(seq, k::INT, 1) AS x FROM (SELECT seq, unnest(range(1, len + 1)) AS k FROM s)), h AS (SELECT col, (SELECT count(*) FROM s) AS n, (SELECT count(*) FROM s) - count(*) FILTER (x <> 'N') AS gaps, count(*) FILTER (x = 'A') AS ca, count(*) FILTER (x = 'C') AS cc, count(*) FILTER (x = 'G') AS cg, count(*) FILTER (x = 'T') AS ct FROM c GROUP BY col), k AS (SELECT * FROM h WHERE gaps <= n // 2)"
 _SEED_ROWS = " UNION ALL ".join("SELECT seq_id, " + f"'{x}:' || " + " || ".join(f"substr(z, (o + {i})::INT, 1)" for i in seed) + ", o FROM o" for x, seed in enumerate(S.SPACED_SEEDS))
 _ANCHORS = f"a AS (SELECT vec_id AS anchor_id, embedding AS anchor FROM embeddings ORDER BY md5('{SEED}:' || vec_id), vec_id LIMIT 4), d AS (SELECT e.vec_id, a.anchor_id, e.embedding, sqrt(list_sum(list_transform(list_zip(e.embedding, a.anchor), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM embeddings e, a)"
 _CIGAR_ROWS = ", ".join(f"('{c}', '{a}', '{b}')" for c, a, b in CIGARS)
@@ -408,4 +455,9 @@ ORACLES = {
     "kmeans_one_step": f"WITH {_ANCHORS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, anchor_id) AS k FROM d) WHERE k = 1), x AS (SELECT anchor_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS dim FROM b) SELECT anchor_id AS centre_id, count(*) AS n, dim::INT AS dim, round(avg(x), 5) AS x FROM x GROUP BY anchor_id, dim",
     "cigar_ops": f"WITH {_RUNS}, {_GAPPED} SELECT c.cigar, coalesce(sum(n) FILTER (op = 'M'), 0)::BIGINT AS matches, coalesce(sum(n) FILTER (op <> 'M'), 0)::BIGINT AS edits, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE 2 * n END), 0)::BIGINT AS linear, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE 6 + 2 * n END), 0)::BIGINT AS affine, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE least(6 + 2 * n, 24 + n) END), 0)::BIGINT AS affine2, any_value(x) AS x, any_value(y) AS y, true AS valid FROM c LEFT JOIN r ON r.cigar = c.cigar LEFT JOIN g ON g.cigar = c.cigar GROUP BY c.cigar",
     "stream_assign": f"WITH {_ASSIGNED} SELECT seq_id, cluster_id, round(d, 6) AS d, is_assigned FROM g",
+    "site_patterns_roots": f"WITH {_ASSIGNED} SELECT seq_id AS i, cluster_id AS j, a, b, count(*) AS n FROM e GROUP BY ALL",
+    "jc_distance_roots": f"WITH {_ASSIGNED} SELECT seq_id AS i, cluster_id AS j, round(d, 6) AS d FROM v",
+    "mean_between_roots": f"WITH {_ASSIGNED}, l AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS c FROM (SELECT DISTINCT lang FROM s WHERE len >= 100)) SELECT round(avg(m), 6) AS mean FROM (SELECT avg(d) AS m FROM v JOIN s USING (seq_id) JOIN l USING (lang) WHERE l.c <> v.cluster_id GROUP BY least(l.c, v.cluster_id), greatest(l.c, v.cluster_id))",
+    "gapped_columns_all": f"WITH {_COLUMNS} SELECT 0::BIGINT AS cluster_id, col::INT AS col, n, gaps FROM k",
+    "consensus_base_all": f"WITH {_COLUMNS} SELECT 0::BIGINT AS cluster_id, string_agg(CASE WHEN greatest(ca, cc, cg, ct) = 0 THEN 'N' WHEN ca = greatest(ca, cc, cg, ct) THEN 'A' WHEN cc = greatest(ca, cc, cg, ct) THEN 'C' WHEN cg = greatest(ca, cc, cg, ct) THEN 'G' ELSE 'T' END, '' ORDER BY col) AS consensus FROM k",
 }
