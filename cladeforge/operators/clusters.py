@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..functions.alignment import SCORINGS, align_batch, site_counts
+from ..functions.alignment import CELLS, SCORINGS, align_batch, site_counts
 
 #: Bytes of root sequences that are sent to all tasks at most.
 MAX_ROOT_BYTES = 64 << 20
@@ -30,27 +30,41 @@ def _counts(seqs: list[str], root: str, aligner: str) -> list[tuple[int, int]]:
     return out
 
 
-def held_against(sequences: DataFrame, roots: DataFrame, aligner: str = "affine", at_once: int = 16) -> DataFrame:
+def _groups(seqs: list[str], longest: int, at_once: int) -> Iterator[list[str]]:
+    """Different sequences by length, ``at_once`` at a time or fewer where their dynamic programs would not fit CELLS."""
+    part: list[str] = []
+    for s in sorted(set(seqs), key=lambda s: (len(s), s)):
+        if part and (len(part) == at_once or (longest + 1) * (len(s) + 1) * (len(part) + 1) > CELLS):
+            yield part
+            part = []
+        part.append(s)
+    if part:
+        yield part
+
+
+def held_against(sequences: DataFrame, roots: DataFrame, aligner: str = "affine", at_once: int = 64) -> DataFrame:
     """``seq_id, told``: an array of (cluster_id, different, sites) of each sequence against every root, in order of cluster.
 
     Roots (one a cluster) go to all tasks once their size is checked, and each task holds its sequences against them,
-    ``at_once`` at a time: nothing is shuffled. Works on streams too.
+    ``at_once`` of like length at a time, equal ones of a batch once: nothing is shuffled. Works on streams too.
     """
     size = roots.agg(F.sum(F.length("root_seq")).alias("n")).first().n or 0
     if size > MAX_ROOT_BYTES:
         raise ValueError(f"roots of {size} letters are too many to send to all tasks")
     held = [(r.cluster_id, r.root_seq) for r in roots.select("cluster_id", "root_seq").orderBy("cluster_id").collect()]
     few = sequences.sparkSession.sparkContext.broadcast(held)
+    longest = max((len(r) for _, r in held), default=0)
     kind = pa.list_(pa.struct([("cluster_id", pa.int64()), ("different", pa.int32()), ("sites", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seqs = [s or "" for s in batch.column(1).to_pylist()]
-            for start in range(0, len(seqs), at_once):
-                part = seqs[start : start + at_once]
+            told: dict[str, list[dict]] = {}
+            for part in _groups(seqs, longest, at_once):
                 counts = [_counts(part, root, aligner) for _, root in few.value]
-                told = [[{"cluster_id": c, "different": x[k][0], "sites": x[k][1]} for (c, _), x in zip(few.value, counts, strict=True)] for k in range(len(part))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(told, type=kind)], names=["seq_id", "told"])
+                for k, s in enumerate(part):
+                    told[s] = [{"cluster_id": c, "different": x[k][0], "sites": x[k][1]} for (c, _), x in zip(few.value, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([told[s] for s in seqs], type=kind)], names=["seq_id", "told"])
 
     return sequences.select(F.col("seq_id").cast("long").alias("seq_id"), "seq").mapInArrow(run, TOLD)
 

@@ -44,17 +44,28 @@ def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language_roots(spark, sf_dir).drop("lang")
 
 
+def _tasks(spark: SparkSession) -> int:
+    """A stated number of partitions is not coalesced: alignment is long for few bytes, and would run in one or two tasks."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _against_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with every root: ``i, j, a, b`` as of pairs, ``j`` the root's cluster. Linear in the documents."""
     rows = sequences(spark, sf_dir).select(F.col("seq_id").alias("i"), F.col("seq").alias("a"))
     roots = _roots(spark, sf_dir).select(F.col("cluster_id").alias("j"), F.col("root_seq").alias("b"))
-    return rows.join(F.broadcast(roots)).repartition("i", "j")
+    return rows.join(F.broadcast(roots)).repartition(_tasks(spark), "i", "j")
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side by side, without alignment: what SQL can express."""
     return clusters.assign(sequences(spark, sf_dir), _roots(spark, sf_dir), 0.75, "ungapped")
 
 
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the clustering run assigns: by affine alignment. Equal sequences are dealt to one task, which aligns them once a batch."""
+    return clusters.assign(sequences(spark, sf_dir).repartition(_tasks(spark), "seq"), _roots(spark, sf_dir), 0.75)
+
+
 def _balanced_tree(spark: SparkSession) -> DataFrame:
     """Eight leaves 0..7, pairs 8..11, fours 12 and 13, root 14; branches of unequal lengths."""
     parent = np.array([8, 8, 9, 9, 10, 10, 11, 11, 12, 12, 13, 13, 14, 14, -1])
@@ -205,6 +216,31 @@ def nmi_vs_taxonomy(spark, sf_dir):
     return clusters.shared_information(_assigned(spark, sf_dir), taxa).select(F.round("nmi", 6).alias("nmi"))
 
 
+def aligned_assign(spark, sf_dir):
+    return _aligned(spark, sf_dir).select("seq_id", "cluster_id", F.round("d", 6).alias("d"), "is_assigned")
+
+
+def aligned_saved_for_later(spark, sf_dir):
+    return _aligned(spark, sf_dir).filter(~F.col("is_assigned")).select("seq_id")
+
+
+def aligned_cluster_sizes(spark, sf_dir):
+    return clusters.sizes(_aligned(spark, sf_dir))
+
+
+def aligned_largest_cluster(spark, sf_dir):
+    return clusters.largest(_aligned(spark, sf_dir))
+
+
+def aligned_size_cv(spark, sf_dir):
+    return clusters.evenness(_aligned(spark, sf_dir)).select(F.round("cv", 6).alias("cv"))
+
+
+def aligned_nmi(spark, sf_dir):
+    taxa = sequences(spark, sf_dir).select("seq_id", F.col("lang").alias("taxon"))
+    return clusters.shared_information(_aligned(spark, sf_dir), taxa).select(F.round("nmi", 6).alias("nmi"))
+
+
 def taxonomy_join(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("seq_id"), "quality")
     told = sequences(spark, sf_dir).select("seq_id", "name").join(labels, "seq_id", "left")
@@ -216,6 +252,11 @@ def clstr_lines(spark, sf_dir):
     return files.clstr_lines(members)
 
 
+def aligned_clstr_lines(spark, sf_dir):
+    members = _aligned(spark, sf_dir).join(sequences(spark, sf_dir).select("seq_id", "name", "len"), "seq_id")
+    return files.clstr_lines(members)
+
+
 def length_summary(spark, sf_dir):
     rows = clusters.length_summary(sequences(spark, sf_dir), 10, 2000)
     return rows.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
@@ -340,7 +381,7 @@ def full_clustering(spark, sf_dir):
     return members
 
 
-def stream_assign(spark, sf_dir):
+def _streamed(spark, sf_dir, aligner: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     roots = _roots(spark, sf_dir)
     reader = spark.readStream.schema(documents.schema)
@@ -350,16 +391,25 @@ def stream_assign(spark, sf_dir):
     stream = source.select(F.col("doc_id").alias("seq_id"), S.clean(F.col("text")).alias("seq"))
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     at = f"{folder.rstrip('/')}/cladeforge/stream-{uuid.uuid4().hex}"
-    assigning.start_assigning(stream, roots, 0.75, f"{at}/out", f"{at}/checkpoint", "ungapped").awaitTermination()
+    assigning.start_assigning(stream, roots, 0.75, f"{at}/out", f"{at}/checkpoint", aligner).awaitTermination()
     return spark.read.parquet(f"{at}/out").withColumn("d", F.round("d", 6))
 
 
+def stream_assign(spark, sf_dir):
+    return _streamed(spark, sf_dir, "ungapped")
+
+
+def aligned_stream_assign(spark, sf_dir):
+    return _streamed(spark, sf_dir, "affine")
+
+
 QUERIES = {f.__name__: f for f in (
     seq_stats, seq_length_filter, base_composition, base_code_counts, alphabet_detect, gcg_checksum, sample_k, sample_semi, remaining_anti, random_member, pair_count,
     site_patterns, jc_distance, edit_distance_pairs, align_edit_score, align_affine_score, align_nw_score, mean_between_groups, nearest_root_assign, saved_for_later, cluster_sizes,
     largest_cluster, size_cv, nmi_vs_taxonomy, taxonomy_join, clstr_lines, length_summary, dup_names, unique_names, dense_ranks, top_branches, nearest_cut, tree_labels,
     common_ancestors, gapped_columns, consensus_base, spaced_seed_similarity, anchors_by_length, euclid_to_anchor, kmeans_one_step, cigar_ops, nj_tree, midpoint_root, msa_columns, gtr_root,
     full_clustering, stream_assign, site_patterns_roots, jc_distance_roots, mean_between_roots, gapped_columns_all, consensus_base_all, spaced_seed_roots,
+    aligned_assign, aligned_saved_for_later, aligned_cluster_sizes, aligned_largest_cluster, aligned_size_cv, aligned_nmi, aligned_clstr_lines, aligned_stream_assign,
 )}
 
 # --- the same in SQL --------------------------------------------------------------------------------------------------

@@ -41,3 +41,34 @@ def test_all_documents_take_part(spark, sf_dir, name):
     else:
         told = n if name != "site_patterns_roots" else Q.sequences(spark, sf_dir).filter("len > 0").count()
         assert got.select("i").distinct().count() == told
+
+
+def test_a_shifted_copy_is_assigned_by_alignment(spark, sf_dir, tmp_path):
+    """One base more at the start of a root's copy: side by side it is far from its root, aligned it is not."""
+    root = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").withColumn("text", F.concat(F.substring("text", 1, 3000)))
+    root = root.filter(F.length(F.regexp_replace("text", "[^ACGTNacgtn]", "")) > 400).limit(2)
+    copies = root.withColumns({"doc_id": F.col("doc_id") + 1_000_000, "text": F.concat(F.lit("G"), "text")})
+    root.union(copies).union(copies.withColumn("doc_id", F.col("doc_id") + 1_000_000)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    at = str(tmp_path)
+    assert Q._assigned(spark, at).filter("NOT is_assigned").count() > 0
+    for name in ("aligned_assign", "aligned_stream_assign"):
+        got = {r.seq_id: r for r in Q.QUERIES[name](spark, at).collect()}
+        assert len(got) == 6
+        roots = {r.cluster_id for r in Q._roots(spark, at).collect()}
+        for c in roots:
+            assert sum(r.cluster_id == c and r.is_assigned and r.d < 0.01 for r in got.values()) >= 3
+    assert Q.QUERIES["aligned_saved_for_later"](spark, at).count() == sum(not r.is_assigned for r in got.values())
+
+
+def test_holding_in_groups_equals_one_by_one(spark):
+    from cladeforge.functions.alignment import site_counts
+    from cladeforge.operators import clusters
+
+    rng = random.Random(5)
+    seqs = ["".join(rng.choices("ACGTN", k=rng.randrange(50))) for _ in range(120)]
+    seqs += seqs[:30]
+    roots = [(0, "".join(rng.choices("ACGT", k=40))), (1, "".join(rng.choices("ACGT", k=25)))]
+    got = clusters.held_against(spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string"), spark.createDataFrame(roots, "cluster_id long, root_seq string"), at_once=7)
+    told = {r.seq_id: [(t.cluster_id, t.different, t.sites) for t in r.told] for r in got.collect()}
+    one = lambda root, s: site_counts(root, s, align_batch([root], [s], SCORINGS["affine"])[1][0])
+    assert told == {i: [(c, *one(root, s)) for c, root in roots] for i, s in enumerate(seqs)}
