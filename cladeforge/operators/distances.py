@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +75,19 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
+#: Bytes of anchors that are sent to all tasks at once.
+MAX_ANCHOR_BYTES = 32 << 20
+
+
+def _anchor_blocks(anchors: DataFrame, vector: str, key: str) -> list[DataFrame]:
+    """``anchor_id, __anchor``: all anchors, in as many blocks by hash as their counted size asks for."""
+    all_ = anchors.select(F.col(key).alias("anchor_id"), F.col(vector).alias("__anchor"))
+    size = all_.agg(F.sum(F.coalesce(F.size("__anchor"), F.lit(0)).cast("long") * 8 + 16).alias("n")).first().n or 0
+    n = -(-size // MAX_ANCHOR_BYTES)
+    return [all_] if n <= 1 else [all_.filter(F.pmod(F.xxhash64("anchor_id"), F.lit(n)) == k) for k in range(n)]
+
+
 def to_anchors(vectors: DataFrame, anchors: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """Distance of every vector to each of a few anchors (at most 64, which are broadcast)."""
-    few = anchors.select(F.col(key).alias("anchor_id"), F.col(vector).alias("__anchor")).limit(64)
-    return vectors.join(F.broadcast(few)).select(key, "anchor_id", euclidean(F.col(vector), F.col("__anchor")).alias("d"))
+    """Distance of every vector to each anchor. Anchors are broadcast, in blocks where their counted size is beyond MAX_ANCHOR_BYTES."""
+    parts = [vectors.join(F.broadcast(block)).select(key, "anchor_id", euclidean(F.col(vector), F.col("__anchor")).alias("d")) for block in _anchor_blocks(anchors, vector, key)]
+    return reduce(DataFrame.unionByName, parts)

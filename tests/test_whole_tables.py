@@ -72,3 +72,15 @@ def test_holding_in_groups_equals_one_by_one(spark):
     told = {r.seq_id: [(t.cluster_id, t.different, t.sites) for t in r.told] for r in got.collect()}
     one = lambda root, s: site_counts(root, s, align_batch([root], [s], SCORINGS["affine"])[1][0])
     assert told == {i: [(c, *one(root, s)) for c, root in roots] for i, s in enumerate(seqs)}
+
+
+@pytest.mark.parametrize("most", [32 << 20, 2000])
+def test_no_anchor_is_left_out(spark, monkeypatch, most):
+    from cladeforge.operators import clusters, distances
+
+    monkeypatch.setattr(distances, "MAX_ANCHOR_BYTES", most)
+    vectors = spark.createDataFrame([(k, [float(k % 100), 0.0]) for k in range(300)], "vec_id long, embedding array<double>")
+    centres = vectors.filter("vec_id < 100")
+    assert distances.to_anchors(vectors, centres).count() == 300 * 100
+    got = {r.centre_id: (r.n, r.centre) for r in clusters.kmeans_step(vectors, centres).collect()}
+    assert got == {k: (3, [float(k), 0.0]) for k in range(100)}
