@@ -80,7 +80,7 @@ CIGARS = [("4M", "ACGT", "ACGT"), ("1M1X2M", "ACGT", "AGGT"), ("2M1D1M", "ACGT",
 
 
 def _pairs_of_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distances.pairs(sampling.sample_k(sequences(spark, sf_dir, "benchmark", "item_id"), 40, SEED))
+    return distances.pairs(sequences(spark, sf_dir, "benchmark", "item_id"))
 
 
 def _benchmark_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,7 +363,7 @@ def midpoint_root(spark, sf_dir):
 
 
 def _benchmark_members(spark, sf_dir):
-    return sampling.sample_k(sequences(spark, sf_dir, "benchmark", "item_id"), 40, SEED).select(F.lit(0).cast("long").alias("cluster_id"), "seq_id", "seq")
+    return sequences(spark, sf_dir, "benchmark", "item_id").select(F.lit(0).cast("long").alias("cluster_id"), "seq_id", "seq")
 
 
 def msa_columns(spark, sf_dir):
@@ -376,8 +376,9 @@ def gtr_root(spark, sf_dir):
 
 
 def full_clustering(spark, sf_dir):
-    rows = sequences(spark, sf_dir, "benchmark", "item_id")
-    members, _ = clustering.run(rows, clustering.Options(clusters=4, sample=20, min_descendants=3))
+    """All documents, with the program's example parameters; a table of fewer than 500 is its own sample."""
+    rows = sequences(spark, sf_dir)
+    members, _ = clustering.run(rows, clustering.Options(clusters=10, sample=min(500, rows.count())))
     return members
 
 

@@ -84,3 +84,23 @@ def test_no_anchor_is_left_out(spark, monkeypatch, most):
     assert distances.to_anchors(vectors, centres).count() == 300 * 100
     got = {r.centre_id: (r.n, r.centre) for r in clusters.kmeans_step(vectors, centres).collect()}
     assert got == {k: (3, [float(k), 0.0]) for k in range(100)}
+
+
+def test_all_benchmark_rows_take_part(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(k, "".join(rng.choices("ACGT", k=12))) for k in range(60)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = str(tmp_path)
+    for name in ("edit_distance_pairs", "align_edit_score"):
+        got = {(r.i, r.j): r.d for r in Q.QUERIES[name](spark, at).collect()}
+        assert len(got) == 60 * 59 // 2
+        assert all(d <= 12 for d in got.values())
+    assert Q.QUERIES["nj_tree"](spark, at).filter("label IS NOT NULL").count() == 60
+    assert Q._benchmark_members(spark, at).count() == 60
+
+
+def test_clustering_is_of_documents(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(k, "".join(rng.choices("ACGT", k=30)), "en", "web") for k in range(45)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.seq_id for r in Q.QUERIES["full_clustering"](spark, str(tmp_path)).collect()) == list(range(45))
