@@ -184,6 +184,13 @@ def distance_to_nearest(hists: np.ndarray, references: list[list[int]]) -> np.nd
     return best
 
 
+def word_limit(refs: dict[str, tuple[list[int], list[int]]], share: float) -> float:
+    """``share`` of the word distance that a text without a common word has from its nearest reference; 1 without references."""
+    other = np.zeros((1, N_WORDS))
+    other[0, -1] = 1
+    return share * float(distance_to_nearest(other, [words for _, words in refs.values()])[0]) if refs else 1.0
+
+
 def quality_rules(
     docs: DataFrame,
     text: str = "text",
@@ -192,17 +199,20 @@ def quality_rules(
     max_word_distance: float = LIMITS["max_word_distance"],
     min_chars: int = LIMITS["min_chars"],
     min_words: int = LIMITS["min_words"],
+    word_share: float | None = None,
 ) -> DataFrame:
     """``docs`` without ``text``, plus counts, ``char_distance``, ``word_distance``, ``base_failed`` and ``kept``.
 
     Null or empty text: all counts 0, ``base_failed``. Distances are null where a guard applies (below ``min_chars``
     characters or ``min_words`` words) or no language has a reference. Null ``lang``: the row feeds no reference, but is
     judged like others, since each is held against its *nearest* reference. Repeated rows are judged one by one. Added
-    columns take the place of input columns of the same names.
+    columns take the place of input columns of the same names. With ``word_share``, ``word_limit`` of it takes the place of
+    ``max_word_distance``.
     """
     source = docs.drop(*[c for c in docs.columns if c.lower() in MADE and c != text])
     stats = materialize(with_stats(source, text), "quality-stats")
     refs = language_references(stats, lang, stats.columns[-1])
+    max_word_distance = max_word_distance if word_share is None else word_limit(refs, word_share)
     return _judged(stats, refs, max_char_distance, max_word_distance, min_chars, min_words)
 
 
@@ -247,3 +257,13 @@ def passing(docs: DataFrame, text: str = "text", lang: str = "lang", **limits: f
 def op10_quality_divergence(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in ("char_distance", "word_distance")])
+
+
+#: Part of the distance of a text without common words that a text may have from its nearest reference.
+WORD_SHARE = 0.9
+
+
+def relative_quality_divergence(spark, sf_dir: str) -> DataFrame:
+    """As ``op10_quality_divergence``, with a word limit that texts without common words exceed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return quality_rules(docs, word_share=WORD_SHARE).select("doc_id", "base_failed", "kept", *[F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in ("char_distance", "word_distance")])

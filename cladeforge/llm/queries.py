@@ -16,6 +16,7 @@ QUERIES = {f.__name__: small_batches(f) for f in (
     language_id.op8_byte_cnn,
     license_scan.op9_license_rules,
     quality_rules.op10_quality_divergence,
+    quality_rules.relative_quality_divergence,
 )}
 _CLASSES = {
     "lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x09-\x0D\x20]", "symbol": r"[#*$%&|<>]", "other": r"[\x00-\x08\x0E-\x1F\x7F]", "wide": r"[^\x00-\x7F]",
