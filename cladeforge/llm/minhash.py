@@ -10,6 +10,10 @@ Equal sets count as one from the start. Within a key, all are held against its s
 pairs). What that leaves in different components is compared in blocks inside the tasks, on sketches: each document names its
 best partner in a block first, and once those links have joined components, all partners that remain. Before that, documents
 drop out whose shingles occur too seldom outside their component for any link.
+
+A shingle is held as 64 bits made from the bytes of its words (``textkit.range_hash``). Two given documents of n different
+shingles have a wrong count of shared ones with a chance of about n * n / 2**64, and no such pair can be built from the
+hash's algebra; "full sets" below are sets of these values.
 """
 
 from __future__ import annotations
@@ -46,8 +50,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """Distinct shingle hashes of each row, in order of row and hash; n+1 offsets into them."""
     low = tk.lower(data)
     words = tk.Words(low, offsets)
-    sums = tk.prefix(low)
-    hashes = tk.span_hash(sums, words.start, words.end)
+    hashes = tk.range_hash(low, words.start, words.end)
     n = np.diff(words.first)
     five = tk.window_hash(hashes, SHINGLE)
     whole = np.flatnonzero(words.row[: len(five)] == words.row[SHINGLE - 1 :]) if len(five) else np.zeros(0, np.int64)

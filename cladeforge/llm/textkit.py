@@ -1,11 +1,13 @@
-"""Vectorised work on the UTF-8 bytes of an Arrow string column: words, polynomial hashes, chunks.
+"""Vectorised work on the UTF-8 bytes of an Arrow string column: words, hashes, chunks.
 
-Hashes are 64-bit and prefix-based, so that the hash of any byte range costs two look-ups. All functions here are
-plain numpy on one chunk of rows; Spark deals the rows out.
+``range_hash`` hashes words, lines and other byte ranges for equality. ``prefix`` and ``span_hash`` are a polynomial modulo
+2**64, whose hash of any range costs two look-ups; strings of 1,024 bytes and more can be made to collide in it, so it only
+serves ranges of up to ``POLYNOMIAL_BYTES``. All functions here are plain numpy on one chunk of rows; Spark deals the rows out.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,8 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 19
+#: Bytes of the longest range that the polynomial may tell apart, and of the longest that ``range_hash`` folds in numpy.
+POLYNOMIAL_BYTES, LONG = 400, 64
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -77,6 +81,28 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each range [start, end): equal bytes give equal values wherever they stand.
+
+    Eight bytes at a time go through the bijection ``mix``, so there is no algebra by which a family of strings collides;
+    ranges of more than LONG bytes take 64 bits of BLAKE2b.
+    """
+    size = end - start
+    out = mix(size.astype(U64) + U64(0x5851F42D4C957F2D))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    limbs = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = np.minimum(size[live] - at, 8)
+        limb = limbs[start[live] + at] & (U64(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * left).astype(U64))
+        out[live] = mix(out[live] ^ mix(limb + U64(0x14057B7EF767814F)))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(np.ascontiguousarray(data[start[i] : end[i]]), digest_size=8).digest(), "little")
+    return out
+
+
 def prefix(data: np.ndarray) -> np.ndarray:
     """n+1 prefix sums of the polynomial hash."""
     out = np.zeros(len(data) + 1, dtype=U64)
@@ -86,7 +112,7 @@ def prefix(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each range [start, end): equal bytes give equal values wherever they stand in the chunk."""
+    """Polynomial hash of each range [start, end) of up to POLYNOMIAL_BYTES: equal bytes give equal values in any chunk."""
     with np.errstate(over="ignore"):
         raw = (sums[end] - sums[start]) * powers(len(sums))[len(sums) - 1 - start]
         # the shift to a common origin depends on the chunk's length; undo that part

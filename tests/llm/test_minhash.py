@@ -43,6 +43,13 @@ def test_crowded_keys_in_small_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == near_components(rows)[0]
 
 
+def test_words_that_collide_modulo_powers_of_two(spark):
+    order = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(1, "".join("ab"[i] for i in order)), (2, "".join("ba"[i] for i in order)), (3, "x " * 30 + "".join("ab"[i] for i in order))]
+    rows += [(4, rows[0][1])]
+    assert {r.doc_id: (r.component_id, r.kept) for r in mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: (1, True), 2: (2, True), 3: (3, True), 4: (1, False)}
+
+
 def test_awkward_rows(spark):
     docs, texts = awkward(spark)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in mh.near_duplicates(docs).collect()), key=str)
