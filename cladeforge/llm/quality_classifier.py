@@ -7,15 +7,19 @@ column expression, which scores all documents from the table of their statistics
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from . import textkit as tk
+from .common import fresh, materialize, table
 from .language_id import held_out
-from .quality_rules import CLASSES, with_stats
+from .quality_rules import char_counts, text_stats
 
 #: About so many labelled documents are learnt from at most; where there are more, a hash of the id draws them.
 TRAIN_ROWS, SEED = 20_000, 5
@@ -23,24 +27,36 @@ TREES, DEPTH, BINS, SHRINK, MIN_LEAF, LASSO, STEPS = 40, 3, 32, 0.3, 10, 0.002,
 THRESHOLD = 0.3
 
 
-def features(s: str) -> dict[str, Column]:
-    """Statistics of a text from its counts (the struct column ``s``); all are 0 for an empty text."""
-    chars = {c: F.col(f"{s}.char_hist")[i] for i, c in enumerate(CLASSES)}
-    n_chars = F.greatest(sum((v for v in chars.values()), F.lit(0)), F.lit(1))
-    words = F.greatest(F.col(f"{s}.n_words"), F.lit(1))
-    common = F.col(f"{s}.word_hist")
-    bins = F.slice(common, 1, F.size(common) - 1)
-    return {
-        **{f"{c}_share": v / n_chars for c, v in chars.items()},
-        "symbols_per_word": F.col(f"{s}.n_symbols") / words,
-        "points_per_word": chars["point"] / words,
-        "word_length": F.col(f"{s}.word_chars") / words,
-        "log_words": F.log1p(F.col(f"{s}.n_words").cast("double")),
-        "repeat_share": F.col(f"{s}.n_repeat_words") / words,
-        "dup_lines_per_word": F.col(f"{s}.n_dup_lines") / words,
-        "common_share": F.aggregate(bins, F.lit(0), lambda a, x: a + x) / words,
-        "top_common_share": F.array_max(bins) / words,
-    }
+# Frequent function words of four languages.
+COMMON_WORDS = {
+    "en": "the of and a to in is that it was for on are as with be at this from or by not".split(),
+    "de": "der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es".split(),
+    "fr": "le la de et les des en un une du que est pour dans qui par sur au aux pas il elle".split(),
+    "es": "el la de que y en los se del las por un para con no una su al lo como más".split(),
+}
+SHARES = ("lower", "upper", "digit", "space", "point", "symbol", "other", "wide")
+FEATURES = (*(f"{c}_share" for c in SHARES), "symbols_per_word", "points_per_word", "word_length", "log_words", "repeat_share", "dup_lines_per_word", "common_share", "top_common_share")
+
+
+@functools.cache
+def _common_keys() -> np.ndarray:
+    data, offsets = tk.utf8(pa.array(sorted({w for words in COMMON_WORDS.values() for w in words})))
+    return np.sort(tk.range_hash(data, offsets[:-1], offsets[1:]))
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(rows, FEATURES): statistics of each text of a chunk; all are 0 for an empty one."""
+    n, words, common = len(offsets) - 1, tk.Words(data, offsets), _common_keys()
+    stats, classes = text_stats(data, offsets, words), char_counts(data, offsets)
+    plain = len(SHARES) - 1
+    chars = np.concatenate([classes[:, :plain], classes[:, plain:].sum(axis=1, keepdims=True)], axis=1)
+    keys = tk.range_hash(tk.lower(data), words.start, words.end)
+    at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+    known = common[at] == keys
+    bins = np.bincount(words.row[known] * len(common) + at[known], minlength=n * len(common)).reshape(n, -1)
+    per_word = 1 / np.maximum(stats["n_words"], 1)
+    columns = [stats["n_symbols"] * per_word, chars[:, SHARES.index("point")] * per_word, stats["word_chars"] * per_word, np.log1p(stats["n_words"]), stats["n_repeat_words"] * per_word, stats["n_dup_lines"] * per_word, bins.sum(axis=1) * per_word, bins.max(axis=1, initial=0) * per_word]
+    return np.concatenate([chars / np.maximum(chars.sum(axis=1, keepdims=True), 1), np.stack(columns, axis=1)], axis=1)
 
 
 Rule = tuple[tuple[int, bool, float], ...]
@@ -160,11 +176,26 @@ def train(stats: DataFrame, labels: DataFrame, names: list[str], key: str = "doc
 
 
 def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
-    """``docs`` without ``text`` and with a column for each statistic, as a table in the shared folder. Null text counts as empty."""
+    """``docs`` without ``text`` and with a column for each of FEATURES, as a table in the shared folder; and those columns' names.
+
+    Null text counts as empty. A feature whose name an input column has (``log_words``, in any case) gets ``_`` behind its
+    own. Rows are told one by one, so repeated rows give repeated results and ties can't arise; an empty table gives an
+    empty one.
+    """
     keep = [c for c in docs.columns if c != text]
-    counted = with_stats(docs.select(*[F.col(f"`{c}`") for c in docs.columns]), text)
-    made = features(counted.columns[-1])
-    return materialize(counted.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(k) for k, v in made.items()]), "quality-features"), list(made)
+    taken = docs.select(*[F.col(f"`{c}`") for c in keep])
+    names = [fresh(taken, k) for k in FEATURES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tk.utf8(batch.column(len(keep)))
+            for a, b in tk.chunks(offsets):
+                told = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(c) for c in told.T)], names=[*keep, *names])
+
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{k}` double" for k in names]
+    return materialize(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(run, ", ".join(fields)), "quality-features"), names
 
 
 def op5_rule_ensemble(spark, sf_dir: str) -> DataFrame:

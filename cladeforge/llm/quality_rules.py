@@ -1,42 +1,44 @@
 """Quality rules: divergence of a text's histograms from language references, besides plain word and line rules.
 
-A first pass takes whole texts to counts: words, symbols, repeated lines and windows, a histogram of character classes
-and one of common words. The counts go to a table in the shared folder. From that table come the language references
-(sums over *all* documents of each ``lang``) and the verdicts: a document is rejected if the Jensen-Shannon distance of
-either histogram to the nearest language reference is above its limit. Documents with too few characters or words for a
-stable histogram are not judged by divergence (the minimum-length guards).
+A first pass counts characters by class and words of each language; Spark sums them by (language, word), with map-side
+combining. A language that makes up COMMON_SHARE of all words or more gives a reference: its character classes, and its
+common words, those that make up COMMON_SHARE of its words or more. So there are at most 1 / COMMON_SHARE references of at
+most 1 / COMMON_SHARE words each, whatever the table holds, and rare labels give none (a least mass for a reference).
+
+A second pass takes each whole text to its counts and to the Jensen-Shannon distances from the nearest reference. A document
+is rejected if a distance is above its limit; that of words is a share of the distance that a text without any common word
+has. Documents with too few characters or words for a stable histogram are not judged by divergence (the minimum-length
+guards).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .common import fresh, materialize
 
-# Frequent function words of four languages.
-COMMON_WORDS = {
-    "en": "the of and a to in is that it was for on are as with be at this from or by not".split(),
-    "de": "der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es".split(),
-    "fr": "le la de et les des en un une du que est pour dans qui par sur au aux pas il elle".split(),
-    "es": "el la de que y en los se del las por un para con no una su al lo como más".split(),
-}
 # Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-CLASSES = ("lower", "upper", "digit", "space", "point", "symbol", "other", "wide")
-
-WORD_LIST = sorted({w for words in COMMON_WORDS.values() for w in words})
-N_CLASSES, N_WORDS = len(CLASSES), len(WORD_LIST) + 1
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_hist array<int>, word_hist array<int>"
-WINDOW, MAX_LANGUAGES = 8, 10_000
-MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept")
-LIMITS = {"max_char_distance": 0.35, "max_word_distance": 0.40, "min_chars": 200, "min_words": 60}
+# Classes of other characters by the first byte of their UTF-8 code, so by ranges of code points.
+WIDE = {"latin": (0xC2, 0xC9), "phonetic": (0xCA, 0xCD), "greek": (0xCE, 0xCF), "cyrillic": (0xD0, 0xD4), "semitic": (0xD5, 0xDF), "indic": (0xE0, 0xE0), "asian": (0xE1, 0xE1), "signs": (0xE2, 0xE2), "han": (0xE3, 0xE9), "hangul": (0xEA, 0xED), "private": (0xEE, 0xEF), "planes": (0xF0, 0xFF)}
+CLASSES = ("lower", "upper", "digit", "space", "point", "symbol", "other", *WIDE)
+N_CLASSES = len(CLASSES)
+#: Share of all words that makes a language a reference, and of a language's words that makes a word common: one in this many.
+COMMON_SHARE = 1000
+WINDOW = 8
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MADE = (*STATS, "char_distance", "word_distance", "base_failed", "kept")
+LIMITS = {"max_char_distance": 0.35, "word_share": 0.95, "min_chars": 200, "min_words": 60}
+#: Stand in the place of a word; no word holds a line break.
+CLASS_MARK, TOTAL = "\n", "\ntotal"
 
 
 def _class_table() -> np.ndarray:
@@ -48,8 +50,9 @@ def _class_table() -> np.ndarray:
     out[[9, 10, 11, 12, 13, 32]] = CLASSES.index("space")
     out[[ord(c) for c in SYMBOLS]] = CLASSES.index("symbol")
     out[:9] = out[14:32] = out[127] = CLASSES.index("other")
-    out[128:192] = N_CLASSES
-    out[192:] = CLASSES.index("wide")
+    out[128:194] = N_CLASSES
+    for name, (first, last) in WIDE.items():
+        out[first : last + 1] = CLASSES.index(name)
     return out
 
 
@@ -57,23 +60,16 @@ _CLASS = _class_table()
 _IS_SYMBOL = np.isin(np.arange(256), [ord(c) for c in SYMBOLS])
 
 
-def _word_keys() -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = tk.utf8(pa.array(WORD_LIST))
-    keys = tk.span_hash(tk.prefix(data), offsets[:-1], offsets[1:])
-    order = np.argsort(keys)
-    return keys[order], order
-
-
 def _row_sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(mask) + 1, dtype=np.int64)
     np.cumsum(mask, out=total[1:])
     return np.diff(total[offsets])
 
 
-def _seen_before(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key: whether an equal one stands earlier, and whether it occurs twice or more."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
+def _seen_before(row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key: whether an equal one stands earlier in its row, and whether it occurs twice or more there."""
+    order = np.lexsort((keys, row))
+    same = (keys[order][1:] == keys[order][:-1]) & (row[order][1:] == row[order][:-1])
     earlier, twice = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     earlier[order[1:]] = same
     twice[order[1:]] = same
@@ -81,13 +77,17 @@ def _seen_before(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return earlier, twice
 
 
-def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The counts of each row of a chunk of UTF-8 bytes."""
+def char_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(rows, N_CLASSES): characters of each class."""
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    return np.bincount(owner * (N_CLASSES + 1) + _CLASS[data], minlength=n * (N_CLASSES + 1)).reshape(n, -1)[:, :N_CLASSES]
+
+
+def text_stats(data: np.ndarray, offsets: np.ndarray, words: tk.Words) -> dict[str, np.ndarray]:
+    """The plain counts of each row of a chunk of UTF-8 bytes."""
     n = len(offsets) - 1
-    words = tk.Words(data, offsets)
     begins = (data & 0xC0) != 0x80
-    sums = tk.prefix(data)
-    salt = tk.mix(np.arange(1, n + 1, dtype=tk.U64))
 
     code_points = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(begins, out=code_points[1:])
@@ -101,94 +101,174 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     end = breaks[lines + 1] if len(lines) else start
     end = end - ((end > start) & (data[np.maximum(end, 1) - 1] == 10))
     row = np.searchsorted(offsets, start, side="right") - 1
-    again, _ = _seen_before(tk.mix(tk.span_hash(sums, start, end) ^ salt[row]))
+    again, _ = _seen_before(row, tk.range_hash(data, start, end))
     dup_lines = np.bincount(row[again], minlength=n)
 
-    hashes = tk.span_hash(sums, words.start, words.end)
-    windows = tk.window_hash(hashes, WINDOW)
+    windows = tk.window_hash(tk.range_hash(data, words.start, words.end), WINDOW)
     repeat = np.zeros(n, dtype=np.int64)
     if len(windows):
         row = words.row
         whole = np.flatnonzero(row[: len(windows)] == row[WINDOW - 1 :])
-        _, twice = _seen_before(tk.mix(windows[whole] ^ salt[row[whole]]))
+        _, twice = _seen_before(row[whole], windows[whole])
         edge = np.zeros(len(words) + 1, dtype=np.int64)
         np.add.at(edge, whole[twice], 1)
         np.add.at(edge, whole[twice] + WINDOW, -1)
         repeat = np.bincount(row[np.cumsum(edge[:-1]) > 0], minlength=n)
+    return {"n_words": np.diff(words.first), "word_chars": word_chars.astype(np.int64), "n_symbols": _row_sums(_IS_SYMBOL[data], offsets), "n_dup_lines": dup_lines, "n_repeat_words": repeat}
 
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    chars = np.bincount(owner * (N_CLASSES + 1) + _CLASS[data], minlength=n * (N_CLASSES + 1)).reshape(n, -1)[:, :N_CLASSES]
-    low = tk.lower(data)
-    keys, order = _word_keys()
-    found = tk.span_hash(tk.prefix(low), words.start, words.end)
-    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-    bins = np.where(keys[at] == found, order[at], N_WORDS - 1)
-    common = np.bincount(words.row * N_WORDS + bins, minlength=n * N_WORDS).reshape(n, -1)
-    return {
-        "n_words": np.diff(words.first),
-        "word_chars": word_chars.astype(np.int64),
-        "n_symbols": _row_sums(_IS_SYMBOL[data], offsets),
-        "n_dup_lines": dup_lines,
-        "n_repeat_words": repeat,
-        "char_hist": chars,
-        "word_hist": common,
-    }
-
-
-def _lists(matrix: np.ndarray) -> pa.Array:
-    n, width = matrix.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(matrix.astype(np.int32).ravel()))
-
-
-def with_stats(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with one ``stats`` struct (``stats_`` ... where that name is taken), last; without ``text`` unless asked."""
-    keep, name = [c for c in docs.columns if keep_text or c != text], fresh(docs, "stats")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = tk.utf8(batch.column(batch.schema.get_field_index(text)))
-            for a, b in tk.chunks(offsets):
-                stats = text_stats(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                arrays = [_lists(v) if v.ndim == 2 else pa.array(v.astype(np.int64)) for v in stats.values()]
-                part = batch.slice(a, b - a)
-                columns = {c: part.column(part.schema.get_field_index(c)) for c in keep}
-                yield pa.RecordBatch.from_pydict(columns | {name: pa.StructArray.from_arrays(arrays, names=list(stats))})
+# --- references -------------------------------------------------------------------------------------------------------
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{name}` struct<{STATS.replace(' ', ':').replace(',:', ',')}>"]
-    return docs.mapInArrow(run, ", ".join(fields))
 
+def language_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """``lang, word, n``: how often each lower-cased (A-Z) word stands in the documents of a language, summed by Spark.
 
-def _elements(column: F.Column, n: int) -> list[F.Column]:
-    return [F.coalesce(F.sum(column[i].cast("long")), F.lit(0)) for i in range(n)]
+    Character classes are counted beside, as CLASS_MARK and the class, and all words as TOTAL. Null languages are left out.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = pc.dictionary_encode(batch.column(0))
+            codes, names = named.indices.to_numpy(), named.dictionary
+            data, offsets = tk.utf8(batch.column(1))
+            for a, b in tk.chunks(offsets):
+                part, at, code = tk.lower(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a], codes[a:b]
+                words = tk.Words(part, at)
+                keys, of = tk.range_hash(part, words.start, words.end), code[words.row]
+                order = np.lexsort((keys, of))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (keys[order][1:] != keys[order][:-1]) | (of[order][1:] != of[order][:-1])
+                first = np.flatnonzero(new)
+                one = order[first]
+                size = words.end[one] - words.start[one]
+                ends = np.cumsum(size)
+                letters = part[np.repeat(words.start[one] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+                listed = pa.Array.from_buffers(pa.string(), len(one), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(letters)])
+                yield _counted(names, of[one], listed, np.diff(np.append(first, len(order))))
+                chars = np.zeros((len(names), N_CLASSES + 1), dtype=np.int64)
+                np.add.at(chars, code, np.concatenate([char_counts(data[offsets[a] : offsets[b]], at), np.diff(words.first)[:, None]], axis=1))
+                here = np.unique(code)
+                marks = pa.array([CLASS_MARK + c for c in CLASSES] + [TOTAL])
+                yield _counted(names, np.repeat(here, N_CLASSES + 1), pa.concat_arrays([marks] * len(here)), chars[here].ravel())
+
+    rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).filter("lang IS NOT NULL")
+    return rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def _counted(names: pa.Array, code: np.ndarray, words: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([names.take(pa.array(code)), words, pa.array(n.astype(np.int64))], names=["lang", "word", "n"])
+
+
+@dataclass
+class References:
+    """Languages (in order of name), their character shares, and their common words: a bounded table, small enough to send to all tasks.
+
+    keys: sorted hashes of all common words; the entries of word i are first[i]:first[i + 1] of (owner, share).
+    """
 
-def language_references(stats: DataFrame, lang: str, name: str) -> dict[str, tuple[list[int], list[int]]]:
-    """Summed histograms of all documents of each language: one row a language, of which MAX_LANGUAGES are collected at most."""
-    grouped = stats.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("ref_lang"))
-    rows = grouped.agg(F.array(*_elements(F.col(f"{name}.char_hist"), N_CLASSES)).alias("chars"), F.array(*_elements(F.col(f"{name}.word_hist"), N_WORDS)).alias("words")).limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: is {lang} a language column?")
-    return {r.ref_lang: (r.chars, r.words) for r in rows if sum(r.chars) and sum(r.words)}
+    names: list[str]
+    chars: np.ndarray
+    keys: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
+    share: np.ndarray
+
+    def mass(self) -> np.ndarray:
+        """Share of each language's words that are common words."""
+        return np.bincount(self.owner, weights=self.share, minlength=len(self.names))
+
+    def word_limit(self, share: float) -> float:
+        """``share`` of the word distance that a text without a common word has from its nearest reference; 1 without references."""
+        none = np.zeros(0, np.int64)
+        return share * float(self.word_distance(none, none.astype(tk.U64), np.ones(1, np.int64))[0]) if self.names else 1.0
+
+    def word_distance(self, row: np.ndarray, key: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        """Distance of each row to the nearest reference, from the row and hash of every word (lower-cased) and the rows' totals.
+
+        All words that are not common in a language are one bin of its histogram.
+        """
+        n, k = len(n_words), len(self.names)
+        total = np.maximum(n_words, 1)[:, None]
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        found = np.flatnonzero(self.keys[at] == key) if len(self.keys) else np.zeros(0, np.int64)
+        cell, count = np.unique(row[found] * max(len(self.keys), 1) + at[found], return_counts=True)
+        r, w = np.divmod(cell, max(len(self.keys), 1))
+        each = np.diff(self.first)[w]
+        entry = np.repeat(self.first[w] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        r, p, q = np.repeat(r, each), np.repeat(count, each) / total[np.repeat(r, each), 0], self.share[entry]
+        to = r * k + self.owner[entry]
+        inside = np.bincount(to, weights=p * np.log2(2 * p / (p + q)) + q * np.log2(2 * q / (p + q)) - q, minlength=n * k).reshape(n, k)
+        rest = np.maximum(1 - np.bincount(to, weights=p, minlength=n * k).reshape(n, k), 0)
+        mass = self.mass()[None, :]
+        # what a text lacks of a reference counts in full, as q * log2(2)
+        twice = inside + mass + _halves(rest, np.maximum(1 - mass, 0))
+        return np.sqrt(np.maximum(twice, 0) / 2).min(axis=1) if k else np.full(n, np.inf)
+
+
+def _halves(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(p > 0, p * np.log2(2 * p / (p + q)), 0) + np.where(q > 0, q * np.log2(2 * q / (p + q)), 0)
 
 
-def distance_to_nearest(hists: np.ndarray, references: list[list[int]]) -> np.ndarray:
+def distance_to_nearest(hists: np.ndarray, references: list) -> np.ndarray:
     """Jensen-Shannon distance (base 2, so 0 to 1) of each row of counts to the nearest of the reference histograms."""
     best = np.full(len(hists), np.inf)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = hists / hists.sum(axis=1, keepdims=True)
-        for reference in references:
-            q = np.asarray(reference, dtype=float) / sum(reference)
-            m = (p + q) / 2
-            terms = np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)
-            best = np.minimum(best, np.sqrt(np.maximum(terms.sum(axis=1) / 2, 0)))
+    p = hists / np.maximum(hists.sum(axis=1, keepdims=True), 1)
+    for reference in references:
+        q = np.asarray(reference, dtype=float) / sum(reference)
+        best = np.minimum(best, np.sqrt(np.maximum(_halves(p, q[None, :]).sum(axis=1) / 2, 0)))
     return best
 
 
-def word_limit(refs: dict[str, tuple[list[int], list[int]]], share: float) -> float:
-    """``share`` of the word distance that a text without a common word has from its nearest reference; 1 without references."""
-    other = np.zeros((1, N_WORDS))
-    other[0, -1] = 1
-    return share * float(distance_to_nearest(other, [words for _, words in refs.values()])[0]) if refs else 1.0
+def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
+    """References of all languages that are large enough, from all documents. What is collected is bounded by COMMON_SHARE."""
+    counted = materialize(language_counts(docs, text, lang), "quality-words")
+    totals = counted.filter(F.col("word") == TOTAL).select("lang", F.col("n").alias("total"))
+    large = F.broadcast(totals.crossJoin(F.broadcast(totals.agg(F.sum("total").alias("z")))).filter(F.col("total") * COMMON_SHARE >= F.col("z")).filter("total > 0").select("lang", "total"))
+    marked = F.col("word").startswith(CLASS_MARK)
+    rows = counted.join(large, "lang").filter(marked | (F.col("n") * COMMON_SHARE >= F.col("total"))).select("lang", "word", "n", "total").collect()
+    names = sorted({r["lang"] for r in rows})
+    place, kind = {name: i for i, name in enumerate(names)}, {CLASS_MARK + c: i for i, c in enumerate(CLASSES)}
+    chars = np.zeros((len(names), N_CLASSES))
+    words = []
+    for r in rows:
+        if r["word"] in kind:
+            chars[place[r["lang"]], kind[r["word"]]] = r["n"]
+        elif r["word"] != TOTAL:
+            words.append((r["word"], place[r["lang"]], r["n"] / r["total"]))
+    words.sort()
+    data, offsets = tk.utf8(pa.array([w[0] for w in words], pa.string()))
+    hashes = tk.range_hash(data, offsets[:-1], offsets[1:])
+    order = np.argsort(hashes, kind="stable")
+    keys, first = np.unique(hashes[order], return_index=True)
+    return References(names, chars, keys, np.append(first, len(words)), np.array([w[1] for w in words], np.int64)[order], np.array([w[2] for w in words], float)[order])
+
+
+# --- verdicts ---------------------------------------------------------------------------------------------------------
+
+
+def with_stats(docs: DataFrame, refs: References, min_chars: int, min_words: int, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with one ``stats`` struct (``stats_`` ... where that name is taken), last; without ``text`` unless asked."""
+    keep, name = [c for c in docs.columns if keep_text or c != text], fresh(docs, "stats")
+    held = docs.sparkSession.sparkContext.broadcast(refs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = held.value
+        for batch in batches:
+            data, offsets = tk.utf8(batch.column(batch.schema.get_field_index(text)))
+            for a, b in tk.chunks(offsets):
+                body, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                words = tk.Words(body, at)
+                stats = text_stats(body, at, words)
+                chars = char_counts(body, at)
+                by_word = refs.word_distance(words.row, tk.range_hash(tk.lower(body), words.start, words.end), stats["n_words"])
+                far = (pa.array(d, mask=~(told & (len(refs.names) > 0))) for d, told in ((distance_to_nearest(chars, list(refs.chars)), chars.sum(axis=1) >= min_chars), (by_word, stats["n_words"] >= min_words)))
+                part = batch.slice(a, b - a)
+                columns = {c: part.column(part.schema.get_field_index(c)) for c in keep}
+                yield pa.RecordBatch.from_pydict(columns | {name: pa.StructArray.from_arrays([*(pa.array(stats[k].astype(np.int64)) for k in STATS), *far], names=[*STATS, "char_distance", "word_distance"])})
+
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    return docs.mapInArrow(run, ", ".join([*fields, f"`{name}` struct<{','.join(f'{k}:long' for k in STATS)},char_distance:double,word_distance:double>"]))
 
 
 def quality_rules(
@@ -196,74 +276,52 @@ def quality_rules(
     text: str = "text",
     lang: str = "lang",
     max_char_distance: float = LIMITS["max_char_distance"],
-    max_word_distance: float = LIMITS["max_word_distance"],
+    word_share: float = LIMITS["word_share"],
     min_chars: int = LIMITS["min_chars"],
     min_words: int = LIMITS["min_words"],
-    word_share: float | None = None,
 ) -> DataFrame:
     """``docs`` without ``text``, plus counts, ``char_distance``, ``word_distance``, ``base_failed`` and ``kept``.
 
     Null or empty text: all counts 0, ``base_failed``. Distances are null where a guard applies (below ``min_chars``
     characters or ``min_words`` words) or no language has a reference. Null ``lang``: the row feeds no reference, but is
-    judged like others, since each is held against its *nearest* reference. Repeated rows are judged one by one. Added
-    columns take the place of input columns of the same names. With ``word_share``, ``word_limit`` of it takes the place of
-    ``max_word_distance``.
+    judged like others, since each is held against its *nearest* reference. Repeated rows are judged one by one; an empty
+    table gives an empty one. Added columns take the place of input columns of the same names.
     """
     source = docs.drop(*[c for c in docs.columns if c.lower() in MADE and c != text])
-    stats = materialize(with_stats(source, text), "quality-stats")
-    refs = language_references(stats, lang, stats.columns[-1])
-    max_word_distance = max_word_distance if word_share is None else word_limit(refs, word_share)
-    return _judged(stats, refs, max_char_distance, max_word_distance, min_chars, min_words)
+    refs = language_references(docs, text, lang)
+    judged = _judged(with_stats(source, refs, min_chars, min_words, text), refs, max_char_distance, word_share)
+    return judged
 
 
-def _judged(stats: DataFrame, refs: dict, max_char_distance: float, max_word_distance: float, min_chars: int, min_words: int) -> DataFrame:
+def _judged(stats: DataFrame, refs: References, max_char_distance: float, word_share: float) -> DataFrame:
     """Counts, distances and verdicts in place of the ``stats`` struct, the last column."""
     name = stats.columns[-1]
-
-    def nearest(field: str, i: int) -> F.Column:
-        references = [r[i] for r in refs.values()]
-
-        @F.pandas_udf("double")
-        def distance(hists: pd.Series) -> pd.Series:
-            return pd.Series(distance_to_nearest(np.stack(hists.to_numpy()).astype(float), references) if len(hists) else [], dtype=float)
-
-        return distance(F.col(f"{name}.{field}")) if references else F.lit(None).cast("double")
-
-    s = {k: F.col(f"{name}.{k}") for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    n_chars = F.aggregate(F.col(f"{name}.char_hist"), F.lit(0), lambda a, x: a + x)
-    judged = stats.withColumns(s | {
-        "char_distance": F.when(n_chars >= min_chars, nearest("char_hist", 0)),
-        "word_distance": F.when(s["n_words"] >= min_words, nearest("word_hist", 1)),
-        "base_failed": (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"]),
-    })
-    far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > max_char_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance)
+    judged = stats.withColumns({k: F.col(f"`{name}`.{k}") for k in (*STATS, "char_distance", "word_distance")})
+    judged = judged.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > refs.word_limit(word_share))
     return judged.drop(name).withColumn("kept", ~F.col("base_failed") & ~far)
 
 
 def passing(docs: DataFrame, text: str = "text", lang: str = "lang", **limits: float) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, columns unchanged.
-
-    Counts are made twice, for the references and for the verdicts, so that no text is shuffled or stored.
-    """
-    kept = LIMITS | limits
-    first = with_stats(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")))
-    refs = language_references(first, "lang", first.columns[-1])
+    """The rows of ``docs`` that the rules keep, columns unchanged. Texts are read twice, and neither shuffled nor stored."""
+    told = LIMITS | limits
+    refs = language_references(docs, text, lang)
     verdict = fresh(docs, "verdict")
     # one struct keeps the columns of docs apart from those made here
-    held = with_stats(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(verdict), F.col(f"`{text}`").alias("text")))
-    return _judged(held, refs, **kept).filter("kept").select(*[F.col(f"{verdict}.`{c}`").alias(c) for c in docs.columns])
+    held = with_stats(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(verdict), F.col(f"`{text}`").alias("text")), refs, told["min_chars"], told["min_words"])
+    return _judged(held, refs, told["max_char_distance"], told["word_share"]).filter("kept").select(*[F.col(f"{verdict}.`{c}`").alias(c) for c in docs.columns])
 
 
-def op10_quality_divergence(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in ("char_distance", "word_distance")])
+def _op10(spark, sf_dir: str) -> DataFrame:
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
-#: Part of the distance of a text without common words that a text may have from its nearest reference.
-WORD_SHARE = 0.9
+def op10_quality_divergence(spark, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict, distances to six places (-1: not judged)."""
+    rounded = [F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in ("char_distance", "word_distance")]
+    return _op10(spark, sf_dir).select("doc_id", *STATS, "base_failed", "kept", *rounded)
 
 
 def relative_quality_divergence(spark, sf_dir: str) -> DataFrame:
-    """As ``op10_quality_divergence``, with a word limit that texts without common words exceed."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return quality_rules(docs, word_share=WORD_SHARE).select("doc_id", "base_failed", "kept", *[F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in ("char_distance", "word_distance")])
+    """The verdicts and distances of ``op10_quality_divergence`` alone."""
+    return op10_quality_divergence(spark, sf_dir).select("doc_id", "base_failed", "kept", "char_distance", "word_distance")

@@ -18,14 +18,24 @@ QUERIES = {f.__name__: small_batches(f) for f in (
     quality_rules.op10_quality_divergence,
     quality_rules.relative_quality_divergence,
 )}
+def _code_points(first: int, last: int) -> str:
+    """Characters whose UTF-8 code begins with bytes ``first`` to ``last``."""
+    at = lambda b: (b & 0x1F) << 6 if b < 0xE0 else max((b & 0x0F) << 12, 0x800) if b < 0xF0 else max((b & 7) << 18, 0x10000)
+    return rf"[\x{{{at(first):x}}}-\x{{{0x10FFFF if last == 0xFF else at(last + 1) - 1:x}}}]"
+
+
 _CLASSES = {
-    "lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x09-\x0D\x20]", "symbol": r"[#*$%&|<>]", "other": r"[\x00-\x08\x0E-\x1F\x7F]", "wide": r"[^\x00-\x7F]",
-}
-_IN_CLASS = {c: f"length(regexp_replace(t, '{r.replace('[^', '[') if r.startswith('[^') else '[^' + r[1:]}', '', 'g'))" for c, r in _CLASSES.items()}
+    "lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x09-\x0D\x20]", "symbol": r"[#*$%&|<>]", "other": r"[\x00-\x08\x0E-\x1F\x7F]",
+} | {name: _code_points(*ends) for name, ends in quality_rules.WIDE.items()}
+_IN_CLASS = {c: f"length(regexp_replace(t, '[^{r[1:]}', '', 'g'))" for c, r in _CLASSES.items()}
 _POINT = f"length(t) - ({' + '.join(_IN_CLASS.values())})"
-_LISTED = ", ".join(f"('{w}')" for w in quality_rules.WORD_LIST)
 _LIMIT = quality_rules.LIMITS
 
+
+def _divergence(p: str, q: str) -> str:
+    return f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END"
+
+
 ORACLES: dict[str, str] = {
     "op10_quality_divergence": rf"""
         WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -33,28 +43,33 @@ ORACLES: dict[str, str] = {
         runs AS (SELECT doc_id, k, array_to_string(w[k : k + 7], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM texts WHERE len(w) >= 8)),
         twice AS (SELECT doc_id, r FROM runs GROUP BY ALL HAVING count(*) > 1),
         inside AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT runs.doc_id, unnest(range(k, k + 8)) AS p FROM runs JOIN twice USING (doc_id, r)) GROUP BY doc_id),
-        cells AS (
-            SELECT doc_id, lang, 'c' AS kind, bin, n::DOUBLE AS n FROM (SELECT doc_id, lang, unnest([{", ".join(f"'{c}'" for c in _CLASSES)}, 'point']) AS bin, unnest([{", ".join(_IN_CLASS.values())}, {_POINT}]) AS n FROM texts)
-            UNION ALL
-            SELECT doc_id, lang, 'w', coalesce(x, '-'), count(*)::DOUBLE
-            FROM (SELECT doc_id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS v FROM texts) LEFT JOIN (VALUES {_LISTED}) l(x) ON x = v GROUP BY ALL),
-        refs AS (SELECT lang AS ref, kind, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, kind) AS q FROM cells WHERE lang IS NOT NULL GROUP BY lang, kind, bin),
-        shares AS (SELECT doc_id, kind, bin, n / sum(n) OVER (PARTITION BY doc_id, kind) AS p FROM cells QUALIFY sum(n) OVER (PARTITION BY doc_id, kind) > 0),
-        -- what a text lacks counts q * log2(2) of the reference: all of it, less the bins the text has
-        parts AS (
-            SELECT doc_id, kind, ref, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) + 1 - sum(q) AS d
-            FROM (SELECT s.doc_id, s.kind, r.ref, s.bin, s.p, coalesce(f.q, 0) AS q FROM shares s JOIN (SELECT DISTINCT ref, kind FROM refs) r ON r.kind = s.kind LEFT JOIN refs f ON f.ref = r.ref AND f.kind = s.kind AND f.bin = s.bin) GROUP BY ALL),
-        best AS (SELECT doc_id, kind, min(sqrt(greatest(d, 0) / 2)) AS d FROM parts GROUP BY ALL),
+        chars AS (SELECT doc_id, lang, unnest([{", ".join(f"'{c}'" for c in _CLASSES)}, 'point']) AS bin, unnest([{", ".join(_IN_CLASS.values())}, {_POINT}])::DOUBLE AS n FROM texts),
+        words AS (SELECT doc_id, lang, v AS bin, count(*)::DOUBLE AS n FROM (SELECT doc_id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS v FROM texts) GROUP BY ALL),
+        totals AS (SELECT lang, sum(n) AS z FROM words WHERE lang IS NOT NULL GROUP BY lang),
+        large AS (SELECT lang, z FROM totals WHERE z * {quality_rules.COMMON_SHARE} >= (SELECT sum(z) FROM totals)),
+        -- references: shares of character classes, and of the common words of each language
+        c_refs AS (SELECT lang AS ref, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM chars JOIN large USING (lang) GROUP BY lang, bin),
+        w_refs AS (SELECT lang AS ref, bin, sum(n) / any_value(z) AS q FROM words JOIN large USING (lang) GROUP BY lang, bin HAVING sum(n) * {quality_rules.COMMON_SHARE} >= any_value(z)),
+        mass AS (SELECT l.lang AS ref, coalesce(sum(q), 0) AS m FROM large l LEFT JOIN w_refs r ON r.ref = l.lang GROUP BY l.lang),
+        c_share AS (SELECT doc_id, bin, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM chars QUALIFY sum(n) OVER (PARTITION BY doc_id) > 0),
+        c_parts AS (SELECT doc_id, ref, sum({_divergence("p", "q")}) AS d FROM c_share JOIN c_refs USING (bin) GROUP BY ALL),
+        c_best AS (SELECT doc_id, min(sqrt(greatest(d, 0) / 2)) AS d FROM c_parts GROUP BY doc_id),
+        w_share AS (SELECT doc_id, bin, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM words),
+        -- a common word that a text lacks counts in full: q * log2(2)
+        w_found AS (SELECT doc_id, ref, sum({_divergence("p", "q")} - q) AS d, sum(p) AS p FROM w_share JOIN w_refs USING (bin) GROUP BY ALL),
+        w_parts AS (SELECT t.doc_id, m.ref, coalesce(f.d, 0) + m.m AS d, greatest(1 - coalesce(f.p, 0), 0) AS p, greatest(1 - m.m, 0) AS q FROM texts t CROSS JOIN mass m LEFT JOIN w_found f ON f.doc_id = t.doc_id AND f.ref = m.ref),
+        w_best AS (SELECT doc_id, min(sqrt(greatest(d + {_divergence("p", "q")}, 0) / 2)) AS d FROM w_parts GROUP BY doc_id),
+        most AS (SELECT {_LIMIT["word_share"]} * min(sqrt(greatest(m + {_divergence("1.0", "(1 - m)")}, 0) / 2)) AS word_limit FROM mass),
         counted AS (
             SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, {_IN_CLASS["symbol"]}::BIGINT AS n_symbols,
                 coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(inside.n, 0)::BIGINT AS n_repeat_words,
                 CASE WHEN length(t) >= {_LIMIT["min_chars"]} THEN c.d END AS char_distance, CASE WHEN len(w) >= {_LIMIT["min_words"]} THEN v.d END AS word_distance
-            FROM texts t LEFT JOIN lines USING (doc_id) LEFT JOIN inside USING (doc_id) LEFT JOIN best c ON c.doc_id = t.doc_id AND c.kind = 'c' LEFT JOIN best v ON v.doc_id = t.doc_id AND v.kind = 'w'),
+            FROM texts t LEFT JOIN lines USING (doc_id) LEFT JOIN inside USING (doc_id) LEFT JOIN c_best c USING (doc_id) LEFT JOIN w_best v USING (doc_id)),
         judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-            NOT base_failed AND coalesce(char_distance, 0) <= {_LIMIT["max_char_distance"]} AND coalesce(word_distance, 0) <= {_LIMIT["max_word_distance"]} AS kept,
+            NOT base_failed AND coalesce(char_distance, 0) <= {_LIMIT["max_char_distance"]} AND coalesce(word_distance, 0) <= coalesce(word_limit, 1) AS kept,
             coalesce(round(char_distance, 6), -1) AS char_distance, coalesce(round(word_distance, 6), -1) AS word_distance
-        FROM judged""",
+        FROM judged, most""",
     "op1_warc_index": """
         WITH held AS (SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
         named AS (
@@ -94,3 +109,4 @@ ORACLES: dict[str, str] = {
         SELECT x.doc_id, x.n::BIGINT AS n_bytes, coalesce(c.r, 0) AS n_removed, coalesce(c.s, 0) AS n_spans, sha256(unhex(coalesce(k.k, x.h))) AS kept_sha256
         FROM bytes x LEFT JOIN kept k ON k.doc_id = x.doc_id LEFT JOIN counted c ON c.doc_id = x.doc_id""",
 }
+ORACLES["relative_quality_divergence"] = f"SELECT doc_id, base_failed, kept, char_distance, word_distance FROM ({ORACLES['op10_quality_divergence']})"

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cladeforge.llm import bpe, flac, language_id, license_scan, mixing, quality_classifier, quality_rules
+from cladeforge.llm import bpe, flac, language_id, license_scan, mixing, quality_classifier, quality_rules, textkit
 
 from .helpers import AZ, SPACE_WORD, awkward
 
@@ -68,6 +69,46 @@ def test_passing_rows_keep_their_columns(spark, sf_dir):
     assert not [i for i in failed if labels.get(i) == 1]
 
 
+def collides_modulo_powers_of_two(n=10):
+    """Two different words of 2**n letters whose polynomials agree modulo 2**64 for every odd base."""
+    order = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[i] for i in order), "".join("ba"[i] for i in order)
+
+
+def test_hashes_of_ranges_tell_constructed_words_apart():
+    pair = collides_modulo_powers_of_two()
+    data, offsets = textkit.utf8(pa.array([*pair, pair[0], "x" * 64, "x" * 65, "", "x", "x\0"]))
+    h = textkit.range_hash(data, offsets[:-1], offsets[1:])
+    assert h[0] == h[2] and len(set(h.tolist())) == 7
+    shifted, at = textkit.utf8(pa.array(["?", *pair]))
+    assert (textkit.range_hash(shifted, at[1:-1], at[2:]) == h[:2]).all()
+
+
+def test_lines_and_windows_of_constructed_words(spark):
+    a, b = collides_modulo_powers_of_two()
+    docs = spark.createDataFrame([(1, f"{a}\n{b}", "en"), (2, f"{a}\n{a}", "en"), (3, " ".join([a] * 8 + [b] * 8), "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in quality_rules.quality_rules(docs).collect()} == {i: counts(t)[3:] for i, t, _ in docs.collect()}
+
+
+def test_references_of_a_fifth_language_and_of_rare_ones(spark):
+    rng = np.random.default_rng(9)
+    made = {lang: ["".join(rng.choice(list(letters), 3)) for _ in range(30)] for lang, letters in {"en": "abcd", "de": "efgh", "fr": "ijkl", "es": "mnop", "el": "αβγδεζ"}.items()}
+    rows = [(i, " ".join(rng.choice(made[lang], 200)), lang) for i, lang in enumerate(list(made) * 12)]
+    rows += [(500, "zzz " * 3, "xx"), (501, " ".join(f"q{i}" for i in range(100)), "yy"), (502, rows[4][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality_rules.language_references(docs)
+    assert refs.names == sorted([*made, "yy"]) and len(refs.keys) == len({w for words in made.values() for w in words}) + 100
+    assert np.allclose(refs.mass(), 1)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert got[502].kept and got[4].kept and got[502].word_distance == got[4].word_distance < 0.3
+    rare = docs.filter("doc_id <> 501").union(spark.createDataFrame([(501, " ".join(f"q{i}" for i in range(100)), None)], docs.schema))
+    assert not {r.doc_id: r.kept for r in quality_rules.quality_rules(rare).collect()}[501]
+    # more languages than give references: none is large enough, and divergence judges nothing
+    many = spark.range(1200).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 70) AS text", "concat('l', id) AS lang")
+    assert quality_rules.language_references(many).names == []
+    assert [tuple(r) for r in quality_rules.quality_rules(many).select("char_distance", "word_distance").distinct().collect()] == [(None, None)]
+
+
 # byte-level BPE
 
 
@@ -255,6 +296,10 @@ def test_quality_without_labels_and_awkward_rows(spark):
         got = stats.select(model.column({n: F.col(n) for n in names}).alias("score")).collect()
         assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got)
     assert quality_classifier.statistics(docs.select("doc_id", "text").limit(0))[0].collect() == []
+    clashing = docs.withColumns({"log_words": F.lit("x"), "Word_Length": F.lit(3)})
+    wide, names = quality_classifier.statistics(clashing)
+    assert {"log_words_", "word_length_"} < set(names) and wide.columns[: len(clashing.columns) - 1] == [c for c in clashing.columns if c != "text"]
+    assert wide.count() == len(texts)
 
 
 # licences
