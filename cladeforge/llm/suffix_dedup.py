@@ -1,17 +1,23 @@
-"""Exact removal of repeated byte strings: sampled suffixes are named by external sorts, and the rest is induced from them.
+"""Exact removal of repeated byte strings by induced sorting of suffixes on Spark's disk-backed sort.
 
-Only the suffixes that start windows of ``window`` bytes matter, and only whether two of them share ``window`` bytes. So, as
-in induced sorting, a sample of suffixes is named first, and names of the others follow from it, coarse to fine:
+Only the suffixes that start windows of ``window`` bytes matter, and only whether two of them share ``window`` bytes.
 
 1. sample: each window has an anchor (its leftmost gram of least hash), so equal windows have equal anchors at equal places.
-   Tuples (gram, run of windows of the anchor) go through Spark's disk-backed sort; grams that occur once end here.
-2. runs: a gram's runs are named by all bytes they cover. Names that occur twice settle all their windows at once.
-3. blocks: of grams with several names, one run of each name is cut into blocks of windows at fixed places from the anchor;
-   a block's core (the bytes that all its windows share) must repeat, and a repeated whole settles the block.
-4. windows: only blocks whose core repeats in different wholes are taken apart into single windows.
-
-Each level groups by (name of the level above, hash at this level), so equal names mean equal bytes up to collisions of 128
-bits or more. Nothing is gathered by group: hot passages are counted with map-side partial sums, and joins are on names.
+   The suffixes at anchors are the sample; grams that occur once end here.
+2. names: a gram's runs of windows are named by all bytes they cover. Names that occur twice settle all their windows at
+   once, and one run of each name goes on.
+3. sort: suffix tuples (gram, bytes from the anchor on, place, bytes before it) are sorted by Spark, whose sort spills runs
+   to disk and merges them by a priority queue, so a shard may be far larger than memory.
+4. induction: in each group of one gram, common-prefix values of neighbours are taken, and order and values of the suffixes
+   one byte further left are induced from those before, as far as the windows of the anchors reach (``induced``). A start
+   whose value with a neighbour is ``window`` or more repeats. Bytes are compared here, not hashes.
+5. crowded grams: a group is induced in one piece, so grams with more than MAX_GROUP different runs (a passage shorter than
+   a window in as many surroundings) are split instead: their runs are cut into blocks of windows at fixed places from the
+   anchor, a block's core (the bytes that all its windows share) must repeat, and blocks that stay open are counted window by
+   window, by groups of equal hashes with map-side partial sums. So no group of any size meets in one task.
+
+Names and hashes are 64 bits of a polynomial over at most ``textkit.POLYNOMIAL_BYTES``, made within groups of equal grams (64
+bits too). Joins are on names; a hot passage has few of them.
 """
 
 from __future__ import annotations
@@ -26,9 +32,13 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .common import fresh, materialize, table
+from .induced import repeated_starts
+from .minhash import whole_groups
 from .repeats import anchors
 
 WINDOW, GRAM, BLOCK = 200, 64, 16
+#: Different runs of one gram that are induced together at most; about 7 MB of bytes. AT_ONCE: runs of many grams in a step.
+MAX_GROUP, AT_ONCE = 20_000, 8_000
 SPAN = "doc_id long, row long, begin long, end long"
 
 
@@ -105,7 +115,38 @@ def _contexts(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 names=["doc_id", "row", "gram", "name", "single", "lead", "first", "body"],
             )
 
-    return materialize(joined.select("doc_id", "row", "body", "asked").mapInArrow(run, "doc_id long, row long, gram long, name long, single boolean, lead int, first int, body binary"), "suffix-contexts")
+    return joined.select("doc_id", "row", "body", "asked").mapInArrow(run, "doc_id long, row long, gram long, name long, single boolean, lead int, first int, body binary")
+
+
+def induced(contexts: DataFrame, window: int) -> DataFrame:
+    """``doc_id, row, begin, end`` of the repeated windows of runs that stand alone, by induced sorting within each gram."""
+    tuples = contexts.select("gram", F.expr("substring(body, lead + 1)").alias("right"), "doc_id", "row", "single", (F.col("first") + F.col("lead")).alias("anchor"), F.expr("substring(body, 1, lead)").alias("left"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for part in whole_groups(batches, 1):
+            held, n = [*held, part], n + part.num_rows
+            if n >= AT_ONCE:
+                yield told(pa.concat_tables(held))
+                held, n = [], 0
+        if held:
+            yield told(pa.concat_tables(held))
+
+    def told(part: pa.Table) -> pa.RecordBatch:
+        place, d = repeated_starts(part.column(0).to_numpy(), part.column(1).to_pylist(), part.column(6).to_pylist(), window)
+        alone = part.column(4).to_numpy()[place]
+        place, d = place[alone], d[alone]
+        order = np.lexsort((-d, place))
+        place, d = place[order], d[order]
+        new = np.append(True, (place[1:] != place[:-1]) | (d[1:] != d[:-1] - 1))[: len(place)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(place))[: len(first)] - 1
+        at = part.column(5).to_numpy().astype(np.int64)[place]
+        take = pa.array(place[first])
+        columns = [part.column(k).combine_chunks().take(take) for k in (2, 3)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(at[first] - d[first]), pa.array(at[last] - d[last] + window)], names=["doc_id", "row", "begin", "end"])
+
+    return tuples.repartition("gram").sortWithinPartitions("gram", "right").mapInArrow(run, SPAN)
 
 
 def _bodies(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -176,20 +217,27 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     settled = materialize(named.filter("n > 1").select("gram", "name"), "suffix-settled")
     spans = hits.join(settled, ["gram", "name"]).select("doc_id", "row", F.col("first").cast("long").alias("begin"), (F.col("last") + window).cast("long").alias("end"))
 
-    mixed = materialize(named.groupBy("gram").agg(n()).filter("n > 1").select("gram"), "suffix-mixed")
-    wanted = named.join(mixed, "gram").select("gram", "name", (F.col("n") == 1).alias("single"), "one.*")
-    contexts = _contexts(rows, wanted, window)
+    mixed = materialize(named.groupBy("gram").agg(n()).filter("n > 1").select("gram", (F.col("n") > MAX_GROUP).alias("crowded")), "suffix-mixed")
+    wanted = materialize(named.join(mixed, "gram").select("gram", "name", (F.col("n") == 1).alias("single"), "crowded", "one.*"), "suffix-wanted")
+    spans = spans.union(induced(_contexts(rows, wanted.filter("NOT crowded"), window), window))
+    if not mixed.filter("crowded").isEmpty():
+        spans = spans.union(counted(materialize(_contexts(rows, wanted.filter("crowded"), window), "suffix-contexts"), window))
+    return spans
+
+
+def counted(contexts: DataFrame, window: int) -> DataFrame:
+    """``doc_id, row, begin, end`` of the repeated windows of runs that stand alone, by counting names of blocks and windows."""
+    n = lambda: F.count(F.lit(1)).alias("n")
     cut = blocks(contexts, window)
     wholes = materialize(cut.groupBy("core", "whole").agg(n()), "suffix-wholes")
     whole = materialize(wholes.filter("n > 1").select("core", "whole"), "suffix-whole")
     opened = materialize(wholes.groupBy("core").agg(n()).filter("n > 1").select("core"), "suffix-open")
     found = cut.filter("single").join(whole, ["core", "whole"]).select("gram", "name", "start", "stop")
-
     last = windows(contexts, cut.join(opened, "core"), window)
     twice = materialize(last.groupBy("window").agg(n()).filter("n > 1").select("window"), "suffix-twice")
     found = found.union(last.filter("single").join(twice, "window").select("gram", "name", "place", F.col("place").alias("stop")))
     fine = found.join(contexts.select("gram", "name", "doc_id", "row", "first"), ["gram", "name"])
-    return spans.union(fine.select("doc_id", "row", (F.col("first") + F.col("start")).cast("long"), (F.col("first") + F.col("stop") + window).cast("long")))
+    return fine.select("doc_id", "row", (F.col("first") + F.col("start")).cast("long"), (F.col("first") + F.col("stop") + window).cast("long"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM, as_text: bool = False) -> DataFrame:

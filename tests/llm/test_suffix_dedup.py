@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pytest
+
+from cladeforge.llm import induced
 from cladeforge.llm import suffix_dedup as sd
 
 from .helpers import awkward, repeats
@@ -13,7 +17,10 @@ def check(spark, texts):
     return expected
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("most", [sd.MAX_GROUP, 3, 0])
+def test_against_brute_force(spark, monkeypatch, most):
+    """With grams induced together, with the crowded ones split, and with all split."""
+    monkeypatch.setattr(sd, "MAX_GROUP", most)
     rng = random.Random(4)
     make = lambda n: "".join(rng.choices("abcdé ", k=n))
     shared = make(900)
@@ -26,6 +33,31 @@ def test_against_brute_force(spark):
     assert sum(e[1] > 0 for e in expected) > 20
 
 
+def test_many_surroundings_of_one_passage(spark, monkeypatch):
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, ends = make(150), [make(60) for _ in range(6)]
+    texts = [make(50) + rng.choice(ends) + passage + rng.choice(ends) + make(50) for _ in range(80)]
+    assert sum(e[1] > 0 for e in check(spark, texts)) > 40
+    monkeypatch.setattr(sd, "AT_ONCE", 16)
+    check(spark, texts)
+
+
+def test_induced_order_and_values():
+    rng = random.Random(14)
+    values = np.array([rng.randint(0, 9) for _ in range(50)], np.int32)
+    i = np.array([rng.randint(0, 49) for _ in range(200)])
+    j = np.array([rng.randint(a, 49) for a in i])
+    assert induced.range_minimum(values, i, j).tolist() == [min(values[a : b + 1]) for a, b in zip(i, j, strict=True)]
+    rows = sorted((g, bytes(rng.choices(b"ab", k=rng.randint(2, 7))), bytes(rng.choices(b"ab", k=rng.randint(0, 4)))) for g in (3, 9) for _ in range(30))
+    group = np.array([r[0] for r in rows])
+    for window in (3, 5, 7):
+        row, d = induced.repeated_starts(group, [r[1] for r in rows], [r[2] for r in rows], window)
+        starts = {(k, n): (g, n, (x[len(x) - n :] + y)[:window]) for k, (g, y, x) in enumerate(rows) for n in range(min(len(x) + 1, window)) if n + len(y) >= window}
+        each = list(starts.values())
+        assert sorted(zip(row.tolist(), d.tolist(), strict=True)) == sorted(k for k, v in starts.items() if each.count(v) > 1)
+
+
 def test_one_byte_apart(spark):
     rng = random.Random(6)
     base = "".join(rng.choices("abcdefghijklmnop", k=520))
