@@ -1,7 +1,11 @@
 """Media columns: FLAC streams of 8-bit mono samples, encoded and decoded for many rows at once.
 
+Streams are stored as a table in the shared folder and read back from it, into PCM blocks with their sample offsets; what
+is told of a text comes from those blocks.
+
 Work goes in lockstep over frames: one numpy step handles one sample (or one checksum byte) of all frames of a chunk of
-rows. Frames hold 192 samples. The encoder picks, for each frame, the cheapest of the constant, verbatim, fixed (orders
+rows. Frames hold FRAME samples, the last of a stream the rest. A sample is a byte less CENTRE, the middle of what texts hold,
+in the range of 8 bits. The encoder picks, for each frame, the cheapest of the constant, verbatim, fixed (orders
 0 to 2) and linear-prediction forms, with Rice-coded residuals. The decoder reads any mono stream of up to 16 bits: every
 block size, all predictor orders, Rice partitions and escape codes; it checks the CRC-8 of each header, the CRC-16 of each
 frame and the MD5 of the samples. Seek points allow lanes to start inside a stream, and give PCM blocks their places.
@@ -19,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import table
+from .common import materialize, table
 
-BLOCK, RATE, LPC_ORDER, PRECISION = 192, 8000, 2, 8
+BLOCK, FRAME, RATE, LPC_ORDER, PRECISION = 192, 768, 8000, 2, 8
+CENTRE, CHUNK = 104, 1 << 20
+#: A seek table's length has 24 bits in the format: streams of more frames (690 MB) have a point for every few.
 MAX_POINTS = 900_000
 U64, I64 = np.uint64, np.int64
 
@@ -108,37 +114,39 @@ def _lpc(x: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frames of BLOCK signed samples as bytes; the start and the length of each frame in them."""
-    n = len(x)
+    """Frames of equally many signed samples (a row each) as bytes; the start and the length of each frame in them."""
+    n, size = x.shape
     x = x.astype(I64)
     coef, shift = _lpc(x, LPC_ORDER)
-    guess = sum(coef[:, j : j + 1] * x[:, LPC_ORDER - 1 - j : BLOCK - 1 - j] for j in range(LPC_ORDER)) >> shift[:, None]
+    guess = sum(coef[:, j : j + 1] * x[:, LPC_ORDER - 1 - j : size - 1 - j] for j in range(LPC_ORDER)) >> shift[:, None]
     residuals = [x, np.diff(x, axis=1), np.diff(x, n=2, axis=1), x[:, LPC_ORDER:] - guess]
     orders = np.array([0, 1, 2, LPC_ORDER])
     extra = orders * 8 + np.array([0, 0, 0, 9 + LPC_ORDER * PRECISION])
     # bits of each form, with the best Rice parameter next to what the mean tells
     sums = np.stack([np.where(e >= 0, 2 * e, -2 * e - 1).sum(axis=1) for e in residuals], axis=1)
-    mean = sums / (BLOCK - orders)
+    mean = sums / (size - orders)
     k0 = np.clip(np.floor(np.log2(np.maximum(mean * 0.69, 1))), 0, 14).astype(I64)
-    about = (BLOCK - orders) * (k0 + 1) + sums / (1 << k0) + extra
+    about = (size - orders) * (k0 + 1) + sums / (1 << k0) + extra
     form = about.argmin(axis=1)
     order = orders[form]
-    u = np.zeros((n, BLOCK), dtype=I64)
+    u = np.zeros((n, size), dtype=I64)
     for i, e in enumerate(residuals):
         rows = form == i
         u[rows, orders[i] :] = np.where(e[rows] >= 0, 2 * e[rows], -2 * e[rows] - 1)
-    coded = np.arange(BLOCK) >= order[:, None]
+    coded = np.arange(size) >= order[:, None]
     tries = np.clip(k0[np.arange(n), form][:, None] + np.array([-1, 0, 1]), 0, 14)
-    costs = np.stack([((u >> tries[:, i : i + 1]) * coded).sum(axis=1) + (BLOCK - order) * (tries[:, i] + 1) for i in range(3)], axis=1)
+    costs = np.stack([((u >> tries[:, i : i + 1]) * coded).sum(axis=1) + (size - order) * (tries[:, i] + 1) for i in range(3)], axis=1)
     k = tries[np.arange(n), costs.argmin(axis=1)]
     bits = costs.min(axis=1) + 6 + 4 + extra[form]
     constant = (x == x[:, :1]).all(axis=1)
-    verbatim = ~constant & (bits >= 8 * BLOCK)
+    verbatim = ~constant & (bits >= 8 * size)
     rice = ~constant & ~verbatim
 
     code, code_size = _number_bytes(number)
-    head = np.concatenate([np.broadcast_to(np.array([0xFF, 0xF8, 0x10, 0x02]), (n, 4)), code], axis=1)
-    head_size = 4 + code_size
+    # the block size stands behind the frame number, in 16 bits
+    head = np.concatenate([np.broadcast_to(np.array([0xFF, 0xF8, 0x70, 0x02]), (n, 4)), code, np.zeros((n, 2), I64)], axis=1)
+    head[np.arange(n), 4 + code_size], head[np.arange(n), 5 + code_size] = size - 1 >> 8, size - 1 & 0xFF
+    head_size = 6 + code_size
     check = crc8(head.ravel(), np.arange(n) * head.shape[1], head_size)
     kind = np.select([constant, verbatim, form == 3], [0, 1, 32 + LPC_ORDER - 1], 8 + order) << 1
     is_lpc = rice & (form == 3)
@@ -161,26 +169,35 @@ def encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def encode(payloads: list[np.ndarray]) -> list[bytes]:
-    """FLAC streams of 8-bit payloads whose lengths are positive multiples of BLOCK: sample = byte - 128."""
+    """FLAC streams of 8-bit payloads whose lengths are positive multiples of BLOCK: sample = byte - CENTRE, modulo 256."""
     if not payloads:
         return []
-    joined = np.concatenate(payloads)
-    signed = (joined ^ 0x80).view(np.int8)
-    frames = np.array([len(p) // BLOCK for p in payloads])
+    signed = (np.concatenate(payloads) - np.uint8(CENTRE)).view(np.int8)
+    total = np.array([len(p) for p in payloads])
+    frames = -(-total // FRAME)
     first = np.concatenate([[0], np.cumsum(frames)])
     number = np.arange(first[-1]) - np.repeat(first[:-1], frames)
-    data, start, length = encode_frames(signed.reshape(-1, BLOCK), number)
-    at = np.append(start, len(data))
-    points = np.zeros(len(start), dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
-    points["sample"], points["offset"], points["n"] = number * BLOCK, start - np.repeat(start[first[:-1]], frames), BLOCK
-    out, raw = [], data.tobytes()
+    size = np.minimum(np.repeat(total, frames) - number * FRAME, FRAME)
+    begin = np.repeat(np.cumsum(total) - total, frames) + number * FRAME
+    coded: list[bytes] = [b""] * len(size)
+    for s in np.unique(size):
+        of = np.flatnonzero(size == s)
+        data, start, length = encode_frames(signed[begin[of][:, None] + np.arange(s)], number[of])
+        raw = data.tobytes()
+        for i, at, n in zip(of.tolist(), start.tolist(), length.tolist(), strict=True):
+            coded[i] = raw[at : at + n]
+    lengths = np.array([len(c) for c in coded])
+    ends = np.cumsum(lengths)
+    points = np.zeros(len(size), dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+    points["sample"], points["offset"], points["n"] = number * FRAME, ends - lengths - np.repeat((ends - lengths)[first[:-1]], frames), size
+    out = []
     for i, n in enumerate(frames):
         a, b = first[i], first[i + 1]
-        pcm = signed[a * BLOCK : b * BLOCK].tobytes()
-        rate = (RATE << 44) | (7 << 36) | int(n) * BLOCK
-        info = BLOCK.to_bytes(2) * 2 + int(length[a:b].min()).to_bytes(3) + int(length[a:b].max()).to_bytes(3) + rate.to_bytes(8) + hashlib.md5(pcm).digest()
+        pcm = signed[begin[a] : begin[a] + total[i]].tobytes()
+        rate = (RATE << 44) | (7 << 36) | int(total[i])
+        info = FRAME.to_bytes(2) * 2 + int(lengths[a:b].min()).to_bytes(3) + int(lengths[a:b].max()).to_bytes(3) + rate.to_bytes(8) + hashlib.md5(pcm).digest()
         seek = points[a : b : -(-int(n) // MAX_POINTS)].tobytes()
-        out.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(seek).to_bytes(3) + seek + raw[at[a] : at[b]])
+        out.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(seek).to_bytes(3) + seek + b"".join(coded[a:b]))
     return out
 
 
@@ -424,7 +441,7 @@ def feature(samples: np.ndarray) -> str:
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     data, offsets = tk.utf8(column)
-    for a, b in tk.chunks(offsets):
+    for a, b in tk.chunks(offsets, CHUNK):
         yield a, b, [data[offsets[i] : offsets[i + 1]] for i in range(a, b)]
 
 
@@ -447,45 +464,68 @@ def encode_media(docs: DataFrame, text: str = "text", media: str = "media") -> D
     return source.mapInArrow(run, ", ".join(fields))
 
 
-def pcm_blocks(table_: DataFrame, key: str, media: str = "media") -> DataFrame:
-    """One row for each frame of each stream: ``key, sample_offset, byte_offset, n_samples, pcm`` (signed 16-bit).
+BLOCKS = pa.list_(pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary())]))
+
+
+def decode_media(table_: DataFrame, media: str = "media", blocks: str = "blocks") -> DataFrame:
+    """``table_`` with the PCM blocks of each stream in the place of ``media``: an array of (sample_offset, byte_offset, n_samples, pcm).
 
-    Null streams give no rows; a damaged stream is an error, found by its checksums.
+    ``pcm`` holds signed samples of 8 bits, or of 16 where the stream has more. A null stream has null blocks; a damaged one
+    is an error, found by its checksums. A stream's blocks stay in its row, so nothing is shuffled.
     """
-    kind = table_.schema[key].dataType.simpleString()
+    keep = [c for c in table_.columns if c != media and c.lower() != blocks.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, stream in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if stream is not None:
-                    samples, frames = decode([stream])[0]
-                    pcm = [samples[s : s + n].astype("<i2").tobytes() for s, _, n in frames]
-                    yield pa.RecordBatch.from_pydict({key: pa.array([k] * len(pcm), type=batch.schema.types[0]), "sample_offset": frames[:, 0], "byte_offset": frames[:, 1], "n_samples": frames[:, 2], "pcm": pa.array(pcm, type=pa.binary())})
+            for part in tk.pieces(batch, len(keep), CHUNK):
+                streams = part.column(len(keep)).to_pylist()
+                told = iter(decode([s for s in streams if s is not None]))
+                out: list[list | None] = []
+                for stream in streams:
+                    if stream is None:
+                        out.append(None)
+                        continue
+                    samples, frames = next(told)
+                    width = 1 if samples.min(initial=0) >= -128 and samples.max(initial=0) <= 127 else 2
+                    pcm = samples.astype(f"<i{width}").tobytes()
+                    out.append([{"sample_offset": s, "byte_offset": at, "n_samples": n, "pcm": pcm[width * s : width * (s + n)]} for s, at, n in frames.tolist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(out, type=BLOCKS)], names=[*keep, blocks])
+
+    fields = [f"`{c}` {table_.schema[c].dataType.simpleString()}" for c in keep] + [f"`{blocks}` array<struct<sample_offset:long,byte_offset:long,n_samples:long,pcm:binary>>"]
+    return table_.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media}`")).mapInArrow(run, ", ".join(fields))
 
-    return table_.select(key, media).mapInArrow(run, f"`{key}` {kind}, sample_offset long, byte_offset long, n_samples long, pcm binary")
+
+def pcm_blocks(table_: DataFrame, key: str, media: str = "media") -> DataFrame:
+    """One row for each block of each stream: ``key, sample_offset, byte_offset, n_samples, pcm``, as ``decode_media`` tells them."""
+    return decode_media(table_.select(key, media), media).select(key, F.inline("blocks"))
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def media_digest(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Encode each whole text, decode the stream again, and describe both; rows as in ``DIGEST``. Null counts as empty."""
+    """Store the stream of each whole text, read the stored streams into PCM blocks, and describe both; rows as in ``DIGEST``.
+
+    Null counts as empty; repeated rows are streams of their own; an empty table gives an empty one.
+    """
+    stored = materialize(encode_media(docs.select("doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))).drop("text"), "media")
+    blocks = decode_media(stored.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for a, b, rows in _chunks(batch.column(1)):
-                media = encode([padded(r) for r in rows])
-                back = [samples for samples, _ in decode(media)]
-                payload = [(s + 128).astype(np.uint8).tobytes() for s in back]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), *(pa.array(v) for v in (
-                        np.array([len(r) for r in rows], dtype=np.int64), np.array([len(p) for p in payload], dtype=np.int64), [hashlib.sha256(p).hexdigest() for p in payload],
-                        np.array([zlib.crc32(p[-16:]) for p in payload], dtype=np.int64), np.array([len(m) for m in media], dtype=np.int64), [hashlib.sha256(m).hexdigest() for m in media], [feature(s) for s in back]))],
-                    names=[f.split()[0] for f in DIGEST.split(", ")],
-                )
-
-    return docs.select("doc_id", F.col(text)).mapInArrow(run, DIGEST)
+            column = batch.column(4)
+            pcm, ends = column.flatten().field("pcm"), column.offsets.to_numpy() - column.offsets[0].as_py()
+            data, at = tk.utf8(pcm)
+            back = [data[at[a] : at[b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            payload = [(p + np.uint8(CENTRE)).tobytes() for p in back]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(v) for v in (
+                    np.array([len(p) for p in payload], dtype=np.int64), [hashlib.sha256(p).hexdigest() for p in payload], np.array([zlib.crc32(p[-16:]) for p in payload], dtype=np.int64))),
+                    batch.column(2), batch.column(3), pa.array([feature(p.view(np.int8)) for p in back], pa.string())],
+                names=[f.split()[0] for f in DIGEST.split(", ")],
+            )
+
+    return blocks.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(run, DIGEST)
 
 
 def op4_flac_media(spark, sf_dir: str) -> DataFrame:

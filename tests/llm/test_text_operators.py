@@ -154,7 +154,7 @@ def test_flac_round_trip_and_seek_offsets():
     payloads = [flac.padded(p) for p in streams()]
     media = flac.encode(payloads)
     for p, m, (s, frames) in zip(payloads, media, flac.decode(media), strict=True):
-        assert ((s + 128).astype(np.uint8) == p).all()
+        assert ((s + flac.CENTRE).astype(np.uint8) == p).all()
         assert flac.encode([p])[0] == m
         for sample, offset, n in frames[:: max(1, len(frames) // 3)]:
             block, size, _, _ = flac.decode_frames(flac._Bits(np.frombuffer(m, np.uint8)), np.array([offset]), np.array([8]))
@@ -166,7 +166,7 @@ def test_flac_without_seek_table_and_with_damage():
     m = flac.encode([payload])[0]
     n = int.from_bytes(m[43:46])
     plain = m[:4] + b"\x80" + m[5:42] + m[46 + n :]
-    assert ((flac.decode([plain])[0][0] + 128).astype(np.uint8) == payload).all()
+    assert ((flac.decode([plain])[0][0] + flac.CENTRE).astype(np.uint8) == payload).all()
     for at in (len(m) - 1, len(m) - 100, 50 + n, 30):
         bad = bytearray(m)
         bad[at] ^= 4
@@ -217,8 +217,11 @@ def test_flac_columns(spark):
         assert (n_bytes, payload_bytes, sha, tail) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert media_bytes > 42
     blocks = flac.pcm_blocks(flac.encode_media(docs.filter("doc_id = 1")), "doc_id").orderBy("sample_offset").collect()
-    pcm = b"".join(np.frombuffer(bytes(b.pcm), "<i2").astype(np.int16).__add__(128).astype(np.uint8).tobytes() for b in blocks)
+    pcm = b"".join((np.frombuffer(bytes(b.pcm), "<i1").astype(np.int16) + flac.CENTRE).astype(np.uint8).tobytes() for b in blocks)
     assert pcm.rstrip(b" ") == bodies["1"]
+    table = flac.encode_media(docs.filter("doc_id IN (3, 8)")).withColumn("blocks", F.lit("x"))
+    long = {r.doc_id: r.blocks for r in flac.decode_media(table.withColumn("media", F.when(F.col("doc_id") == 8, F.col("media")))).collect()}
+    assert long[3] is None and [b.sample_offset for b in long[8]] == list(range(0, len(flac.padded(np.frombuffer(bodies["8"], np.uint8))), flac.FRAME))
     assert flac.media_digest(docs.limit(0)).collect() == []
 
 
