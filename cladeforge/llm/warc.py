@@ -1,9 +1,10 @@
 """WARC archives with a two-level capture index.
 
 Pages go into gzip-per-record WARC files in the shared folder, one writer a task. The index has two levels: captures sorted
-by reversed-host URL key, packed into compressed blocks, and a sparse directory of the blocks' first keys. A look-up binary
-searches the directory, then the block, and yields (file, offset, length); records are then fetched by range reads, dealt
-out by place so that each file is read in one direction.
+by reversed-host URL key, packed into compressed blocks (one after another in index files), and a sparse directory of the
+blocks' first keys and places. A look-up binary searches the directory, reads the block's range, binary searches the block,
+and yields (file, offset, length); records are then fetched by range reads, dealt out by place so that each file is read in
+one direction.
 
 A task that is run again writes files with new names; only the rows of the attempt that counted name a file, and those rows
 are written to a table at once, so a lost executor leaves unnamed files behind and nothing else.
@@ -32,6 +33,10 @@ from .common import materialize, shared_dir, table
 #: Captures a block holds at least; blocks grow once the directory would have more than MAX_DIRECTORY entries.
 BLOCK_LINES, MAX_DIRECTORY, MAX_FILE_BYTES = 512, 65_536, 1 << 30
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Revisits that are broadcast at most; more are joined by id and digest.
+MAX_REVISITS = 500_000
+#: Compressed record bytes of a fetching task at most, and at least where that gives fewer tasks than there are cores.
+FETCH_BYTES, LEAST_FETCH_BYTES = 64 << 20, 1 << 20
 INDEX = "url_key string, page_id long, file string, offset long, length long"
 
 
@@ -118,8 +123,11 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, da
     held = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("digest"))
     firsts = held.filter(F.length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")).filter((F.col("n") > 1) & F.col("first").isNotNull())
     repeated = materialize(firsts.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "warc-repeated")
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    rows = held.join(repeated, "digest", "left").select("page_id", "url", "payload", "digest", F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
+    # ids and digests meet first: a payload that very many rows share brings together rows of a few bytes only
+    told = held.select("page_id", "digest").join(repeated, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).distinct()
+    revisits = materialize(told.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), F.col("first_id").alias("refers_to"), F.col("first_url").alias("refers_url")), "warc-revisits")
+    revisits = F.broadcast(revisits) if revisits.count() <= MAX_REVISITS else revisits
+    rows = held.join(revisits, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to", "refers_url")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = open_store(folder)
@@ -150,49 +158,65 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, da
     return materialize(rows.mapInArrow(run, INDEX), "warc-captures")
 
 
-def span(keys: list[str], ids: list[int], key: str) -> list[int]:
+def span(keys: list[str], key: str) -> list[int]:
     """Blocks that may hold a key: from the last that begins before it to the last that begins with it."""
-    return ids[max(0, bisect.bisect_left(keys, key) - 1) : bisect.bisect_right(keys, key)]
+    return list(range(max(0, bisect.bisect_left(keys, key) - 1), bisect.bisect_right(keys, key)))
 
 
 class CaptureIndex:
-    """Blocks (a table in the shared folder) and the directory of their first keys (at most MAX_DIRECTORY and one a partition)."""
+    """The directory of an index: first keys and places of its blocks (at most MAX_DIRECTORY and one a partition)."""
 
     def __init__(self, blocks: DataFrame, folder: str):
-        self.blocks, self.folder = blocks, folder
-        rows = sorted((r.first_key, r.block) for r in blocks.select("first_key", "block").collect())
-        self.keys, self.ids = [r[0] for r in rows], [r[1] for r in rows]
+        self.spark, self.folder = blocks.sparkSession, folder
+        rows = sorted((r.first_key, r.file, r.offset, r.length) for r in blocks.collect())
+        self.keys, self.places = [r[0] for r in rows], [tuple(r[1:]) for r in rows]
 
     def lookup(self, urls: DataFrame, url: str = "url") -> DataFrame:
-        """``url_key, page_id, file, offset, length`` of all captures of the (distinct) URL keys of a column; null URLs count."""
-        directory = self.blocks.sparkSession.sparkContext.broadcast((self.keys, self.ids))
+        """``url_key, page_id, file, offset, length`` of all captures of the (distinct) URL keys of a column; null URLs count.
+
+        Keys are dealt out in order of block, and a task reads the range of each block that it needs once. Keys that fall
+        into one block may go to several tasks, so a crowd of unknown keys does no harm.
+        """
+        directory, folder = self.spark.sparkContext.broadcast((self.keys, self.places)), self.folder
 
         @F.pandas_udf("string")
         def keys(u):
             return u.map(lambda x: url_key(x) if isinstance(x, str) else "")
 
-        @F.pandas_udf("array<long>")
+        @F.pandas_udf("array<int>")
         def spans(k):
-            return k.map(lambda x: span(*directory.value, x))
+            return k.map(lambda x: span(directory.value[0], x))
 
-        asked = urls.select(keys(F.col(url)).alias("url_key")).distinct()
-        asked = asked.select("url_key", F.explode(spans("url_key")).alias("block")).groupBy("block").agg(F.collect_set("url_key").alias("asked"))
+        asked = urls.select(keys(F.col(url)).alias("url_key")).distinct().select(F.explode(spans("url_key")).alias("block"), "url_key")
 
         def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, at = open_store(folder)
+            now, lines, held, name, handle = None, [], [], None, None
             for batch in batches:
-                for data, asks in zip(_column(batch, "data"), _column(batch, "asked"), strict=True):
-                    lines = [line.split("\t") for line in zlib.decompress(data).decode().split("\n")]
-                    held = [_unescape(x[0]) for x in lines]
-                    hits = [lines[i] for key in asks for i in range(bisect.bisect_left(held, key), bisect.bisect_right(held, key))]
-                    yield pa.RecordBatch.from_pydict({"url_key": pa.array([_unescape(h[0]) for h in hits], pa.string()), "page_id": pa.array([int(h[1]) if h[1] else None for h in hits], pa.int64()), "file": pa.array([h[2] for h in hits], pa.string()), "offset": pa.array([int(h[3]) for h in hits], pa.int64()), "length": pa.array([int(h[4]) for h in hits], pa.int64())})
-
-        return self.blocks.join(asked, "block").select("data", "asked").mapInArrow(search, INDEX)
+                hits = []
+                for block, key in zip(_column(batch, "block"), _column(batch, "url_key"), strict=True):
+                    if block != now:
+                        now, (file, offset, length) = block, directory.value[1][block]
+                        if file != name:
+                            name, handle = file, store.open_input_file(f"{at}/{file}")
+                        handle.seek(offset)
+                        lines = [line.split("\t") for line in zlib.decompress(handle.read(length)).decode().split("\n")]
+                        held = [_unescape(x[0]) for x in lines]
+                    hits += lines[bisect.bisect_left(held, key) : bisect.bisect_right(held, key)]
+                yield pa.RecordBatch.from_pydict({"url_key": pa.array([_unescape(h[0]) for h in hits], pa.string()), "page_id": pa.array([int(h[1]) if h[1] else None for h in hits], pa.int64()), "file": pa.array([h[2] for h in hits], pa.string()), "offset": pa.array([int(h[3]) for h in hits], pa.int64()), "length": pa.array([int(h[4]) for h in hits], pa.int64())})
+
+        return asked.repartitionByRange("block", "url_key").sortWithinPartitions("block", "url_key").mapInArrow(search, INDEX)
 
     def fetch(self, places: DataFrame, payload: bool = True) -> DataFrame:
-        """The records at ``file, offset, length``, parsed; a payload whose digest is wrong is an error."""
+        """The records at ``file, offset, length``, parsed; a payload whose digest is wrong is an error.
+
+        The number of tasks follows the bytes to be read, not the rows of ``places``.
+        """
         schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
         kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())][: 6 + payload]
-        folder = self.folder
+        folder, places = self.folder, materialize(places.select("file", "offset", "length"), "warc-places")
+        size = places.agg(F.sum("length")).first()[0] or 0
+        tasks = max(-(-size // FETCH_BYTES), min(size // LEAST_FETCH_BYTES, self.spark.sparkContext.defaultParallelism), 1)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, at = open_store(folder)
@@ -206,7 +230,7 @@ class CaptureIndex:
                     out.append(parse(zlib.decompress(handle.read(length), 31)))
                 yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in out], type=t) for k, t in kinds})
 
-        return places.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+        return places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
 
 
 def _escape(key: str) -> str:
@@ -223,24 +247,38 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     lines = max(block_lines, -(-n // MAX_DIRECTORY))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, seq = TaskContext.get().partitionId(), [], 0
-
-        def block() -> pa.RecordBatch:
-            data = "\n".join("\t".join((_escape(k), "" if p is None else str(p), f, str(o), str(s))) for k, p, f, o, s in held)
-            return pa.RecordBatch.from_pydict({"block": pa.array([(part << 32) + seq], pa.int64()), "first_key": [held[0][0]], "n": pa.array([len(held)], pa.int64()), "data": pa.array([zlib.compress(data.encode(), 6)], pa.binary())})
+        store, at = open_store(folder)
+        name, stream, size = f"index-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.cdx", None, 0
+        told, held = [], []
+
+        def close_block() -> None:
+            nonlocal stream, size, held
+            data = zlib.compress("\n".join("\t".join((_escape(k), "" if p is None else str(p), f, str(o), str(s))) for k, p, f, o, s in held).encode(), 6)
+            if stream is None:
+                store.create_dir(at, recursive=True)
+                stream = store.open_output_stream(f"{at}/{name}", compression=None, buffer_size=1 << 20)
+            stream.write(data)
+            told.append((held[0][0], name, size, len(data)))
+            held, size = [], size + len(data)
 
-        for batch in batches:
-            for row in zip(*[_column(batch, c) for c in ("url_key", "page_id", "file", "offset", "length")], strict=True):
-                held.append(row)
-                if len(held) >= lines:
-                    yield block()
-                    held, seq = [], seq + 1
-        if held:
-            yield block()
+        try:
+            for batch in batches:
+                for row in zip(*[_column(batch, c) for c in ("url_key", "page_id", "file", "offset", "length")], strict=True):
+                    held.append(row)
+                    if len(held) >= lines:
+                        close_block()
+            if held:
+                close_block()
+        finally:
+            if stream is not None:
+                stream.close()
+        if told:
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*told, strict=True), kinds, strict=True)], names=["first_key", "file", "offset", "length"])
 
     # bytewise order in Spark is code-point order in Python, for both strings and this sort
     ordered = captures.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
-    return CaptureIndex(materialize(ordered.mapInArrow(pack, "block long, first_key string, n long, data binary"), "warc-blocks"), folder)
+    return CaptureIndex(materialize(ordered.mapInArrow(pack, "first_key string, file string, offset long, length long"), "warc-directory"), folder)
 
 
 def archive_folder(spark: SparkSession) -> str:

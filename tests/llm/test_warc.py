@@ -46,6 +46,20 @@ def test_small_payloads_below_the_limit_are_all_responses(spark):
     assert {r.page_id: r.refers_to for r in index.fetch(index.lookup(pages)).collect()} == {1: None, 2: None, 3: None, 4: 3}
 
 
+def test_many_revisits_are_joined_by_id(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_REVISITS", 0)
+    test_round_trip_with_nulls_ties_and_repeats(spark)
+
+
+def test_many_unknown_keys_and_keys_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_FETCH_BYTES", 64)
+    _, index = run(spark, [(i, f"http://m.org/{i % 3}", f"page {i}", None, None) for i in range(30)])
+    asked = spark.createDataFrame([(f"http://a.org/{i}",) for i in range(500)] + [("http://m.org/1",)] * 3, "url string")
+    records = index.fetch(index.lookup(asked))
+    assert sorted(r.page_id for r in records.collect()) == list(range(1, 30, 3)) and records.rdd.getNumPartitions() > 1
+    assert warc.span(["b", "b", "c"], "b") == [0, 1] and warc.span(["b", "c"], "a") == [] and warc.span([], "a") == []
+
+
 def test_empty_table(spark):
     pages, index = run(spark, [])
     assert index.fetch(index.lookup(pages)).collect() == []
