@@ -1,128 +1,70 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-A text passes a cheap gate first: only one that holds a license word at all is normalised (lower case, words joined by
-single spaces) and scanned. Each rule is a regular expression over the normalised text with a keyword of its own, and runs
-only where the keyword occurs. Detections that lie inside a detection of a higher or equal rank are suppressed; what is
+A text passes a gate first: only one that holds the keyword of a rule (or a licence word, where the keyword is an ordinary
+word) is normalised (lower case, words joined by single spaces) and scanned. Each rule (``license_rules``) is a regular
+expression over the normalised text with a keyword of its own, and runs only where the keyword occurs. Detections that lie inside a detection of a higher or equal rank are suppressed; what is
 left gives the labels. All of it is one projection over the scan: no shuffle, no Python, and a row never meets another row,
 so neither copies nor hot sources matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_rules import LEVELS, ORDINARY_WORDS, TRIGGERS, gate, rules
 
 # The phrases of the base labels.
 BASE_PHRASES = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
 
-# Label, keyword, pattern of the name, pattern of the versions ("" where the license has none).
-FAMILIES = (
-    ("gpl", "gpl", "gpl", "[123](?: 0)?"),
-    ("gpl", "general public", "(?:gnu )?general public licen[sc]e", "[123](?: 0)?"),
-    ("lgpl", "lgpl", "lgpl", "[23](?: [01])?"),
-    ("lgpl", "lesser general", "(?:gnu )?lesser general public licen[sc]e", "[23](?: [01])?"),
-    ("agpl", "agpl", "agpl", "[13](?: 0)?"),
-    ("agpl", "affero", "(?:gnu )?affero general public licen[sc]e", "[13](?: 0)?"),
-    ("fdl", "free documentation", "(?:gnu )?free documentation licen[sc]e", "1 [123]"),
-    ("apache", "apache", "apache(?: software)?(?: licen[sc]e)?", "[12](?: [01])?"),
-    ("mit", "mit", "mit(?: licen[sc]e)?", ""),
-    ("mit", "expat", "expat(?: licen[sc]e)?", ""),
-    ("x11", "x11", "x11(?: licen[sc]e)?", ""),
-    ("bsd", "bsd", "(?:[234] clause |simplified |new |revised |modified )?bsd(?: [234] clause)?(?: licen[sc]e)?", ""),
-    ("isc", "isc", "isc licen[sc]e", ""),
-    ("mpl", "mozilla public", "mozilla public licen[sc]e", "[12] [01]"),
-    ("mpl", "mpl", "mpl", "[12] [01]"),
-    ("epl", "eclipse public", "eclipse public licen[sc]e", "[12] 0"),
-    ("cddl", "common development", "common development and distribution licen[sc]e", "1 [01]"),
-    ("eupl", "european union public", "european union public licen[sc]e", "1 [012]"),
-    ("artistic", "artistic", "(?:clarified )?artistic licen[sc]e", "[12] 0"),
-    ("zlib", "zlib", "zlib(?: libpng)?(?: licen[sc]e)?", ""),
-    ("boost", "boost", "boost software licen[sc]e", "1 0"),
-    ("unlicense", "unlicense", "(?:the )?unlicense", ""),
-    ("wtfpl", "wtfpl", "wtfpl", "[12]"),
-    ("psf", "python software foundation", "python software foundation licen[sc]e", "2"),
-    ("php", "php", "php licen[sc]e", "3 0[01]?"),
-    ("ofl", "open font", "(?:sil )?open font licen[sc]e", "1 [01]"),
-    ("ms-pl", "microsoft public", "microsoft public licen[sc]e", ""),
-    ("odbl", "open database", "open database licen[sc]e", "1 0"),
-    ("pddl", "public domain dedication", "(?:open data commons )?public domain dedication(?: and)? licen[sc]e", "1 0"),
-    ("cc0", "cc0", "cc0", "1 0"),
-    ("public-domain", "public domain", "(?:the )?public domain", ""),
-    ("cc-by", "cc by", "cc by", "[1234] [05]"),
-    ("cc-by-sa", "cc by sa", "cc by sa", "[1234] [05]"),
-    ("cc-by-nd", "cc by nd", "cc by nd", "[1234] [05]"),
-    ("cc-by-nc", "cc by nc", "cc by nc", "[1234] [05]"),
-    ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa", "[1234] [05]"),
-    ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd", "[1234] [05]"),
-    ("cc-by", "creative commons", "creative commons attribution", "[1234] [05]"),
-    ("cc-by-sa", "creative commons", "creative commons attribution share ?alike", "[1234] [05]"),
-    ("cc-by-nc", "creative commons", "creative commons attribution non ?commercial", "[1234] [05]"),
-    ("cc-by-nd", "creative commons", "creative commons attribution no ?deriv(?:ative)?s", "[1234] [05]"),
-    ("proprietary", "all rights", "all rights reserved", ""),
-    ("proprietary", "proprietary", "proprietary and confidential", ""),
-)
-
-# Rank (0 is the highest), confidence, and what stands around a name. V stands for the version part.
-TEMPLATES = (
-    (0, 1.0, "spdx licen[sc]e identifier NAME(?: V)?(?: only| or later)?"),
-    (0, 1.0, "(?:licen[sc]ed|released|distributed|published|available|redistributed)(?: to you)? under(?: the)?(?: terms of)?(?: the)? NAME(?: licen[sc]e)?(?: version| v)?(?: V)?(?: international)?"),
-    (1, 0.9, "(?:subject to|governed by|covered by|see|under)(?: the)?(?: terms of)?(?: the)? NAME(?: licen[sc]e)?(?: version| v)?(?: V)?"),
-    (1, 0.9, "(?:dedicated to|placed in|in) NAME"),
-    (2, 0.8, "NAME(?: licen[sc]e)?(?: version| v)? V"),
-    (3, 0.6, "NAME licen[sc]e"),
-    (4, 0.5, "NAME"),
-)
-# Names that are words or projects too, so that they count only beside a licence word.
-ORDINARY = ("mit", "apache", "x11", "zlib", "public-domain")
-LEVELS = 1 + max(t[0] for t in TEMPLATES)
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words before lower-casing; between them stand the separators.
-WORD, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
+SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+WORD, BETWEEN = f"[^{SEPARATORS}]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Matches that are folded in one step.
+FOLD = 128
 
-def rules() -> list[tuple[int, float, str, str, str]]:
-    """Rank, confidence, label, keyword and pattern of every rule: each family in each template that suits it."""
-    out = []
-    for label, keyword, name, versions in FAMILIES:
-        for rank, confidence, template in TEMPLATES:
-            dedication, versioned = "dedicated" in template, template.endswith(" V")
-            if dedication != (label == "public-domain") and dedication or versioned and not versions or rank == 4 and label in ORDINARY:
-                continue
-            body = template.replace("NAME", f"(?:{name})")
-            body = body.replace("(?: V)?", f"(?: (?:{versions}))?" if versions else "").replace(" V", f" (?:{versions})")
-            out.append((rank, confidence, label, keyword, f"(?<= ){body}(?= )"))
-    return out
 
-
-def _gate() -> str:
-    """A superset of the texts that can match a base phrase or a rule, as one regular expression over raw text."""
-    words = sorted({k.split()[0] for _, k, _, _ in FAMILIES} | {p.split()[0] for p in BASE_PHRASES.values()})
-    return f"(?i)(?<![0-9a-z])(?:{'|'.join(words)})"
+def gate_phrases() -> list[str]:
+    """Phrases one of which stands in every text that a base phrase or a rule can match."""
+    keywords = {r.keyword for r in rules()} | set(BASE_PHRASES.values())
+    return sorted(keywords - set(ORDINARY_WORDS) | set(TRIGGERS))
 
 
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _running(values: Column, kind: str, total: Callable[[Column], Column], each: Callable[[Column, Column], Column]) -> Column:
+    """Array of ``each(sum of totals before, value)``: a fold that appends to an array copies it at each step, so it goes by blocks.
+
+    ``kind``: type of an element of the result.
+    """
+    n = F.size(values)
+
+    def fold(array: Column, begin: Column, out: str, made: Callable[[Column, Column], Column], size: Callable[[Column], Column]) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast(f"array<{out}>").alias("out"))
+        return F.aggregate(array, start, lambda s, x: F.struct((s["at"] + size(x)).alias("at"), F.concat(s["out"], F.array(made(s["at"], x))).alias("out")), lambda s: s["out"])
+
+    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / FOLD).cast("int")), lambda k: F.slice(values, k * FOLD + 1, F.lit(FOLD)))).otherwise(F.slice(F.array(values), 1, 0))
+    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + total(x)))
+    offsets = fold(sums, F.lit(0), "int", lambda at, x: at, lambda x: x)
+    return F.flatten(F.zip_with(blocks, offsets, lambda b, o: fold(b, o, kind, each, total)))
+
+
 def _spans(text: Column, pattern: Column) -> Column:
     """Array of (start, end) of all matches: between them stand the pieces of a split."""
     found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["piece"])
-        end = begin + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("out"))
-
-    return F.aggregate(F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(p.alias("piece"), m.alias("match"))), start, step, lambda s: s["out"])
+    lengths = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("size")))
+    return _running(lengths, "struct<start:int,end:int>", lambda x: x["gap"] + x["size"], lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end")))
 
 
 def detections(norm: Column) -> Column:
     """All matches of all rules whose keyword occurs, in order of start, the longer and the higher in rank first."""
-    known = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(confidence).alias("confidence"), F.lit(label).alias("label"), F.lit(f" {keyword}").alias("keyword"), F.lit(pattern).alias("pattern")) for rank, confidence, label, keyword, pattern in rules()])
+    known = F.expr("array(" + ", ".join(f"named_struct('rank', {r.rank}, 'confidence', {r.confidence}D, 'label', '{r.label}', 'keyword', ' {r.keyword} ', 'pattern', r'{r.pattern}')" for r in rules()) + ")")
     hit = F.filter(known, lambda r: F.contains(norm, r["keyword"]))
     each = F.transform(hit, lambda r: F.transform(_spans(norm, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("to"), r["rank"].alias("rank"), r["label"].alias("label"), r["confidence"].alias("confidence"))))
     return F.array_sort(F.flatten(each))
@@ -156,7 +98,7 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     keep = [F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() not in made]
     t = F.col(f"`{text}`")
     words = F.trim(F.regexp_replace(F.translate(t, UPPER, LOWER), BETWEEN, " "))
-    stage = docs.select(*keep, F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.when(t.rlike(_gate()), F.concat(F.lit(" "), words, F.lit(" "))).alias("__norm"))
+    stage = docs.select(*keep, F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.when(t.rlike(gate(gate_phrases(), SEPARATORS)), F.concat(F.lit(" "), words, F.lit(" "))).alias("__norm"))
     norm = F.col("__norm")
     pieces = {f"__{i}": F.split(norm, f"(?<= ){phrase}(?= )", -1) for i, phrase in enumerate(BASE_PHRASES.values())}
     stage = stage.withColumns(pieces | {"__found": surviving(detections(norm))})

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -348,7 +349,55 @@ def test_licence_rules_and_suppression(spark):
     for r in license_scan.license_scan(docs).collect():
         labels, score = list(cases.values())[r.doc_id]
         assert (r.labels, r.score) == (labels, score), list(cases)[r.doc_id]
-    assert len(license_scan.rules()) > 200
+    assert len(license_scan.rules()) > 400
+
+
+def licence_labels(text):
+    """Labels and score with every rule run on every text, and each detection held against all others."""
+    norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(AZ))) + " "
+    found = sorted({(m.start(), -m.end(), r.rank, r.label, r.confidence) for r in license_scan.rules() for m in re.finditer(r.pattern, norm, re.ASCII)})
+    kept = [a for a in found if not any(b[0] <= a[0] and b[1] <= a[1] and b[2] <= a[2] and b[:4] < a[:4] for b in found)]
+    base = set(filter(None, licence_facts(text)[4].split(",")))
+    return ",".join(sorted({a[3] for a in kept} | base)), max([a[4] for a in kept] + [0.5 if base else 0.0])
+
+
+def sample_of(pattern, rng):
+    """A text that a rule's pattern matches: options are drawn, alternatives chosen."""
+    body = re.sub(r"^\(\?<= \)|\(\?= \)$", "", pattern)
+    while True:
+        inner = re.search(r"\(\?[:!][^()]*\)(\?|\*|\{\d,\d+\}\??)?", body)
+        if not inner:
+            break
+        text, times = inner[0], inner[1]
+        arms = re.sub(r"^\(\?[:!]|\)(\?|\*|\{\d,\d+\}\??)?$", "", text).split("|")
+        n = 0 if text.startswith("(?!") else 1 if times is None else rng.randint(int(times[1:].split(",")[0]), 2) if times.startswith("{") else rng.randint(0, 1)
+        body = body[: inner.start()] + "".join(rng.choice(arms) for _ in range(n)) + body[inner.end() :]
+    body = re.sub(r"\[([^\]]*)\](\{1,2\})?", lambda m: rng.choice(m[1].replace("-", "")), body)
+    return re.sub(r"(\S)\?", lambda m: rng.choice(["", m[1]]), body.replace(r"\S+", "word"))
+
+
+def test_licences_against_all_rules_on_all_texts(spark):
+    rng = random.Random(21)
+    rules = license_scan.rules()
+    made = [sample_of(r.pattern, rng) for r in rules]
+    hits = sum(bool(re.search(r.pattern, f" {m} ", re.ASCII)) for r, m in zip(rules, made, strict=True))
+    assert hits > 0.95 * len(rules)
+    fill = ["mit", "see mit", "under the apache", "und", "code", "license", "Licence!", "cc by", "cc-by-sa 4.0", "GPL-2.0-or-later", "v3", "the", "é"]
+    texts = [m.upper() if i % 3 == 0 else m.replace(" ", ", ", 2) for i, m in enumerate(made)]
+    texts += [" ".join(rng.choice(made) if rng.random() < 0.5 else rng.choice(fill) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    texts += ["SPDX-License-Identifier: MIT OR Apache-2.0 AND BSD-3-Clause", "spdx license identifier " + "or " * 500, "mit " * 300, "licensed under gpl 2 " * 700, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(docs).collect()}
+    wrong = {i: (t, got[i], licence_labels(t)) for i, t in enumerate(texts) if len(t or "") < 5000 and got[i] != licence_labels(t)}
+    assert not wrong, list(wrong.values())[:3]
+    assert got[texts.index("licensed under gpl 2 " * 700)] == ("gpl", 1.0)
+
+
+def test_starts_and_ends_of_many_matches(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "FOLD", 3)
+    texts = ["", "x", "ab x ab", "ab" * 50, "x".join(["ab"] * 20) + "yy", "ab" * 9 + "z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", license_scan._spans(F.col("t"), F.lit("ab")).alias("s")).collect()
+    assert [[tuple(x) for x in r.s] for r in rows] == [[m.span() for m in re.finditer("ab", r.t)] for r in rows]
 
 
 # mixing
