@@ -1,7 +1,6 @@
 """Pairwise alignment of columns, in Arrow batches.
 
-One numpy step handles a row of the dynamic program for all pairs of a batch; gaps along the row come from a running minimum.
-Costs are minimised. Two settings are offered, which are not interchangeable: ``affine`` (global; mismatch 4, gap of n
+One numpy step handles an antidiagonal of the dynamic program for all pairs of a batch. Costs are minimised. Two settings are offered, which are not interchangeable: ``affine`` (global; mismatch 4, gap of n
 6 + 2 n) and ``nw`` (free end gaps; match 2, mismatch -1, gap of n -3 - n, as negated costs).
 """
 
@@ -11,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,93 +45,203 @@ SCORINGS = {
 }
 
 
-def _padded(rows: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
-    size = np.array([len(r) for r in rows])
-    out = np.full((len(rows), max(int(size.max(initial=0)), 1)), fill, dtype=np.uint8)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = np.frombuffer(r.encode("ascii", "replace"), dtype=np.uint8)
+def _padded(rows: list[str], fill: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Letters as (place, row), filled up, and the rows' lengths."""
+    size = np.array([len(r) for r in rows], dtype=np.int64)
+    out = np.full((max(int(size.max(initial=0)), 1), len(rows)), fill, dtype=kind)
+    for k, r in enumerate(rows):
+        out[: len(r), k] = np.frombuffer(r.encode("ascii", "replace"), dtype=np.uint8)
     return out, size
 
 
-def align_batch(a: list[str], b: list[str], scoring: Scoring) -> tuple[np.ndarray, list[str]]:
+class _Program:
+    """The dynamic program of a batch, an antidiagonal of all its pairs at a time; letters of ``a`` go down, those of ``b`` right.
+
+    A state is (costs of the last antidiagonal and the one before, costs that end in a gap along the row and down the
+    column, the windows of both antidiagonals): arrays by place in ``a``, with a spare place in front. ``limit``: cells above it, and above the least
+    of their antidiagonal and ``slack``, leave the window, so that work follows the score.
+    """
+
+    def __init__(self, a: list[str], b: list[str], scoring: Scoring, limit: int | None, slack: int | None):
+        self.scoring, self.size = scoring, len(a)
+        longest = max(map(len, a), default=0) + max(map(len, b), default=0)
+        worst = 2 * scoring.opening + (longest + 2) * max(abs(scoring.match), scoring.mismatch, scoring.extending)
+        self.kind, self.far = (np.int16, 1 << 14) if worst < 12_000 else (np.int32, FAR)
+        self.x, self.n = _padded(a, 0, self.kind)
+        y, self.m = _padded(b, 1, self.kind)
+        self.backwards = np.ascontiguousarray(y[::-1])
+        self.height, self.width = len(self.x), len(y)
+        self.limit = self.far - 1 if limit is None else min(limit, self.far - 1)
+        self.slack, self.bounded = slack, limit is not None or slack is not None
+        self.buffers = [np.empty((self.height + 1, self.size), dtype=self.kind) for _ in range(5)]
+
+    def start(self) -> list:
+        h, h_before, right, down = (np.full((self.height + 2, self.size), self.far, dtype=self.kind) for _ in range(4))
+        h[1] = 0
+        return [h, h_before, right, down, (0, 0), None]
+
+    def row(self, state: list, d: int, moves: bool) -> tuple[int, np.ndarray | None]:
+        """Go on to antidiagonal ``d``; returns the first place of its cells, and their moves if asked for."""
+        h, before, right, down, last_window, window_before = state
+        s, both, ext = self.scoring, self.scoring.opening + self.scoring.extending, self.scoring.extending
+        # gaps come from the last antidiagonal, pairs of letters from the one before
+        reach = [w for w in (last_window, window_before) if w is not None]
+        lowest, highest = min(w[0] for w in reach), max(w[1] for w in reach)
+        low, high = max(min(w[0] + (w is window_before) for w in reach), d - self.width, 0), min(highest + 1, d, self.height)
+        if low > high:
+            state[0], state[1], state[4], state[5] = before, h, None, last_window
+            return low, None
+        k = high - low + 1
+        diagonal, step, best, opened, extended = (b[:k] for b in self.buffers)
+        # place i stands at i + 1; the one above it at i
+        here, above = slice(low + 1, high + 2), slice(low, high + 1)
+        flags = None
+        np.add(h[above], both, out=opened)
+        np.add(down[above], ext, out=extended)
+        if moves:
+            flags = (opened <= extended).view(np.uint8) << 2
+        new_down = np.minimum(opened, extended)
+        np.add(h[here], both, out=opened)
+        np.add(right[here], ext, out=extended)
+        if moves:
+            flags |= (opened <= extended).view(np.uint8) << 3
+        np.minimum(opened, extended, out=right[here])
+        if low == 0:
+            new_down[0] = self.far
+        if high == d:
+            right[d + 1] = self.far
+        # the letter of b at i is d - i - 1: with b backwards both run the same way
+        first, last = max(low, 1), min(high, d - 1)
+        diagonal[:] = self.far
+        if first <= last:
+            part = diagonal[first - low : last - low + 1]
+            t, at = step[: last - first + 1], self.width - d
+            np.bitwise_xor(self.x[first - 1 : last], self.backwards[at + first : at + last + 1], out=t)
+            np.minimum(t, 1, out=t)
+            t *= s.mismatch - s.match
+            np.add(before[first : last + 1], s.match, out=part)
+            part += t
+        np.minimum(diagonal, new_down, out=best)
+        np.minimum(best, right[here], out=best)
+        if s.free_ends:
+            if low == 0:
+                best[0] = 0
+            if high == d:
+                best[d - low] = new_down[d - low] = 0
+        if moves:
+            if s.gaps_first:
+                across, below = right[here] != best, new_down != best
+                flags |= (~across).view(np.uint8) * LEFT + (across & ~below).view(np.uint8)
+            else:
+                across = diagonal != best
+                flags |= across.view(np.uint8) + (across & (new_down != best)).view(np.uint8)
+        down[here] = new_down
+        before[here] = best
+        state[0], state[1] = before, h
+        cells, window = before, (low, high)
+        if self.bounded:
+            # a pair that has ended has no say, and places that leave the window cost too much for all
+            alive = (self.n + self.m >= d)[None, :]
+            bound = self.limit if self.slack is None else np.minimum(np.where(alive, best, self.far).min(axis=0) + self.slack, self.limit)
+            near = np.flatnonzero(((best <= bound) & alive).any(axis=1))
+            window = (low + int(near[0]), low + int(near[-1])) if len(near) else None
+            begin, end = min(low, lowest) + 1, max(high, highest) + 2
+            for array in (cells, right, down):
+                if window is None:
+                    array[begin:end] = self.far
+                else:
+                    array[begin : window[0] + 1] = self.far
+                    array[window[1] + 2 : end] = self.far
+        state[4], state[5] = window, last_window
+        return low, flags
+
+
+def align_batch(a: list[str], b: list[str], scoring: Scoring, cap: int | None = None, slack: int | None = None) -> tuple[list[int | None], list[str]]:
     """Score and moves (M match, X mismatch, D letter of ``a`` alone, I letter of ``b`` alone) of each pair.
 
-    Ties go to the diagonal, then to D, then to I; with ``gaps_first`` to I, then D, then the diagonal.
+    Ties go to the diagonal, then to D, then to I; with ``gaps_first`` to I, then D, then the diagonal. ``cap``: a pair whose
+    cost is above it has no score (None), and no cells above it are worked on; for settings that charge for gaps at the
+    ends. ``slack``: cells that cost so much more than the best of their antidiagonal are given up, which is faster for
+    similar pairs and not exact. Moves are held for CELLS cells at most: of larger programs the states of some antidiagonals
+    are, and the moves between two of them are made again on the way back.
     """
-    x, n = _padded(a, 0)
-    y, m = _padded(b, 1)
-    size, height, width = len(a), x.shape[1], y.shape[1]
-    lanes, columns = np.arange(size), np.arange(width + 1, dtype=np.int32)
-    costs = np.array([scoring.mismatch, scoring.match], dtype=np.int32)
-    ext, both = scoring.extending, scoring.opening + scoring.extending
-    first = np.where(columns > 0, 0 if scoring.free_ends else scoring.opening + ext * columns, 0)
-    h = np.broadcast_to(first, (size, width + 1)).astype(np.int32).copy()
-    up = np.full((size, width + 1), FAR, dtype=np.int32)
-    moves = np.zeros((height + 1, size, width + 1), dtype=np.uint8)
-    moves[0] = LEFT
-    last_row, last_col = h.copy(), np.zeros((height + 1, size), dtype=np.int32)
-    last_col[0] = h[lanes, m]
-    for i in range(1, height + 1):
-        opened = h + both
-        extended = up + ext
-        up = np.minimum(opened, extended)
-        if scoring.free_ends:
-            up[:, 0] = 0
-        elif i == 1:
-            up[:, 0] = both
-        diagonal = np.full_like(h, FAR)
-        diagonal[:, 1:] = h[:, :-1] + costs[(x[:, i - 1 : i] == y).view(np.uint8)]
-        best = np.minimum(diagonal, up)
-        # a gap along the row that starts after column k costs opening + ext * (j - k)
-        reach = np.minimum.accumulate(best - ext * columns, axis=1)
-        left = np.full_like(h, FAR)
-        left[:, 1:] = reach[:, :-1] + scoring.opening + ext * columns[1:]
-        new = np.minimum(best, left)
-        # bytes 0, 1, 2 for the diagonal, up and left, without wide intermediates
-        if scoring.gaps_first:
-            right, below = left != new, up != new
-            choice = (~right).view(np.uint8) * LEFT + (right & ~below).view(np.uint8)
-        else:
-            across, below = diagonal != new, up != new
-            choice = across.view(np.uint8) + (across & below).view(np.uint8)
-        choice |= (opened <= extended).view(np.uint8) << 2
-        choice[:, 1:] |= (new[:, :-1] + both <= left[:, 1:]).view(np.uint8) << 3
-        choice[:, 0] = UP
-        moves[i] = choice
-        h = new
-        last_col[i] = h[lanes, m]
-        ends = n == i
-        last_row[ends] = h[ends]
-    i, j = n.copy(), m.copy()
+    if not a:
+        return [], []
+    if cap is not None and scoring.free_ends:
+        raise ValueError("a cap needs costs that never fall")
+    program = _Program(a, b, scoring, cap, slack)
+    n, m, size, far = program.n, program.m, program.size, program.far
+    lanes, total = np.arange(size), program.height + program.width
+    block = max(CELLS // ((program.height + 1) * size), 1)
+    whole = block >= total or (program.height + 1) * (program.width + 1) * size <= CELLS
+    state, saved, kept = program.start(), {}, {}
+    ends = n + m
+    score = np.where(ends == 0, 0, far).astype(np.int64)
     tails = [""] * size
+    i, j = n.copy(), m.copy()
+    if scoring.free_ends:
+        by_col, by_row = np.zeros((2, size), np.int64) + far  # least of the last column and of the last row
+        col_at, row_at = np.zeros((2, size), np.int64)
+        by_col[m == 0], by_row[n == 0] = 0, 0
+    for d in range(1, total + 1):
+        if not whole and (d - 1) % block == 0:
+            saved[d] = [x.copy() for x in state[:4]] + state[4:]
+        low, flags = program.row(state, d, whole)
+        if whole:
+            kept[d] = (low, flags)
+        if state[4] is None and state[5] is None:
+            break
+        cells = state[0]
+        done = np.flatnonzero(ends == d)
+        score[done] = cells[n[done] + 1, done]
+        if scoring.free_ends:
+            at = d - m
+            on = (at >= 0) & (at <= n)
+            value = np.where(on, cells[np.where(on, at, 0) + 1, lanes], far)
+            better = on & (value <= by_col)
+            by_col, col_at = np.where(better, value, by_col), np.where(better, at, col_at)
+            on = (d >= n) & (d - n <= m)
+            value = np.where(on, cells[n + 1, lanes], far)
+            better = on & (value <= by_row)
+            by_row, row_at = np.where(better, value, by_row), np.where(better, d - n, row_at)
     if scoring.free_ends:
-        rows = np.where(np.arange(height + 1)[:, None] <= n, last_col, FAR)
-        cells = np.where(columns <= m[:, None], last_row, FAR)
-        by_row, by_col = rows.min(axis=0), cells.min(axis=1)
-        score = np.minimum(by_row, by_col)
         # the longest overlap: the last place with the best score
-        i = np.where(by_row <= by_col, height - rows[::-1].argmin(axis=0), n)
-        j = np.where(by_row <= by_col, m, width - cells[:, ::-1].argmin(axis=1))
+        score = np.minimum(by_col, by_row)
+        i, j = np.where(by_col <= by_row, col_at, n), np.where(by_col <= by_row, m, row_at)
         tails = ["D" * int(p) + "I" * int(q) for p, q in zip(n - i, m - j, strict=True)]
-    else:
-        score = last_row[lanes, m]
-    # all pairs are traced back together, a move at a time
-    state = np.full(size, -1)
-    trail = np.full((height + width + 1, size), b" "[0], dtype=np.uint8)
-    for step in range(height + width):
-        live = (i > 0) | (j > 0)
-        if not live.any():
-            break
-        at = moves[i, lanes, j]
-        now = np.where(state >= 0, state, at & 3)
-        now = np.where(i == 0, LEFT, np.where(j == 0, UP, now))
-        same = x[lanes, np.maximum(i - 1, 0)] == y[lanes, np.maximum(j - 1, 0)]
-        trail[step] = np.where(~live, b" "[0], np.where(now == DIAGONAL, np.where(same, b"M"[0], b"X"[0]), np.where(now == UP, b"D"[0], b"I"[0])))
-        state = np.where((now == UP) & (at & UP_OPENS == 0), UP, np.where((now == LEFT) & (at & LEFT_OPENS == 0), LEFT, -1))
-        i = i - (live & (now != LEFT))
-        j = j - (live & (now != UP))
-    paths = [bytes(trail[:, k][::-1]).decode().strip() + tails[k] for k in range(size)]
-    return score * scoring.sign, paths
+    found = score <= (program.limit if program.bounded else far)
+    found &= score < far
+    i, j = np.where(found, i, 0), np.where(found, j, 0)
+    # all pairs are traced back together, a move at a time and block by block of antidiagonals
+    state_of, trail, steps = np.full(size, -1), np.full((total + 1, size), b" "[0], dtype=np.uint8), np.zeros(size, np.int64)
+    for begin in [1] if whole else sorted(saved, reverse=True):
+        if not whole:
+            here = saved.pop(begin)
+            kept = {d: program.row(here, d, True) for d in range(begin, min(begin + block, total + 1))}
+        known = sorted(d for d in kept if kept[d][1] is not None)
+        first = np.zeros(total + 2, np.int64)
+        lows = np.zeros(total + 2, np.int64)
+        flat = np.concatenate([kept[d][1].ravel() for d in known]) if known else np.zeros(1, np.uint8)
+        at = 0
+        for d in known:
+            first[d], lows[d] = at, kept[d][0]
+            at += kept[d][1].size
+        while True:
+            live = np.flatnonzero(i + j >= begin)
+            if not len(live):
+                break
+            u, v, held = i[live], j[live], state_of[live]
+            inner = (u > 0) & (v > 0)
+            byte = flat[np.where(inner, first[u + v] + (u - lows[u + v]) * size + live, 0)]
+            now = np.where(u == 0, LEFT, np.where(v == 0, UP, np.where(held >= 0, held, byte & 3)))
+            same = program.x[np.maximum(u - 1, 0), live] == program.backwards[np.minimum(program.width - v, program.width - 1), live]
+            trail[steps[live], live] = np.where(now == DIAGONAL, np.where(same, b"M"[0], b"X"[0]), np.where(now == UP, b"D"[0], b"I"[0]))
+            steps[live] += 1
+            state_of[live] = np.where((now == UP) & (byte & UP_OPENS == 0), UP, np.where((now == LEFT) & (byte & LEFT_OPENS == 0), LEFT, -1))
+            i[live], j[live] = u - (now != LEFT), v - (now != UP)
+        kept = {}
+    paths = [bytes(trail[: steps[k], k][::-1]).decode() + tails[k] if found[k] else "" for k in range(size)]
+    return [int(x) * scoring.sign if ok else None for x, ok in zip(score, found, strict=True)], paths
 
 
 def run_lengths(path: str) -> str:
@@ -156,50 +266,60 @@ def site_counts(a: str, b: str, path: str) -> tuple[int, int]:
 ALIGNMENT = StructType([StructField("score", IntegerType()), StructField("cigar", StringType()), StructField("different", IntegerType()), StructField("sites", IntegerType())])
 
 
-def aligned(pairs: DataFrame, aligner: str = "affine", a: str = "a", b: str = "b", name: str = "alignment", max_score: int | None = None) -> DataFrame:
+def aligned(pairs: DataFrame, aligner: str = "affine", a: str = "a", b: str = "b", name: str = "alignment", max_score: int | None = None, slack: int | None = None) -> DataFrame:
     """``pairs`` with a struct (score, cigar, different, sites) of columns ``a`` and ``b``; null where either is null.
 
-    With ``max_score``, null too where the score is above it.
+    With ``max_score``, null too where the score is above it, and the work ends there; with ``slack``, cells that lag are
+    given up and the score may not be the best (see ``align_batch``).
 
-    Pairs are aligned in groups of like size whose dynamic programs fit CELLS cells; a longer pair is a group of its own.
+    Pairs are aligned in groups of like size whose dynamic programs fit CELLS cells; a longer pair is a group of its own, of
+    which parts are held. Equal pairs of a batch are aligned once.
     """
     scoring = SCORINGS[aligner]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (a, b))
-            out: list[dict | None] = [None] * len(left)
-            order = sorted((k for k in range(len(left)) if left[k] is not None and right[k] is not None), key=lambda k: (len(left[k]), len(right[k])))
+            told: dict[tuple[str, str], dict | None] = {}
+            order = sorted({p for p in zip(left, right, strict=True) if p[0] is not None and p[1] is not None}, key=lambda p: (len(p[0]), len(p[1]), p))
             start = 0
             while start < len(order):
                 end, h, w = start, 0, 0
                 while end < len(order):
-                    h, w = max(h, len(left[order[end]])), max(w, len(right[order[end]]))
+                    h, w = max(h, len(order[end][0])), max(w, len(order[end][1]))
                     if end > start and (h + 1) * (w + 1) * (end - start + 1) > CELLS:
                         break
                     end += 1
                 part = order[start:end]
-                scores, paths = align_batch([left[k] for k in part], [right[k] for k in part], scoring)
-                for k, score, path in zip(part, scores.tolist(), paths, strict=True):
-                    different, sites = site_counts(left[k], right[k], path)
-                    out[k] = {"score": score, "cigar": run_lengths(path), "different": different, "sites": sites}
+                scores, paths = align_batch([x for x, _ in part], [y for _, y in part], scoring, max_score, slack)
+                for (x, y), score, path in zip(part, scores, paths, strict=True):
+                    different, sites = site_counts(x, y, path) if score is not None else (0, 0)
+                    told[x, y] = None if score is None else {"score": score, "cigar": run_lengths(path), "different": different, "sites": sites}
                 start = end
+            out = [told.get(p) for p in zip(left, right, strict=True)]
             kind = pa.struct([("score", pa.int32()), ("cigar", pa.string()), ("different", pa.int32()), ("sites", pa.int32())])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=kind)], names=[*batch.schema.names, name])
 
-    out = pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField(name, ALIGNMENT)]))
-    return out if max_score is None else out.withColumn(name, F.when(F.col(f"{name}.score") <= max_score, F.col(name)))
+    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField(name, ALIGNMENT)]))
+
+
+def side_by_side(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Differing and comparable sites of each two sequences laid side by side, all in one comparison."""
+    n = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+    u, v = (np.frombuffer("".join(x[:k] for x, k in zip(s, n.tolist(), strict=True)).encode("ascii", "replace"), np.uint8) for s in (a, b))
+    known = (u != b"N"[0]) & (v != b"N"[0])
+    ends, out = np.cumsum(n), []
+    for mask in ((u != v) & known, known):
+        total = np.concatenate([[0], np.cumsum(mask)])
+        out.append(total[ends] - total[ends - n])
+    return out[0], out[1]
 
 
-@F.udf(StructType([StructField("different", IntegerType()), StructField("sites", IntegerType())]), useArrow=True)
-def ungapped_counts(a, b):
-    """Differing and comparable sites of two sequences laid side by side from their first letters on."""
-    if a is None or b is None:
-        return None
-    n = min(len(a), len(b))
-    u, v = np.frombuffer(a[:n].encode(), np.uint8), np.frombuffer(b[:n].encode(), np.uint8)
-    known = (u != 78) & (v != 78)
-    return {"different": int(((u != v) & known).sum()), "sites": int(known.sum())}
+@F.pandas_udf(StructType([StructField("different", IntegerType()), StructField("sites", IntegerType())]))
+def ungapped_counts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Differing and comparable sites of two sequences laid side by side from their first letters on; a null one has none."""
+    different, sites = side_by_side(a.fillna("").tolist(), b.fillna("").tolist())
+    return pd.DataFrame({"different": different, "sites": sites})
 
 
-__all__ = ["ALIGNMENT", "SCORINGS", "Scoring", "align_batch", "aligned", "run_lengths", "site_counts", "ungapped_counts"]
+__all__ = ["ALIGNMENT", "SCORINGS", "Scoring", "align_batch", "aligned", "run_lengths", "side_by_side", "site_counts", "ungapped_counts"]

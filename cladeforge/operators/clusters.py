@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..functions.alignment import CELLS, SCORINGS, align_batch, site_counts
+from ..functions.alignment import CELLS, SCORINGS, align_batch, side_by_side, site_counts
 
 #: Bytes of root sequences that are sent to all tasks at most.
 MAX_ROOT_BYTES = 64 << 20
@@ -21,13 +21,8 @@ def _counts(seqs: list[str], root: str, aligner: str) -> list[tuple[int, int]]:
     if aligner != "ungapped":
         _, paths = align_batch([root] * len(seqs), seqs, SCORINGS[aligner])
         return [site_counts(root, s, p) for s, p in zip(seqs, paths, strict=True)]
-    out, r = [], np.frombuffer(root.encode(), np.uint8)
-    for s in seqs:
-        n = min(len(s), len(r))
-        v = np.frombuffer(s[:n].encode(), np.uint8)
-        known = (v != 78) & (r[:n] != 78)
-        out.append((int(((v != r[:n]) & known).sum()), int(known.sum())))
-    return out
+    different, sites = side_by_side(seqs, [root] * len(seqs))
+    return list(zip(different.tolist(), sites.tolist(), strict=True))
 
 
 def _groups(seqs: list[str], longest: int, at_once: int) -> Iterator[list[str]]:

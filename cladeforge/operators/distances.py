@@ -2,34 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions.alignment import aligned, ungapped_counts
+from ..functions.seeds import coded, seed_matches, seed_table
 
 #: A sample is meant to be small: all pairs of one beyond this are refused.
 MAX_SAMPLE = 10_000
+#: Letters of a sample that are sent to all tasks at most.
+MAX_SAMPLE_LETTERS = 64 << 20
 
 
-def pairs(sample: DataFrame, key: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """All pairs i < j of a sample, with both sequences, dealt out evenly. The sample's size is checked, then broadcast."""
-    n = sample.count()
-    if n > MAX_SAMPLE:
-        raise ValueError(f"a sample of {n} has too many pairs; at most {MAX_SAMPLE} sequences are compared with each other")
-    left = sample.select(F.col(key).alias("i"), F.col(seq).alias("a"))
-    right = sample.select(F.col(key).alias("j"), F.col(seq).alias("b"))
-    return left.join(F.broadcast(right), F.col("i") < F.col("j")).repartition("i", "j")
+def pairs(sample: DataFrame, key: str = "seq_id", seq: str = "seq", within: str | None = None) -> DataFrame:
+    """All pairs i < j of a sample (of each group ``within``, which is kept), with both sequences ``a, b``, dealt out evenly.
 
-
-def pair_distances(of: DataFrame, aligner: str = "affine") -> DataFrame:
+    Only ids are shuffled; sequences join them where their pairs are, from all tasks' own copy while the sample's counted
+    letters are few enough for one.
+    """
+    told = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length(seq), F.lit(0))).alias("letters")).first()
+    if within is None and told.n > MAX_SAMPLE:
+        raise ValueError(f"a sample of {told.n} has too many pairs; at most {MAX_SAMPLE} sequences are compared with each other")
+    kept = [within] if within else []
+    ids = sample.select(F.col(key).alias("i"), *kept)
+    other = sample.select(F.col(key).alias("j"), *kept)
+    dealt = (ids.join(other, within) if within else ids.join(F.broadcast(other), F.col("i") < F.col("j"))).filter("i < j").repartition("i", "j")
+    held = sample.select(F.col(key).alias("__key"), F.col(seq).alias("__seq"))
+    held = F.broadcast(held) if (told.letters or 0) <= MAX_SAMPLE_LETTERS else held
+    for name, of in (("a", "i"), ("b", "j")):
+        dealt = dealt.join(held.select(F.col("__key").alias(of), F.col("__seq").alias(name)), of)
+    return dealt.select(*kept, "i", "j", "a", "b")
+
+
+def pair_distances(of: DataFrame, aligner: str = "affine", keep: Sequence[str] = ()) -> DataFrame:
     """``i, j, score, cigar, d``: the distance over aligned sites; ``ungapped`` lays sequences side by side instead."""
     if aligner == "ungapped":
-        rows = of.withColumn("alignment", ungapped_counts("a", "b")).select("i", "j", F.lit(None).cast("int").alias("score"), F.lit(None).cast("string").alias("cigar"), "alignment.different", "alignment.sites")
+        rows = of.withColumn("alignment", ungapped_counts("a", "b")).select(*keep, "i", "j", F.lit(None).cast("int").alias("score"), F.lit(None).cast("string").alias("cigar"), "alignment.different", "alignment.sites")
     else:
-        rows = aligned(of, aligner).select("i", "j", "alignment.*")
+        rows = aligned(of, aligner).select(*keep, "i", "j", "alignment.*")
     return rows.withColumn("d", S.jukes_cantor(F.col("different"), F.col("sites")))
 
 
@@ -58,17 +73,23 @@ def mean_between(distances: DataFrame, members: DataFrame, leave_out: int | None
 
 
 def seed_similarity(of: DataFrame, least: float = 61.08) -> DataFrame:
-    """``i, j, similarity``: matches of spaced seeds on diagonals that have more than ``least`` of them (larger is closer)."""
-    def seeds(key: str, seq: str, place: str) -> DataFrame:
-        """Codes of each sequence once, by plain substrings; N is read as A."""
-        rows = of.select(key, F.translate(seq, "N", "A").alias("s")).distinct().filter(F.length("s") >= 6)
-        rows = rows.select(key, "s", F.explode(F.sequence(F.lit(1), F.length("s") - 5)).alias(place)).repartition(key, place)
-        codes = [F.concat(F.lit(f"{k}:"), *[F.substr("s", F.col(place) + o, F.lit(1)) for o in seed]) for k, seed in enumerate(S.SPACED_SEEDS)]
-        return rows.select(key, place, F.explode(F.array(*codes)).alias("code"))
-
-    left, right = of.select("i", "j").join(seeds("i", "a", "pa"), "i"), seeds("j", "b", "pb")
-    diagonals = left.join(right, ["j", "code"]).groupBy("i", "j", (F.col("pb") - F.col("pa")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
-    return of.select("i", "j").join(diagonals.groupBy("i", "j").agg(F.sum("n").alias("similarity")), ["i", "j"], "left").fillna(0, ["similarity"])
+    """``i, j, similarity``: matches of spaced seeds on diagonals that have more than ``least`` of them (larger is closer).
+
+    A pair is compared where it stands, in numpy: codes are few, so a join on them would bring every place to very many.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables: dict[str, tuple] = {}
+            told = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for s in (a or "", b or ""):
+                    if s not in tables:
+                        tables[s] = seed_table(coded(s))
+                told.append(seed_matches(tables[a or ""], tables[b or ""], least))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, type=pa.int64())], names=["i", "j", "similarity"])
+
+    return of.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "a", "b").mapInArrow(run, "i long, j long, similarity long")
 
 
 def euclidean(a: Column, b: Column) -> Column:

@@ -41,7 +41,8 @@ def _language_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _language_roots(spark, sf_dir).drop("lang")
+    """Written once: what uses roots looks at them more than once."""
+    return clustering.table(_language_roots(spark, sf_dir).drop("lang"), "roots")
 
 
 def _tasks(spark: SparkSession) -> int:
@@ -247,14 +248,18 @@ def taxonomy_join(spark, sf_dir):
     return told.select("seq_id", "name", F.coalesce(F.col("quality").cast("string"), F.lit("(null)")).alias("taxon"))
 
 
+def _report(spark, sf_dir, assigned: DataFrame) -> DataFrame:
+    """The assignment is written once: ranks look at their rows more than once."""
+    told = clustering.table(assigned.select("seq_id", "cluster_id"), "assigned")
+    return files.clstr_lines(told.join(sequences(spark, sf_dir).select("seq_id", "name", "len"), "seq_id"))
+
+
 def clstr_lines(spark, sf_dir):
-    members = _assigned(spark, sf_dir).join(sequences(spark, sf_dir).select("seq_id", "name", "len"), "seq_id")
-    return files.clstr_lines(members)
+    return _report(spark, sf_dir, _assigned(spark, sf_dir))
 
 
 def aligned_clstr_lines(spark, sf_dir):
-    members = _aligned(spark, sf_dir).join(sequences(spark, sf_dir).select("seq_id", "name", "len"), "seq_id")
-    return files.clstr_lines(members)
+    return _report(spark, sf_dir, _aligned(spark, sf_dir))
 
 
 def length_summary(spark, sf_dir):

@@ -20,6 +20,13 @@ def ranked(rows: DataFrame, order: list[str], name: str = "seq_id") -> DataFrame
     return sorted_rows.join(F.broadcast(before), "__p").withColumn(name, F.col("__i") + F.coalesce("__b", F.lit(0))).drop("__p", "__i", "__b")
 
 
+def place_within(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """``rows`` with the place (from 0) of each in its group, without one task that holds a group: rank less the group's first rank."""
+    placed = ranked(rows, [group, order], "__rank")
+    first = placed.groupBy(group).agg(F.min("__rank").alias("__first"))
+    return placed.join(first, group).withColumn(name, F.col("__rank") - F.col("__first")).drop("__rank", "__first")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``seq_id, name, seq, len``: records in file order, wrapped lines joined, upper case; headers end at the line's end.
 
@@ -56,8 +63,7 @@ def write_taxonomy(rows: DataFrame, path: str, by: str | None = None) -> None:
 
 def clstr_lines(members: DataFrame) -> DataFrame:
     """Report lines ``cluster_id, pos, line`` of ``members(cluster_id, seq_id, name, len)``: a head at -1, then its members."""
-    window = Window.partitionBy("cluster_id").orderBy("seq_id")
-    rows = members.withColumn("pos", F.row_number().over(window) - 1).select("cluster_id", "pos", F.format_string("%d\t%dnt, >%s...", F.col("pos"), F.col("len"), F.col("name")).alias("line"))
+    rows = place_within(members, "cluster_id", "seq_id", "pos").withColumn("pos", F.col("pos").cast("int")).select("cluster_id", "pos", F.format_string("%d\t%dnt, >%s...", F.col("pos"), F.col("len"), F.col("name")).alias("line"))
     heads = members.select("cluster_id").distinct().select("cluster_id", F.lit(-1).alias("pos"), F.format_string(">Cluster %d", F.col("cluster_id")).alias("line"))
     return heads.union(rows)
 
@@ -85,8 +91,8 @@ def duplicate_names(sequences: DataFrame) -> DataFrame:
 
 def unique_names(sequences: DataFrame) -> DataFrame:
     """Repeated names get a suffix _1, _2 ... in order of ``seq_id``; the first stays as it is."""
-    k = F.row_number().over(Window.partitionBy("name").orderBy("seq_id")) - 1
-    return sequences.withColumn("name", F.when(k > 0, F.concat("name", F.lit("_"), k)).otherwise(F.col("name")))
+    placed, k = place_within(sequences, "name", "seq_id", "__k"), F.col("__k")
+    return placed.withColumn("name", F.when(k > 0, F.concat("name", F.lit("_"), k)).otherwise(F.col("name"))).select(sequences.columns)
 
 
 def detect_format(spark: SparkSession, path: str) -> str:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -145,3 +146,71 @@ def test_root_of_simulated_sequences():
     truth = "".join("ACGT"[c] for c in root)
     assert sum(a == b for a, b in zip(seq, truth, strict=True)) > 285
     assert value > L.log_likelihood(parent, L.order_of(parent), np.eye(4)[codes], np.ones(300), np.ones(8), np.clip(length, 1e-5, 2)) and len(fitted) == 8
+
+
+def _pairs(n, longest, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("ACGTN", k=rng.randint(0, longest)))
+    left = [word() for _ in range(n)]
+    return left, [word() if k % 2 else "".join(c for c in a if rng.random() > 0.1) for k, a in enumerate(left)]
+
+
+@pytest.mark.parametrize("name", list(A.SCORINGS))
+def test_moves_made_again_in_blocks(name, monkeypatch):
+    left, right = _pairs(60, 25, 5)
+    wanted = A.align_batch(left, right, A.SCORINGS[name])
+    for cells in (1, 3000, 20_000):
+        monkeypatch.setattr(A, "CELLS", cells)
+        assert A.align_batch(left, right, A.SCORINGS[name]) == wanted
+
+
+@pytest.mark.parametrize("name", ["affine", "linear", "edit"])
+def test_score_cap_and_slack(name):
+    left, right = _pairs(80, 25, 6)
+    scores, paths = A.align_batch(left, right, A.SCORINGS[name])
+    for cap in (0, 7, 25, 60):
+        capped, short = A.align_batch(left, right, A.SCORINGS[name], cap=cap)
+        assert capped == [s if s <= cap else None for s in scores]
+        assert [p for p, s in zip(short, scores, strict=True) if s <= cap] == [p for p, s in zip(paths, scores, strict=True) if s <= cap]
+    lax, _ = A.align_batch(left, right, A.SCORINGS[name], slack=1000)
+    tight, ways = A.align_batch(left, right, A.SCORINGS[name], slack=12)
+    assert lax == scores and all(t >= s for t, s in zip(tight, scores, strict=True) if t is not None)
+    assert all(path_score(w, A.SCORINGS[name]) == t for w, t in zip(ways, tight, strict=True) if t is not None)
+    with pytest.raises(ValueError):
+        A.align_batch(left, right, A.SCORINGS["nw"], cap=3)
+
+
+def test_long_pairs_take_little_memory():
+    rng = random.Random(7)
+    long = "".join(rng.choices("ACGT", k=12_000))
+    near = "".join(c if rng.random() > 0.01 else "" for c in long)
+    tracemalloc.start()
+    scores, paths = A.align_batch([long], [near], A.SCORINGS["affine"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and path_score(paths[0], A.SCORINGS["affine"]) == scores[0]
+
+
+def test_joining_in_place_against_rebuilt_matrices():
+    rng = np.random.default_rng(8)
+    d = rng.random((40, 40))
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    parent, length = T.join_neighbours(d)
+    # the same by the definition, with the whole matrix made anew at each join
+    at = {k: {m: d[k, m] for m in range(40)} for k in range(40)}
+    for new in range(40, 78):
+        k, r = len(at), {x: sum(row.values()) for x, row in at.items()}
+        _, i, j = min((at[x][y] - (r[x] + r[y]) / (k - 2), x, y) for x in at for y in at if x < y)
+        assert parent[i] == parent[j] == new
+        first = (at[i][j] + (r[i] - r[j]) / (k - 2)) / 2
+        assert np.allclose(length[[i, j]], np.maximum([first, at[i][j] - first], T.MIN_BRANCH))
+        row = {x: (at[i][x] + at[j][x] - at[i][j]) / 2 for x in at if x not in (i, j)}
+        at = {x: {**{y: v for y, v in at[x].items() if y not in (i, j)}, new: row[x]} for x in row} | {new: {**row, new: 0.0}}
+    s = rng.integers(0, 5, (30, 30))
+    s = np.triu(s, 1) + np.triu(s, 1).T
+    tree, at = T.upgma(s), {k: {m: float(s[k, m]) for m in range(30)} for k in range(30)}
+    for new in range(30, 59):
+        _, i, j = min((-at[x][y], x, y) for x in at for y in at if x < y)
+        assert tree[i] == tree[j] == new
+        row = {x: (at[i][x] + at[j][x]) / 2 for x in at if x not in (i, j)}
+        at = {x: {**{y: v for y, v in at[x].items() if y not in (i, j)}, new: row[x]} for x in row} | {new: {**row, new: 0.0}}
