@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import sequence as S
-from .functions.alignment import aligned
+from .functions.alignment import SCORINGS, aligned
 from .operators import alignments, clusters, distances, likelihood, sampling, trees
 from .plans import clustering
 from .sources import files
 from .streaming import assigning
 
 SEED = 42
+#: Cost up to which ``capped_pairs`` tells a pair.
+MOST = 150
 
 
 def sequences(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
@@ -156,6 +158,57 @@ def align_edit_score(spark, sf_dir):
     return aligned(_pairs_of_benchmark(spark, sf_dir), "edit").select("i", "j", F.col("alignment.score").cast("long").alias("d"))
 
 
+def affine_pairs(spark, sf_dir):
+    rows = aligned(_pairs_of_benchmark(spark, sf_dir), "affine").select("i", "j", "alignment.*")
+    return rows.select("i", "j", "score", "different", "sites", S.cigar_affine_cost(F.col("cigar")).alias("cigar_cost"))
+
+
+def nw_pairs(spark, sf_dir):
+    return aligned(_pairs_of_benchmark(spark, sf_dir), "nw").select("i", "j", "alignment.score", "alignment.different", "alignment.sites")
+
+
+def capped_pairs(spark, sf_dir):
+    """Only pairs that cost MOST at most; the work on the others ends there."""
+    rows = aligned(_pairs_of_benchmark(spark, sf_dir), "affine", max_score=MOST).filter("alignment IS NOT NULL")
+    return rows.select("i", "j", "alignment.score", "alignment.different", "alignment.sites")
+
+
+def _benchmark_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = sampling.sample_k(sequences(spark, sf_dir, "benchmark", "item_id"), 4, SEED)
+    return clustering.table(drawn.select((F.row_number().over(Window.orderBy("seq_id")) - 1).cast("long").alias("cluster_id"), F.col("seq").alias("root_seq")), "roots")  # four rows
+
+
+def _benchmark_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``benchmark`` to four of its sequences, by affine alignment as in the clustering run."""
+    return clusters.assign(sequences(spark, sf_dir, "benchmark", "item_id"), _benchmark_roots(spark, sf_dir), 0.75)
+
+
+def affine_assign(spark, sf_dir):
+    return _benchmark_assigned(spark, sf_dir).select("seq_id", "cluster_id", F.round("d", 6).alias("d"), "is_assigned")
+
+
+def affine_sizes(spark, sf_dir):
+    return clusters.sizes(_benchmark_assigned(spark, sf_dir))
+
+
+def affine_largest(spark, sf_dir):
+    return clusters.largest(_benchmark_assigned(spark, sf_dir))
+
+
+def affine_cv(spark, sf_dir):
+    return clusters.evenness(_benchmark_assigned(spark, sf_dir)).select(F.round("cv", 6).alias("cv"))
+
+
+def affine_report(spark, sf_dir):
+    told = clustering.table(_benchmark_assigned(spark, sf_dir).select("seq_id", "cluster_id"), "assigned")
+    return files.clstr_lines(told.join(sequences(spark, sf_dir, "benchmark", "item_id").select("seq_id", "name", "len"), "seq_id"))
+
+
+def affine_mean_between(spark, sf_dir):
+    d = distances.pair_distances(_pairs_of_benchmark(spark, sf_dir))
+    return distances.mean_between(d, _benchmark_assigned(spark, sf_dir)).select(F.round("mean", 6).alias("mean"))
+
+
 def site_patterns_roots(spark, sf_dir):
     return distances.binary_patterns(_against_roots(spark, sf_dir))
 
@@ -414,7 +467,7 @@ QUERIES = {f.__name__: f for f in (
     site_patterns, jc_distance, edit_distance_pairs, align_edit_score, align_affine_score, align_nw_score, mean_between_groups, nearest_root_assign, saved_for_later, cluster_sizes,
     largest_cluster, size_cv, nmi_vs_taxonomy, taxonomy_join, clstr_lines, length_summary, dup_names, unique_names, dense_ranks, top_branches, nearest_cut, tree_labels,
     common_ancestors, gapped_columns, consensus_base, spaced_seed_similarity, anchors_by_length, euclid_to_anchor, kmeans_one_step, cigar_ops, nj_tree, midpoint_root, msa_columns, gtr_root,
-    full_clustering, stream_assign, site_patterns_roots, jc_distance_roots, mean_between_roots, gapped_columns_all, consensus_base_all, spaced_seed_roots,
+    affine_pairs, nw_pairs, capped_pairs, affine_assign, affine_sizes, affine_largest, affine_cv, affine_report, affine_mean_between, full_clustering, stream_assign, site_patterns_roots, jc_distance_roots, mean_between_roots, gapped_columns_all, consensus_base_all, spaced_seed_roots,
     aligned_assign, aligned_saved_for_later, aligned_cluster_sizes, aligned_largest_cluster, aligned_size_cv, aligned_nmi, aligned_clstr_lines, aligned_stream_assign,
 )}
 
@@ -462,6 +515,49 @@ _ALIGNED = f"{_SEQ}, {_sampled(30)}, w AS (SELECT max(len) AS w FROM p), m AS (S
 # All documents side by side: what is beyond a sequence's end is a gap, so only its own letters are counted.
 _COLUMNS = f"{_SEQ}, c AS (SELECT k - 1 AS col, substr(seq, k::INT, 1) AS x FROM (SELECT seq, unnest(range(1, len + 1)) AS k FROM s)), h AS (SELECT col, (SELECT count(*) FROM s) AS n, (SELECT count(*) FROM s) - count(*) FILTER (x <> 'N') AS gaps, count(*) FILTER (x = 'A') AS ca, count(*) FILTER (x = 'C') AS cc, count(*) FILTER (x = 'G') AS cg, count(*) FILTER (x = 'T') AS ct FROM c GROUP BY col), k AS (SELECT * FROM h WHERE gaps <= n // 2)"
 _SEED_ROWS = " UNION ALL ".join("SELECT seq_id, " + f"'{x}:' || " + " || ".join(f"substr(z, (o + {i})::INT, 1)" for i in seed) + ", o FROM o" for x, seed in enumerate(S.SPACED_SEEDS))
+
+
+def _aligned_sql(pairs: str, aligner: str) -> str:
+    """The dynamic program in SQL, an antidiagonal a step: ``al(i, j, score, different, sites)`` of the table ``pairs(i, j, a, b)``.
+
+    Lists are by place in ``a``; a cell carries its cost and the sites on the path that ties lead to. For short sequences.
+    """
+    s = SCORINGS[aligner]
+    both, ext, far = s.opening + s.extending, s.extending, "{'c': 1000000000, 'd': 0, 's': 0}"
+
+    def gap(h: str, g: str) -> str:
+        return f"CASE WHEN {h}.c + {both} <= {g}.c + {ext} THEN {{'c': {h}.c + {both}, 'd': {h}.d, 's': {h}.s}} ELSE {{'c': {g}.c + {ext}, 'd': {g}.d, 's': {g}.s}} END"
+
+    x, y = "substr(a, i::INT, 1)", "substr(b, (d - i)::INT, 1)"
+    known = f"({x} <> 'N' AND {y} <> 'N')"
+    pair = f"{{'c': h2[i].c + CASE WHEN {x} = {y} THEN {s.match} ELSE {s.mismatch} END, 'd': h2[i].d + ({known} AND {x} <> {y})::INT, 's': h2[i].s + {known}::INT}}"
+    best = "CASE WHEN q.c <= f[i + 1].c AND q.c <= e[i + 1].c THEN q WHEN f[i + 1].c <= e[i + 1].c THEN f[i + 1] ELSE e[i + 1] END"
+    if s.gaps_first:
+        best = "CASE WHEN e[i + 1].c <= f[i + 1].c AND e[i + 1].c <= q.c THEN e[i + 1] WHEN f[i + 1].c <= q.c THEN f[i + 1] ELSE q END"
+    places = "range(0, length(a) + 1)"
+    none = f"list_transform({places}, lambda i: {far})"
+    program = f"""dp(i_, j_, a, b, n, m, d, h1, h2, e1, f1) AS (
+        SELECT i, j, a, b, length(a), length(b), 0, list_transform({places}, lambda i: CASE WHEN i = 0 THEN {{'c': 0, 'd': 0, 's': 0}} ELSE {far} END), {none}, {none}, {none} FROM {pairs}
+        UNION ALL
+        SELECT i_, j_, a, b, n, m, d, list_transform({places}, lambda i: CASE WHEN i > d OR d - i > m THEN {far} WHEN i = 0 OR i = d THEN {{'c': {"0" if s.free_ends else f"{s.opening} + {ext} * d"}, 'd': 0, 's': 0}} ELSE list_transform([{pair}], lambda q: {best})[1] END), h1, e, f
+        FROM (SELECT i_, j_, a, b, n, m, d + 1 AS d, h1, h2,
+                list_transform({places}, lambda i: CASE WHEN d + 1 - i < 1 OR d + 1 - i > m THEN {far} ELSE {gap("h1[i + 1]", "e1[i + 1]")} END) AS e,
+                list_transform({places}, lambda i: CASE WHEN i < 1 OR i > d + 1 OR d + 1 - i > m THEN {far} ELSE {gap("h1[i]", "f1[i]")} END) AS f
+            FROM dp WHERE d < n + m))"""
+    last = "SELECT i_, j_, h1[n + 1] AS x FROM dp WHERE d = n + m"
+    if s.free_ends:  # the last best place of the last column, else of the last row
+        last = """SELECT i_, j_, arg_min(x, {'c': x.c, 'w': w, 'p': -p}) AS x FROM (
+            SELECT i_, j_, 0 AS w, d - m AS p, h1[d - m + 1] AS x FROM dp WHERE d >= m AND d - m <= n
+            UNION ALL SELECT i_, j_, 1, d - n, h1[n + 1] FROM dp WHERE d >= n AND d - n <= m) GROUP BY ALL"""
+    return f"{program}, al AS (SELECT i_ AS i, j_ AS j, (x.c * {s.sign})::INT AS score, x.d::INT AS different, x.s::INT AS sites FROM ({last}))"
+
+
+_BENCH_SEQ = "s AS (SELECT item_id AS seq_id, 'doc' || item_id AS name, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS seq FROM benchmark), p AS (SELECT seq_id, seq FROM s)"
+_BENCH_PAIRS = f"{_BENCH_SEQ}, {_ORDERED_PAIRS}"
+# An item with every root: a is the root, as in the operator.
+_BENCH_ASSIGNED = f"""{_BENCH_SEQ}, r AS (SELECT (row_number() OVER (ORDER BY seq_id) - 1)::BIGINT AS cluster_id, seq FROM (SELECT * FROM s ORDER BY md5('{SEED}:' || seq_id), seq_id LIMIT 4)),
+    k AS (SELECT r.cluster_id AS i, s.seq_id AS j, r.seq AS a, s.seq AS b FROM s, r), {_aligned_sql("k", "affine")},
+    g AS (SELECT seq_id, cluster_id, d, d < 1 AND d <= 0.75 AS is_assigned FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY d, cluster_id) AS k FROM (SELECT j AS seq_id, i AS cluster_id, {_jc("different::DOUBLE", "sites")} AS d FROM al)) WHERE k = 1)"""
 _ANCHORS = f"a AS (SELECT vec_id AS anchor_id, embedding AS anchor FROM embeddings ORDER BY md5('{SEED}:' || vec_id), vec_id LIMIT 4), d AS (SELECT e.vec_id, a.anchor_id, e.embedding, sqrt(list_sum(list_transform(list_zip(e.embedding, a.anchor), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM embeddings e, a)"
 _CIGAR_ROWS = ", ".join(f"('{c}', '{a}', '{b}')" for c, a, b in CIGARS)
 _RUNS = f"c(cigar, a, b) AS (VALUES {_CIGAR_ROWS}), r AS (SELECT cigar, regexp_extract(x, '[0-9]+')::BIGINT AS n, right(x, 1) AS op FROM (SELECT cigar, unnest(regexp_extract_all(cigar, '[0-9]+[MXID]')) AS x FROM c))"
@@ -511,6 +607,15 @@ ORACLES = {
     "kmeans_one_step": f"WITH {_ANCHORS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, anchor_id) AS k FROM d) WHERE k = 1), x AS (SELECT anchor_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS dim FROM b) SELECT anchor_id AS centre_id, count(*) AS n, dim::INT AS dim, round(avg(x), 5) AS x FROM x GROUP BY anchor_id, dim",
     "cigar_ops": f"WITH {_RUNS}, {_GAPPED} SELECT c.cigar, coalesce(sum(n) FILTER (op = 'M'), 0)::BIGINT AS matches, coalesce(sum(n) FILTER (op <> 'M'), 0)::BIGINT AS edits, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE 2 * n END), 0)::BIGINT AS linear, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE 6 + 2 * n END), 0)::BIGINT AS affine, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE least(6 + 2 * n, 24 + n) END), 0)::BIGINT AS affine2, any_value(x) AS x, any_value(y) AS y, true AS valid FROM c LEFT JOIN r ON r.cigar = c.cigar LEFT JOIN g ON g.cigar = c.cigar GROUP BY c.cigar",
     "stream_assign": f"WITH {_ASSIGNED} SELECT seq_id, cluster_id, round(d, 6) AS d, is_assigned FROM g",
+    "affine_pairs": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'affine')} SELECT i, j, score, different, sites, score::BIGINT AS cigar_cost FROM al",
+    "nw_pairs": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'nw')} SELECT i, j, score, different, sites FROM al",
+    "capped_pairs": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'affine')} SELECT i, j, score, different, sites FROM al WHERE score <= {MOST}",
+    "affine_assign": f"WITH RECURSIVE {_BENCH_ASSIGNED} SELECT seq_id, cluster_id, round(d, 6) AS d, is_assigned FROM g",
+    "affine_sizes": f"WITH RECURSIVE {_BENCH_ASSIGNED} SELECT cluster_id, count(*) AS n FROM g GROUP BY cluster_id",
+    "affine_largest": f"WITH RECURSIVE {_BENCH_ASSIGNED} SELECT cluster_id, count(*) AS n FROM g GROUP BY cluster_id ORDER BY n DESC, cluster_id LIMIT 1",
+    "affine_cv": f"WITH RECURSIVE {_BENCH_ASSIGNED} SELECT round(stddev_pop(n) / avg(n), 6) AS cv FROM (SELECT count(*) AS n FROM g GROUP BY cluster_id)",
+    "affine_report": f"WITH RECURSIVE {_BENCH_ASSIGNED}, y AS (SELECT cluster_id, (row_number() OVER (PARTITION BY cluster_id ORDER BY seq_id) - 1)::INT AS pos, length(seq) AS len, name FROM g JOIN s USING (seq_id)) SELECT cluster_id, pos, pos || chr(9) || len || 'nt, >' || name || '...' AS line FROM y UNION ALL SELECT DISTINCT cluster_id, -1, '>Cluster ' || cluster_id FROM g",
+    "affine_mean_between": f"WITH RECURSIVE {_BENCH_ASSIGNED}, {_ORDERED_PAIRS}, {_aligned_sql('q', 'affine').replace('dp', 'dq').replace('al AS', 'aq AS')}, d AS (SELECT i, j, {_jc('different::DOUBLE', 'sites')} AS d FROM aq) SELECT round(avg(m), 6) AS mean FROM (SELECT avg(d.d) AS m FROM d JOIN g x ON x.seq_id = d.i JOIN g y ON y.seq_id = d.j WHERE x.cluster_id <> y.cluster_id GROUP BY least(x.cluster_id, y.cluster_id), greatest(x.cluster_id, y.cluster_id))",
     "site_patterns_roots": f"WITH {_ASSIGNED} SELECT seq_id AS i, cluster_id AS j, a, b, count(*) AS n FROM e GROUP BY ALL",
     "jc_distance_roots": f"WITH {_ASSIGNED} SELECT seq_id AS i, cluster_id AS j, round(d, 6) AS d FROM v",
     "mean_between_roots": f"WITH {_ASSIGNED}, l AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS c FROM (SELECT DISTINCT lang FROM s WHERE len >= 100)) SELECT round(avg(m), 6) AS mean FROM (SELECT avg(d) AS m FROM v JOIN s USING (seq_id) JOIN l USING (lang) WHERE l.c <> v.cluster_id GROUP BY least(l.c, v.cluster_id), greatest(l.c, v.cluster_id))",
