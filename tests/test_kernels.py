@@ -214,3 +214,44 @@ def test_joining_in_place_against_rebuilt_matrices():
         assert tree[i] == tree[j] == new
         row = {x: (at[i][x] + at[j][x]) / 2 for x in at if x not in (i, j)}
         at = {x: {**{y: v for y, v in at[x].items() if y not in (i, j)}, new: row[x]} for x in row} | {new: {**row, new: 0.0}}
+
+
+def test_profile_moves_made_again(monkeypatch):
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 6, (3, 40)), rng.integers(0, 6, (2, 55))
+    wanted = M.align_profiles(a, b)
+    assert ((wanted != 2).sum(), (wanted != 1).sum()) == (40, 55)
+    for moves in (1, 200, 1000):
+        monkeypatch.setattr(M, "MOVES", moves)
+        assert (M.align_profiles(a, b) == wanted).all()
+
+
+def test_guide_tree_of_many_splits_families_apart():
+    rng = random.Random(10)
+    base = ["".join(rng.choices("ACGT", k=300)) for _ in range(2)]
+    seqs = ["".join(c if rng.random() > 0.03 else rng.choice("ACGT") for c in base[k % 2]) for k in range(130)]
+    parent = M.guide_tree([M.coded(s) for s in seqs])
+    n = len(seqs)
+    assert sorted(np.bincount(parent[parent >= 0], minlength=2 * n - 1)[n:].tolist()) == [2] * (n - 1) and (parent[:-1] > np.arange(2 * n - 2)).all()
+    leaves = {x: {x} for x in range(n)}
+    for x in range(2 * n - 2):
+        leaves.setdefault(int(parent[x]), set()).update(leaves[x])
+    top = [leaves[x] for x in range(2 * n - 2) if parent[x] == 2 * n - 2]
+    assert sorted({k % 2 for k in side} for side in top) == [{0}, {1}]
+    same = M.guide_tree([M.coded(base[0])] * 120)
+    assert (same[:-1] > np.arange(238)).all()
+    rows = M.align_cluster(seqs)
+    assert ["".join(chr(M.LETTERS[c]) for c in r if c != 5) for r in rows] == seqs
+
+
+def test_fit_settles():
+    rng = random.Random(11)
+    root = "".join(rng.choices("ACGT", k=200))
+    rows = np.stack([M.coded("".join(c if rng.random() > 0.1 else rng.choice("ACGT") for c in root)) for _ in range(6)])
+    d = np.array([[(x != y).mean() for y in rows] for x in rows])
+    tree = T.rooted_at_midpoint(*T.join_neighbours(d), 6)
+    _, value, _ = L.root_sequence(rows, *tree)
+    L_ROUNDS, L.ROUNDS = L.ROUNDS, 40
+    again = L.root_sequence(rows, *tree)[1]
+    L.ROUNDS = L_ROUNDS
+    assert abs(again - value) < 0.05
