@@ -1,11 +1,13 @@
 """Pairwise alignment of columns, in Arrow batches.
 
-One numpy step handles an antidiagonal of the dynamic program for all pairs of a batch. Costs are minimised. Two settings are offered, which are not interchangeable: ``affine`` (global; mismatch 4, gap of n
-6 + 2 n) and ``nw`` (free end gaps; match 2, mismatch -1, gap of n -3 - n, as negated costs).
+One numpy step handles an antidiagonal of the dynamic program for all pairs of a batch. Costs are minimised. Two settings are
+offered, which are not interchangeable: ``affine`` (global; mismatch 4, gap of n 6 + 2 n) and ``nw`` (free end gaps; match 2,
+mismatch -1, gap of n -3 - n, as negated costs).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +20,8 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 #: Cells of the dynamic program that are held at once.
 CELLS = 32_000_000
+#: Cells that take as long as one step of a program takes however few its pairs.
+STEP_CELLS = 10_000
 FAR = 1 << 28
 DIAGONAL, UP, LEFT, UP_OPENS, LEFT_OPENS = 0, 1, 2, 4, 8
 
@@ -65,7 +69,9 @@ class _Program:
     def __init__(self, a: list[str], b: list[str], scoring: Scoring, limit: int | None, slack: int | None):
         self.scoring, self.size = scoring, len(a)
         longest = max(map(len, a), default=0) + max(map(len, b), default=0)
-        worst = 2 * scoring.opening + (longest + 2) * max(abs(scoring.match), scoring.mismatch, scoring.extending)
+        # no cell costs more than gaps alone, and a mismatch that costs more than two gaps is never taken
+        self.mismatch = min(scoring.mismatch, 2 * (scoring.opening + scoring.extending) + 1)
+        worst = 2 * scoring.opening + (longest + 2) * max(abs(scoring.match), scoring.extending) + self.mismatch
         self.kind, self.far = (np.int16, 1 << 14) if worst < 12_000 else (np.int32, FAR)
         self.x, self.n = _padded(a, 0, self.kind)
         y, self.m = _padded(b, 1, self.kind)
@@ -112,13 +118,13 @@ class _Program:
             right[d + 1] = self.far
         # the letter of b at i is d - i - 1: with b backwards both run the same way
         first, last = max(low, 1), min(high, d - 1)
-        diagonal[:] = self.far
+        diagonal[: first - low] = diagonal[last - low + 1 :] = self.far
         if first <= last:
             part = diagonal[first - low : last - low + 1]
             t, at = step[: last - first + 1], self.width - d
             np.bitwise_xor(self.x[first - 1 : last], self.backwards[at + first : at + last + 1], out=t)
             np.minimum(t, 1, out=t)
-            t *= s.mismatch - s.match
+            t *= self.mismatch - s.match
             np.add(before[first : last + 1], s.match, out=part)
             part += t
         np.minimum(diagonal, new_down, out=best)
@@ -176,6 +182,9 @@ def align_batch(a: list[str], b: list[str], scoring: Scoring, cap: int | None =
     whole = block >= total or (program.height + 1) * (program.width + 1) * size <= CELLS
     state, saved, kept = program.start(), {}, {}
     ends = n + m
+    ending: dict[int, list[int]] = {}
+    for k, d in enumerate(ends.tolist()):
+        ending.setdefault(d, []).append(k)
     score = np.where(ends == 0, 0, far).astype(np.int64)
     tails = [""] * size
     i, j = n.copy(), m.copy()
@@ -192,8 +201,8 @@ def align_batch(a: list[str], b: list[str], scoring: Scoring, cap: int | None =
         if state[4] is None and state[5] is None:
             break
         cells = state[0]
-        done = np.flatnonzero(ends == d)
-        score[done] = cells[n[done] + 1, done]
+        if d in ending:
+            score[ending[d]] = cells[n[ending[d]] + 1, ending[d]]
         if scoring.free_ends:
             at = d - m
             on = (at >= 0) & (at <= n)
@@ -212,38 +221,46 @@ def align_batch(a: list[str], b: list[str], scoring: Scoring, cap: int | None =
     found = score <= (program.limit if program.bounded else far)
     found &= score < far
     i, j = np.where(found, i, 0), np.where(found, j, 0)
-    # all pairs are traced back together, a move at a time and block by block of antidiagonals
-    state_of, trail, steps = np.full(size, -1), np.full((total + 1, size), b" "[0], dtype=np.uint8), np.zeros(size, np.int64)
+    # the way back of each pair, block by block of antidiagonals: a byte a step
+    trails, held = [bytearray() for _ in range(size)], [-1] * size
+    at = list(zip(i.tolist(), j.tolist(), strict=True))
     for begin in [1] if whole else sorted(saved, reverse=True):
         if not whole:
             here = saved.pop(begin)
             kept = {d: program.row(here, d, True) for d in range(begin, min(begin + block, total + 1))}
-        known = sorted(d for d in kept if kept[d][1] is not None)
-        first = np.zeros(total + 2, np.int64)
-        lows = np.zeros(total + 2, np.int64)
-        flat = np.concatenate([kept[d][1].ravel() for d in known]) if known else np.zeros(1, np.uint8)
-        at = 0
+        known = [d for d in kept if kept[d][1] is not None]
+        flat, base, place = b"".join(kept[d][1].tobytes() for d in known), {}, 0
         for d in known:
-            first[d], lows[d] = at, kept[d][0]
-            at += kept[d][1].size
-        while True:
-            live = np.flatnonzero(i + j >= begin)
-            if not len(live):
-                break
-            u, v, held = i[live], j[live], state_of[live]
-            inner = (u > 0) & (v > 0)
-            byte = flat[np.where(inner, first[u + v] + (u - lows[u + v]) * size + live, 0)]
-            now = np.where(u == 0, LEFT, np.where(v == 0, UP, np.where(held >= 0, held, byte & 3)))
-            same = program.x[np.maximum(u - 1, 0), live] == program.backwards[np.minimum(program.width - v, program.width - 1), live]
-            trail[steps[live], live] = np.where(now == DIAGONAL, np.where(same, b"M"[0], b"X"[0]), np.where(now == UP, b"D"[0], b"I"[0]))
-            steps[live] += 1
-            state_of[live] = np.where((now == UP) & (byte & UP_OPENS == 0), UP, np.where((now == LEFT) & (byte & LEFT_OPENS == 0), LEFT, -1))
-            i[live], j[live] = u - (now != LEFT), v - (now != UP)
+            base[d] = place - kept[d][0] * size
+            place += kept[d][1].size
+        for k in range(size):
+            at[k], held[k] = _way_back(flat, base, size, k, a[k], b[k], at[k], held[k], begin, trails[k])
         kept = {}
-    paths = [bytes(trail[: steps[k], k][::-1]).decode() + tails[k] if found[k] else "" for k in range(size)]
+    paths = [trails[k][::-1].decode() + tails[k] if found[k] else "" for k in range(size)]
     return [int(x) * scoring.sign if ok else None for x, ok in zip(score, found, strict=True)], paths
 
 
+def _way_back(flat: bytes, base: dict[int, int], size: int, k: int, a: str, b: str, at: tuple[int, int], state: int, begin: int, out: bytearray) -> tuple[tuple[int, int], int]:
+    """Moves of pair ``k`` from a cell back to antidiagonal ``begin``, added to ``out``; where it came to, and in which state."""
+    u, v = at
+    while u + v >= begin:
+        if u and v:
+            byte = flat[base[u + v] + u * size + k]
+            now = state if state >= 0 else byte & 3
+        else:
+            byte, now = UP_OPENS | LEFT_OPENS, UP if u else LEFT
+        if now == DIAGONAL:
+            u, v, state = u - 1, v - 1, -1
+            out.append(77 if a[u] == b[v] else 88)
+        elif now == UP:
+            u, state = u - 1, -1 if byte & UP_OPENS else UP
+            out.append(68)
+        else:
+            v, state = v - 1, -1 if byte & LEFT_OPENS else LEFT
+            out.append(73)
+    return (u, v), state
+
+
 def run_lengths(path: str) -> str:
     """CIGAR of a string of moves."""
     if not path:
@@ -263,6 +280,27 @@ def site_counts(a: str, b: str, path: str) -> tuple[int, int]:
     return int(((u != v) & known).sum()), int(known.sum())
 
 
+def like_sizes(pairs: set[tuple[str, str]]) -> Iterator[list[tuple[str, str]]]:
+    """Pairs in groups whose programs fit CELLS cells, filled up to the largest of a group.
+
+    A new group begins where filling up costs more than the antidiagonals of a program of its own, which take as long as
+    STEP_CELLS cells each.
+    """
+    steps = lambda text: int(math.log(len(text) + 1) / math.log(1.25))
+    group: list[tuple[str, str]] = []
+    h = w = 0
+    for x, y in sorted(pairs, key=lambda p: (steps(p[0]), len(p[1]), len(p[0]), p)):
+        new_h, new_w = max(h, len(x) + 1), max(w, len(y) + 1)
+        filled = new_h * new_w * (len(group) + 1)
+        if group and (filled > CELLS or filled - h * w * len(group) > (len(x) + 1) * (len(y) + 1) + STEP_CELLS * (len(x) + len(y))):
+            yield group
+            group, new_h, new_w = [], len(x) + 1, len(y) + 1
+        group.append((x, y))
+        h, w = new_h, new_w
+    if group:
+        yield group
+
+
 ALIGNMENT = StructType([StructField("score", IntegerType()), StructField("cigar", StringType()), StructField("different", IntegerType()), StructField("sites", IntegerType())])
 
 
@@ -281,21 +319,11 @@ def aligned(pairs: DataFrame, aligner: str = "affine", a: str = "a", b: str = "b
         for batch in batches:
             left, right = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (a, b))
             told: dict[tuple[str, str], dict | None] = {}
-            order = sorted({p for p in zip(left, right, strict=True) if p[0] is not None and p[1] is not None}, key=lambda p: (len(p[0]), len(p[1]), p))
-            start = 0
-            while start < len(order):
-                end, h, w = start, 0, 0
-                while end < len(order):
-                    h, w = max(h, len(order[end][0])), max(w, len(order[end][1]))
-                    if end > start and (h + 1) * (w + 1) * (end - start + 1) > CELLS:
-                        break
-                    end += 1
-                part = order[start:end]
+            for part in like_sizes({p for p in zip(left, right, strict=True) if p[0] is not None and p[1] is not None}):
                 scores, paths = align_batch([x for x, _ in part], [y for _, y in part], scoring, max_score, slack)
                 for (x, y), score, path in zip(part, scores, paths, strict=True):
                     different, sites = site_counts(x, y, path) if score is not None else (0, 0)
                     told[x, y] = None if score is None else {"score": score, "cigar": run_lengths(path), "different": different, "sites": sites}
-                start = end
             out = [told.get(p) for p in zip(left, right, strict=True)]
             kind = pa.struct([("score", pa.int32()), ("cigar", pa.string()), ("different", pa.int32()), ("sites", pa.int32())])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=kind)], names=[*batch.schema.names, name])

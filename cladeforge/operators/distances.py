@@ -17,6 +17,8 @@ from ..functions.seeds import coded, seed_matches, seed_table
 MAX_SAMPLE = 10_000
 #: Letters of a sample that are sent to all tasks at most.
 MAX_SAMPLE_LETTERS = 64 << 20
+#: Cells of dynamic programs for a task, about.
+TASK_CELLS = 5_000_000_000
 
 
 def pairs(sample: DataFrame, key: str = "seq_id", seq: str = "seq", within: str | None = None) -> DataFrame:
@@ -28,12 +30,15 @@ def pairs(sample: DataFrame, key: str = "seq_id", seq: str = "seq", within: str
     told = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length(seq), F.lit(0))).alias("letters")).first()
     if within is None and told.n > MAX_SAMPLE:
         raise ValueError(f"a sample of {told.n} has too many pairs; at most {MAX_SAMPLE} sequences are compared with each other")
+    # a stated number of partitions is not coalesced: alignment is long for few bytes
+    letters = told.letters or 0
+    tasks = min(max(int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions")), letters * letters // (2 * TASK_CELLS)), MAX_SAMPLE)
     kept = [within] if within else []
     ids = sample.select(F.col(key).alias("i"), *kept)
     other = sample.select(F.col(key).alias("j"), *kept)
-    dealt = (ids.join(other, within) if within else ids.join(F.broadcast(other), F.col("i") < F.col("j"))).filter("i < j").repartition("i", "j")
+    dealt = (ids.join(other, within) if within else ids.join(F.broadcast(other), F.col("i") < F.col("j"))).filter("i < j").repartition(tasks, "i", "j")
     held = sample.select(F.col(key).alias("__key"), F.col(seq).alias("__seq"))
-    held = F.broadcast(held) if (told.letters or 0) <= MAX_SAMPLE_LETTERS else held
+    held = F.broadcast(held) if letters <= MAX_SAMPLE_LETTERS else held
     for name, of in (("a", "i"), ("b", "j")):
         dealt = dealt.join(held.select(F.col("__key").alias(of), F.col("__seq").alias(name)), of)
     return dealt.select(*kept, "i", "j", "a", "b")
