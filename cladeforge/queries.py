@@ -6,10 +6,10 @@ taxonomy. Samples are small by nature (all pairs of one are compared); everythin
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +69,18 @@ def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.assign(sequences(spark, sf_dir).repartition(_tasks(spark), "seq"), _roots(spark, sf_dir), 0.75)
 
 
-def _balanced_tree(spark: SparkSession) -> DataFrame:
-    """Eight leaves 0..7, pairs 8..11, fours 12 and 13, root 14; branches of unequal lengths."""
-    parent = np.array([8, 8, 9, 9, 10, 10, 11, 11, 12, 12, 13, 13, 14, 14, -1])
-    length = np.array([(x * 7 % 5 + 1) / 8 for x in range(14)] + [0.0])
-    rows = trees.described(0, parent, length, np.arange(8))
-    none = lambda v: None if str(v) in ("None", "nan", "<NA>") else int(v)
-    data = [(int(r.tree_id), int(r.node_id), none(r.parent), float(r.bl), none(r.label), int(r.nd), int(r.depth), float(r.dist_root), [int(p) for p in r.path]) for r in rows.itertuples()]
-    return spark.createDataFrame(data, trees.TREE)
+def _region_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers under their nations, nations under regions, regions under one root; branches of unequal lengths."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    length = lambda key, a, b: ((F.col(key) * a % b + 1) / 8).alias("bl")
+    nation, region, root = 1 << 40, 1 << 41, 1 << 42
+    rows = [
+        read("customer").select(F.col("c_custkey").cast("long").alias("node"), (F.col("c_nationkey") + F.lit(nation)).alias("parent"), length("c_custkey", 7, 5)),
+        read("nation").select((F.col("n_nationkey") + F.lit(nation)).alias("node"), (F.col("n_regionkey") + F.lit(region)).alias("parent"), length("n_nationkey", 11, 23)),
+        read("region").select((F.col("r_regionkey") + F.lit(region)).alias("node"), F.lit(root).alias("parent"), length("r_regionkey", 3, 4)),
+        spark.range(1).select(F.lit(root).alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0.0).alias("bl")),
+    ]
+    return trees.from_edges(functools.reduce(DataFrame.union, rows).withColumn("tree_id", F.lit(0).cast("long")))
 
 
 CIGARS = [("4M", "ACGT", "ACGT"), ("1M1X2M", "ACGT", "AGGT"), ("2M1D1M", "ACGT", "ACT"), ("1M2D2M", "ACGGT", "AGT"), ("2I3M1X1D", "ACGTA", "TTACGA"), ("", "", ""), ("30D2M", "A" * 30 + "CG", "CG")]
@@ -334,22 +338,23 @@ def dense_ranks(spark, sf_dir):
 
 
 def top_branches(spark, sf_dir):
-    return trees.cut_branches(_balanced_tree(spark), 4, 1).select("node_id", "bl")
+    return trees.cut_branches(_region_tree(spark, sf_dir), 8, 10).select("node_id", "bl")
 
 
 def nearest_cut(spark, sf_dir):
-    tree = _balanced_tree(spark)
-    return trees.leaf_clusters(tree, tree.filter("node_id IN (8, 12)")).fillna(-1, ["cut_node"])
+    tree = clustering.table(_region_tree(spark, sf_dir), "tree")
+    return trees.leaf_clusters(tree, trees.cut_branches(tree, 8, 10)).fillna(-1, ["cut_node"])
 
 
 def tree_labels(spark, sf_dir):
-    return _balanced_tree(spark).select("node_id", F.col("nd").cast("long").alias("nd"), F.col("depth").cast("long").alias("depth"), F.round("dist_root", 6).alias("dist_root"))
+    return _region_tree(spark, sf_dir).select("node_id", F.col("nd").cast("long").alias("nd"), F.col("depth").cast("long").alias("depth"), F.round("dist_root", 6).alias("dist_root"))
 
 
 def common_ancestors(spark, sf_dir):
-    tree = _balanced_tree(spark)
+    """Of each two leaves that follow each other."""
+    tree = clustering.table(_region_tree(spark, sf_dir), "tree")
     leaves = tree.filter("label IS NOT NULL").select("node_id")
-    pairs = leaves.toDF("a").join(leaves.toDF("b"), F.col("a") < F.col("b"))
+    pairs = leaves.toDF("a").join(leaves.toDF("b"), F.col("b") == F.col("a") + 1)
     return trees.lowest_common_ancestor(tree, pairs).withColumn("distance", F.round("distance", 6))
 
 
@@ -506,10 +511,13 @@ def _score(known: str, others: float) -> str:
 
 
 _CHECKSUM = "coalesce(list_sum(list_transform(range(0, length(seq)), lambda i: ((i % 57) + 1) * ascii(substr(seq, (i + 1)::INT, 1)))), 0)::BIGINT % 10000"
-_TREE_ROWS = ", ".join(f"({x}, {p}, {(x * 7 % 5 + 1) / 8})" for x, p in enumerate((8, 8, 9, 9, 10, 10, 11, 11, 12, 12, 13, 13, 14, 14))) + ", (14, NULL, 0.0)"
-_TREE = f"n(node, parent, bl) AS (VALUES {_TREE_ROWS})"
+_TREE = """z AS (SELECT count(*) AS z FROM customer), y AS (SELECT count(*) AS y FROM nation), x AS (SELECT count(*) AS x FROM region),
+    lf AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS node, c_custkey AS label, c_nationkey AS up, (c_custkey * 7 % 5 + 1) / 8 AS bl FROM customer),
+    na AS (SELECT z + row_number() OVER (ORDER BY n_nationkey) - 1 AS node, n_nationkey AS key, n_regionkey AS up, (n_nationkey * 11 % 23 + 1) / 8 AS bl FROM nation, z),
+    re AS (SELECT z + y + row_number() OVER (ORDER BY r_regionkey) - 1 AS node, r_regionkey AS key, (r_regionkey * 3 % 4 + 1) / 8 AS bl FROM region, z, y),
+    n(node, parent, bl, label) AS (SELECT lf.node, na.node, lf.bl, lf.label FROM lf JOIN na ON na.key = lf.up UNION ALL SELECT na.node, re.node, na.bl, NULL FROM na JOIN re ON re.key = na.up UNION ALL SELECT node, z + y + x, bl, NULL FROM re, z, y, x UNION ALL SELECT z + y + x, NULL, 0, NULL FROM z, y, x)"""
 _UP = "up(node, steps, anc) AS (SELECT node, 0, node FROM n UNION ALL SELECT up.node, steps + 1, n.parent FROM up JOIN n ON n.node = up.anc WHERE n.parent IS NOT NULL)"
-_ND = "nd AS (SELECT anc AS node, count(*) AS nd FROM up WHERE node < 8 GROUP BY anc)"
+_ND = "nd AS (SELECT anc AS node, count(*) AS nd FROM up WHERE node < (SELECT z FROM z) GROUP BY anc), cut AS (SELECT n.node, bl FROM n JOIN nd USING (node) WHERE nd > 10 AND parent IS NOT NULL ORDER BY bl DESC, node LIMIT 7)"
 _FROM_ROOT = "dr AS (SELECT up.node, sum(n.bl) AS dist, count(*) - 1 AS depth FROM up JOIN n ON n.node = up.anc GROUP BY up.node)"
 _ALIGNED = f"{_SEQ}, {_sampled(30)}, w AS (SELECT max(len) AS w FROM p), m AS (SELECT seq_id, rpad(seq, (SELECT w FROM w)::INT, '-') AS aligned FROM p), c AS (SELECT k - 1 AS col, substr(aligned, k::INT, 1) AS x FROM (SELECT aligned, unnest(range(1, length(aligned) + 1)) AS k FROM m)), h AS (SELECT col, count(*) AS n, count(*) FILTER (x IN ('N', '-')) AS gaps, count(*) FILTER (x = 'A') AS ca, count(*) FILTER (x = 'C') AS cc, count(*) FILTER (x = 'G') AS cg, count(*) FILTER (x = 'T') AS ct FROM c GROUP BY col), k AS (SELECT * FROM h WHERE gaps <= n // 2)"
 # All documents side by side: what is beyond a sequence's end is a gap, so only its own letters are counted.
@@ -595,10 +603,10 @@ ORACLES = {
     "dup_names": f"WITH {_SEQ} SELECT name, count(*) AS n, count(DISTINCT c) AS checksums FROM (SELECT source || '/' || lang AS name, {_CHECKSUM} AS c FROM s) GROUP BY name HAVING count(*) > 1",
     "unique_names": f"WITH {_SEQ} SELECT seq_id, CASE WHEN k > 0 THEN name || '_' || k ELSE name END AS name FROM (SELECT seq_id, source || '/' || lang AS name, row_number() OVER (PARTITION BY source || '/' || lang ORDER BY seq_id) - 1 AS k FROM s)",
     "dense_ranks": f"WITH {_SEQ} SELECT seq_id, len::INT AS len, row_number() OVER (ORDER BY len, seq_id) - 1 AS rank FROM s",
-    "top_branches": f"WITH RECURSIVE {_TREE}, {_UP}, {_ND} SELECT n.node::INT AS node_id, bl::DOUBLE AS bl FROM n JOIN nd USING (node) WHERE nd > 1 AND parent IS NOT NULL ORDER BY bl DESC, node_id LIMIT 3",
-    "nearest_cut": f"WITH RECURSIVE {_TREE}, {_UP} SELECT n.node::BIGINT AS seq_id, coalesce((SELECT anc FROM up WHERE up.node = n.node AND anc IN (8, 12) ORDER BY steps LIMIT 1), -1)::INT AS cut_node FROM n WHERE n.node < 8",
+    "top_branches": f"WITH RECURSIVE {_TREE}, {_UP}, {_ND} SELECT node::INT AS node_id, bl::DOUBLE AS bl FROM cut",
+    "nearest_cut": f"WITH RECURSIVE {_TREE}, {_UP}, {_ND}, f AS (SELECT up.node, arg_min(anc, steps) AS anc FROM up JOIN cut ON cut.node = up.anc GROUP BY up.node) SELECT n.label::BIGINT AS seq_id, coalesce(f.anc, -1)::INT AS cut_node FROM n LEFT JOIN f ON f.node = n.node WHERE n.label IS NOT NULL",
     "tree_labels": f"WITH RECURSIVE {_TREE}, {_UP}, {_ND}, {_FROM_ROOT} SELECT node::INT AS node_id, nd, depth, round(dist::DOUBLE, 6) AS dist_root FROM nd JOIN dr USING (node)",
-    "common_ancestors": f"WITH RECURSIVE {_TREE}, {_UP}, {_FROM_ROOT}, l AS (SELECT x.node AS a, y.node AS b, arg_min(x.anc, x.steps) AS lca FROM up x JOIN up y ON x.anc = y.anc AND x.node < y.node WHERE y.node < 8 GROUP BY ALL) SELECT a::INT AS a, b::INT AS b, lca::INT AS lca, round((x.dist + y.dist - 2 * z.dist)::DOUBLE, 6) AS distance FROM l JOIN dr x ON x.node = a JOIN dr y ON y.node = b JOIN dr z ON z.node = lca",
+    "common_ancestors": f"WITH RECURSIVE {_TREE}, {_UP}, {_FROM_ROOT}, l AS (SELECT x.node AS a, y.node AS b, arg_min(x.anc, x.steps) AS lca FROM up x JOIN up y ON x.anc = y.anc AND y.node = x.node + 1 WHERE y.node < (SELECT z FROM z) GROUP BY ALL) SELECT a::INT AS a, b::INT AS b, lca::INT AS lca, round((x.dist + y.dist - 2 * z.dist)::DOUBLE, 6) AS distance FROM l JOIN dr x ON x.node = a JOIN dr y ON y.node = b JOIN dr z ON z.node = lca",
     "gapped_columns": f"WITH {_ALIGNED} SELECT 0::BIGINT AS cluster_id, col::INT AS col, n, gaps FROM k",
     "consensus_base": f"WITH {_ALIGNED} SELECT 0::BIGINT AS cluster_id, string_agg(CASE WHEN greatest(ca, cc, cg, ct) = 0 THEN 'N' WHEN ca = greatest(ca, cc, cg, ct) THEN 'A' WHEN cc = greatest(ca, cc, cg, ct) THEN 'C' WHEN cg = greatest(ca, cc, cg, ct) THEN 'G' ELSE 'T' END, '' ORDER BY col) AS consensus FROM k",
     "spaced_seed_similarity": f"WITH {_SEQ}, {_sampled(8)}, o AS (SELECT seq_id, replace(seq, 'N', 'A') AS z, unnest(range(1, length(seq) - 4)) AS o FROM p), e(seq_id, code, o) AS ({_SEED_ROWS}), g AS (SELECT x.seq_id AS i, y.seq_id AS j, y.o - x.o AS g, count(*) AS n FROM e x JOIN e y ON x.code = y.code AND x.seq_id < y.seq_id GROUP BY ALL HAVING count(*) > 61.08) SELECT x.seq_id AS i, y.seq_id AS j, coalesce(sum(g.n), 0)::BIGINT AS similarity FROM p x JOIN p y ON x.seq_id < y.seq_id LEFT JOIN g ON g.i = x.seq_id AND g.j = y.seq_id GROUP BY ALL",
