@@ -453,8 +453,7 @@ def _streamed(spark, sf_dir, aligner: str) -> DataFrame:
     alone = all(f.endswith("/documents.parquet") for f in documents.inputFiles())
     source = reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if alone else reader.parquet(f"{sf_dir}/documents.parquet")
     stream = source.select(F.col("doc_id").alias("seq_id"), S.clean(F.col("text")).alias("seq"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    at = f"{folder.rstrip('/')}/cladeforge/stream-{uuid.uuid4().hex}"
+    at = f"{files.shared_folder(spark)}/cladeforge/stream-{uuid.uuid4().hex}"
     assigning.start_assigning(stream, roots, 0.75, f"{at}/out", f"{at}/checkpoint", aligner).awaitTermination()
     return spark.read.parquet(f"{at}/out").withColumn("d", F.round("d", 6))
 

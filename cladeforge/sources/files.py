@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where a local session has no such setting (tests, a laptop), one below the warehouse; on a cluster that may be each
+    machine's own disk, so there it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+
+
 def ranked(rows: DataFrame, order: list[str], name: str = "seq_id") -> DataFrame:
     """``rows`` with dense 0-based ranks in the order of the columns, without one task that holds all.
 

@@ -104,10 +104,10 @@ def test_sample_and_anchors(spark):
         distances.pairs(spark.range(distances.MAX_SAMPLE + 1).select(F.col("id").alias("seq_id"), F.lit("A").alias("seq")))
 
 
-def test_cuts_stop_at_the_nearest(spark, sf_dir):
-    from cladeforge.queries import _balanced_tree
-
-    tree = _balanced_tree(spark)
+def test_cuts_stop_at_the_nearest(spark):
+    parents = [8, 8, 9, 9, 10, 10, 11, 11, 12, 12, 13, 13, 14, 14, None]
+    edges = [(0, x, p, (x * 7 % 5 + 1) / 8 if p else 0.0) for x, p in enumerate(parents)]
+    tree = trees.from_edges(spark.createDataFrame(edges, "tree_id long, node long, parent long, bl double"))
     found = {r.seq_id: r.cut_node for r in trees.leaf_clusters(tree, tree.filter("node_id IN (8, 12)")).collect()}
     assert found == {0: 8, 1: 8, 2: 12, 3: 12, 4: None, 5: None, 6: None, 7: None}
     assert trees.cut_branches(tree, 3, 1, 0.5).count() <= 2
@@ -200,3 +200,24 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "bad.fa").write_text(">q\nACXE\n")
     with pytest.raises(ValueError):
         cluster_files(spark, arguments(["-i", str(tmp_path / "bad.fa"), "-r", "2", "-b", "2", "-o", str(tmp_path / "out2")]))
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf({"spark.sql.warehouse.dir": "/warehouse/"}), Context()
+
+    with pytest.raises(ValueError):
+        files.shared_folder(Session())
+    Session.sparkContext.master = "local[2]"
+    assert files.shared_folder(Session()) == "/warehouse/_scratch"
+    assert files.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")

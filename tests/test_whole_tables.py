@@ -104,16 +104,3 @@ def test_clustering_is_of_documents(spark, tmp_path):
     rows = [(k, "".join(rng.choices("ACGT", k=30)), "en", "web") for k in range(45)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.seq_id for r in Q.QUERIES["full_clustering"](spark, str(tmp_path)).collect()) == list(range(45))
-
-
-def test_texts_without_common_words_are_rejected_and_good_ones_kept(spark, sf_dir):
-    from cladeforge.llm import quality_rules
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    junk = spark.createDataFrame([(10**9, " ".join(f"zq{k}" for k in range(80)), None)], docs.schema)
-    got = quality_rules.quality_rules(docs.union(junk), word_share=quality_rules.WORD_SHARE)
-    assert not got.filter("doc_id = 1000000000").first().kept
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = got.filter("word_distance IS NOT NULL AND NOT base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
-    kept = {r.quality: r.kept for r in judged}
-    assert kept[1] > 0.95 and kept.get(0, 0) < 0.3
