@@ -8,13 +8,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import shared_folder
 
 #: Rows of an Arrow batch: whole texts are long, and a batch stands in memory several times over.
 BATCH_ROWS, ROWS_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A query or stage (its first argument is the session) whose session has small Arrow batches, unless it sets their size."""
+    """A query or stage (its first argument is the session) whose session has small Arrow batches, unless it sets their size.
+
+    The setting stays, since the result is worked out only when the caller asks for its rows.
+    """
 
     @functools.wraps(query)
     def run(spark: SparkSession, *args) -> DataFrame:
@@ -25,19 +29,10 @@ def small_batches(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where the session has no such setting (tests, a laptop), a folder below the warehouse is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
-
-
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cladeforge/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cladeforge/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -28,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, table
+from ..sources.files import shared_folder
+from .common import materialize, table
 
 #: Captures a block holds at least; blocks grow once the directory would have more than MAX_DIRECTORY entries.
 BLOCK_LINES, MAX_DIRECTORY, MAX_FILE_BYTES = 512, 65_536, 1 << 30
@@ -282,7 +283,7 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
 
 
 def archive_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/cladeforge/warc-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/cladeforge/warc-{uuid.uuid4().hex}"
 
 
 def op1_warc_index(spark, sf_dir: str) -> DataFrame:
