@@ -20,6 +20,16 @@ def clean(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, "[^ACGTNacgtn]", ""))
 
 
+def fasta_records(text: Column) -> Column:
+    """Array of (name, seq) of FASTA held in a column: wrapped lines joined, upper case; null text has no records (null).
+
+    As in files: text before the first header is no record, CR LF ends lines, and a record without lines has an empty sequence.
+    """
+    parts = F.split(F.concat(F.lit("\n"), F.replace(text, F.lit("\r"), F.lit(""))), "\n>")
+    lines = lambda x: F.when(F.instr(x, "\n") > 0, F.upper(F.regexp_replace(F.substr(x, F.instr(x, "\n") + 1), r"\s", ""))).otherwise("")
+    return F.transform(F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.trim(x) != ""), lambda x: F.struct(F.substring_index(x, "\n", 1).alias("name"), lines(x).alias("seq")))
+
+
 def letters(seq: Column, letter: str) -> Column:
     """How often a letter occurs."""
     return (F.length(seq) - F.length(F.replace(seq, F.lit(letter), F.lit("")))).cast("long")

@@ -120,6 +120,14 @@ def alphabet_detect(spark, sf_dir):
     return counted.select("lang", sum((F.col(f"c{ord(c)}") for c in every), F.lit(0)).cast("long").alias("letters"), F.when(dna > protein, "dna").when(dna < protein, "protein").otherwise("unknown").alias("alphabet"))
 
 
+def fasta_column(spark, sf_dir):
+    """Two records in each document's column, of which the second's lines are wrapped."""
+    rows = sequences(spark, sf_dir)
+    text = F.concat(F.lit(">"), "name", F.lit("\n"), F.lower("seq"), F.lit("\n>tail of "), "name", F.lit("\r\n"), F.substr("seq", F.lit(1), F.lit(60)), F.lit("\n"), F.substr("seq", F.lit(61)), F.lit("\n"))
+    records = rows.select("seq_id", F.posexplode(S.fasta_records(text)).alias("place", "r"))
+    return records.select("seq_id", "place", "r.name", S.gcg_checksum(F.col("r.seq")).alias("checksum"))
+
+
 def gcg_checksum(spark, sf_dir):
     return sequences(spark, sf_dir).select("seq_id", S.gcg_checksum(F.col("seq")).alias("checksum"))
 
@@ -467,7 +475,7 @@ def aligned_stream_assign(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    seq_stats, seq_length_filter, base_composition, base_code_counts, alphabet_detect, gcg_checksum, sample_k, sample_semi, remaining_anti, random_member, pair_count,
+    seq_stats, seq_length_filter, base_composition, base_code_counts, alphabet_detect, gcg_checksum, fasta_column, sample_k, sample_semi, remaining_anti, random_member, pair_count,
     site_patterns, jc_distance, edit_distance_pairs, align_edit_score, align_affine_score, align_nw_score, mean_between_groups, nearest_root_assign, saved_for_later, cluster_sizes,
     largest_cluster, size_cv, nmi_vs_taxonomy, taxonomy_join, clstr_lines, length_summary, dup_names, unique_names, dense_ranks, top_branches, nearest_cut, tree_labels,
     common_ancestors, gapped_columns, consensus_base, spaced_seed_similarity, anchors_by_length, euclid_to_anchor, kmeans_one_step, cigar_ops, nj_tree, midpoint_root, msa_columns, gtr_root,
@@ -578,6 +586,7 @@ ORACLES = {
     "base_code_counts": f"WITH {_SEQ} SELECT source, {', '.join(f'sum({_count("seq", b)})::BIGINT AS code_{i}' for i, b in enumerate('ACGTN'))} FROM s GROUP BY source",
     "alphabet_detect": f"SELECT lang, ({' + '.join(f'sum({_count("text", c)})' for c in _EVERY)})::BIGINT AS letters, CASE WHEN {_score(S.DNA_LETTERS, 116.0)} > {_score(S.PROTEIN_LETTERS, 88.0)} THEN 'dna' WHEN {_score(S.DNA_LETTERS, 116.0)} < {_score(S.PROTEIN_LETTERS, 88.0)} THEN 'protein' ELSE 'unknown' END AS alphabet FROM documents GROUP BY lang",
     "gcg_checksum": f"WITH {_SEQ} SELECT seq_id, {_CHECKSUM} AS checksum FROM s",
+    "fasta_column": f"WITH {_SEQ} SELECT seq_id, place::INT AS place, CASE WHEN place = 0 THEN name ELSE 'tail of ' || name END AS name, {_CHECKSUM} AS checksum FROM s, range(2) x(place)",
     "sample_k": f"WITH {_SEQ}, {_sampled(50)} SELECT seq_id, len::INT AS len FROM p",
     "sample_semi": f"WITH {_SEQ}, {_sampled(50)} SELECT seq_id, name FROM s WHERE seq_id IN (SELECT seq_id FROM p)",
     "remaining_anti": f"WITH {_SEQ}, {_sampled(50)} SELECT seq_id, name FROM s WHERE seq_id NOT IN (SELECT seq_id FROM p)",

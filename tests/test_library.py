@@ -202,6 +202,13 @@ def test_command_line(spark, tmp_path):
         cluster_files(spark, arguments(["-i", str(tmp_path / "bad.fa"), "-r", "2", "-b", "2", "-o", str(tmp_path / "out2")]))
 
 
+def test_fasta_in_a_column(spark):
+    texts = [">a b\nac\nGT\n>c\r\nnn\r\n>d", "stray\n>x\nA C\n", "no header", "", None, ">only"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", S.fasta_records(F.col("text")).alias("r")).orderBy("k").collect()
+    got = [None if r.r is None else [tuple(x) for x in r.r] for r in rows]
+    assert got == [[("a b", "ACGT"), ("c", "NN"), ("d", "")], [("x", "AC")], [], [], None, [("only", "")]]
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Conf(dict):
         def get(self, key, default=None):
