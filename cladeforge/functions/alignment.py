@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 #: Cells of the dynamic program that are held at once.
-CELLS = 32_000_000
+CELLS = 96_000_000
 #: Cells that take as long as one step of a program takes however few its pairs.
-STEP_CELLS = 10_000
+STEP_CELLS = 15_000
 FAR = 1 << 28
 DIAGONAL, UP, LEFT, UP_OPENS, LEFT_OPENS = 0, 1, 2, 4, 8
 
@@ -180,7 +180,7 @@ def align_batch(a: list[str], b: list[str], scoring: Scoring, cap: int | None =
     lanes, total = np.arange(size), program.height + program.width
     block = max(CELLS // ((program.height + 1) * size), 1)
     whole = block >= total or (program.height + 1) * (program.width + 1) * size <= CELLS
-    state, saved, kept = program.start(), {}, {}
+    state, saved, kept = program.start(), {}, _Moves(size, program.height * program.width + total if whole else 0)
     ends = n + m
     ending: dict[int, list[int]] = {}
     for k, d in enumerate(ends.tolist()):
@@ -196,8 +196,8 @@ def align_batch(a: list[str], b: list[str], scoring: Scoring, cap: int | None =
         if not whole and (d - 1) % block == 0:
             saved[d] = [x.copy() for x in state[:4]] + state[4:]
         low, flags = program.row(state, d, whole)
-        if whole:
-            kept[d] = (low, flags)
+        if whole and flags is not None:
+            kept.add(d, low, flags)
         if state[4] is None and state[5] is None:
             break
         cells = state[0]
@@ -227,22 +227,34 @@ def align_batch(a: list[str], b: list[str], scoring: Scoring, cap: int | None =
     for begin in [1] if whole else sorted(saved, reverse=True):
         if not whole:
             here = saved.pop(begin)
-            kept = {d: program.row(here, d, True) for d in range(begin, min(begin + block, total + 1))}
-        known = [d for d in kept if kept[d][1] is not None]
-        flat, base, place = b"".join(kept[d][1].tobytes() for d in known), {}, 0
-        for d in known:
-            base[d] = place - kept[d][0] * size
-            place += kept[d][1].size
+            kept = _Moves(size, block * (program.height + 1))
+            for d in range(begin, min(begin + block, total + 1)):
+                low, flags = program.row(here, d, True)
+                if flags is not None:
+                    kept.add(d, low, flags)
         for k in range(size):
-            at[k], held[k] = _way_back(flat, base, size, k, a[k], b[k], at[k], held[k], begin, trails[k])
-        kept = {}
+            at[k], held[k] = _way_back(kept, k, a[k], b[k], at[k], held[k], begin, trails[k])
     paths = [trails[k][::-1].decode() + tails[k] if found[k] else "" for k in range(size)]
     return [int(x) * scoring.sign if ok else None for x, ok in zip(score, found, strict=True)], paths
 
 
-def _way_back(flat: bytes, base: dict[int, int], size: int, k: int, a: str, b: str, at: tuple[int, int], state: int, begin: int, out: bytearray) -> tuple[tuple[int, int], int]:
+class _Moves:
+    """Moves of antidiagonals one after another: that of place u and pair k of d is ``flat[base[d] + u * size + k]``."""
+
+    def __init__(self, size: int, cells: int):
+        self.size, self.at, self.base = size, 0, {}
+        self.held = np.empty(cells * size, dtype=np.uint8)
+        self.flat = memoryview(self.held)
+
+    def add(self, d: int, low: int, flags: np.ndarray) -> None:
+        self.base[d] = self.at - low * self.size
+        self.held[self.at : self.at + flags.size] = flags.ravel()
+        self.at += flags.size
+
+
+def _way_back(kept: _Moves, k: int, a: str, b: str, at: tuple[int, int], state: int, begin: int, out: bytearray) -> tuple[tuple[int, int], int]:
     """Moves of pair ``k`` from a cell back to antidiagonal ``begin``, added to ``out``; where it came to, and in which state."""
-    u, v = at
+    (u, v), flat, base, size = at, kept.flat, kept.base, kept.size
     while u + v >= begin:
         if u and v:
             byte = flat[base[u + v] + u * size + k]

@@ -446,10 +446,14 @@ def gtr_root(spark, sf_dir):
     return likelihood.roots(alignments.msa(_benchmark_members(spark, sf_dir)), pairs).select("cluster_id", "root_seq", F.round("loglik", 2).alias("loglik"))
 
 
+#: Sampled sequences of a round of ``full_clustering``: all of their pairs are aligned.
+ROUND_SAMPLE = 100
+
+
 def full_clustering(spark, sf_dir):
-    """All documents, with the program's example parameters; a table of fewer than 500 is its own sample."""
+    """All documents in ten clusters a round; a table of fewer than ROUND_SAMPLE is its own sample."""
     rows = sequences(spark, sf_dir)
-    members, _ = clustering.run(rows, clustering.Options(clusters=10, sample=min(500, rows.count())))
+    members, _ = clustering.run(rows, clustering.Options(clusters=10, sample=min(ROUND_SAMPLE, rows.count())))
     return members
 
 
