@@ -9,13 +9,12 @@ so neither copies nor hot sources matter.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 from .license_rules import LEVELS, ORDINARY_WORDS, TRIGGERS, gate, rules
+from .spans import spans
 
 # The phrases of the base labels.
 BASE_PHRASES = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
@@ -24,8 +23,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words before lower-casing; between them stand the separators.
 SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 WORD, BETWEEN = f"[^{SEPARATORS}]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Matches that are folded in one step.
-FOLD = 128
 
 
 def gate_phrases() -> list[str]:
@@ -38,35 +35,11 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _running(values: Column, kind: str, total: Callable[[Column], Column], each: Callable[[Column, Column], Column]) -> Column:
-    """Array of ``each(sum of totals before, value)``: a fold that appends to an array copies it at each step, so it goes by blocks.
-
-    ``kind``: type of an element of the result.
-    """
-    n = F.size(values)
-
-    def fold(array: Column, begin: Column, out: str, made: Callable[[Column, Column], Column], size: Callable[[Column], Column]) -> Column:
-        start = F.struct(begin.alias("at"), F.array().cast(f"array<{out}>").alias("out"))
-        return F.aggregate(array, start, lambda s, x: F.struct((s["at"] + size(x)).alias("at"), F.concat(s["out"], F.array(made(s["at"], x))).alias("out")), lambda s: s["out"])
-
-    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / FOLD).cast("int")), lambda k: F.slice(values, k * FOLD + 1, F.lit(FOLD)))).otherwise(F.slice(F.array(values), 1, 0))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + total(x)))
-    offsets = fold(sums, F.lit(0), "int", lambda at, x: at, lambda x: x)
-    return F.flatten(F.zip_with(blocks, offsets, lambda b, o: fold(b, o, kind, each, total)))
-
-
-def _spans(text: Column, pattern: Column) -> Column:
-    """Array of (start, end) of all matches: between them stand the pieces of a split."""
-    found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("size")))
-    return _running(lengths, "struct<start:int,end:int>", lambda x: x["gap"] + x["size"], lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end")))
-
-
 def detections(norm: Column) -> Column:
     """All matches of all rules whose keyword occurs, in order of start, the longer and the higher in rank first."""
     known = F.expr("array(" + ", ".join(f"named_struct('rank', {r.rank}, 'confidence', {r.confidence}D, 'label', '{r.label}', 'keyword', ' {r.keyword} ', 'pattern', r'{r.pattern}')" for r in rules()) + ")")
     hit = F.filter(known, lambda r: F.contains(norm, r["keyword"]))
-    each = F.transform(hit, lambda r: F.transform(_spans(norm, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("to"), r["rank"].alias("rank"), r["label"].alias("label"), r["confidence"].alias("confidence"))))
+    each = F.transform(hit, lambda r: F.transform(spans(norm, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("to"), r["rank"].alias("rank"), r["label"].alias("label"), r["confidence"].alias("confidence"))))
     return F.array_sort(F.flatten(each))
 
 
@@ -95,13 +68,15 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     names of results are replaced.
     """
     made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() not in made]
-    t = F.col(f"`{text}`")
+    keep = [c for c in docs.columns if c != text and c.lower() not in made]
+    # one struct keeps the columns of docs apart from those made here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(True).alias(fresh(docs, "row"))).alias("held"), F.col(f"`{text}`").alias("text"))
+    t = F.col("text")
     words = F.trim(F.regexp_replace(F.translate(t, UPPER, LOWER), BETWEEN, " "))
-    stage = docs.select(*keep, F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.when(t.rlike(gate(gate_phrases(), SEPARATORS)), F.concat(F.lit(" "), words, F.lit(" "))).alias("__norm"))
-    norm = F.col("__norm")
-    pieces = {f"__{i}": F.split(norm, f"(?<= ){phrase}(?= )", -1) for i, phrase in enumerate(BASE_PHRASES.values())}
-    stage = stage.withColumns(pieces | {"__found": surviving(detections(norm))})
+    stage = rows.select("held", F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.when(t.rlike(gate(gate_phrases(), SEPARATORS)), F.concat(F.lit(" "), words, F.lit(" "))).alias("norm"))
+    norm = F.col("norm")
+    pieces = {f"pieces{i}": F.split(norm, f"(?<= ){phrase}(?= )", -1) for i, phrase in enumerate(BASE_PHRASES.values())}
+    stage = stage.withColumns(pieces | {"found": surviving(detections(norm))})
     places, first, last = [], [], []
     for name, phrase in zip(pieces, BASE_PHRASES.values(), strict=True):
         p, k = F.col(name), len(phrase.split())
@@ -111,10 +86,10 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
         last.append(F.when(n > 0, F.col("n_words") - (_spaces(F.element_at(p, -1)) - 1) - k))
     base = F.array_sort(F.filter(F.array(*[F.when(n > 0, F.lit(label)) for n, label in zip(places, BASE_PHRASES, strict=True)]), lambda x: x.isNotNull()))
     least, most = F.least(*first), F.greatest(*last)
-    method = F.coalesce(F.col("__found.labels"), F.array().cast("array<string>"))
-    score = F.greatest(F.coalesce(F.col("__found.score"), F.lit(0.0)), F.when(F.size(base) > 0, 0.5).otherwise(0.0))
+    method = F.coalesce(F.col("found.labels"), F.array().cast("array<string>"))
+    score = F.greatest(F.coalesce(F.col("found.score"), F.lit(0.0)), F.when(F.size(base) > 0, 0.5).otherwise(0.0))
     return stage.select(
-        *keep,
+        *[F.col("held").getField(c).alias(c) for c in keep],
         "n_words",
         sum(places[1:], places[0]).cast("long").alias("n_base"),
         least.cast("long").alias("first_word"),
@@ -126,4 +101,5 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op9_license_rules(spark, sf_dir: str) -> DataFrame:
+    """Every document's words, base phrases, labels and best score."""
     return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
