@@ -320,8 +320,3 @@ def op10_quality_divergence(spark, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict, distances to six places (-1: not judged)."""
     rounded = [F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in ("char_distance", "word_distance")]
     return _op10(spark, sf_dir).select("doc_id", *STATS, "base_failed", "kept", *rounded)
-
-
-def relative_quality_divergence(spark, sf_dir: str) -> DataFrame:
-    """The verdicts and distances of ``op10_quality_divergence`` alone."""
-    return op10_quality_divergence(spark, sf_dir).select("doc_id", "base_failed", "kept", "char_distance", "word_distance")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, language_id, license_scan, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, warc
+from . import bpe, flac, language_id, license_scan, minhash, mixing, pii, quality_classifier, quality_rules, source_audit, spelling, suffix_dedup, warc
 from .common import small_batches
 
 QUERIES = {f.__name__: small_batches(f) for f in (
@@ -16,8 +16,12 @@ QUERIES = {f.__name__: small_batches(f) for f in (
     language_id.op8_byte_cnn,
     license_scan.op9_license_rules,
     quality_rules.op10_quality_divergence,
-    quality_rules.relative_quality_divergence,
+    source_audit.op11_source_divergence,
+    pii.op12_personal_data,
+    spelling.op13_spelling_variants,
 )}
+
+
 def _code_points(first: int, last: int) -> str:
     """Characters whose UTF-8 code begins with bytes ``first`` to ``last``."""
     at = lambda b: (b & 0x1F) << 6 if b < 0xE0 else max((b & 0x0F) << 12, 0x800) if b < 0xF0 else max((b & 7) << 18, 0x10000)
@@ -108,5 +112,39 @@ ORACLES: dict[str, str] = {
         counted AS (SELECT doc_id, sum(e - b)::BIGINT AS r, count(*) AS s FROM spans GROUP BY doc_id)
         SELECT x.doc_id, x.n::BIGINT AS n_bytes, coalesce(c.r, 0) AS n_removed, coalesce(c.s, 0) AS n_spans, sha256(unhex(coalesce(k.k, x.h))) AS kept_sha256
         FROM bytes x LEFT JOIN kept k ON k.doc_id = x.doc_id LEFT JOIN counted c ON c.doc_id = x.doc_id""",
+    "op11_source_divergence": r"""
+        WITH texts AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+        per_doc AS (SELECT row_number() OVER () AS d, lang, source, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM texts),
+        uses AS (SELECT d, lang, source, term, count(*) AS n FROM (SELECT d, lang, source, unnest(w) AS term FROM per_doc) GROUP BY ALL),
+        kept AS (SELECT lang, term, sum(n) AS n FROM uses GROUP BY lang, term HAVING count(*) >= 30),
+        sizes AS (SELECT lang, count(*) AS v, sum(n) AS z FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM texts),
+        found AS (SELECT lang, source, term, sum(n) AS n FROM uses WHERE (lang, term) IN (SELECT lang, term FROM kept) GROUP BY ALL),
+        full_counts AS (SELECT g.lang, g.source, k.term, coalesce(f.n, 0) AS n, k.n AS n_lang FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term),
+        shares AS (
+            SELECT c.lang, source, term, c.n, 1 + (1000000000::HUGEINT * (c.n + 5)::HUGEINT) // (sum(c.n) OVER (PARTITION BY c.lang, source) + 5 * v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (n_lang + 5)::HUGEINT) // (z + 5 * v)::HUGEINT AS q
+            FROM full_counts c JOIN sizes s ON s.lang = c.lang),
+        distances AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM shares WHERE n > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+        UNION ALL SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms QUALIFY rank <= 50""",
+    # the checksum bit by bit, and words by what is left without one letter: for small tables
+    "op13_spelling_variants": r"""
+        WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS k, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+        each_run AS (SELECT k, w, count(*) AS n FROM runs WHERE length(w) >= 6 GROUP BY ALL),
+        hexed AS (SELECT k, w, n, hex(encode(k || ':' || w)) AS h FROM each_run),
+        bytes AS (SELECT k, w, n, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT) AS b FROM hexed),
+        bits AS (SELECT k, w, n, flatten(list_transform(b, lambda x: [x & 1, (x >> 1) & 1, (x >> 2) & 1, (x >> 3) & 1, (x >> 4) & 1, (x >> 5) & 1, (x >> 6) & 1, x >> 7])) AS b FROM bytes),
+        sums AS (SELECT w, n, xor(list_reduce(b, lambda c, x: xor(c >> 1, 3988292384 * (xor(c, x) & 1)), 4294967295), 4294967295) AS h FROM bits),
+        changed AS (SELECT n, CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w) + 2)::INT) ELSE w END AS w FROM sums),
+        words AS (SELECT w, sum(n)::BIGINT AS n FROM changed WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+        gaps AS (SELECT w, i, left(w, i::INT) || substr(w, (i + 2)::INT) AS g FROM (SELECT w, unnest(range(0, length(w))) AS i FROM words)),
+        near AS (
+            SELECT DISTINCT x.w AS a, y.w AS b FROM gaps x JOIN gaps y ON x.i = y.i AND x.g = y.g AND x.w <> y.w
+            UNION SELECT g.w, x.w FROM gaps g JOIN words x ON x.w = g.g UNION SELECT x.w, g.w FROM gaps g JOIN words x ON x.w = g.g),
+        best AS (SELECT a AS w, count(*) AS n_near, arg_min(b, {'less': -y.n, 'w': b}) AS f, max(y.n) AS fn FROM near JOIN words y ON y.w = b GROUP BY a),
+        told AS (SELECT words.w, n, coalesce(n_near, 0) AS n_near, CASE WHEN fn >= 5 * n THEN f END AS form, CASE WHEN fn >= 5 * n THEN fn END AS form_n FROM words LEFT JOIN best ON best.w = words.w),
+        up(w, top) AS (SELECT w, w FROM told UNION ALL SELECT up.w, told.form FROM up JOIN told ON told.w = up.top WHERE told.form IS NOT NULL)
+        SELECT told.w AS word, told.form, up.top AS root, told.n, told.n_near, told.form_n FROM told JOIN up ON up.w = told.w JOIN told z ON z.w = up.top AND z.form IS NULL""",
 }
-ORACLES["relative_quality_divergence"] = f"SELECT doc_id, base_failed, kept, char_distance, word_distance FROM ({ORACLES['op10_quality_divergence']})"

@@ -124,21 +124,22 @@ def _inverse_power(n: int) -> np.uint64:
     return U64(pow(pow(_BASE, n, 1 << 64), -1, 1 << 64))
 
 
-class Words:
-    """Words ``[^\x20\x09-\x0D]+`` of the rows of a chunk.
+class Runs:
+    """Maximal runs of bytes of a chunk for which ``inside`` is true; none crosses rows.
 
-    start, end: byte ranges; row: the row of each; first: n+1 offsets, the words of row r are first[r]:first[r+1].
+    start, end: byte ranges; row: the row of each; first: n+1 offsets, the runs of row r are first[r]:first[r+1].
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        inside = np.zeros(len(data) + 2, dtype=bool)
-        inside[1:-1] = ~_SPACE[data]
-        begins = inside[1:-1] & ~inside[:-2]
+    def __init__(self, inside: np.ndarray, offsets: np.ndarray):
+        n = len(inside)
+        held = np.zeros(n + 2, dtype=bool)
+        held[1:-1] = inside
+        begins = held[1:-1] & ~held[:-2]
         cut = offsets[1:-1]
-        cut = cut[(cut > 0) & (cut < len(data))]
-        begins[cut] = inside[1:-1][cut]
-        ends = inside[1:-1] & ~inside[2:]
-        ends[cut - 1] = inside[1:-1][cut - 1]
+        cut = cut[(cut > 0) & (cut < n)]
+        begins[cut] = held[1:-1][cut]
+        ends = held[1:-1] & ~held[2:]
+        ends[cut - 1] = held[1:-1][cut - 1]
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
@@ -148,6 +149,26 @@ class Words:
         return len(self.start)
 
 
+class Words(Runs):
+    """Words ``[^\x20\x09-\x0D]+`` of the rows of a chunk."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        super().__init__(~_SPACE[data], offsets)
+
+
+def interned(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Code of each range [start, end) and the bytes of each code: by content, so equal codes are equal bytes. Ranges are in order."""
+    n = len(start)
+    if not n:
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    cuts = np.empty(2 * n, dtype=np.int64)
+    cuts[0::2], cuts[1::2] = start, end
+    # ranges and what stands between them take turns; every second one is taken
+    spaced = pa.Array.from_buffers(pa.large_binary(), 2 * n - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+    named = spaced.take(pa.array(np.arange(0, 2 * n, 2))).dictionary_encode()
+    return named.indices.to_numpy().astype(np.int64), named.dictionary
+
+
 def window_hash(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` consecutive values; len(values) - k + 1 of them."""
     n = len(values) - k + 1
