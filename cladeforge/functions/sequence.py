@@ -73,20 +73,6 @@ def jukes_cantor(different: Column, sites: Column) -> Column:
     return F.when(sites < MIN_SITES, 1.0).when(p >= NEAR_ONE, SATURATED).otherwise(F.abs(-0.75 * F.log(1 - 4 * p / 3)))
 
 
-def spaced_seeds(seq: Column) -> Column:
-    """Array of (code, place) of all five spaced seeds at each place that has six letters; N is read as A."""
-    plain = F.translate(seq, "N", "A")
-    places = F.when(F.length(seq) >= 6, F.sequence(F.lit(1), F.length(seq) - 5)).otherwise(F.array().cast("array<int>"))
-
-    def seeds(p: Column) -> Column:
-        return F.array(*[F.struct(F.concat(F.lit(f"{k}:"), *[F.substr(plain, p + i, F.lit(1)) for i in seed]).alias("code"), p.alias("place")) for k, seed in enumerate(SPACED_SEEDS)])
-
-    return F.flatten(F.transform(places, seeds))
-
-
-# --- CIGAR ------------------------------------------------------------------------------------------------------------
-
-
 def cigar_runs(cigar: Column) -> Column:
     """Array of (n, op) of a run-length CIGAR such as 3M1X2D."""
     return F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+[MXID])"), 1), lambda r: F.struct(F.regexp_extract(r, r"\d+", 0).cast("long").alias("n"), F.substr(r, F.length(r), F.lit(1)).alias("op")))
@@ -146,3 +132,20 @@ def gapped(cigar: Column, a: Column, b: Column) -> tuple[Column, Column]:
         )
 
     return F.aggregate(cigar_runs(cigar), start, step, lambda s: s["x"]), F.aggregate(cigar_runs(cigar), start, step, lambda s: s["y"])
+
+
+def seed_codes(seq: Column) -> Column:
+    """Array of (code, place): each spaced seed at each place, as seed * 4**5 and five letters in base 4 (all but C, G, T count as A)."""
+    weight = len(SPACED_SEEDS[0])
+
+    def coded(d: Column) -> Column:
+        def at(o: Column) -> Column:
+            each = [sum((d[o + p] * 4 ** (weight - 1 - k) for k, p in enumerate(seed)), F.lit(x * 4**weight)) for x, seed in enumerate(SPACED_SEEDS)]
+            return F.array(*[F.struct(code.cast("int").alias("code"), o.alias("place")) for code in each])
+
+        last = F.size(d) - 1 - max(map(max, SPACED_SEEDS))
+        return F.when(last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)))
+
+    letters = F.filter(F.split(F.translate(F.coalesce(seq, F.lit("")), "ACGTUN", "012330"), ""), lambda c: c != "")
+    # a one-element array binds the digits, so that they are made once
+    return F.transform(F.array(F.transform(letters, lambda c: F.coalesce(c.try_cast("int"), F.lit(0)))), coded)[0]

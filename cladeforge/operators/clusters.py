@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..functions.alignment import CELLS, SCORINGS, align_batch, side_by_side, site_counts
+from ..functions.alignment import CELLS, SCORINGS, align_batch, run_lengths, side_by_side, site_counts
+from ..sources.files import table
 
-#: Bytes of root sequences that are sent to all tasks at most.
-MAX_ROOT_BYTES = 64 << 20
-TOLD = "seq_id long, told array<struct<cluster_id:long,different:int,sites:int>>"
+#: Bytes of root sequences that are sent to all tasks at once: more go in blocks. HEAD: what a root takes besides its letters.
+MAX_ROOT_BYTES, HEAD = 64 << 20, 64
+#: Letters of all sequences up to which only their ids are shuffled, and each task has its own copy of the sequences.
+MAX_LETTERS = 64 << 20
+TOLD = "seq_id long, told array<struct<cluster_id:long,score:int,cigar:string,different:int,sites:int>>"
 
 
-def _counts(seqs: list[str], root: str, aligner: str) -> list[tuple[int, int]]:
+def _counts(seqs: list[str], root: str, aligner: str, cigars: bool) -> list[tuple]:
+    """Score, CIGAR (if asked for), differing and comparable sites of each sequence (the first side) and a root."""
     if aligner != "ungapped":
-        _, paths = align_batch([root] * len(seqs), seqs, SCORINGS[aligner])
-        return [site_counts(root, s, p) for s, p in zip(seqs, paths, strict=True)]
+        # the program's order of the sides for assignment is the root first
+        sides = (seqs, [root] * len(seqs)) if cigars else ([root] * len(seqs), seqs)
+        scores, paths = align_batch(*sides, SCORINGS[aligner])
+        return [(score, run_lengths(path) if cigars else None, *site_counts(a, b, path)) for a, b, score, path in zip(*sides, scores, paths, strict=True)]
     different, sites = side_by_side(seqs, [root] * len(seqs))
-    return list(zip(different.tolist(), sites.tolist(), strict=True))
+    return [(None, None, d, n) for d, n in zip(different.tolist(), sites.tolist(), strict=True)]
 
 
 def _groups(seqs: list[str], longest: int, at_once: int) -> Iterator[list[str]]:
@@ -37,36 +43,83 @@ def _groups(seqs: list[str], longest: int, at_once: int) -> Iterator[list[str]]:
         yield part
 
 
-def held_against(sequences: DataFrame, roots: DataFrame, aligner: str = "affine", at_once: int = 64) -> DataFrame:
-    """``seq_id, told``: an array of (cluster_id, different, sites) of each sequence against every root, in order of cluster.
+def root_blocks(roots: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """Roots in blocks of ``most`` (MAX_ROOT_BYTES) counted bytes at most; only a longer root is above it, in a block of its own.
 
-    Roots (one a cluster) go to all tasks once their size is checked, and each task holds its sequences against them,
-    ``at_once`` of like length at a time, equal ones of a batch once: nothing is shuffled. Works on streams too.
+    Roots are dealt by hash into eight buckets a block, whose sizes (a few rows) are packed on the driver; a bucket that is
+    too large is dealt anew by another hash until it is small enough or holds one root.
     """
-    size = roots.agg(F.sum(F.length("root_seq")).alias("n")).first().n or 0
-    if size > MAX_ROOT_BYTES:
-        raise ValueError(f"roots of {size} letters are too many to send to all tasks")
-    held = [(r.cluster_id, r.root_seq) for r in roots.select("cluster_id", "root_seq").orderBy("cluster_id").collect()]
+    most = most or MAX_ROOT_BYTES
+    size = F.coalesce(F.length("root_seq"), F.lit(0)).cast("long") + HEAD
+    todo, out = [(roots, 0)], []
+    while todo:
+        part, seed = todo.pop()
+        told = part.agg(F.sum(size).alias("size"), F.count_distinct("cluster_id").alias("n")).first()
+        if (told["size"] or 0) <= most or told.n <= 1:
+            out.append(part)
+            continue
+        buckets = -(-told["size"] // most) * 8
+        bucket = F.pmod(F.xxhash64("cluster_id", F.lit(seed)), F.lit(buckets))
+        sizes_ = sorted((r.b, r.s) for r in part.groupBy(bucket.alias("b")).agg(F.sum(size).alias("s")).collect())
+        packed: list[int] = []
+        held = 0
+        for b, s in sizes_:
+            if s > most:
+                todo.append((part.filter(bucket == b), seed + 1))
+                continue
+            if packed and held + s > most:
+                out.append(part.filter(bucket.isin(packed)))
+                packed, held = [], 0
+            packed.append(b)
+            held += s
+        if packed:
+            out.append(part.filter(bucket.isin(packed)))
+    return out
+
+
+def held_against(sequences: DataFrame, roots: DataFrame, aligner: str = "affine", at_once: int = 64, cigars: bool = False) -> DataFrame:
+    """``seq_id, told``: (cluster_id, score, cigar, different, sites) of each sequence against every root, in order of cluster.
+
+    ``roots`` is one block (``root_blocks``). It goes to all tasks, and each task holds its sequences against it, ``at_once``
+    of like length at a time, equal ones of a batch once: nothing is shuffled. Works on streams too.
+    """
+    held = [(r.cluster_id, r.root_seq or "") for r in roots.select("cluster_id", "root_seq").orderBy("cluster_id").collect()]
     few = sequences.sparkSession.sparkContext.broadcast(held)
     longest = max((len(r) for _, r in held), default=0)
-    kind = pa.list_(pa.struct([("cluster_id", pa.int64()), ("different", pa.int32()), ("sites", pa.int32())]))
+    kind = pa.list_(pa.struct([("cluster_id", pa.int64()), ("score", pa.int32()), ("cigar", pa.string()), ("different", pa.int32()), ("sites", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seqs = [s or "" for s in batch.column(1).to_pylist()]
             told: dict[str, list[dict]] = {}
             for part in _groups(seqs, longest, at_once):
-                counts = [_counts(part, root, aligner) for _, root in few.value]
+                counts = [_counts(part, root, aligner, cigars) for _, root in few.value]
                 for k, s in enumerate(part):
-                    told[s] = [{"cluster_id": c, "different": x[k][0], "sites": x[k][1]} for (c, _), x in zip(few.value, counts, strict=True)]
+                    told[s] = [dict(zip(("cluster_id", "score", "cigar", "different", "sites"), (c, *x[k]), strict=True)) for (c, _), x in zip(few.value, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([told[s] for s in seqs], type=kind)], names=["seq_id", "told"])
 
     return sequences.select(F.col("seq_id").cast("long").alias("seq_id"), "seq").mapInArrow(run, TOLD)
 
 
+def _block_by_block(sequences: DataFrame, roots: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``made`` of each block of roots, one after the other; those of several blocks are written, so that one block is held at a time."""
+    blocks = root_blocks(roots)
+    if len(blocks) == 1:
+        return made(blocks[0])
+    if sequences.isStreaming:
+        raise ValueError("roots in several blocks: hold each batch of the stream against them (foreachBatch)")
+    return functools.reduce(DataFrame.union, [table(made(block), "root-block") for block in blocks])
+
+
+def scores_to_roots(sequences: DataFrame, roots: DataFrame, aligner: str = "affine") -> DataFrame:
+    """``seq_id, cluster_id, score, cigar, different, sites`` of every sequence (the first side) with every root."""
+    each = _block_by_block(sequences, roots, lambda block: held_against(sequences, block, aligner, cigars=True).select("seq_id", F.explode("told").alias("t")))
+    return each.select("seq_id", "t.*")
+
+
 def distances_to_roots(sequences: DataFrame, roots: DataFrame, aligner: str = "affine") -> DataFrame:
     """``seq_id, cluster_id, d`` of every sequence to every root."""
-    each = held_against(sequences, roots, aligner).select("seq_id", F.explode("told").alias("t"))
+    each = _block_by_block(sequences, roots, lambda block: held_against(sequences, block, aligner).select("seq_id", F.explode("told").alias("t")))
     return each.select("seq_id", "t.cluster_id", S.jukes_cantor(F.col("t.different"), F.col("t.sites")).alias("d"))
 
 
@@ -74,13 +127,60 @@ def assign(sequences: DataFrame, roots: DataFrame, threshold: float, aligner: st
     """``seq_id, cluster_id, d, is_assigned``: the nearest root, ties to the lowest cluster.
 
     A sequence is assigned if that is nearer than 1 and not beyond the threshold; else it stays for a later round. The
-    minimum is taken row by row, so neither a shuffle nor, on a stream, a watermark is needed.
+    minimum of a block of roots is taken row by row. One block needs neither a shuffle nor, on a stream, a watermark; of
+    several, each gives a partial minimum, and the least of those is the nearest of all.
     """
     near = F.array_min(F.transform("told", lambda t: F.struct(S.jukes_cantor(t["different"], t["sites"]).alias("d"), t["cluster_id"].alias("cluster_id"))))
-    best = held_against(sequences, roots, aligner).select("seq_id", near.alias("best")).select("seq_id", "best.cluster_id", "best.d")
+    parts = 0
+
+    def nearest(block: DataFrame) -> DataFrame:
+        nonlocal parts
+        parts += 1
+        return held_against(sequences, block, aligner).select("seq_id", near.alias("best"))
+
+    best = _block_by_block(sequences, roots, nearest)
+    if parts > 1:
+        best = best.groupBy("seq_id").agg(F.min("best").alias("best"))
+    best = best.select("seq_id", "best.cluster_id", "best.d")
     return best.withColumn("is_assigned", F.coalesce((F.col("d") < 1) & (F.col("d") <= threshold), F.lit(False)))
 
 
+def each_once(sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One id of each group of equal sequences (the lowest), and ``seq_id, first`` of all. Only ids and digests are shuffled."""
+    named = sequences.select("seq_id", F.sha2(F.coalesce("seq", F.lit("")), 256).alias("digest"))
+    firsts = table(named.groupBy("digest").agg(F.min("seq_id").alias("first")), "sequence-digests")
+    return firsts.select(F.col("first").alias("seq_id")), named.join(firsts, "digest").select("seq_id", "first")
+
+
+def dealt(sequences: DataFrame, ids: DataFrame) -> DataFrame:
+    """``seq_id, seq`` of ``ids(seq_id)``, dealt out evenly: alignment is long for few bytes, and one file would be one task.
+
+    While the counted letters are few enough for each task to have its own copy, only ids are shuffled.
+    """
+    spark = sequences.sparkSession
+    # a stated number of partitions is not coalesced
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = sequences.select("seq_id", "seq")
+    letters = held.agg(F.sum(F.length("seq")).alias("n")).first().n or 0
+    if letters > MAX_LETTERS:
+        return held.join(ids, "seq_id", "left_semi").repartition(tasks, "seq_id")
+    return ids.repartition(tasks, "seq_id").join(F.broadcast(held), "seq_id")
+
+
+def assign_once(sequences: DataFrame, roots: DataFrame, threshold: float, aligner: str = "affine") -> DataFrame:
+    """As ``assign``, with equal sequences aligned once; what is aligned is dealt out evenly."""
+    firsts, members = each_once(sequences)
+    told = table(assign(dealt(sequences, firsts), roots, threshold, aligner), "assigned-once")
+    return members.join(told.withColumnRenamed("seq_id", "first"), "first").select("seq_id", "cluster_id", "d", "is_assigned")
+
+
+def scores_once(sequences: DataFrame, roots: DataFrame, aligner: str = "affine") -> DataFrame:
+    """As ``scores_to_roots``, with equal sequences aligned once; what is aligned is dealt out evenly."""
+    firsts, members = each_once(sequences)
+    told = table(scores_to_roots(dealt(sequences, firsts), roots, aligner), "scores-once")
+    return members.join(told.withColumnRenamed("seq_id", "first"), "first").drop("first")
+
+
 def sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -122,8 +222,8 @@ def kmeans_step(vectors: DataFrame, centres: DataFrame, vector: str = "embedding
     """``centre_id, n, centre``: one step of k-means; vectors go to the nearest centre (ties to the lowest), then means are taken."""
     from .distances import to_anchors
 
-    near = to_anchors(vectors, centres, vector, key).groupBy(key).agg(F.min(F.struct("d", "anchor_id")).alias("best")).select(key, F.col("best.anchor_id").alias("centre_id"))
-    parts = vectors.join(near, key).select("centre_id", F.posexplode(vector).alias("dim", "x"))
+    near = to_anchors(vectors, centres, vector, key, [vector]).groupBy(key).agg(F.min(F.struct("d", "anchor_id", F.col(vector).alias("x"))).alias("best"))
+    parts = near.select(F.col("best.anchor_id").alias("centre_id"), F.posexplode("best.x").alias("dim", "x"))
     means = parts.groupBy("centre_id", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
     listed = means.groupBy("centre_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("c"))
     return listed.select("centre_id", "n", F.transform("c", lambda s: s["x"]).alias("centre"))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions.alignment import aligned, ungapped_counts
-from ..functions.seeds import coded, seed_matches, seed_table
+from ..sources.files import table
 
 #: A sample is meant to be small: all pairs of one beyond this are refused.
 MAX_SAMPLE = 10_000
@@ -77,24 +76,39 @@ def mean_between(distances: DataFrame, members: DataFrame, leave_out: int | None
     return each.agg(F.avg("d").alias("mean"))
 
 
-def seed_similarity(of: DataFrame, least: float = 61.08) -> DataFrame:
-    """``i, j, similarity``: matches of spaced seeds on diagonals that have more than ``least`` of them (larger is closer).
+#: Matches that a diagonal must have more of; rows of an index that is sent to all tasks; rows of a code that meet in a task.
+LEAST_MATCHES, MAX_INDEX, CODE_ROWS = 61.08, 4_000_000, 100_000
+#: Letters of a task of the index join, about: each meets the index at five seeds.
+TASK_LETTERS = 200_000
+
+
+def seed_index(sequences: DataFrame, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """``code, key, place``: an inverted index of the spaced seeds, a row a seed and place."""
+    return sequences.select(key, F.explode(S.seed_codes(F.col(seq))).alias("s")).select("s.code", key, "s.place")
 
-    A pair is compared where it stands, in numpy: codes are few, so a join on them would bring every place to very many.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tables: dict[str, tuple] = {}
-            told = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                for s in (a or "", b or ""):
-                    if s not in tables:
-                        tables[s] = seed_table(coded(s))
-                told.append(seed_matches(tables[a or ""], tables[b or ""], least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, type=pa.int64())], names=["i", "j", "similarity"])
+def seed_similarity(left: DataFrame, right: DataFrame, least: float = LEAST_MATCHES, most: int | None = None) -> DataFrame:
+    """``i, j, similarity`` of ``left(i, seq)`` and ``right(j, seq)``: matches on the diagonals that have more than ``least`` of them.
 
-    return of.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "a", "b").mapInArrow(run, "i long, j long, similarity long")
+    Seeds meet by code, in an index: no two sequences are paired that share none, and only pairs with such a diagonal come
+    out. While the counted index of ``right`` has ``most`` (MAX_INDEX) rows or fewer, all tasks have it, and ``left`` is dealt by
+    sequence, so a diagonal is counted where it arises. A larger index is joined by code; codes are few and all frequent, so
+    the rows of each are split by a salt that follows their number, and diagonals are counted by partial sums before they meet.
+    """
+    index = table(seed_index(right, "j").withColumnRenamed("place", "q"), "seed-index")
+    diagonal = (F.col("q") - F.col("place")).alias("diagonal")
+    if index.count() <= (MAX_INDEX if most is None else most):
+        letters = left.agg(F.sum(F.length("seq")).alias("n")).first().n or 0
+        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), letters // TASK_LETTERS)
+        met = seed_index(left.select("i", "seq").repartition(tasks, "i"), "i").join(F.broadcast(index), "code")
+    else:
+        own = table(seed_index(left.select("i", "seq"), "i"), "seed-index")
+        salts = own.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / CODE_ROWS).cast("int").alias("salts"))  # a row a code
+        salted = own.join(F.broadcast(salts), "code").withColumn("salt", F.pmod(F.xxhash64("i", "place"), F.col("salts")).cast("int"))
+        copies = index.join(F.broadcast(salts), "code").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        met = salted.join(copies.select("code", "salt", "j", "q"), ["code", "salt"])
+    diagonals = met.groupBy("i", "j", diagonal).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+    return diagonals.groupBy("i", "j").agg(F.sum("n").alias("similarity"))
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -113,7 +127,7 @@ def _anchor_blocks(anchors: DataFrame, vector: str, key: str) -> list[DataFrame]
     return [all_] if n <= 1 else [all_.filter(F.pmod(F.xxhash64("anchor_id"), F.lit(n)) == k) for k in range(n)]
 
 
-def to_anchors(vectors: DataFrame, anchors: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """Distance of every vector to each anchor. Anchors are broadcast, in blocks where their counted size is beyond MAX_ANCHOR_BYTES."""
-    parts = [vectors.join(F.broadcast(block)).select(key, "anchor_id", euclidean(F.col(vector), F.col("__anchor")).alias("d")) for block in _anchor_blocks(anchors, vector, key)]
+def to_anchors(vectors: DataFrame, anchors: DataFrame, vector: str = "embedding", key: str = "vec_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Distance of every vector to each anchor, with columns ``keep``. Anchors are broadcast, in blocks where their counted size is beyond MAX_ANCHOR_BYTES."""
+    parts = [vectors.join(F.broadcast(block)).select(key, "anchor_id", *keep, euclidean(F.col(vector), F.col("__anchor")).alias("d")) for block in _anchor_blocks(anchors, vector, key)]
     return reduce(DataFrame.unionByName, parts)

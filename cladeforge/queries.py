@@ -1,7 +1,8 @@
 """Queries over the driver's tables, one for each operator, and the same in SQL where SQL can express it.
 
 The sequence of a document is its text without all letters but A C G T N, in upper case; ``lang`` and ``source`` stand in for
-taxonomy. Samples are small by nature (all pairs of one are compared); everything else runs over whole tables.
+taxonomy. What compares all pairs runs over all of ``benchmark``, everything else over whole tables of documents; samples are
+drawn only where the operator is sampling or a clustering round's sample.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import sequence as S
+from .functions import table_functions
 from .functions.alignment import SCORINGS, aligned
 from .operators import alignments, clusters, distances, likelihood, sampling, trees
 from .plans import clustering
-from .sources import files
+from .sources import fasta, files
 from .streaming import assigning
 
 SEED = 42
@@ -44,19 +46,14 @@ def _language_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written once: what uses roots looks at them more than once."""
-    return clustering.table(_language_roots(spark, sf_dir).drop("lang"), "roots")
-
-
-def _tasks(spark: SparkSession) -> int:
-    """A stated number of partitions is not coalesced: alignment is long for few bytes, and would run in one or two tasks."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.table(_language_roots(spark, sf_dir).drop("lang"), "roots")
 
 
 def _against_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with every root: ``i, j, a, b`` as of pairs, ``j`` the root's cluster. Linear in the documents."""
+    """Every document with every root: ``i, j, a, b`` as of pairs, ``j`` the root's cluster. Linear in the documents; nothing is shuffled."""
     rows = sequences(spark, sf_dir).select(F.col("seq_id").alias("i"), F.col("seq").alias("a"))
     roots = _roots(spark, sf_dir).select(F.col("cluster_id").alias("j"), F.col("root_seq").alias("b"))
-    return rows.join(F.broadcast(roots)).repartition(_tasks(spark), "i", "j")
+    return rows.join(F.broadcast(roots))  # a root a language
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +62,8 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the clustering run assigns: by affine alignment. Equal sequences are dealt to one task, which aligns them once a batch."""
-    return clusters.assign(sequences(spark, sf_dir).repartition(_tasks(spark), "seq"), _roots(spark, sf_dir), 0.75)
+    """As the clustering run assigns: by affine alignment, equal sequences once."""
+    return clusters.assign_once(sequences(spark, sf_dir), _roots(spark, sf_dir), 0.75)
 
 
 def _region_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,11 +152,13 @@ def pair_count(spark, sf_dir):
 
 
 def site_patterns(spark, sf_dir):
-    return distances.binary_patterns(distances.pairs(_sample(spark, sf_dir, 12)))
+    """Of all pairs of ``benchmark``."""
+    return distances.binary_patterns(_pairs_of_benchmark(spark, sf_dir))
 
 
 def jc_distance(spark, sf_dir):
-    return distances.pair_distances(distances.pairs(_sample(spark, sf_dir, 20)), "ungapped").select("i", "j", F.round("d", 6).alias("d"))
+    """Of all pairs of ``benchmark``, side by side."""
+    return distances.pair_distances(_pairs_of_benchmark(spark, sf_dir), "ungapped").select("i", "j", F.round("d", 6).alias("d"))
 
 
 def edit_distance_pairs(spark, sf_dir):
@@ -187,7 +186,7 @@ def capped_pairs(spark, sf_dir):
 
 def _benchmark_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = sampling.sample_k(sequences(spark, sf_dir, "benchmark", "item_id"), 4, SEED)
-    return clustering.table(drawn.select((F.row_number().over(Window.orderBy("seq_id")) - 1).cast("long").alias("cluster_id"), F.col("seq").alias("root_seq")), "roots")  # four rows
+    return files.table(drawn.select((F.row_number().over(Window.orderBy("seq_id")) - 1).cast("long").alias("cluster_id"), F.col("seq").alias("root_seq")), "roots")  # four rows
 
 
 def _benchmark_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +211,7 @@ def affine_cv(spark, sf_dir):
 
 
 def affine_report(spark, sf_dir):
-    told = clustering.table(_benchmark_assigned(spark, sf_dir).select("seq_id", "cluster_id"), "assigned")
+    told = files.table(_benchmark_assigned(spark, sf_dir).select("seq_id", "cluster_id"), "assigned")
     return files.clstr_lines(told.join(sequences(spark, sf_dir, "benchmark", "item_id").select("seq_id", "name", "len"), "seq_id"))
 
 
@@ -229,21 +228,25 @@ def jc_distance_roots(spark, sf_dir):
     return distances.pair_distances(_against_roots(spark, sf_dir), "ungapped").select("i", "j", F.round("d", 6).alias("d"))
 
 
+def _scores(spark: SparkSession, sf_dir: str, aligner: str) -> DataFrame:
+    return clusters.scores_once(sequences(spark, sf_dir), _roots(spark, sf_dir), aligner).withColumnsRenamed({"seq_id": "i", "cluster_id": "j"})
+
+
 def align_affine_score(spark, sf_dir):
     """Every document against every root."""
-    rows = aligned(_against_roots(spark, sf_dir), "affine").select("i", "j", "a", "b", "alignment.*")
-    return rows.select("i", "j", "score", "different", "sites", S.cigar_affine_cost(F.col("cigar")).alias("cigar_cost"))
+    return _scores(spark, sf_dir, "affine").select("i", "j", "score", "different", "sites", S.cigar_affine_cost(F.col("cigar")).alias("cigar_cost"))
 
 
 def align_nw_score(spark, sf_dir):
     """Every document against every root."""
-    return aligned(_against_roots(spark, sf_dir), "nw").select("i", "j", "alignment.score", "alignment.different", "alignment.sites")
+    return _scores(spark, sf_dir, "nw").select("i", "j", "score", "different", "sites")
 
 
 def mean_between_groups(spark, sf_dir):
-    sample = _sample(spark, sf_dir, 40)
-    d = distances.pair_distances(distances.pairs(sample), "ungapped")
-    members = sample.select("seq_id", F.dense_rank().over(Window.orderBy("lang")).alias("cluster_id"))
+    """Of all of ``benchmark``, side by side, in groups by the first letter."""
+    rows = sequences(spark, sf_dir, "benchmark", "item_id")
+    d = distances.pair_distances(distances.pairs(rows), "ungapped")
+    members = rows.select("seq_id", F.instr(F.lit("ACGT"), F.substr("seq", F.lit(1), F.lit(1))).alias("cluster_id"))
     return distances.mean_between(d, members).select(F.round("mean", 6).alias("mean"))
 
 
@@ -315,7 +318,7 @@ def taxonomy_join(spark, sf_dir):
 
 def _report(spark, sf_dir, assigned: DataFrame) -> DataFrame:
     """The assignment is written once: ranks look at their rows more than once."""
-    told = clustering.table(assigned.select("seq_id", "cluster_id"), "assigned")
+    told = files.table(assigned.select("seq_id", "cluster_id"), "assigned")
     return files.clstr_lines(told.join(sequences(spark, sf_dir).select("seq_id", "name", "len"), "seq_id"))
 
 
@@ -350,7 +353,7 @@ def top_branches(spark, sf_dir):
 
 
 def nearest_cut(spark, sf_dir):
-    tree = clustering.table(_region_tree(spark, sf_dir), "tree")
+    tree = files.table(_region_tree(spark, sf_dir), "tree")
     return trees.leaf_clusters(tree, trees.cut_branches(tree, 8, 10)).fillna(-1, ["cut_node"])
 
 
@@ -360,15 +363,15 @@ def tree_labels(spark, sf_dir):
 
 def common_ancestors(spark, sf_dir):
     """Of each two leaves that follow each other."""
-    tree = clustering.table(_region_tree(spark, sf_dir), "tree")
+    tree = files.table(_region_tree(spark, sf_dir), "tree")
     leaves = tree.filter("label IS NOT NULL").select("node_id")
     pairs = leaves.toDF("a").join(leaves.toDF("b"), F.col("b") == F.col("a") + 1)
     return trees.lowest_common_ancestor(tree, pairs).withColumn("distance", F.round("distance", 6))
 
 
 def _side_by_side(spark, sf_dir) -> DataFrame:
-    """A sample as if aligned: filled with gaps up to the longest."""
-    sample = _sample(spark, sf_dir, 30).select("seq_id", "seq", "len", "lang")
+    """All of ``benchmark`` as if aligned: filled with gaps up to the longest."""
+    sample = sequences(spark, sf_dir, "benchmark", "item_id").select("seq_id", "seq", "len")
     width = sample.agg(F.max("len").alias("w"))
     return sample.join(F.broadcast(width)).select(F.lit(0).cast("long").alias("cluster_id"), "seq_id", F.rpad("seq", F.col("w"), F.lit("-")).alias("aligned"))
 
@@ -392,11 +395,20 @@ def consensus_base_all(spark, sf_dir):
 
 
 def spaced_seed_similarity(spark, sf_dir):
-    return distances.seed_similarity(distances.pairs(_sample(spark, sf_dir, 8)))
+    """Of all pairs of ``benchmark``, by an index of their seeds."""
+    rows = sequences(spark, sf_dir, "benchmark", "item_id")
+    left, right = rows.select(F.col("seq_id").alias("i"), "seq"), rows.select(F.col("seq_id").alias("j"), "seq")
+    found = distances.seed_similarity(left, right).filter("i < j")
+    every = left.select("i").join(F.broadcast(right.select("j")), F.col("i") < F.col("j"))
+    return every.join(found, ["i", "j"], "left").select("i", "j", F.coalesce("similarity", F.lit(0).cast("long")).alias("similarity"))
 
 
 def spaced_seed_roots(spark, sf_dir):
-    return distances.seed_similarity(_against_roots(spark, sf_dir))
+    """Every document against every root, by an index of their seeds."""
+    rows, roots = sequences(spark, sf_dir).select(F.col("seq_id").alias("i"), "seq"), _roots(spark, sf_dir).select(F.col("cluster_id").alias("j"), F.col("root_seq").alias("seq"))
+    found = distances.seed_similarity(rows, roots)
+    every = rows.select("i").join(F.broadcast(roots.select("j")))  # a root a language
+    return every.join(found, ["i", "j"], "left").select("i", "j", F.coalesce("similarity", F.lit(0).cast("long")).alias("similarity"))
 
 
 def anchors_by_length(spark, sf_dir):
@@ -426,11 +438,11 @@ def cigar_ops(spark, sf_dir):
 
 
 def nj_tree(spark, sf_dir):
-    return trees.trees(_benchmark_distances(spark, sf_dir)).drop("path")
+    return trees.trees(_benchmark_distances(spark, sf_dir))
 
 
 def midpoint_root(spark, sf_dir):
-    return trees.trees(_benchmark_distances(spark, sf_dir), midpoint=True).drop("path")
+    return trees.trees(_benchmark_distances(spark, sf_dir), midpoint=True)
 
 
 def _benchmark_members(spark, sf_dir):
@@ -457,14 +469,17 @@ def full_clustering(spark, sf_dir):
     return members
 
 
-def _streamed(spark, sf_dir, aligner: str) -> DataFrame:
+def _stream_of_documents(spark, sf_dir) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    roots = _roots(spark, sf_dir)
     reader = spark.readStream.schema(documents.schema)
     # a stream reads folders: the table is one, or a file in one
     alone = all(f.endswith("/documents.parquet") for f in documents.inputFiles())
     source = reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if alone else reader.parquet(f"{sf_dir}/documents.parquet")
-    stream = source.select(F.col("doc_id").alias("seq_id"), S.clean(F.col("text")).alias("seq"))
+    return source.select(F.col("doc_id").alias("seq_id"), S.clean(F.col("text")).alias("seq"))
+
+
+def _streamed(spark, sf_dir, aligner: str) -> DataFrame:
+    stream, roots = _stream_of_documents(spark, sf_dir), _roots(spark, sf_dir)
     at = f"{files.shared_folder(spark)}/cladeforge/stream-{uuid.uuid4().hex}"
     assigning.start_assigning(stream, roots, 0.75, f"{at}/out", f"{at}/checkpoint", aligner).awaitTermination()
     return spark.read.parquet(f"{at}/out").withColumn("d", F.round("d", 6))
@@ -478,6 +493,41 @@ def aligned_stream_assign(spark, sf_dir):
     return _streamed(spark, sf_dir, "affine")
 
 
+def stream_pool(spark, sf_dir):
+    """What a stream leaves over, side by side; each micro-batch under its own number."""
+    at = f"{files.shared_folder(spark)}/cladeforge/stream-{uuid.uuid4().hex}"
+    assigning.start_pooling(_stream_of_documents(spark, sf_dir), _roots(spark, sf_dir), 0.75, f"{at}/out", f"{at}/checkpoint", "ungapped").awaitTermination()
+    return assigning.pool_rows(spark, f"{at}/out").select("seq_id", F.length("seq").alias("len"), F.round("d", 6).alias("d"))
+
+
+def fasta_source(spark, sf_dir):
+    """Documents written as FASTA files and read through the source format."""
+    at = f"{files.shared_folder(spark)}/cladeforge/fasta-{uuid.uuid4().hex}"
+    files.write_fasta(sequences(spark, sf_dir), at)
+    return fasta.fasta_table(spark, at).select("name", "len", S.gcg_checksum(F.col("seq")).alias("checksum"))
+
+
+def cigar_lengths(spark, sf_dir):
+    """Letters of each operation, over the CIGARs of all pairs of ``benchmark``, by a table function in SQL."""
+    table_functions.register(spark)
+    pairs = aligned(_pairs_of_benchmark(spark, sf_dir), "affine").select("i", "j", "alignment.cigar")
+    text = "SELECT i, j, o.op, sum(o.n) AS n, count(*) AS runs, min(o.a_start) AS a_start, min(o.b_start) AS b_start FROM {pairs}, LATERAL cigar_ops(cigar) o GROUP BY i, j, o.op"
+    return spark.sql(text, pairs=pairs)
+
+
+def seed_counts(spark, sf_dir):
+    """How often each spaced seed stands in the documents of a language, by a table function in SQL."""
+    table_functions.register(spark)
+    return spark.sql("SELECT lang, s.code, count(*) AS n, min(s.place) AS place FROM {rows}, LATERAL spaced_seeds(seq) s GROUP BY lang, s.code", rows=sequences(spark, sf_dir))
+
+
+def fasta_lines(spark, sf_dir):
+    """Records of FASTA text in a column, one of each document with wrapped lines, by a table function in SQL."""
+    table_functions.register(spark)
+    rows = sequences(spark, sf_dir).select("seq_id", F.concat(F.lit("; note\n>"), "name", F.lit("\r\n"), F.lower(F.regexp_replace("seq", "(.{50})", "$1\r\n")), F.lit("\n>end of "), "name").alias("text"))
+    return spark.sql("SELECT seq_id, r.place, r.name, r.seq FROM {rows}, LATERAL fasta_records(text) r", rows=rows).select("seq_id", "place", "name", S.gcg_checksum(F.col("seq")).alias("checksum"))
+
+
 QUERIES = {f.__name__: f for f in (
     seq_stats, seq_length_filter, base_composition, base_code_counts, alphabet_detect, gcg_checksum, fasta_column, sample_k, sample_semi, remaining_anti, random_member, pair_count,
     site_patterns, jc_distance, edit_distance_pairs, align_edit_score, align_affine_score, align_nw_score, mean_between_groups, nearest_root_assign, saved_for_later, cluster_sizes,
@@ -485,6 +535,7 @@ QUERIES = {f.__name__: f for f in (
     common_ancestors, gapped_columns, consensus_base, spaced_seed_similarity, anchors_by_length, euclid_to_anchor, kmeans_one_step, cigar_ops, nj_tree, midpoint_root, msa_columns, gtr_root,
     affine_pairs, nw_pairs, capped_pairs, affine_assign, affine_sizes, affine_largest, affine_cv, affine_report, affine_mean_between, full_clustering, stream_assign, site_patterns_roots, jc_distance_roots, mean_between_roots, gapped_columns_all, consensus_base_all, spaced_seed_roots,
     aligned_assign, aligned_saved_for_later, aligned_cluster_sizes, aligned_largest_cluster, aligned_size_cv, aligned_nmi, aligned_clstr_lines, aligned_stream_assign,
+    stream_pool, fasta_source, cigar_lengths, seed_counts, fasta_lines,
 )}
 
 # --- the same in SQL --------------------------------------------------------------------------------------------------
@@ -530,45 +581,50 @@ _TREE = """z AS (SELECT count(*) AS z FROM customer), y AS (SELECT count(*) AS y
 _UP = "up(node, steps, anc) AS (SELECT node, 0, node FROM n UNION ALL SELECT up.node, steps + 1, n.parent FROM up JOIN n ON n.node = up.anc WHERE n.parent IS NOT NULL)"
 _ND = "nd AS (SELECT anc AS node, count(*) AS nd FROM up WHERE node < (SELECT z FROM z) GROUP BY anc), cut AS (SELECT n.node, bl FROM n JOIN nd USING (node) WHERE nd > 10 AND parent IS NOT NULL ORDER BY bl DESC, node LIMIT 7)"
 _FROM_ROOT = "dr AS (SELECT up.node, sum(n.bl) AS dist, count(*) - 1 AS depth FROM up JOIN n ON n.node = up.anc GROUP BY up.node)"
-_ALIGNED = f"{_SEQ}, {_sampled(30)}, w AS (SELECT max(len) AS w FROM p), m AS (SELECT seq_id, rpad(seq, (SELECT w FROM w)::INT, '-') AS aligned FROM p), c AS (SELECT k - 1 AS col, substr(aligned, k::INT, 1) AS x FROM (SELECT aligned, unnest(range(1, length(aligned) + 1)) AS k FROM m)), h AS (SELECT col, count(*) AS n, count(*) FILTER (x IN ('N', '-')) AS gaps, count(*) FILTER (x = 'A') AS ca, count(*) FILTER (x = 'C') AS cc, count(*) FILTER (x = 'G') AS cg, count(*) FILTER (x = 'T') AS ct FROM c GROUP BY col), k AS (SELECT * FROM h WHERE gaps <= n // 2)"
+_ALIGNED = "s AS (SELECT item_id AS seq_id, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS seq FROM benchmark), p AS (SELECT seq_id, seq FROM s), w AS (SELECT max(length(seq)) AS w FROM p), m AS (SELECT seq_id, rpad(seq, (SELECT w FROM w)::INT, '-') AS aligned FROM p), c AS (SELECT k - 1 AS col, substr(aligned, k::INT, 1) AS x FROM (SELECT aligned, unnest(range(1, length(aligned) + 1)) AS k FROM m)), h AS (SELECT col, count(*) AS n, count(*) FILTER (x IN ('N', '-')) AS gaps, count(*) FILTER (x = 'A') AS ca, count(*) FILTER (x = 'C') AS cc, count(*) FILTER (x = 'G') AS cg, count(*) FILTER (x = 'T') AS ct FROM c GROUP BY col), k AS (SELECT * FROM h WHERE gaps <= n // 2)"
 # All documents side by side: what is beyond a sequence's end is a gap, so only its own letters are counted.
 _COLUMNS = f"{_SEQ}, c AS (SELECT k - 1 AS col, substr(seq, k::INT, 1) AS x FROM (SELECT seq, unnest(range(1, len + 1)) AS k FROM s)), h AS (SELECT col, (SELECT count(*) FROM s) AS n, (SELECT count(*) FROM s) - count(*) FILTER (x <> 'N') AS gaps, count(*) FILTER (x = 'A') AS ca, count(*) FILTER (x = 'C') AS cc, count(*) FILTER (x = 'G') AS cg, count(*) FILTER (x = 'T') AS ct FROM c GROUP BY col), k AS (SELECT * FROM h WHERE gaps <= n // 2)"
 _SEED_ROWS = " UNION ALL ".join("SELECT seq_id, " + f"'{x}:' || " + " || ".join(f"substr(z, (o + {i})::INT, 1)" for i in seed) + ", o FROM o" for x, seed in enumerate(S.SPACED_SEEDS))
 
 
-def _aligned_sql(pairs: str, aligner: str) -> str:
+def _aligned_sql(pairs: str, aligner: str, path: bool = False) -> str:
     """The dynamic program in SQL, an antidiagonal a step: ``al(i, j, score, different, sites)`` of the table ``pairs(i, j, a, b)``.
 
-    Lists are by place in ``a``; a cell carries its cost and the sites on the path that ties lead to. For short sequences.
+    Lists are by place in ``a``; a cell carries its cost and the sites on the path that ties lead to, and with ``path`` its
+    moves too. For short sequences.
     """
     s = SCORINGS[aligner]
-    both, ext, far = s.opening + s.extending, s.extending, "{'c': 1000000000, 'd': 0, 's': 0}"
+    moves = lambda value: f", 'p': {value}" if path else ""
+    both, ext, far = s.opening + s.extending, s.extending, f"{{'c': 1000000000, 'd': 0, 's': 0{moves(repr(''))}}}"
 
-    def gap(h: str, g: str) -> str:
-        return f"CASE WHEN {h}.c + {both} <= {g}.c + {ext} THEN {{'c': {h}.c + {both}, 'd': {h}.d, 's': {h}.s}} ELSE {{'c': {g}.c + {ext}, 'd': {g}.d, 's': {g}.s}} END"
+    def gap(h: str, g: str, move: str) -> str:
+        return f"CASE WHEN {h}.c + {both} <= {g}.c + {ext} THEN {{'c': {h}.c + {both}, 'd': {h}.d, 's': {h}.s{moves(f'{h}.p || {move!r}')}}} ELSE {{'c': {g}.c + {ext}, 'd': {g}.d, 's': {g}.s{moves(f'{g}.p || {move!r}')}}} END"
 
     x, y = "substr(a, i::INT, 1)", "substr(b, (d - i)::INT, 1)"
     known = f"({x} <> 'N' AND {y} <> 'N')"
-    pair = f"{{'c': h2[i].c + CASE WHEN {x} = {y} THEN {s.match} ELSE {s.mismatch} END, 'd': h2[i].d + ({known} AND {x} <> {y})::INT, 's': h2[i].s + {known}::INT}}"
+    step = f"h2[i].p || CASE WHEN {x} = {y} THEN 'M' ELSE 'X' END"
+    pair = f"{{'c': h2[i].c + CASE WHEN {x} = {y} THEN {s.match} ELSE {s.mismatch} END, 'd': h2[i].d + ({known} AND {x} <> {y})::INT, 's': h2[i].s + {known}::INT{moves(step)}}}"
+    edge = moves("CASE WHEN i = 0 THEN repeat('I', d::INT) ELSE repeat('D', d::INT) END")
+    zero = f"{{'c': 0, 'd': 0, 's': 0{moves(repr(''))}}}"
     best = "CASE WHEN q.c <= f[i + 1].c AND q.c <= e[i + 1].c THEN q WHEN f[i + 1].c <= e[i + 1].c THEN f[i + 1] ELSE e[i + 1] END"
     if s.gaps_first:
         best = "CASE WHEN e[i + 1].c <= f[i + 1].c AND e[i + 1].c <= q.c THEN e[i + 1] WHEN f[i + 1].c <= q.c THEN f[i + 1] ELSE q END"
     places = "range(0, length(a) + 1)"
     none = f"list_transform({places}, lambda i: {far})"
     program = f"""dp(i_, j_, a, b, n, m, d, h1, h2, e1, f1) AS (
-        SELECT i, j, a, b, length(a), length(b), 0, list_transform({places}, lambda i: CASE WHEN i = 0 THEN {{'c': 0, 'd': 0, 's': 0}} ELSE {far} END), {none}, {none}, {none} FROM {pairs}
+        SELECT i, j, a, b, length(a), length(b), 0, list_transform({places}, lambda i: CASE WHEN i = 0 THEN {zero} ELSE {far} END), {none}, {none}, {none} FROM {pairs}
         UNION ALL
-        SELECT i_, j_, a, b, n, m, d, list_transform({places}, lambda i: CASE WHEN i > d OR d - i > m THEN {far} WHEN i = 0 OR i = d THEN {{'c': {"0" if s.free_ends else f"{s.opening} + {ext} * d"}, 'd': 0, 's': 0}} ELSE list_transform([{pair}], lambda q: {best})[1] END), h1, e, f
+        SELECT i_, j_, a, b, n, m, d, list_transform({places}, lambda i: CASE WHEN i > d OR d - i > m THEN {far} WHEN i = 0 OR i = d THEN {{'c': {"0" if s.free_ends else f"{s.opening} + {ext} * d"}, 'd': 0, 's': 0{edge}}} ELSE list_transform([{pair}], lambda q: {best})[1] END), h1, e, f
         FROM (SELECT i_, j_, a, b, n, m, d + 1 AS d, h1, h2,
-                list_transform({places}, lambda i: CASE WHEN d + 1 - i < 1 OR d + 1 - i > m THEN {far} ELSE {gap("h1[i + 1]", "e1[i + 1]")} END) AS e,
-                list_transform({places}, lambda i: CASE WHEN i < 1 OR i > d + 1 OR d + 1 - i > m THEN {far} ELSE {gap("h1[i]", "f1[i]")} END) AS f
+                list_transform({places}, lambda i: CASE WHEN d + 1 - i < 1 OR d + 1 - i > m THEN {far} ELSE {gap("h1[i + 1]", "e1[i + 1]", "I")} END) AS e,
+                list_transform({places}, lambda i: CASE WHEN i < 1 OR i > d + 1 OR d + 1 - i > m THEN {far} ELSE {gap("h1[i]", "f1[i]", "D")} END) AS f
             FROM dp WHERE d < n + m))"""
     last = "SELECT i_, j_, h1[n + 1] AS x FROM dp WHERE d = n + m"
     if s.free_ends:  # the last best place of the last column, else of the last row
         last = """SELECT i_, j_, arg_min(x, {'c': x.c, 'w': w, 'p': -p}) AS x FROM (
             SELECT i_, j_, 0 AS w, d - m AS p, h1[d - m + 1] AS x FROM dp WHERE d >= m AND d - m <= n
             UNION ALL SELECT i_, j_, 1, d - n, h1[n + 1] FROM dp WHERE d >= n AND d - n <= m) GROUP BY ALL"""
-    return f"{program}, al AS (SELECT i_ AS i, j_ AS j, (x.c * {s.sign})::INT AS score, x.d::INT AS different, x.s::INT AS sites FROM ({last}))"
+    return f"{program}, al AS (SELECT i_ AS i, j_ AS j, (x.c * {s.sign})::INT AS score, x.d::INT AS different, x.s::INT AS sites{", x.p AS path" if path else ""} FROM ({last}))"
 
 
 _BENCH_SEQ = "s AS (SELECT item_id AS seq_id, 'doc' || item_id AS name, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS seq FROM benchmark), p AS (SELECT seq_id, seq FROM s)"
@@ -596,11 +652,11 @@ ORACLES = {
     "remaining_anti": f"WITH {_SEQ}, {_sampled(50)} SELECT seq_id, name FROM s WHERE seq_id NOT IN (SELECT seq_id FROM p)",
     "random_member": f"WITH {_SEQ} SELECT cluster_id, seq_id FROM (SELECT source AS cluster_id, seq_id, row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}:' || seq_id), seq_id) AS k FROM s) WHERE k = 1",
     "pair_count": f"WITH {_SEQ} SELECT lang, count(*) AS n, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM s GROUP BY lang",
-    "site_patterns": f"WITH {_SEQ}, {_sampled(12)}, {_ORDERED_PAIRS}, {_SITES} SELECT i, j, a, b, count(*) AS n FROM t GROUP BY ALL",
-    "jc_distance": f"WITH {_SEQ}, {_sampled(20)}, {_ORDERED_PAIRS}, {_SITES}, {_PAIR_D} SELECT i, j, round(d, 6) AS d FROM d",
-    "edit_distance_pairs": f"WITH {_BENCH}, {_sampled(40)}, {_ORDERED_PAIRS} SELECT i, j, levenshtein(a, b)::BIGINT AS d FROM q",
-    "align_edit_score": f"WITH {_BENCH}, {_sampled(40)}, {_ORDERED_PAIRS} SELECT i, j, levenshtein(a, b)::BIGINT AS d FROM q",
-    "mean_between_groups": f"WITH {_SEQ}, {_sampled(40)}, {_ORDERED_PAIRS}, {_SITES}, {_PAIR_D} SELECT round(avg(m), 6) AS mean FROM (SELECT avg(d) AS m FROM d JOIN p x ON x.seq_id = d.i JOIN p y ON y.seq_id = d.j WHERE x.lang <> y.lang GROUP BY least(x.lang, y.lang), greatest(x.lang, y.lang))",
+    "site_patterns": f"WITH {_BENCH_PAIRS}, {_SITES} SELECT i, j, a, b, count(*) AS n FROM t GROUP BY ALL",
+    "jc_distance": f"WITH {_BENCH_PAIRS}, {_SITES}, {_PAIR_D} SELECT i, j, round(d, 6) AS d FROM d",
+    "edit_distance_pairs": f"WITH {_BENCH_PAIRS} SELECT i, j, levenshtein(a, b)::BIGINT AS d FROM q",
+    "align_edit_score": f"WITH {_BENCH_PAIRS} SELECT i, j, levenshtein(a, b)::BIGINT AS d FROM q",
+    "mean_between_groups": f"WITH {_BENCH_PAIRS}, {_SITES}, {_PAIR_D}, y AS (SELECT seq_id, instr('ACGT', left(seq, 1)) AS c FROM p WHERE seq <> '' UNION ALL SELECT seq_id, 1 FROM p WHERE seq = '') SELECT round(avg(m), 6) AS mean FROM (SELECT avg(d.d) AS m FROM d JOIN y a ON a.seq_id = d.i JOIN y b ON b.seq_id = d.j WHERE a.c <> b.c GROUP BY least(a.c, b.c), greatest(a.c, b.c))",
     "nearest_root_assign": f"WITH {_ASSIGNED} SELECT seq_id, cluster_id, round(d, 6) AS d, is_assigned FROM g",
     "saved_for_later": f"WITH {_ASSIGNED} SELECT seq_id FROM g WHERE NOT is_assigned",
     "cluster_sizes": f"WITH {_ASSIGNED} SELECT cluster_id, count(*) AS n FROM g GROUP BY cluster_id",
@@ -621,12 +677,18 @@ ORACLES = {
     "common_ancestors": f"WITH RECURSIVE {_TREE}, {_UP}, {_FROM_ROOT}, l AS (SELECT x.node AS a, y.node AS b, arg_min(x.anc, x.steps) AS lca FROM up x JOIN up y ON x.anc = y.anc AND y.node = x.node + 1 WHERE y.node < (SELECT z FROM z) GROUP BY ALL) SELECT a::INT AS a, b::INT AS b, lca::INT AS lca, round((x.dist + y.dist - 2 * z.dist)::DOUBLE, 6) AS distance FROM l JOIN dr x ON x.node = a JOIN dr y ON y.node = b JOIN dr z ON z.node = lca",
     "gapped_columns": f"WITH {_ALIGNED} SELECT 0::BIGINT AS cluster_id, col::INT AS col, n, gaps FROM k",
     "consensus_base": f"WITH {_ALIGNED} SELECT 0::BIGINT AS cluster_id, string_agg(CASE WHEN greatest(ca, cc, cg, ct) = 0 THEN 'N' WHEN ca = greatest(ca, cc, cg, ct) THEN 'A' WHEN cc = greatest(ca, cc, cg, ct) THEN 'C' WHEN cg = greatest(ca, cc, cg, ct) THEN 'G' ELSE 'T' END, '' ORDER BY col) AS consensus FROM k",
-    "spaced_seed_similarity": f"WITH {_SEQ}, {_sampled(8)}, o AS (SELECT seq_id, replace(seq, 'N', 'A') AS z, unnest(range(1, length(seq) - 4)) AS o FROM p), e(seq_id, code, o) AS ({_SEED_ROWS}), g AS (SELECT x.seq_id AS i, y.seq_id AS j, y.o - x.o AS g, count(*) AS n FROM e x JOIN e y ON x.code = y.code AND x.seq_id < y.seq_id GROUP BY ALL HAVING count(*) > 61.08) SELECT x.seq_id AS i, y.seq_id AS j, coalesce(sum(g.n), 0)::BIGINT AS similarity FROM p x JOIN p y ON x.seq_id < y.seq_id LEFT JOIN g ON g.i = x.seq_id AND g.j = y.seq_id GROUP BY ALL",
+    "spaced_seed_roots": f"WITH {_ASSIGNED}, o AS (SELECT seq_id, replace(seq, 'N', 'A') AS z, unnest(range(1, length(seq) - 4)) AS o FROM s), x AS (SELECT seq_id, code, o FROM ({_SEED_ROWS}) y(seq_id, code, o)), ro AS (SELECT cluster_id AS seq_id, replace(root, 'N', 'A') AS z, unnest(range(1, length(root) - 4)) AS o FROM r), rx AS (SELECT seq_id, code, o FROM ({_SEED_ROWS.replace('FROM o', 'FROM ro')}) y(seq_id, code, o)), h AS (SELECT x.seq_id AS i, rx.seq_id AS j, rx.o - x.o AS g, count(*) AS n FROM x JOIN rx ON x.code = rx.code GROUP BY ALL HAVING count(*) > 61.08) SELECT s.seq_id AS i, r.cluster_id AS j, coalesce(sum(h.n), 0)::BIGINT AS similarity FROM s CROSS JOIN r LEFT JOIN h ON h.i = s.seq_id AND h.j = r.cluster_id GROUP BY ALL",
+    "spaced_seed_similarity": f"WITH {_BENCH_SEQ}, o AS (SELECT seq_id, replace(seq, 'N', 'A') AS z, unnest(range(1, length(seq) - 4)) AS o FROM p), e(seq_id, code, o) AS ({_SEED_ROWS}), g AS (SELECT x.seq_id AS i, y.seq_id AS j, y.o - x.o AS g, count(*) AS n FROM e x JOIN e y ON x.code = y.code AND x.seq_id < y.seq_id GROUP BY ALL HAVING count(*) > 61.08) SELECT x.seq_id AS i, y.seq_id AS j, coalesce(sum(g.n), 0)::BIGINT AS similarity FROM p x JOIN p y ON x.seq_id < y.seq_id LEFT JOIN g ON g.i = x.seq_id AND g.j = y.seq_id GROUP BY ALL",
     "anchors_by_length": f"WITH {_SEQ}, c AS (SELECT count(*) AS n, least(32, count(*)) AS k FROM s) SELECT seq_id, len::INT AS len, rank FROM (SELECT seq_id, len, row_number() OVER (ORDER BY len DESC, seq_id) - 1 AS rank FROM s), c WHERE rank % (n // k) = 0 AND rank < (n // k) * k",
     "euclid_to_anchor": f"WITH {_ANCHORS} SELECT vec_id, anchor_id, round(d, 5) AS d FROM d",
     "kmeans_one_step": f"WITH {_ANCHORS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, anchor_id) AS k FROM d) WHERE k = 1), x AS (SELECT anchor_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS dim FROM b) SELECT anchor_id AS centre_id, count(*) AS n, dim::INT AS dim, round(avg(x), 5) AS x FROM x GROUP BY anchor_id, dim",
     "cigar_ops": f"WITH {_RUNS}, {_GAPPED} SELECT c.cigar, coalesce(sum(n) FILTER (op = 'M'), 0)::BIGINT AS matches, coalesce(sum(n) FILTER (op <> 'M'), 0)::BIGINT AS edits, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE 2 * n END), 0)::BIGINT AS linear, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE 6 + 2 * n END), 0)::BIGINT AS affine, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE least(6 + 2 * n, 24 + n) END), 0)::BIGINT AS affine2, any_value(x) AS x, any_value(y) AS y, true AS valid FROM c LEFT JOIN r ON r.cigar = c.cigar LEFT JOIN g ON g.cigar = c.cigar GROUP BY c.cigar",
     "stream_assign": f"WITH {_ASSIGNED} SELECT seq_id, cluster_id, round(d, 6) AS d, is_assigned FROM g",
+    "stream_pool": f"WITH {_ASSIGNED} SELECT seq_id, s.len::INT AS len, round(d, 6) AS d FROM g JOIN s USING (seq_id) WHERE NOT is_assigned",
+    "fasta_source": f"WITH {_SEQ} SELECT name, len::INT AS len, {_CHECKSUM} AS checksum FROM s",
+    "fasta_lines": f"WITH {_SEQ}, t AS (SELECT seq_id, 0 AS place, name, seq FROM s UNION ALL SELECT seq_id, 1, 'end of ' || name, '' FROM s) SELECT seq_id, place::INT AS place, name, {_CHECKSUM} AS checksum FROM t",
+    "seed_counts": f"WITH {_SEQ}, o AS (SELECT lang AS seq_id, replace(seq, 'N', 'A') AS z, unnest(range(1, length(seq) - 4)) AS o FROM s), e(lang, code, o) AS ({_SEED_ROWS}) SELECT lang, ({' + '.join(f'{4**(4-k)} * (instr({chr(39)}ACGT{chr(39)}, substr(code, {k+3}, 1)) - 1)' for k in range(5))} + 1024 * left(code, 1)::INT)::INT AS code, count(*) AS n, (min(o) - 1)::INT AS place FROM e GROUP BY ALL",
+    "cigar_lengths": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'affine', True)}, r AS (SELECT i, j, path, unnest(regexp_extract_all(path, 'M+|X+|I+|D+')) AS run FROM al), u AS (SELECT i, j, left(run, 1) AS op, sum(length(run))::BIGINT AS n, count(*) AS runs FROM r GROUP BY ALL), v AS (SELECT i, j, path, unnest(['M', 'X', 'I', 'D']) AS op FROM al), w AS (SELECT i, j, op, left(path, (instr(path, op) - 1)::INT) AS before FROM v WHERE instr(path, op) > 0) SELECT i, j, op, n, runs, length(replace(before, 'I', ''))::BIGINT AS a_start, length(replace(before, 'D', ''))::BIGINT AS b_start FROM u JOIN w USING (i, j, op)",
     "affine_pairs": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'affine')} SELECT i, j, score, different, sites, score::BIGINT AS cigar_cost FROM al",
     "nw_pairs": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'nw')} SELECT i, j, score, different, sites FROM al",
     "capped_pairs": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'affine')} SELECT i, j, score, different, sites FROM al WHERE score <= {MOST}",

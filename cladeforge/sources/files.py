@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -20,6 +22,21 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
+def table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written into the shared folder and read again: plans stay short, and a lost executor costs one step."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cladeforge/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``table`` and its number of rows, which its own write tells: no pass over it is needed."""
+    seen = Observation(name)
+    held = table(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return held, seen.get.get("n", 0)
+
+
 def ranked(rows: DataFrame, order: list[str], name: str = "seq_id") -> DataFrame:
     """``rows`` with dense 0-based ranks in the order of the columns, without one task that holds all.
 
@@ -32,9 +49,9 @@ def ranked(rows: DataFrame, order: list[str], name: str = "seq_id") -> DataFrame
     return sorted_rows.join(F.broadcast(before), "__p").withColumn(name, F.col("__i") + F.coalesce("__b", F.lit(0))).drop("__p", "__i", "__b")
 
 
-def place_within(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
+def place_within(rows: DataFrame, group: str, order: str | list[str], name: str) -> DataFrame:
     """``rows`` with the place (from 0) of each in its group, without one task that holds a group: rank less the group's first rank."""
-    placed = ranked(rows, [group, order], "__rank")
+    placed = ranked(rows, [group, *([order] if isinstance(order, str) else order)], "__rank")
     first = placed.groupBy(group).agg(F.min("__rank").alias("__first"))
     return placed.join(first, group).withColumn(name, F.col("__rank") - F.col("__first")).drop("__rank", "__first")
 
