@@ -11,9 +11,9 @@ pairs). What that leaves in different components is compared in blocks inside th
 best partner in a block first, and once those links have joined components, all partners that remain. Before that, documents
 drop out whose shingles occur too seldom outside their component for any link.
 
-A shingle is held as 64 bits made from the bytes of its words (``textkit.range_hash``). Two given documents of n different
-shingles have a wrong count of shared ones with a chance of about n * n / 2**64, and no such pair can be built from the
-hash's algebra; "full sets" below are sets of these values.
+A shingle is held as 128 bits, a chain over the keyed digests of its words (``textkit.digests``) in two lanes of 64. The first
+lane alone makes registers and keys, which only find candidates; set sizes, equal sets and confirmed links take both. The key
+is drawn for each run, so no two texts can be built that agree without the same words.
 """
 
 from __future__ import annotations
@@ -46,31 +46,26 @@ FINE = FINE_STREAMS * BUCKETS
 _SALTS = tk.mix(np.arange(101, 101 + FINE_STREAMS, dtype=np.uint64))
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row, in order of row and hash; n+1 offsets into them."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, secret: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each row, in order of row and first lane: both lanes, and n+1 offsets into them."""
     low = tk.lower(data)
     words = tk.Words(low, offsets)
-    hashes = tk.range_hash(low, words.start, words.end)
+    code, named = tk.interned(low, words.start, words.end)
+    lanes = tk.digests(named, secret)[code].T
     n = np.diff(words.first)
-    five = tk.window_hash(hashes, SHINGLE)
-    whole = np.flatnonzero(words.row[: len(five)] == words.row[SHINGLE - 1 :]) if len(five) else np.zeros(0, np.int64)
-    rows, found = [words.row[whole]], [five[whole]]
-    for k in range(1, SHINGLE):
-        short = np.flatnonzero(n == k)
-        at = words.first[short]
-        h = np.full(len(short), k, dtype=tk.U64)
-        for i in range(k):
-            with np.errstate(over="ignore"):
-                h = h * tk.U64(0x9FB21C651E98DF25) + hashes[at + i]
-        rows.append(short)
-        found.append(tk.mix(h ^ tk.U64(0xA5A5A5A5)))
-    row, h = np.concatenate(rows), np.concatenate(found)
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
+    rows, found = [], []
+    for k in range(1, SHINGLE + 1):
+        # a text of fewer words is one shingle
+        whole = words.first[:-1][n == k] if k < SHINGLE else np.flatnonzero(words.row[: max(len(words) - k + 1, 0)] == words.row[k - 1 :])
+        rows.append(words.row[whole])
+        found.append([tk.window_hash(lane, k)[whole] if len(whole) else np.zeros(0, tk.U64) for lane in lanes])
+    row, h, g = np.concatenate(rows), *(np.concatenate([f[i] for f in found]) for i in (0, 1))
+    order = np.lexsort((g, h, row))
+    row, h, g = row[order], h[order], g[order]
     fresh = np.ones(len(h), dtype=bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    row, h = row[fresh], h[fresh]
-    return h, np.searchsorted(row, np.arange(len(offsets)))
+    fresh[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+    row, h, g = row[fresh], h[fresh], g[fresh]
+    return h, g, np.searchsorted(row, np.arange(len(offsets)))
 
 
 def registers(h: np.ndarray, first: np.ndarray, streams: int = STREAMS) -> np.ndarray:
@@ -134,19 +129,19 @@ def similar_sizes(a: F.Column, b: F.Column, percent: int) -> F.Column:
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, regs binary, keys array<long>, shingles array<long>"
 
 
-def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def sketches(docs: DataFrame, secret: bytes, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Set size, digest of the set, registers and band keys (sets over DENSE), and shingles (sets up to SPARSE) of each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.utf8(batch.column(1))
             for a, b in tk.chunks(offsets):
-                h, first = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                h, g, first = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], secret)
                 n = np.diff(first)
                 row = np.repeat(np.arange(b - a), n)
                 d1, d2 = np.zeros(b - a, tk.U64), np.zeros(b - a, tk.U64)
                 np.add.at(d1, row, tk.mix(h ^ tk.U64(0x1234567)))
-                np.add.at(d2, row, tk.mix(h ^ tk.U64(0x89ABCDEF)))
+                np.add.at(d2, row, tk.mix(g ^ tk.U64(0x89ABCDEF)))
                 dense, sparse = n > DENSE, (n > 0) & (n <= SPARSE)
                 part = dense[row]
                 regs = registers(h[part], np.concatenate([[0], np.cumsum(n[dense])]))
@@ -208,8 +203,8 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
-def shingle_tables(wanted: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``id, held``: the full shingle sets of the documents in ``wanted(id)``, rebuilt from their texts.
+def shingle_tables(wanted: DataFrame, docs: DataFrame, secret: bytes, text: str, key: str) -> DataFrame:
+    """``id, held, more``: both lanes of the full shingle sets of the documents in ``wanted(id)``, rebuilt from their texts.
 
     The ids are broadcast if their counted number allows, so that texts stay where they are; else texts are shuffled.
     """
@@ -220,30 +215,31 @@ def shingle_tables(wanted: DataFrame, docs: DataFrame, text: str, key: str) -> D
         for batch in batches:
             data, offsets = tk.utf8(batch.column(1))
             for a, b in tk.chunks(offsets):
-                h, first = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                raw = h.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([raw[8 * i : 8 * j] for i, j in zip(first[:-1], first[1:], strict=True)], type=pa.binary())], names=["id", "held"])
+                h, g, first = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], secret)
+                lanes = [pa.array([raw[8 * i : 8 * j] for i, j in zip(first[:-1], first[1:], strict=True)], type=pa.binary()) for raw in (h.tobytes(), g.tobytes())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lanes], names=["id", "held", "more"])
 
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(wanted, "id", "left_semi")
-    return materialize(texts.mapInArrow(sets, "id long, held binary"), "shingle-sets")
+    return materialize(texts.mapInArrow(sets, "id long, held binary, more binary"), "shingle-sets")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, text: str, key: str) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int, secret: bytes, text: str, key: str) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold. Only documents in a pair have their sets rebuilt."""
-    held = shingle_tables(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, text, key)
-    both = pairs.join(held.select(F.col("id").alias("b"), F.col("held").alias("held_b")), "b").join(held.select(F.col("id").alias("a"), F.col("held").alias("held_a")), "a")
+    held = shingle_tables(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, secret, text, key)
+    side = lambda x: held.select(F.col("id").alias(x), F.col("held").alias(f"held_{x}"), F.col("more").alias(f"more_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                at = np.searchsorted(v, u)
-                shared = int((v[np.minimum(at, len(v) - 1)] == u).sum()) if len(v) else 0
+            for raw in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                u, v, u_more, v_more = (np.frombuffer(x, dtype=np.uint64) for x in raw)
+                at = np.minimum(np.searchsorted(v, u), max(len(v) - 1, 0))
+                shared = int(((v[at] == u) & (v_more[at] == u_more)).sum()) if len(v) else 0
                 ok.append(100 * shared >= percent * (len(u) + len(v) - shared) and shared > 0)
             yield batch.select([0, 1]).filter(pa.array(ok, type=pa.bool_()))
 
-    return materialize(both.select("a", "b", "held_a", "held_b").mapInArrow(run, "a long, b long"), "near-links")
+    return materialize(both.select("a", "b", "held_a", "held_b", "more_a", "more_b").mapInArrow(run, "a long, b long"), "near-links")
 
 
 def first_shared(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -291,14 +287,14 @@ def still_open(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(named.join(materialize(mixed, "open-keys"), "key"), "open-members")
 
 
-def linkable(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, text: str, key: str) -> DataFrame:
+def linkable(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, secret: bytes, text: str, key: str) -> DataFrame:
     """The nodes that may have a link out of their component, with ``most``: how many shingles such a link can share.
 
     Those are the shingles that stand in open members of another component too; a document where they are too few of all
     can't reach the threshold with any. This is exact, and settles large groups whose members are just too far apart.
     """
     ids = materialize(members.select("id", "comp").distinct(), "open-ids")
-    held = shingle_tables(ids.select("id"), docs, text, key)
+    held = shingle_tables(ids.select("id"), docs, secret, text, key)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,7 +386,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", key:
     links with nothing, its component is that of its exact copies or null, and it is kept if it has none. Other columns are
     ignored; an empty table gives an empty one.
     """
-    made = materialize(sketches(docs, text, key), "sketches")
+    secret = tk.new_key()
+    made = materialize(sketches(docs, secret, text, key), "sketches")
     groups = made.filter("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     groups = materialize(groups, "equal-sets")
     firsts = made.join(groups.select(F.col("id").alias("doc_id"), F.col("d1").alias("e1"), F.col("d2").alias("e2")), "doc_id").filter("d1 = e1 AND d2 = e2")
@@ -401,18 +398,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", key:
     shared = materialize(entries.join(leaders, "key").select("key", "id", "leader", "members"), "near-shared")
     stars = shared.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     checked = materialize(plausible(stars, nodes, percent), "near-pairs")
-    links = confirm(checked, docs, percent, text, key)
+    links = confirm(checked, docs, percent, secret, text, key)
     labels = components(links)
     crowded = shared.filter("members > 2").select("key", "id", "leader")
     for best_only in (True, False):
         members = still_open(crowded, labels)
         if members.isEmpty():
             break
-        able = nodes.withColumns({"most": F.col("n"), "fine": F.lit(None).cast("binary")}) if best_only else linkable(members, nodes, docs, percent, text, key)
+        able = nodes.withColumns({"most": F.col("n"), "fine": F.lit(None).cast("binary")}) if best_only else linkable(members, nodes, docs, percent, secret, text, key)
         more = materialize(cross_pairs(members, able, percent, best_only).join(checked, ["a", "b"], "left_anti"), "near-pairs")
         if not more.isEmpty():
             checked = checked.union(more)
-            links = links.union(confirm(more, docs, percent, text, key))
+            links = links.union(confirm(more, docs, percent, secret, text, key))
             labels = components(links)
     copies = groups.filter("copies > 1").select("n_shingles", "d1", "d2", F.col("id").alias("first_id"))
     rows = made.select("doc_id", "n_shingles", "d1", "d2").join(copies, ["n_shingles", "d1", "d2"], "left").withColumn("first_id", F.coalesce("first_id", "doc_id"))
@@ -430,4 +427,5 @@ def keep_one_of_each(docs: DataFrame, percent: int = 75, text: str = "text", key
 
 
 def op2_hyperminhash(spark, sf_dir: str) -> DataFrame:
+    """Every document's set size, component and whether it is kept."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -123,15 +123,15 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
 
 def counted(docs: DataFrame, sources: DataFrame, blocks: DataFrame, source: str = "source", key: str = "doc_id") -> DataFrame:
     """``docs`` with ``mix``: a struct of weight, repeats, block, rank and copies of each row."""
-    name, h = fresh(docs, "mix"), fresh(docs, "mix_hash")
     few = F.broadcast(sources) if sources.count() <= MAX_BROADCAST else sources
     held = F.broadcast(blocks) if blocks.count() <= MAX_BROADCAST else blocks
-    s, b = few.select([F.col(c).alias(f"__{c}") for c in ("source", "weight", "repeats", "passes", "blocks")]), held.select([F.col(c).alias(f"__b_{c}") for c in ("of", "block", "rank", "state", "last")])
-    rows = docs.withColumn(h, _hash(F.col(f"`{key}`"))).join(s, _same(F.col(f"`{source}`"), F.col("__source")))
-    rows = rows.join(b, _same(F.col(f"`{source}`"), F.col("__b_of")) & (F.pmod(h, F.col("__blocks")) == F.col("__b_block")))
-    more = F.when(F.col("__b_state") == 1, 1).when((F.col("__b_state") == 2) & (F.col(h) <= F.col("__b_last")), 1).otherwise(0)
-    made = F.struct(F.col("__weight").alias("weight"), F.col("__repeats").alias("repeats"), F.col("__b_block").alias("block"), F.col("__b_rank").alias("rank"), (F.col("__passes") + more).cast("long").alias("copies"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], made.alias(name))
+    s, b = few.select([F.col(c).alias(f"s_{c}") for c in ("source", "weight", "repeats", "passes", "blocks")]), held.select([F.col(c).alias(f"b_{c}") for c in ("of", "block", "rank", "state", "last")])
+    # one struct keeps the columns of docs apart from those made here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), _hash(F.col(f"`{key}`")).alias("h"), F.col(f"`{source}`").alias("of"))
+    rows = rows.join(s, _same(F.col("of"), F.col("s_source"))).join(b, _same(F.col("of"), F.col("b_of")) & (F.pmod("h", F.col("s_blocks")) == F.col("b_block")))
+    more = F.when(F.col("b_state") == 1, 1).when((F.col("b_state") == 2) & (F.col("h") <= F.col("b_last")), 1).otherwise(0)
+    made = F.struct(F.col("s_weight").alias("weight"), F.col("s_repeats").alias("repeats"), F.col("b_block").alias("block"), F.col("b_rank").alias("rank"), (F.col("s_passes") + more).cast("long").alias("copies"))
+    return rows.select(*[F.col("held").getField(c).alias(c) for c in docs.columns], made.alias(fresh(docs, "mix")))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **target) -> DataFrame:
@@ -148,6 +148,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
 
 def op6_temperature_mix(spark, sf_dir: str) -> DataFrame:
+    """Every document with its source's weight and repeats, its block, and how often it is taken."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = counted(docs, *plan(docs))
     name = rows.columns[-1]

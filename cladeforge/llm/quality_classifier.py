@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,20 +40,19 @@ FEATURES = (*(f"{c}_share" for c in SHARES), "symbols_per_word", "points_per_wor
 
 
 @functools.cache
-def _common_keys() -> np.ndarray:
-    data, offsets = tk.utf8(pa.array(sorted({w for words in COMMON_WORDS.values() for w in words})))
-    return np.sort(tk.range_hash(data, offsets[:-1], offsets[1:]))
+def _common_words() -> pa.Array:
+    return pa.array(sorted({w.encode() for words in COMMON_WORDS.values() for w in words}), pa.large_binary())
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(rows, FEATURES): statistics of each text of a chunk; all are 0 for an empty one."""
-    n, words, common = len(offsets) - 1, tk.Words(data, offsets), _common_keys()
+    n, words, common = len(offsets) - 1, tk.Words(data, offsets), _common_words()
     stats, classes = text_stats(data, offsets, words), char_counts(data, offsets)
     plain = len(SHARES) - 1
     chars = np.concatenate([classes[:, :plain], classes[:, plain:].sum(axis=1, keepdims=True)], axis=1)
-    keys = tk.range_hash(tk.lower(data), words.start, words.end)
-    at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
-    known = common[at] == keys
+    code, named = tk.interned(tk.lower(data), words.start, words.end)
+    at = pc.fill_null(pc.index_in(named, value_set=common), -1).to_numpy()[code]
+    known = at >= 0
     bins = np.bincount(words.row[known] * len(common) + at[known], minlength=n * len(common)).reshape(n, -1)
     per_word = 1 / np.maximum(stats["n_words"], 1)
     columns = [stats["n_symbols"] * per_word, chars[:, SHARES.index("point")] * per_word, stats["word_chars"] * per_word, np.log1p(stats["n_words"]), stats["n_repeat_words"] * per_word, stats["n_dup_lines"] * per_word, bins.sum(axis=1) * per_word, bins.max(axis=1, initial=0) * per_word]

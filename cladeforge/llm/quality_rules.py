@@ -1,18 +1,20 @@
-"""Quality rules: divergence of a text's histograms from language references, besides plain word and line rules.
+"""Quality rules: divergence of a text's histograms from its language's reference, besides plain word and line rules.
 
 A first pass counts characters by class and words of each language; Spark sums them by (language, word), with map-side
-combining. A language that makes up COMMON_SHARE of all words or more gives a reference: its character classes, and its
-common words, those that make up COMMON_SHARE of its words or more. So there are at most 1 / COMMON_SHARE references of at
-most 1 / COMMON_SHARE words each, whatever the table holds, and rare labels give none (a least mass for a reference).
-
-A second pass takes each whole text to its counts and to the Jensen-Shannon distances from the nearest reference. A document
-is rejected if a distance is above its limit; that of words is a share of the distance that a text without any common word
-has. Documents with too few characters or words for a stable histogram are not judged by divergence (the minimum-length
-guards).
+combining. A language of LEAST_WORDS words or more gives a reference: its character classes, and its common words, those that
+make up a COMMON_SHARE-th of its words or more (so COMMON_SHARE of them at most).
+
+A second pass takes each whole text to its counts and to the Jensen-Shannon distances from the reference of its own language.
+A document is rejected if a distance is above its limit; that of words is a share of the distance that a text without any
+common word has. Minimum-length guards: texts of too few characters or words, languages of fewer words than LEAST_WORDS or
+whose common words make up less than LEAST_MASS of them, and rows without a language are not judged by divergence, since what
+they would be held against tells nothing. Every language is judged alike, however many there are and however large others
+are: beyond MAX_ENTRIES of references, languages are dealt into blocks, each of which is sent out in its turn.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import fresh, materialize
+from .common import materialize
 
 # Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -31,10 +33,13 @@ SYMBOLS = "#*$%&|<>"
 WIDE = {"latin": (0xC2, 0xC9), "phonetic": (0xCA, 0xCD), "greek": (0xCE, 0xCF), "cyrillic": (0xD0, 0xD4), "semitic": (0xD5, 0xDF), "indic": (0xE0, 0xE0), "asian": (0xE1, 0xE1), "signs": (0xE2, 0xE2), "han": (0xE3, 0xE9), "hangul": (0xEA, 0xED), "private": (0xEE, 0xEF), "planes": (0xF0, 0xFF)}
 CLASSES = ("lower", "upper", "digit", "space", "point", "symbol", "other", *WIDE)
 N_CLASSES = len(CLASSES)
-#: Share of all words that makes a language a reference, and of a language's words that makes a word common: one in this many.
-COMMON_SHARE = 1000
+#: Share of a language's words that makes one common (one in this many); least words of a reference and least share of common ones.
+COMMON_SHARE, LEAST_WORDS, LEAST_MASS = 1000, 1000, 0.2
+#: Words and classes of references that are sent to all tasks at once, about; rows of language totals that are.
+MAX_ENTRIES, MAX_TOTALS = 2_000_000, 1_000_000
 WINDOW = 8
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+DISTANCES = ("char_distance", "word_distance", "word_limit")
 MADE = (*STATS, "char_distance", "word_distance", "base_failed", "kept")
 LIMITS = {"max_char_distance": 0.35, "word_share": 0.95, "min_chars": 200, "min_words": 60}
 #: Stand in the place of a word; no word holds a line break.
@@ -101,18 +106,28 @@ def text_stats(data: np.ndarray, offsets: np.ndarray, words: tk.Words) -> dict[s
     end = breaks[lines + 1] if len(lines) else start
     end = end - ((end > start) & (data[np.maximum(end, 1) - 1] == 10))
     row = np.searchsorted(offsets, start, side="right") - 1
-    again, _ = _seen_before(row, tk.range_hash(data, start, end))
+    again, _ = _seen_before(row, tk.interned(data, start, end)[0])
     dup_lines = np.bincount(row[again], minlength=n)
 
-    windows = tk.window_hash(tk.range_hash(data, words.start, words.end), WINDOW)
+    code, _ = tk.interned(data, words.start, words.end)
     repeat = np.zeros(n, dtype=np.int64)
-    if len(windows):
+    if len(words) >= WINDOW:
         row = words.row
-        whole = np.flatnonzero(row[: len(windows)] == row[WINDOW - 1 :])
-        _, twice = _seen_before(row[whole], windows[whole])
+        whole = np.flatnonzero(row[: len(row) - WINDOW + 1] == row[WINDOW - 1 :])
+        # windows of equal mixes may be equal: those are told apart by all their words
+        _, maybe = _seen_before(row[whole], tk.window_hash(tk.mix(code.astype(tk.U64)), WINDOW)[whole])
+        whole = whole[maybe]
+        order = np.lexsort((*(code[whole + k] for k in range(WINDOW)), row[whole]))
+        sorted_ = whole[order]
+        same = row[sorted_[1:]] == row[sorted_[:-1]]
+        for k in range(WINDOW):
+            same &= code[sorted_[1:] + k] == code[sorted_[:-1] + k]
+        twice = np.zeros(len(whole), dtype=bool)
+        twice[1:] = same
+        twice[:-1] |= same
         edge = np.zeros(len(words) + 1, dtype=np.int64)
-        np.add.at(edge, whole[twice], 1)
-        np.add.at(edge, whole[twice] + WINDOW, -1)
+        np.add.at(edge, sorted_[twice], 1)
+        np.add.at(edge, sorted_[twice] + WINDOW, -1)
         repeat = np.bincount(row[np.cumsum(edge[:-1]) > 0], minlength=n)
     return {"n_words": np.diff(words.first), "word_chars": word_chars.astype(np.int64), "n_symbols": _row_sums(_IS_SYMBOL[data], offsets), "n_dup_lines": dup_lines, "n_repeat_words": repeat}
 
@@ -134,17 +149,11 @@ def language_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
             for a, b in tk.chunks(offsets):
                 part, at, code = tk.lower(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a], codes[a:b]
                 words = tk.Words(part, at)
-                keys, of = tk.range_hash(part, words.start, words.end), code[words.row]
-                order = np.lexsort((keys, of))
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (keys[order][1:] != keys[order][:-1]) | (of[order][1:] != of[order][:-1])
-                first = np.flatnonzero(new)
-                one = order[first]
-                size = words.end[one] - words.start[one]
-                ends = np.cumsum(size)
-                letters = part[np.repeat(words.start[one] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-                listed = pa.Array.from_buffers(pa.string(), len(one), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(letters)])
-                yield _counted(names, of[one], listed, np.diff(np.append(first, len(order))))
+                place, listed = tk.interned(part, words.start, words.end)
+                size = max(len(listed), 1)
+                each, n = np.unique(code[words.row].astype(np.int64) * size + place, return_counts=True)
+                of, place = np.divmod(each, size)
+                yield _counted(names, of, listed.take(pa.array(place)).cast(pa.large_string()).cast(pa.string()), n)
                 chars = np.zeros((len(names), N_CLASSES + 1), dtype=np.int64)
                 np.add.at(chars, code, np.concatenate([char_counts(data[offsets[a] : offsets[b]], at), np.diff(words.first)[:, None]], axis=1))
                 here = np.unique(code)
@@ -161,48 +170,50 @@ def _counted(names: pa.Array, code: np.ndarray, words: pa.Array, n: np.ndarray)
 
 @dataclass
 class References:
-    """Languages (in order of name), their character shares, and their common words: a bounded table, small enough to send to all tasks.
+    """Languages of a block (in order of name): shares of character classes, of their common words, and of all those together.
 
-    keys: sorted hashes of all common words; the entries of word i are first[i]:first[i + 1] of (owner, share).
+    words: all common words, in order of bytes; keys: sorted (language * words + word) of each share.
     """
 
     names: list[str]
     chars: np.ndarray
+    words: pa.Array
     keys: np.ndarray
-    first: np.ndarray
-    owner: np.ndarray
     share: np.ndarray
+    mass: np.ndarray
 
-    def mass(self) -> np.ndarray:
-        """Share of each language's words that are common words."""
-        return np.bincount(self.owner, weights=self.share, minlength=len(self.names))
+    def limits(self, share: float) -> np.ndarray:
+        """``share`` of the word distance that a text without a common word has from each reference."""
+        return share * np.sqrt(np.maximum(self.mass + _halves(np.ones(len(self.mass)), 1 - self.mass), 0) / 2)
 
-    def word_limit(self, share: float) -> float:
-        """``share`` of the word distance that a text without a common word has from its nearest reference; 1 without references."""
-        none = np.zeros(0, np.int64)
-        return share * float(self.word_distance(none, none.astype(tk.U64), np.ones(1, np.int64))[0]) if self.names else 1.0
+    def char_distance(self, counts: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Jensen-Shannon distance (base 2, so 0 to 1) of each row of counts to its language's classes; NaN where ``lang`` is -1."""
+        out = np.full(len(counts), np.nan)
+        of = np.flatnonzero(lang >= 0)
+        p = counts[of] / np.maximum(counts[of].sum(axis=1, keepdims=True), 1)
+        out[of] = np.sqrt(np.maximum(_halves(p, self.chars[lang[of]]).sum(axis=1) / 2, 0))
+        return out
 
-    def word_distance(self, row: np.ndarray, key: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        """Distance of each row to the nearest reference, from the row and hash of every word (lower-cased) and the rows' totals.
+    def word_distance(self, row: np.ndarray, word: np.ndarray, lang: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        """Distance of each row to its language, from the row and place in ``words`` (-1: none) of every word; NaN where ``lang`` is -1.
 
         All words that are not common in a language are one bin of its histogram.
         """
-        n, k = len(n_words), len(self.names)
-        total = np.maximum(n_words, 1)[:, None]
+        n, size = len(n_words), max(len(self.words), 1)
+        found = np.flatnonzero((word >= 0) & (lang[row] >= 0))
+        cell, count = np.unique(row[found] * size + word[found], return_counts=True)
+        r, w = np.divmod(cell, size)
+        key = lang[r] * size + w
         at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        found = np.flatnonzero(self.keys[at] == key) if len(self.keys) else np.zeros(0, np.int64)
-        cell, count = np.unique(row[found] * max(len(self.keys), 1) + at[found], return_counts=True)
-        r, w = np.divmod(cell, max(len(self.keys), 1))
-        each = np.diff(self.first)[w]
-        entry = np.repeat(self.first[w] - np.cumsum(each) + each, each) + np.arange(each.sum())
-        r, p, q = np.repeat(r, each), np.repeat(count, each) / total[np.repeat(r, each), 0], self.share[entry]
-        to = r * k + self.owner[entry]
-        inside = np.bincount(to, weights=p * np.log2(2 * p / (p + q)) + q * np.log2(2 * q / (p + q)) - q, minlength=n * k).reshape(n, k)
-        rest = np.maximum(1 - np.bincount(to, weights=p, minlength=n * k).reshape(n, k), 0)
-        mass = self.mass()[None, :]
+        hit = self.keys[at] == key if len(self.keys) else np.zeros(0, bool)
+        r, p, q = r[hit], count[hit] / np.maximum(n_words[r[hit]], 1), self.share[at[hit]]
         # what a text lacks of a reference counts in full, as q * log2(2)
-        twice = inside + mass + _halves(rest, np.maximum(1 - mass, 0))
-        return np.sqrt(np.maximum(twice, 0) / 2).min(axis=1) if k else np.full(n, np.inf)
+        inside = np.bincount(r, weights=p * np.log2(2 * p / (p + q)) + q * np.log2(2 * q / (p + q)) - q, minlength=n)
+        rest = np.maximum(1 - np.bincount(r, weights=p, minlength=n), 0)
+        out, of = np.full(n, np.nan), np.flatnonzero(lang >= 0)
+        mass = self.mass[lang[of]]
+        out[of] = np.sqrt(np.maximum(inside[of] + mass + _halves(rest[of], np.maximum(1 - mass, 0)), 0) / 2)
+        return out
 
 
 def _halves(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -210,113 +221,113 @@ def _halves(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.where(p > 0, p * np.log2(2 * p / (p + q)), 0) + np.where(q > 0, q * np.log2(2 * q / (p + q)), 0)
 
 
-def distance_to_nearest(hists: np.ndarray, references: list) -> np.ndarray:
-    """Jensen-Shannon distance (base 2, so 0 to 1) of each row of counts to the nearest of the reference histograms."""
-    best = np.full(len(hists), np.inf)
-    p = hists / np.maximum(hists.sum(axis=1, keepdims=True), 1)
-    for reference in references:
-        q = np.asarray(reference, dtype=float) / sum(reference)
-        best = np.minimum(best, np.sqrt(np.maximum(_halves(p, q[None, :]).sum(axis=1) / 2, 0)))
-    return best
+def language_entries(docs: DataFrame, text: str = "text", lang: str = "lang", least_words: int = LEAST_WORDS) -> DataFrame:
+    """``lang, word, n, total``: common words and character classes of each language that is large enough, from all documents."""
+    counted = materialize(language_counts(docs, text, lang), "quality-words")
+    totals = counted.filter((F.col("word") == TOTAL) & (F.col("n") >= least_words) & (F.col("n") > 0)).select("lang", F.col("n").alias("total"))
+    large = F.broadcast(totals) if totals.count() <= MAX_TOTALS else totals
+    common = F.col("word").startswith(CLASS_MARK) | (F.col("n") * COMMON_SHARE >= F.col("total"))
+    return materialize(counted.filter(F.col("word") != TOTAL).join(large, "lang").filter(common).select("lang", "word", "n", "total"), "quality-references")
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
-    """References of all languages that are large enough, from all documents. What is collected is bounded by COMMON_SHARE."""
-    counted = materialize(language_counts(docs, text, lang), "quality-words")
-    totals = counted.filter(F.col("word") == TOTAL).select("lang", F.col("n").alias("total"))
-    large = F.broadcast(totals.crossJoin(F.broadcast(totals.agg(F.sum("total").alias("z")))).filter(F.col("total") * COMMON_SHARE >= F.col("z")).filter("total > 0").select("lang", "total"))
-    marked = F.col("word").startswith(CLASS_MARK)
-    rows = counted.join(large, "lang").filter(marked | (F.col("n") * COMMON_SHARE >= F.col("total"))).select("lang", "word", "n", "total").collect()
+def references(entries: DataFrame) -> References:
+    """The rows of one block of ``language_entries``, for all tasks."""
+    rows = entries.collect()
     names = sorted({r["lang"] for r in rows})
     place, kind = {name: i for i, name in enumerate(names)}, {CLASS_MARK + c: i for i, c in enumerate(CLASSES)}
-    chars = np.zeros((len(names), N_CLASSES))
-    words = []
+    chars, mass = np.zeros((len(names), N_CLASSES)), np.zeros(len(names))
+    words = sorted({r["word"].encode() for r in rows if r["word"] not in kind})
+    at = {w: i for i, w in enumerate(words)}
+    shares = {}
     for r in rows:
+        i = place[r["lang"]]
         if r["word"] in kind:
-            chars[place[r["lang"]], kind[r["word"]]] = r["n"]
-        elif r["word"] != TOTAL:
-            words.append((r["word"], place[r["lang"]], r["n"] / r["total"]))
-    words.sort()
-    data, offsets = tk.utf8(pa.array([w[0] for w in words], pa.string()))
-    hashes = tk.range_hash(data, offsets[:-1], offsets[1:])
-    order = np.argsort(hashes, kind="stable")
-    keys, first = np.unique(hashes[order], return_index=True)
-    return References(names, chars, keys, np.append(first, len(words)), np.array([w[1] for w in words], np.int64)[order], np.array([w[2] for w in words], float)[order])
+            chars[i, kind[r["word"]]] = r["n"]
+        else:
+            shares[i * max(len(words), 1) + at[r["word"].encode()]] = r["n"] / r["total"]
+    keys = np.array(sorted(shares), dtype=np.int64)
+    share = np.array([shares[k] for k in keys.tolist()], dtype=float)
+    np.add.at(mass, keys // max(len(words), 1), share)
+    return References(names, chars / np.maximum(chars.sum(axis=1, keepdims=True), 1), pa.array(words, pa.large_binary()), keys, share, mass)
 
 
 # --- verdicts ---------------------------------------------------------------------------------------------------------
 
 
-def with_stats(docs: DataFrame, refs: References, min_chars: int, min_words: int, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with one ``stats`` struct (``stats_`` ... where that name is taken), last; without ``text`` unless asked."""
-    keep, name = [c for c in docs.columns if keep_text or c != text], fresh(docs, "stats")
-    held = docs.sparkSession.sparkContext.broadcast(refs)
+def with_stats(rows: DataFrame, refs: References, limits: dict[str, float]) -> DataFrame:
+    """``rows(held, text, lang)`` to ``held, stats``: counts, distances (null where a guard applies) and the limit of the word distance."""
+    held = rows.sparkSession.sparkContext.broadcast(refs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = held.value
+        names, most = pa.array(refs.names, pa.string()), refs.limits(limits["word_share"])
         for batch in batches:
-            data, offsets = tk.utf8(batch.column(batch.schema.get_field_index(text)))
+            data, offsets = tk.utf8(batch.column(1))
+            langs = pc.fill_null(pc.index_in(batch.column(2), value_set=names, skip_nulls=True), -1).to_numpy()
             for a, b in tk.chunks(offsets):
-                body, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                body, at, lang = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], langs[a:b]
                 words = tk.Words(body, at)
-                stats = text_stats(body, at, words)
-                chars = char_counts(body, at)
-                by_word = refs.word_distance(words.row, tk.range_hash(tk.lower(body), words.start, words.end), stats["n_words"])
-                far = (pa.array(d, mask=~(told & (len(refs.names) > 0))) for d, told in ((distance_to_nearest(chars, list(refs.chars)), chars.sum(axis=1) >= min_chars), (by_word, stats["n_words"] >= min_words)))
-                part = batch.slice(a, b - a)
-                columns = {c: part.column(part.schema.get_field_index(c)) for c in keep}
-                yield pa.RecordBatch.from_pydict(columns | {name: pa.StructArray.from_arrays([*(pa.array(stats[k].astype(np.int64)) for k in STATS), *far], names=[*STATS, "char_distance", "word_distance"])})
-
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{name}` struct<{','.join(f'{k}:long' for k in STATS)},char_distance:double,word_distance:double>"]))
-
-
-def quality_rules(
-    docs: DataFrame,
-    text: str = "text",
-    lang: str = "lang",
-    max_char_distance: float = LIMITS["max_char_distance"],
-    word_share: float = LIMITS["word_share"],
-    min_chars: int = LIMITS["min_chars"],
-    min_words: int = LIMITS["min_words"],
-) -> DataFrame:
-    """``docs`` without ``text``, plus counts, ``char_distance``, ``word_distance``, ``base_failed`` and ``kept``.
-
-    Null or empty text: all counts 0, ``base_failed``. Distances are null where a guard applies (below ``min_chars``
-    characters or ``min_words`` words) or no language has a reference. Null ``lang``: the row feeds no reference, but is
-    judged like others, since each is held against its *nearest* reference. Repeated rows are judged one by one; an empty
-    table gives an empty one. Added columns take the place of input columns of the same names.
-    """
-    source = docs.drop(*[c for c in docs.columns if c.lower() in MADE and c != text])
-    refs = language_references(docs, text, lang)
-    judged = _judged(with_stats(source, refs, min_chars, min_words, text), refs, max_char_distance, word_share)
-    return judged
+                stats, chars = text_stats(body, at, words), char_counts(body, at)
+                place, listed = tk.interned(tk.lower(body), words.start, words.end)
+                word = pc.fill_null(pc.index_in(listed, value_set=refs.words), -1).to_numpy()[place]
+                heavy = np.append(refs.mass, 0)[lang] >= LEAST_MASS
+                by_char = pa.array(refs.char_distance(chars, lang), mask=~((chars.sum(axis=1) >= limits["min_chars"]) & (lang >= 0)))
+                by_word = pa.array(refs.word_distance(words.row, word, lang, stats["n_words"]), mask=~((stats["n_words"] >= limits["min_words"]) & (lang >= 0) & heavy))
+                columns = [*(pa.array(stats[k].astype(np.int64)) for k in STATS), by_char, by_word, pa.array(np.append(most, 1.0)[lang])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.StructArray.from_arrays(columns, names=[*STATS, *DISTANCES])], names=["held", "stats"])
 
+    kind = rows.schema["held"].dataType.simpleString()
+    return rows.select("held", "text", "lang").mapInArrow(run, f"held {kind}, stats struct<{','.join(f'{k}:long' for k in STATS)},{','.join(f'{k}:double' for k in DISTANCES)}>")
 
-def _judged(stats: DataFrame, refs: References, max_char_distance: float, word_share: float) -> DataFrame:
-    """Counts, distances and verdicts in place of the ``stats`` struct, the last column."""
-    name = stats.columns[-1]
-    judged = stats.withColumns({k: F.col(f"`{name}`.{k}") for k in (*STATS, "char_distance", "word_distance")})
-    judged = judged.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > refs.word_limit(word_share))
-    return judged.drop(name).withColumn("kept", ~F.col("base_failed") & ~far)
 
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MAX_ENTRIES, least_words: int = LEAST_WORDS, **limits: float) -> DataFrame:
+    """``held`` (a struct of all columns of ``docs``, which keeps them apart from those made here), counts, distances and verdicts.
 
-def passing(docs: DataFrame, text: str = "text", lang: str = "lang", **limits: float) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, columns unchanged. Texts are read twice, and neither shuffled nor stored."""
+    Texts are read once more for each block of references, and neither shuffled nor stored.
+    """
+    unknown = set(limits) - set(LIMITS)
+    if unknown:
+        raise TypeError(f"no such limits: {sorted(unknown)}")
     told = LIMITS | limits
-    refs = language_references(docs, text, lang)
-    verdict = fresh(docs, "verdict")
-    # one struct keeps the columns of docs apart from those made here
-    held = with_stats(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(verdict), F.col(f"`{text}`").alias("text")), refs, told["min_chars"], told["min_words"])
-    return _judged(held, refs, told["max_char_distance"], told["word_share"]).filter("kept").select(*[F.col(f"{verdict}.`{c}`").alias(c) for c in docs.columns])
+    entries = language_entries(docs, text, lang, least_words)
+    blocks = max(-(-entries.count() // most), 1)
+    block = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit(""))), F.lit(blocks))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    parts = []
+    for k in range(blocks):
+        of = lambda df: df if blocks == 1 else df.filter(block(F.col("lang")) == k)  # noqa: B023, E731
+        parts.append(with_stats(of(rows), references(of(entries)), told))
+    stats = functools.reduce(DataFrame.union, parts).select("held", *[F.col(f"stats.{k}").alias(k) for k in (*STATS, *DISTANCES)])
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    near = F.coalesce(F.col("char_distance") <= told["max_char_distance"], F.lit(True)) & F.coalesce(F.col("word_distance") <= F.col("word_limit"), F.lit(True))
+    return stats.select("held", *STATS, "char_distance", "word_distance", failed.alias("base_failed"), (~failed & near).alias("kept"))
+
+
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", **limits: float) -> DataFrame:
+    """``docs`` without ``text``, plus counts, ``char_distance``, ``word_distance``, ``base_failed`` and ``kept``.
 
+    ``limits``: those of LIMITS, and what ``judged`` takes. Null or empty text: all counts 0, ``base_failed``. Distances are
+    null where a guard applies (below ``min_chars`` characters or ``min_words`` words, or a language that gives no reference,
+    or none): such a row passes unless the plain rules reject it. A row with null ``lang`` feeds no reference. Repeated rows
+    are judged one by one; an empty table gives an empty one. Added columns take the place of input columns of the same names.
+    """
+    keep = [c for c in docs.columns if c != text and c.lower() not in MADE]
+    rows = judged(docs, text, lang, **limits)
+    return rows.select(*[F.col("held").getField(c).alias(c) for c in keep], *STATS, "char_distance", "word_distance", "base_failed", "kept")
 
-def _op10(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+
+def passing(docs: DataFrame, text: str = "text", lang: str = "lang", **limits: float) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, columns unchanged."""
+    return judged(docs, text, lang, **limits).filter("kept").select(*[F.col("held").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_quality_divergence(spark, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict, distances to six places (-1: not judged)."""
     rounded = [F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in ("char_distance", "word_distance")]
-    return _op10(spark, sf_dir).select("doc_id", *STATS, "base_failed", "kept", *rounded)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return quality_rules(docs).select("doc_id", *STATS, "base_failed", "kept", *rounded)
+
+
+def relative_quality_divergence(spark, sf_dir: str) -> DataFrame:
+    """The verdicts and distances of ``op10_quality_divergence`` alone."""
+    return op10_quality_divergence(spark, sf_dir).select("doc_id", "base_failed", "kept", "char_distance", "word_distance")

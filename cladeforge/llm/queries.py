@@ -16,6 +16,7 @@ QUERIES = {f.__name__: small_batches(f) for f in (
     language_id.op8_byte_cnn,
     license_scan.op9_license_rules,
     quality_rules.op10_quality_divergence,
+    quality_rules.relative_quality_divergence,
     source_audit.op11_source_divergence,
     pii.op12_personal_data,
     spelling.op13_spelling_variants,
@@ -50,30 +51,28 @@ ORACLES: dict[str, str] = {
         chars AS (SELECT doc_id, lang, unnest([{", ".join(f"'{c}'" for c in _CLASSES)}, 'point']) AS bin, unnest([{", ".join(_IN_CLASS.values())}, {_POINT}])::DOUBLE AS n FROM texts),
         words AS (SELECT doc_id, lang, v AS bin, count(*)::DOUBLE AS n FROM (SELECT doc_id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS v FROM texts) GROUP BY ALL),
         totals AS (SELECT lang, sum(n) AS z FROM words WHERE lang IS NOT NULL GROUP BY lang),
-        large AS (SELECT lang, z FROM totals WHERE z * {quality_rules.COMMON_SHARE} >= (SELECT sum(z) FROM totals)),
+        large AS (SELECT lang, z FROM totals WHERE z >= {quality_rules.LEAST_WORDS}),
         -- references: shares of character classes, and of the common words of each language
-        c_refs AS (SELECT lang AS ref, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM chars JOIN large USING (lang) GROUP BY lang, bin),
-        w_refs AS (SELECT lang AS ref, bin, sum(n) / any_value(z) AS q FROM words JOIN large USING (lang) GROUP BY lang, bin HAVING sum(n) * {quality_rules.COMMON_SHARE} >= any_value(z)),
-        mass AS (SELECT l.lang AS ref, coalesce(sum(q), 0) AS m FROM large l LEFT JOIN w_refs r ON r.ref = l.lang GROUP BY l.lang),
-        c_share AS (SELECT doc_id, bin, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM chars QUALIFY sum(n) OVER (PARTITION BY doc_id) > 0),
-        c_parts AS (SELECT doc_id, ref, sum({_divergence("p", "q")}) AS d FROM c_share JOIN c_refs USING (bin) GROUP BY ALL),
-        c_best AS (SELECT doc_id, min(sqrt(greatest(d, 0) / 2)) AS d FROM c_parts GROUP BY doc_id),
-        w_share AS (SELECT doc_id, bin, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM words),
+        c_refs AS (SELECT lang, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM chars JOIN large USING (lang) GROUP BY lang, bin),
+        w_refs AS (SELECT lang, bin, sum(n) / any_value(z) AS q FROM words JOIN large USING (lang) GROUP BY lang, bin HAVING sum(n) * {quality_rules.COMMON_SHARE} >= any_value(z)),
+        mass AS (SELECT l.lang, coalesce(sum(q), 0) AS m FROM large l LEFT JOIN w_refs r ON r.lang = l.lang GROUP BY l.lang),
+        c_share AS (SELECT doc_id, lang, bin, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM chars QUALIFY sum(n) OVER (PARTITION BY doc_id) > 0),
+        c_best AS (SELECT doc_id, sqrt(greatest(sum({_divergence("p", "q")}), 0) / 2) AS d FROM c_share JOIN c_refs USING (lang, bin) GROUP BY doc_id),
+        w_share AS (SELECT doc_id, lang, bin, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM words),
         -- a common word that a text lacks counts in full: q * log2(2)
-        w_found AS (SELECT doc_id, ref, sum({_divergence("p", "q")} - q) AS d, sum(p) AS p FROM w_share JOIN w_refs USING (bin) GROUP BY ALL),
-        w_parts AS (SELECT t.doc_id, m.ref, coalesce(f.d, 0) + m.m AS d, greatest(1 - coalesce(f.p, 0), 0) AS p, greatest(1 - m.m, 0) AS q FROM texts t CROSS JOIN mass m LEFT JOIN w_found f ON f.doc_id = t.doc_id AND f.ref = m.ref),
-        w_best AS (SELECT doc_id, min(sqrt(greatest(d + {_divergence("p", "q")}, 0) / 2)) AS d FROM w_parts GROUP BY doc_id),
-        most AS (SELECT {_LIMIT["word_share"]} * min(sqrt(greatest(m + {_divergence("1.0", "(1 - m)")}, 0) / 2)) AS word_limit FROM mass),
+        w_found AS (SELECT doc_id, sum({_divergence("p", "q")} - q) AS d, sum(p) AS p FROM w_share JOIN w_refs USING (lang, bin) GROUP BY doc_id),
+        w_parts AS (SELECT t.doc_id, coalesce(f.d, 0) + m.m AS d, greatest(1 - coalesce(f.p, 0), 0) AS p, greatest(1 - m.m, 0) AS q, {_LIMIT["word_share"]} * sqrt(greatest(m + {_divergence("1.0", "(1 - m)")}, 0) / 2) AS word_limit FROM texts t JOIN mass m ON m.lang = t.lang AND m.m >= {quality_rules.LEAST_MASS} LEFT JOIN w_found f ON f.doc_id = t.doc_id),
+        w_best AS (SELECT doc_id, sqrt(greatest(d + {_divergence("p", "q")}, 0) / 2) AS d, word_limit FROM w_parts),
         counted AS (
             SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, {_IN_CLASS["symbol"]}::BIGINT AS n_symbols,
                 coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(inside.n, 0)::BIGINT AS n_repeat_words,
-                CASE WHEN length(t) >= {_LIMIT["min_chars"]} THEN c.d END AS char_distance, CASE WHEN len(w) >= {_LIMIT["min_words"]} THEN v.d END AS word_distance
+                CASE WHEN length(t) >= {_LIMIT["min_chars"]} THEN c.d END AS char_distance, CASE WHEN len(w) >= {_LIMIT["min_words"]} THEN v.d END AS word_distance, v.word_limit
             FROM texts t LEFT JOIN lines USING (doc_id) LEFT JOIN inside USING (doc_id) LEFT JOIN c_best c USING (doc_id) LEFT JOIN w_best v USING (doc_id)),
         judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT base_failed AND coalesce(char_distance, 0) <= {_LIMIT["max_char_distance"]} AND coalesce(word_distance, 0) <= coalesce(word_limit, 1) AS kept,
             coalesce(round(char_distance, 6), -1) AS char_distance, coalesce(round(word_distance, 6), -1) AS word_distance
-        FROM judged, most""",
+        FROM judged""",
     "op1_warc_index": """
         WITH held AS (SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
         named AS (
@@ -148,3 +147,4 @@ ORACLES: dict[str, str] = {
         up(w, top) AS (SELECT w, w FROM told UNION ALL SELECT up.w, told.form FROM up JOIN told ON told.w = up.top WHERE told.form IS NOT NULL)
         SELECT told.w AS word, told.form, up.top AS root, told.n, told.n_near, told.form_n FROM told JOIN up ON up.w = told.w JOIN told z ON z.w = up.top AND z.form IS NULL""",
 }
+ORACLES["relative_quality_divergence"] = f"SELECT doc_id, base_failed, kept, char_distance, word_distance FROM ({ORACLES['op10_quality_divergence']})"

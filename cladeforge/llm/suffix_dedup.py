@@ -16,8 +16,9 @@ Only the suffixes that start windows of ``window`` bytes matter, and only whethe
    anchor, a block's core (the bytes that all its windows share) must repeat, and blocks that stay open are counted window by
    window, by groups of equal hashes with map-side partial sums. So no group of any size meets in one task.
 
-Names and hashes are 64 bits of a polynomial over at most ``textkit.POLYNOMIAL_BYTES``, made within groups of equal grams (64
-bits too). Joins are on names; a hot passage has few of them.
+Names of runs, cores and windows are BLAKE2b of their bytes and places, under a key drawn for each run, so nothing is removed
+for a hash that could be solved. The polynomial of ``textkit`` only picks anchors and groups grams. Joins are on names; a hot
+passage has few of them.
 """
 
 from __future__ import annotations
@@ -61,7 +62,12 @@ def grams(rows: DataFrame, window: int, gram: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "gram long")
 
 
-def runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
+def named_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray, secret: bytes) -> np.ndarray:
+    """Names of ranges: their bytes, and their place relative to an anchor."""
+    return tk.mix(tk.range_digests(data, start, end, secret) ^ tk.mix(place.astype(tk.U64)))
+
+
+def runs(rows: DataFrame, window: int, gram: int, secret: bytes) -> DataFrame:
     """For every anchor: its gram, the name of its run of windows, and their places in the row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +76,7 @@ def runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 f = anchors(data, offsets, window, gram)
                 if not len(f["row"]):
                     continue
-                name = tk.mix(tk.span_hash(f["sums"], f["first"], f["last"] + window) ^ tk.mix((f["anchor"] - f["first"]).astype(tk.U64)))
+                name = named_digests(data, f["first"], f["last"] + window, f["anchor"] - f["first"], secret)
                 at = offsets[f["row"]]
                 take = pa.array(f["row"] + a)
                 yield pa.RecordBatch.from_arrays(
@@ -149,19 +155,18 @@ def induced(contexts: DataFrame, window: int) -> DataFrame:
     return tuples.repartition("gram").sortWithinPartitions("gram", "right").mapInArrow(run, SPAN)
 
 
-def _bodies(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _bodies(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = tk.utf8(column)
     for a, b in tk.chunks(offsets):
-        part = data[offsets[a] : offsets[b]]
-        yield a, b, part, offsets[a : b + 1] - offsets[a], tk.prefix(part)
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def blocks(contexts: DataFrame, window: int) -> DataFrame:
+def blocks(contexts: DataFrame, window: int, secret: bytes) -> DataFrame:
     """Blocks of each run's windows by their distance before the anchor: the names of core and whole, and the windows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, _, offsets, sums in _bodies(batch.column(3)):
+            for a, b, data, offsets in _bodies(batch.column(3)):
                 part = batch.slice(a, b - a)
                 lead, gram = part.column(2).to_numpy().astype(np.int64), part.column(0).to_numpy().view(np.uint64)
                 windows = np.diff(offsets) - window + 1
@@ -174,22 +179,22 @@ def blocks(contexts: DataFrame, window: int) -> DataFrame:
                 stop = np.minimum(lead[at] - block * BLOCK, windows[at] - 1)
                 base = offsets[:-1][at]
                 core_at = base + lead[at] - block * BLOCK
-                core = tk.mix(tk.span_hash(sums, core_at, core_at + window - BLOCK + 1) ^ tk.mix(gram[at] ^ tk.mix(block.astype(np.uint64))))
-                whole = tk.mix(tk.span_hash(sums, base + start, base + stop + window) ^ core ^ tk.mix((lead[at] - start).astype(np.uint64)))
+                core = tk.mix(named_digests(data, core_at, core_at + window - BLOCK + 1, block, secret) ^ tk.mix(gram[at]))
+                whole = tk.mix(named_digests(data, base + start, base + stop + window, lead[at] - start, secret) ^ core)
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(4).take(take), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["gram", "name", "single", "core", "whole", "start", "stop"])
 
     return materialize(contexts.select("gram", "name", "lead", "body", "single").mapInArrow(run, "gram long, name long, single boolean, core long, whole long, start int, stop int"), "suffix-blocks")
 
 
-def windows(contexts: DataFrame, opened: DataFrame, window: int) -> DataFrame:
+def windows(contexts: DataFrame, opened: DataFrame, window: int, secret: bytes) -> DataFrame:
     """Single windows of the blocks that are still open."""
     asked = opened.groupBy("gram", "name").agg(F.collect_list(F.struct("core", "start", "stop")).alias("asked"))
     joined = contexts.join(asked, ["gram", "name"]).select("gram", "name", "single", "body", "asked", "lead")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, _, offsets, sums in _bodies(batch.column(3)):
+            for a, b, data, offsets in _bodies(batch.column(3)):
                 part = batch.slice(a, b - a)
                 lists = part.column(4)
                 flat, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
@@ -201,7 +206,7 @@ def windows(contexts: DataFrame, opened: DataFrame, window: int) -> DataFrame:
                 place = start[each] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 base = offsets[:-1][at[each]] + place
                 lead = part.column(5).to_numpy().astype(np.int64)[at[each]]
-                h = tk.mix(tk.span_hash(sums, base, base + window) ^ core[each] ^ tk.mix((lead - place).astype(np.uint64)))
+                h = tk.mix(named_digests(data, base, base + window, lead - place, secret) ^ core[each])
                 take = pa.array(at[each])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32))], names=["gram", "name", "single", "window", "place"])
 
@@ -211,8 +216,9 @@ def windows(contexts: DataFrame, opened: DataFrame, window: int) -> DataFrame:
 def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``doc_id, row, begin, end``: byte ranges that repeated windows cover, of ``rows(doc_id, row, text)``; they may overlap."""
     n = lambda: F.count(F.lit(1)).alias("n")
+    secret = tk.new_key()
     repeated = materialize(grams(rows, window, gram).groupBy("gram").agg(n()).filter("n > 1").select("gram"), "suffix-grams")
-    hits = materialize(runs(rows, window, gram).join(repeated, "gram"), "suffix-runs")
+    hits = materialize(runs(rows, window, gram, secret).join(repeated, "gram"), "suffix-runs")
     named = materialize(hits.groupBy("gram", "name").agg(n(), F.min(F.struct("doc_id", "row", "anchor", "first", "last")).alias("one")), "suffix-names")
     settled = materialize(named.filter("n > 1").select("gram", "name"), "suffix-settled")
     spans = hits.join(settled, ["gram", "name"]).select("doc_id", "row", F.col("first").cast("long").alias("begin"), (F.col("last") + window).cast("long").alias("end"))
@@ -221,19 +227,19 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     wanted = materialize(named.join(mixed, "gram").select("gram", "name", (F.col("n") == 1).alias("single"), "crowded", "one.*"), "suffix-wanted")
     spans = spans.union(induced(_contexts(rows, wanted.filter("NOT crowded"), window), window))
     if not mixed.filter("crowded").isEmpty():
-        spans = spans.union(counted(materialize(_contexts(rows, wanted.filter("crowded"), window), "suffix-contexts"), window))
+        spans = spans.union(counted(materialize(_contexts(rows, wanted.filter("crowded"), window), "suffix-contexts"), window, secret))
     return spans
 
 
-def counted(contexts: DataFrame, window: int) -> DataFrame:
+def counted(contexts: DataFrame, window: int, secret: bytes) -> DataFrame:
     """``doc_id, row, begin, end`` of the repeated windows of runs that stand alone, by counting names of blocks and windows."""
     n = lambda: F.count(F.lit(1)).alias("n")
-    cut = blocks(contexts, window)
+    cut = blocks(contexts, window, secret)
     wholes = materialize(cut.groupBy("core", "whole").agg(n()), "suffix-wholes")
     whole = materialize(wholes.filter("n > 1").select("core", "whole"), "suffix-whole")
     opened = materialize(wholes.groupBy("core").agg(n()).filter("n > 1").select("core"), "suffix-open")
     found = cut.filter("single").join(whole, ["core", "whole"]).select("gram", "name", "start", "stop")
-    last = windows(contexts, cut.join(opened, "core"), window)
+    last = windows(contexts, cut.join(opened, "core"), window, secret)
     twice = materialize(last.groupBy("window").agg(n()).filter("n > 1").select("window"), "suffix-twice")
     found = found.union(last.filter("single").join(twice, "window").select("gram", "name", "place", F.col("place").alias("stop")))
     fine = found.join(contexts.select("gram", "name", "doc_id", "row", "first"), ["gram", "name"])
@@ -252,19 +258,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     """
     made = ("n_bytes", "n_removed", "n_spans", "kept")
     keep = [c for c in docs.columns if c != text and (c == key or c.lower() not in made)]
-    row = fresh(docs, "row_digest")
-    whole = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(F.col(key), F.col(text)).alias(row), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = whole.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("doc_id"), F.col(row).alias("row"), "text")
-    spans = repeated_spans(rows, window, gram).groupBy("doc_id", "row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "spans")
-    carried = packed(whole, [*keep, row])
-    joined = carried.join(spans.hint("shuffle_hash"), (F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-1)) == F.col("__id")) & (F.col(row) == F.col("__row")), "left")
+    # one struct keeps the columns of docs apart from those made here
+    held = F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(True).alias(fresh(docs, "row"))).alias("held")
+    whole = docs.select(held, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    spans = repeated_spans(whole.select("doc_id", "row", "text"), window, gram).groupBy("doc_id", "row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    carried = packed(whole, ["held", "doc_id", "row"])
+    joined = carried.join(spans.hint("shuffle_hash"), ["doc_id", "row"], "left")
     kinds = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "string" if as_text else "binary"}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loose = zstandard.ZstdDecompressor()
-        for batch in (part for many in batches for part in tk.pieces(many, len(keep))):
-            bodies, lists = [loose.decompress(x) for x in batch.column(len(keep)).to_pylist()], batch.column(len(keep) + 1)
+        for batch in (part for many in batches for part in tk.pieces(many, 1)):
+            bodies, lists = [loose.decompress(x) for x in batch.column(1).to_pylist()], batch.column(2)
             sizes, removed, counts, kept = [], [], [], []
             flat = lists.flatten()
             begin, end = flat.field("begin").to_numpy(), flat.field("end").to_numpy()
@@ -288,10 +293,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
                 removed.append(len(body) - len(rest))
                 counts.append(len(cut))
                 kept.append(rest)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*keep, *kinds])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=["held", *kinds])
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{k} {v}" for k, v in kinds.items()]
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "body", "spans").mapInArrow(run, ", ".join(fields))
+    kind = carried.schema["held"].dataType.simpleString()
+    cut = joined.select("held", "body", "spans").mapInArrow(run, ", ".join([f"held {kind}", *(f"{k} {v}" for k, v in kinds.items())]))
+    return cut.select(*[F.col("held").getField(c).alias(c) for c in keep], *kinds)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -303,5 +309,6 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def op7_suffix_repeats(spark, sf_dir: str) -> DataFrame:
+    """Every document's bytes, how many are removed in how many spans, and the digest of the rest."""
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

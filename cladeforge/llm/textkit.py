@@ -1,13 +1,15 @@
-"""Vectorised work on the UTF-8 bytes of an Arrow string column: words, hashes, chunks.
+"""Vectorised work on the UTF-8 bytes of an Arrow string column: words, digests, chunks.
 
-``range_hash`` hashes words, lines and other byte ranges for equality. ``prefix`` and ``span_hash`` are a polynomial modulo
-2**64, whose hash of any range costs two look-ups; strings of 1,024 bytes and more can be made to collide in it, so it only
-serves ranges of up to ``POLYNOMIAL_BYTES``. All functions here are plain numpy on one chunk of rows; Spark deals the rows out.
+Equality of words, lines and other ranges is told by their content within a chunk (``interned``) and by 128 bits of BLAKE2b
+under a key of each run (``digests``) between chunks, so nobody can build two texts that agree. ``prefix`` and ``span_hash``
+are a polynomial, which can be solved: it only picks places and groups whose bytes are compared afterwards. All functions here
+are plain numpy on one chunk of rows; Spark deals the rows out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +18,6 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 19
-#: Bytes of the longest range that the polynomial may tell apart, and of the longest that ``range_hash`` folds in numpy.
-POLYNOMIAL_BYTES, LONG = 400, 64
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -81,26 +81,20 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each range [start, end): equal bytes give equal values wherever they stand.
+def new_key() -> bytes:
+    """A key for the digests of one run; drawn on the driver and sent along with its tasks, so that those run again agree."""
+    return secrets.token_bytes(16)
+
+
+def digests(values: pa.Array, key: bytes) -> np.ndarray:
+    """(n, 2) of 64 bits: BLAKE2b under ``key`` of each binary value."""
+    return np.frombuffer(b"".join(hashlib.blake2b(v, digest_size=16, key=key).digest() for v in values.to_pylist()), dtype=U64).reshape(-1, 2)
 
-    Eight bytes at a time go through the bijection ``mix``, so there is no algebra by which a family of strings collides;
-    ranges of more than LONG bytes take 64 bits of BLAKE2b.
-    """
-    size = end - start
-    out = mix(size.astype(U64) + U64(0x5851F42D4C957F2D))
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    limbs = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
-    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
-    while len(live):
-        left = np.minimum(size[live] - at, 8)
-        limb = limbs[start[live] + at] & (U64(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * left).astype(U64))
-        out[live] = mix(out[live] ^ mix(limb + U64(0x14057B7EF767814F)))
-        at += 8
-        live = live[size[live] > at]
-    for i in np.flatnonzero(size > LONG):
-        out[i] = int.from_bytes(hashlib.blake2b(np.ascontiguousarray(data[start[i] : end[i]]), digest_size=8).digest(), "little")
-    return out
+
+def range_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+    """64 bits of BLAKE2b under ``key`` of each range [start, end), which may overlap."""
+    held = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join(hashlib.blake2b(held[i:j], digest_size=8, key=key).digest() for i, j in zip(start.tolist(), end.tolist(), strict=True)), dtype=U64)
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
@@ -112,7 +106,7 @@ def prefix(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each range [start, end) of up to POLYNOMIAL_BYTES: equal bytes give equal values in any chunk."""
+    """Polynomial hash of each range [start, end): equal bytes give equal values in any chunk."""
     with np.errstate(over="ignore"):
         raw = (sums[end] - sums[start]) * powers(len(sums))[len(sums) - 1 - start]
         # the shift to a common origin depends on the chunk's length; undo that part
@@ -170,12 +164,11 @@ def interned(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 
 def window_hash(values: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of ``k`` consecutive values; len(values) - k + 1 of them."""
+    """Chained mix of each run of ``k`` consecutive digests; len(values) - k + 1 of them. Order and ``k`` count."""
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    out = np.zeros(n, dtype=U64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            out = out * U64(0xC2B2AE3D27D4EB4F) + values[i : i + n]
-    return mix(out)
+    out = np.full(n, mix(np.array([k], dtype=U64))[0])
+    for i in range(k):
+        out = mix(out ^ values[i : i + n])
+    return out

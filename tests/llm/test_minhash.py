@@ -81,3 +81,12 @@ def test_components_of_chains_and_loops(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 201: 201, 202: 201, 203: 201}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_solved_strings_share_nothing(spark):
+    """Two strings that once had one hash: as words, in lines, and in shingles."""
+    a, b = "aaaaaaaanqpsfxcf", "bbbbbbbb0/2s=|v]"
+    rows = [(1, a), (2, b), (3, f"{a} x y z w v"), (4, f"{b} x y z w v"), (5, " ".join([a] * 5)), (6, " ".join([b] * 5)), (7, a), (8, f"{a} {b} {a} {b} {a}"), (9, f"{b} {a} {b} {a} {b}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in mh.near_duplicates(docs).collect()}
+    assert got == near_components(rows)[0] and got[2] == 2 and got[7] == 1

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 import random
 import re
 import struct
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cladeforge.llm import bpe, flac, language_id, license_scan, mixing, quality_classifier, quality_rules, textkit
+from cladeforge.llm import bpe, flac, language_id, license_scan, mixing, quality_classifier, quality_rules, spans, suffix_dedup, textkit
 
 from .helpers import AZ, SPACE_WORD, awkward
 
@@ -45,17 +46,29 @@ def test_quality_counts(spark, sf_dir):
         assert not (r.base_failed and r.kept)
 
 
-def test_distances_against_plain_formula():
-    p, refs = np.array([[3.0, 1, 0], [0, 0, 5]]), [[1, 1, 2], [4, 1, 0]]
-    got = quality_rules.distance_to_nearest(p, refs)
-    for row, d in zip(p, got, strict=True):
-        each = []
-        for q in refs:
-            a, b = row / row.sum(), np.array(q) / sum(q)
-            m = (a + b) / 2
-            kl = lambda x: sum(v * math.log2(v / w) for v, w in zip(x, m, strict=True) if v)  # noqa: B023, E731
-            each.append(math.sqrt((kl(a) + kl(b)) / 2))
-        assert abs(d - min(each)) < 1e-12
+def plain_distance(p, q):
+    a, b = (np.array(x, dtype=float) / sum(x) for x in (p, q))
+    m = (a + b) / 2
+    kl = lambda x: sum(v * math.log2(v / w) for v, w in zip(x, m, strict=True) if v)
+    return math.sqrt(max(kl(a) + kl(b), 0) / 2)
+
+
+def test_distances_against_plain_formula(spark):
+    """Every judged row against a histogram of its own language, made in plain Python."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice([f"{lang}{k}" for k in range(40)] + ["it", "is"], 90)) + ".", lang) for i, lang in enumerate(["aa", "bb", "cc"] * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words = {lang: Counter(w for _, t, x in rows if x == lang for w in t.split()) for lang in ("aa", "bb", "cc")}
+    for r in quality_rules.quality_rules(docs, least_words=500).collect():
+        lang, text = r.lang, rows[r.doc_id][1]
+        total = sum(words[lang].values())
+        common = sorted(w for w, n in words[lang].items() if n * quality_rules.COMMON_SHARE >= total)
+        q = [words[lang][w] / total for w in common]
+        mine = Counter(text.split())
+        p = [mine[w] / 90 for w in common]
+        assert abs(r.word_distance - plain_distance([*p, max(1 - sum(p), 0)], [*q, max(1 - sum(q), 0)])) < 1e-7
+        chars = lambda t: [sum(c.islower() for c in t), sum(c.isdigit() for c in t), t.count(" "), t.count(".")]
+        assert abs(r.char_distance - plain_distance(chars(text), np.sum([chars(t) for _, t, x in rows if x == lang], axis=0))) < 1e-7
 
 
 def test_passing_rows_keep_their_columns(spark, sf_dir):
@@ -76,13 +89,30 @@ def collides_modulo_powers_of_two(n=10):
     return "".join("ab"[i] for i in order), "".join("ba"[i] for i in order)
 
 
-def test_hashes_of_ranges_tell_constructed_words_apart():
+#: Two strings that once had one hash, solved from its algebra.
+SOLVED = ("aaaaaaaanqpsfxcf", "bbbbbbbb0/2s=|v]")
+
+
+def test_ranges_are_told_apart_by_content():
     pair = collides_modulo_powers_of_two()
-    data, offsets = textkit.utf8(pa.array([*pair, pair[0], "x" * 64, "x" * 65, "", "x", "x\0"]))
-    h = textkit.range_hash(data, offsets[:-1], offsets[1:])
-    assert h[0] == h[2] and len(set(h.tolist())) == 7
+    values = [*pair, pair[0], *SOLVED, "x" * 64, "x" * 65, "", "x", "x\0"]
+    data, offsets = textkit.utf8(pa.array(values))
+    code, named = textkit.interned(data, offsets[:-1], offsets[1:])
+    assert [named[int(c)].as_py().decode() for c in code] == values and len(named) == 9
+    h = textkit.digests(named, b"k" * 16)[code]
+    assert (h[0] == h[2]).all() and len({tuple(x) for x in h.tolist()}) == 9
+    assert (textkit.digests(named, b"l" * 16)[code] != h).all()
+    ranges = textkit.range_digests(data, offsets[:-1], offsets[1:], b"k" * 16)
+    assert ranges[0] == ranges[2] and len(set(ranges.tolist())) == 9
     shifted, at = textkit.utf8(pa.array(["?", *pair]))
-    assert (textkit.range_hash(shifted, at[1:-1], at[2:]) == h[:2]).all()
+    assert (textkit.range_digests(shifted, at[1:-1], at[2:], b"k" * 16) == ranges[:2]).all()
+
+
+def test_solved_strings_as_lines_and_words(spark):
+    a, b = SOLVED
+    texts = [(1, f"{a}\n{b}"), (2, f"{a}\n{a}"), (3, " ".join([a] * 8 + [b] * 8)), (4, " ".join([a, b] * 9)), (5, f"{b} {a} {a} {a} {a} {a} {a} {a} {a} {b} {a} {a} {a} {a} {a} {a} {a}")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string")
+    assert {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in quality_rules.quality_rules(docs).collect()} == {i: counts(t)[3:] for i, t in texts}
 
 
 def test_lines_and_windows_of_constructed_words(spark):
@@ -91,28 +121,41 @@ def test_lines_and_windows_of_constructed_words(spark):
     assert {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in quality_rules.quality_rules(docs).collect()} == {i: counts(t)[3:] for i, t, _ in docs.collect()}
 
 
-def test_references_of_a_fifth_language_and_of_rare_ones(spark):
+def invented(rng, letters, n):
+    """A language: the frequencies of its words fall off."""
+    words = ["".join(rng.choice(list(letters), 4)) for _ in range(n)]
+    return lambda k: " ".join(rng.choice(words, k, p=(w := 1 / np.arange(1, n + 1)) / w.sum()))
+
+
+def test_every_language_is_judged_by_itself(spark, sf_dir):
+    """Documents of rare languages stay, whatever other languages there are; junk under a frequent language goes."""
     rng = np.random.default_rng(9)
-    made = {lang: ["".join(rng.choice(list(letters), 3)) for _ in range(30)] for lang, letters in {"en": "abcd", "de": "efgh", "fr": "ijkl", "es": "mnop", "el": "αβγδεζ"}.items()}
-    rows = [(i, " ".join(rng.choice(made[lang], 200)), lang) for i, lang in enumerate(list(made) * 12)]
-    rows += [(500, "zzz " * 3, "xx"), (501, " ".join(f"q{i}" for i in range(100)), "yy"), (502, rows[4][1], None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    refs = quality_rules.language_references(docs)
-    assert refs.names == sorted([*made, "yy"]) and len(refs.keys) == len({w for words in made.values() for w in words}) + 100
-    assert np.allclose(refs.mass(), 1)
-    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
-    assert got[502].kept and got[4].kept and got[502].word_distance == got[4].word_distance < 0.3
-    rare = docs.filter("doc_id <> 501").union(spark.createDataFrame([(501, " ".join(f"q{i}" for i in range(100)), None)], docs.schema))
-    assert not {r.doc_id: r.kept for r in quality_rules.quality_rules(rare).collect()}[501]
-    # more languages than give references: none is large enough, and divergence judges nothing
-    many = spark.range(1200).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 70) AS text", "concat('l', id) AS lang")
-    assert quality_rules.language_references(many).names == []
-    assert [tuple(r) for r in quality_rules.quality_rules(many).select("char_distance", "word_distance").distinct().collect()] == [(None, None)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rare, third, tongue = invented(rng, "qxzjw", 50), invented(rng, "αβγδεζ", 80), invented(rng, "mnvwk", 300)
+    rows = [(10**9, rare(120), "rare"), (10**9 + 1, " ".join(f"zq{k}" for k in range(80)), "en"), (10**9 + 2, rare(120), None)]
+    rows += [(2 * 10**9 + k, third(120), "third") for k in range(60)] + [(3 * 10**9 + k, tongue(90), "tongue") for k in range(200)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs.union(spark.createDataFrame(rows, docs.schema))).filter("doc_id >= 1000000000").collect()}
+    assert not got[10**9 + 1].kept
+    assert {i for i, r in got.items() if not r.kept and not r.base_failed} == {10**9 + 1}
+    assert got[10**9].word_distance is None and got[10**9 + 2].char_distance is None
+    assert all(r.word_distance is not None for i, r in got.items() if i >= 2 * 10**9)
+
+
+def test_two_thousand_languages_are_judged_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(2 * k + j, f"w{k}a w{k}b w{k}c " * 30 if j == 0 or k % 500 else " ".join(f"{k}z{i}" for i in range(90)), f"l{k}") for k in range(2000) for j in range(2)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(int(i), str(t), str(la)) for i, t, la in rows], "doc_id long, text string, lang string")
+    told = lambda **kw: {r.doc_id: (r.word_distance, r.char_distance, r.kept, r.base_failed) for r in quality_rules.quality_rules(docs, least_words=100, word_share=0.5, **kw).collect()}
+    got = told()
+    assert all(r[0] is not None for r in got.values()) and len(got) == 4000
+    assert {i for i, r in got.items() if r[0] > 0.3} >= {2 * k + 1 for k in range(0, 2000, 500)}
+    assert told(most=20_000) == got
 
 
 def test_texts_without_common_words_are_rejected_and_good_ones_kept(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    junk = spark.createDataFrame([(10**9, " ".join(f"zq{k}" for k in range(80)), None)], docs.schema)
+    junk = spark.createDataFrame([(10**9, " ".join(f"zq{k}" for k in range(80)), "en")], docs.schema)
     got = quality_rules.quality_rules(docs.union(junk))
     assert not got.filter("doc_id = 1000000000").first().kept
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -405,9 +448,9 @@ def test_licences_against_all_rules_on_all_texts(spark):
 
 
 def test_starts_and_ends_of_many_matches(spark, monkeypatch):
-    monkeypatch.setattr(license_scan, "FOLD", 3)
+    monkeypatch.setattr(spans, "FOLD", 3)
     texts = ["", "x", "ab x ab", "ab" * 50, "x".join(["ab"] * 20) + "yy", "ab" * 9 + "z"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", license_scan._spans(F.col("t"), F.lit("ab")).alias("s")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spans.spans(F.col("t"), F.lit("ab")).alias("s")).collect()
     assert [[tuple(x) for x in r.s] for r in rows] == [[m.span() for m in re.finditer("ab", r.t)] for r in rows]
 
 
@@ -452,3 +495,26 @@ def test_mixing_awkward_rows(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
     wordless = docs.filter("doc_id IN (3, 4, 5)")
     assert mixing.mix(wordless).count() == 3
+
+
+def test_scratch_names_may_be_input_columns(spark):
+    """Columns named as operators once named their own."""
+    rows = [(k, "some words of a text that stands here and there too " * (k % 3) + str(k), "en", "s", 1, 2, 3, 4, 5, 6) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __norm int, __source int, body int, spans int, held int, stats int")
+    extra = docs.columns[4:]
+    for got in (license_scan.license_scan(docs), suffix_dedup.remove_repeats(docs), suffix_dedup.without_repeats(docs), mixing.mix(docs), quality_rules.quality_rules(docs), quality_rules.passing(docs, least_words=1)):
+        assert set(extra) <= set(got.columns)
+        assert all(tuple(r[c] for c in extra) == (1, 2, 3, 4, 5, 6) for r in got.collect())
+    assert license_scan.license_scan(docs).count() == suffix_dedup.remove_repeats(docs).count() == 6
+
+
+def test_license_scan_of_many_matches_is_linear(spark):
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "licensed under gpl 2 " * n)], "doc_id long, text string")
+        began = time.time()
+        assert license_scan.license_scan(docs).first().labels == "gpl"
+        return time.time() - began
+
+    seconds(10)
+    few, many = seconds(16_000), seconds(64_000)
+    assert few < 10 and many < max(5 * few, 10)
