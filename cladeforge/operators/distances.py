@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions.alignment import aligned, ungapped_counts
-from ..sources.files import table
+from ..functions.seeds import SeedIndex
+from ..sources.files import counted, ranked, table
 
 #: A sample is meant to be small: all pairs of one beyond this are refused.
 MAX_SAMPLE = 10_000
@@ -53,11 +56,37 @@ def pair_distances(of: DataFrame, aligner: str = "affine", keep: Sequence[str] =
 
 
 def binary_patterns(of: DataFrame) -> DataFrame:
-    """``i, j, a, b, n``: distinct columns of side-by-side pairs with how often each occurs."""
-    n = F.least(F.length("a"), F.length("b"))
-    sites = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    rows = of.select("i", "j", "a", "b", F.explode(sites).alias("p"))
-    return rows.groupBy("i", "j", F.substr("a", "p", F.lit(1)).alias("a"), F.substr("b", "p", F.lit(1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    """``i, j, a, b, n``: distinct columns of side-by-side pairs with how often each occurs, counted where the pair is."""
+    kinds = [f"{c} {of.schema[c].dataType.simpleString()}" for c in "ij"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, cells, counts = [], [], []
+            for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                n = min(len(a or ""), len(b or ""))
+                u, v = (np.frombuffer((s or "")[:n].encode("ascii", "replace"), np.uint8).astype(np.int64) for s in (a, b))
+                cell, count = np.unique(u << 8 | v, return_counts=True)
+                at.append(np.full(len(cell), k))
+                cells.append(cell)
+                counts.append(count)
+            at, cells = np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*cells, np.zeros(0, np.int64)])
+            letters = [pa.array([chr(c) for c in x.tolist()], pa.string()) for x in (cells >> 8, cells & 255)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at)) for i in (0, 1)), *letters, pa.array(np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64))], names=["i", "j", "a", "b", "n"])
+
+    return of.select("i", "j", "a", "b").mapInArrow(run, ", ".join([*kinds, "a string, b string, n long"]))
+
+
+def matrix(distances: DataFrame, ids: DataFrame, width: int = 64, key: str = "seq_id") -> DataFrame:
+    """``i, block, c0 ... c{width - 1}``: the full matrix of ``distances(i, j, d)`` by blocks of ``width`` columns.
+
+    Column k of block b is the id of rank ``b * width + k`` among ``ids`` (in order of the key); 0 on the diagonal, null where
+    a pair has no row or there is no such id. A row of the result has ``width`` values, however many ids there are.
+    """
+    placed = table(ranked(ids.select(key), [key], "place"), "matrix-columns")
+    half = distances.select("i", "j", "d")
+    both = half.union(half.select("j", "i", "d")).union(ids.select(F.col(key).alias("i"), F.col(key).alias("j"), F.lit(0.0).alias("d")))
+    named = both.join(placed.withColumnRenamed(key, "j"), "j").select("i", F.floor(F.col("place") / width).cast("int").alias("block"), (F.col("place") % width).alias("k"), "d")
+    return named.groupBy("i", "block").agg(*[F.max(F.when(F.col("k") == k, F.col("d"))).alias(f"c{k}") for k in range(width)])
 
 
 def number_of_pairs(n: Column) -> Column:
@@ -77,9 +106,7 @@ def mean_between(distances: DataFrame, members: DataFrame, leave_out: int | None
 
 
 #: Matches that a diagonal must have more of; rows of an index that is sent to all tasks; rows of a code that meet in a task.
-LEAST_MATCHES, MAX_INDEX, CODE_ROWS = 61.08, 4_000_000, 100_000
-#: Letters of a task of the index join, about: each meets the index at five seeds.
-TASK_LETTERS = 200_000
+LEAST_MATCHES, MAX_INDEX, CODE_ROWS = 61.08, 2_000_000, 100_000
 
 
 def seed_index(sequences: DataFrame, key: str = "seq_id", seq: str = "seq") -> DataFrame:
@@ -91,23 +118,34 @@ def seed_similarity(left: DataFrame, right: DataFrame, least: float = LEAST_MATC
     """``i, j, similarity`` of ``left(i, seq)`` and ``right(j, seq)``: matches on the diagonals that have more than ``least`` of them.
 
     Seeds meet by code, in an index: no two sequences are paired that share none, and only pairs with such a diagonal come
-    out. While the counted index of ``right`` has ``most`` (MAX_INDEX) rows or fewer, all tasks have it, and ``left`` is dealt by
-    sequence, so a diagonal is counted where it arises. A larger index is joined by code; codes are few and all frequent, so
-    the rows of each are split by a salt that follows their number, and diagonals are counted by partial sums before they meet.
+    out. While the counted index of ``right`` has ``most`` (MAX_INDEX) rows or fewer, all tasks have it and look each sequence
+    of ``left`` up where it is; nothing else is shuffled than ids (``dealt``). A larger index is joined by code; codes are few
+    and all frequent, so the rows of each are split by a salt that follows their number, and diagonals are counted by partial
+    sums before they meet.
     """
-    index = table(seed_index(right, "j").withColumnRenamed("place", "q"), "seed-index")
-    diagonal = (F.col("q") - F.col("place")).alias("diagonal")
-    if index.count() <= (MAX_INDEX if most is None else most):
-        letters = left.agg(F.sum(F.length("seq")).alias("n")).first().n or 0
-        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), letters // TASK_LETTERS)
-        met = seed_index(left.select("i", "seq").repartition(tasks, "i"), "i").join(F.broadcast(index), "code")
-    else:
-        own = table(seed_index(left.select("i", "seq"), "i"), "seed-index")
-        salts = own.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / CODE_ROWS).cast("int").alias("salts"))  # a row a code
-        salted = own.join(F.broadcast(salts), "code").withColumn("salt", F.pmod(F.xxhash64("i", "place"), F.col("salts")).cast("int"))
-        copies = index.join(F.broadcast(salts), "code").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        met = salted.join(copies.select("code", "salt", "j", "q"), ["code", "salt"])
-    diagonals = met.groupBy("i", "j", diagonal).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+    index, rows = counted(seed_index(right, "j"), "seed-index")
+    if rows <= (MAX_INDEX if most is None else most):
+        from .clusters import dealt
+
+        held = index.toArrow()
+        names, owner = np.unique(held.column("j").to_numpy(), return_inverse=True)
+        few = left.sparkSession.sparkContext.broadcast((names, SeedIndex(held.column("code").to_numpy(), owner, held.column("place").to_numpy())))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, index = few.value
+            for batch in batches:
+                told = [index.matches(s or "", least) for s in batch.column(1).to_pylist()]
+                at, j = np.nonzero(np.stack(told)) if told else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(names[j], pa.int64()), pa.array([int(told[x][y]) for x, y in zip(at, j, strict=True)], pa.int64())], names=["i", "j", "similarity"])
+
+        own = left.select(F.col("i").cast("long").alias("seq_id"), "seq")
+        return dealt(own, own.select("seq_id")).select("seq_id", "seq").mapInArrow(run, "i long, j long, similarity long")
+    own = table(seed_index(left.select("i", "seq"), "i"), "seed-index")
+    salts = own.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / CODE_ROWS).cast("int").alias("salts"))  # a row a code
+    salted = own.join(F.broadcast(salts), "code").withColumn("salt", F.pmod(F.xxhash64("i", "place"), F.col("salts")).cast("int"))
+    copies = index.withColumnRenamed("place", "q").join(F.broadcast(salts), "code").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    met = salted.join(copies.select("code", "salt", "j", "q"), ["code", "salt"])
+    diagonals = met.groupBy("i", "j", (F.col("q") - F.col("place")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
     return diagonals.groupBy("i", "j").agg(F.sum("n").alias("similarity"))
 
 

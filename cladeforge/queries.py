@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import sequence as S
 from .functions import table_functions
 from .functions.alignment import SCORINGS, aligned
-from .operators import alignments, clusters, distances, likelihood, sampling, trees
+from .operators import alignments, bisecting, clusters, distances, likelihood, sampling, trees
 from .plans import clustering
 from .sources import fasta, files
 from .streaming import assigning
@@ -528,6 +528,37 @@ def fasta_lines(spark, sf_dir):
     return spark.sql("SELECT seq_id, r.place, r.name, r.seq FROM {rows}, LATERAL fasta_records(text) r", rows=rows).select("seq_id", "place", "name", S.gcg_checksum(F.col("seq")).alias("checksum"))
 
 
+def distance_matrix(spark, sf_dir):
+    """Affine distances of all of ``benchmark`` as a matrix, 16 columns a row."""
+    d = distances.pair_distances(_pairs_of_benchmark(spark, sf_dir)).select("i", "j", "d")
+    rows = distances.matrix(d, sequences(spark, sf_dir, "benchmark", "item_id"), 16)
+    return rows.select("i", "block", *[F.round(f"c{k}", 6).alias(f"c{k}") for k in range(16)])
+
+
+def bisect_level(spark, sf_dir):
+    """One level of bisecting k-means over all vectors, with labels as nodes: first centres, and the sides they give."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("seq_id"), F.col("label").cast("string").alias("node"), F.col("embedding").cast("array<double>").alias("vector"))
+    return bisecting.split(rows, 1).select("seq_id", "node", "side")
+
+
+def bisecting_documents(spark, sf_dir):
+    """The leaf of every document: vectors of seed similarity to 32 anchors, split until nodes have fewer than 100."""
+    return bisecting.bisecting_tree(bisecting.anchor_vectors(sequences(spark, sf_dir).select("seq_id", "seq", "len")))
+
+
+#: A tree of four roots and a sequence, leaves first: branches by node; and the grid of base frequencies relative to T's.
+QUINTET, BRANCHES = (5, 5, 6, 6, 8, 7, 7, 8, -1), (0.1, 0.2, 0.3, 0.15, 0.5, 0.05, 0.1, 0.2, 0.0)
+FREQUENCIES = ((1.0, 1.0, 1.0), (2.0, 1.0, 1.0), (1.5, 0.5, 0.5), (0.7, 0.8, 0.9))
+
+
+def quintet_likelihood(spark, sf_dir):
+    """Log-likelihood of every document beside the roots of four languages, for a grid of base frequencies in one job."""
+    few = [r.root_seq for r in _roots(spark, sf_dir).orderBy("cluster_id").limit(4).collect()]
+    patterns = likelihood.patterns_against(sequences(spark, sf_dir), few + [""] * (4 - len(few)))
+    grid = [(*f, 1.0, 1.0, 1.0, 1.0, 1.0) for f in FREQUENCIES]
+    return likelihood.log_likelihoods(files.table(patterns, "patterns"), QUINTET, BRANCHES, grid).withColumn("loglik", F.round("loglik", 2))
+
+
 QUERIES = {f.__name__: f for f in (
     seq_stats, seq_length_filter, base_composition, base_code_counts, alphabet_detect, gcg_checksum, fasta_column, sample_k, sample_semi, remaining_anti, random_member, pair_count,
     site_patterns, jc_distance, edit_distance_pairs, align_edit_score, align_affine_score, align_nw_score, mean_between_groups, nearest_root_assign, saved_for_later, cluster_sizes,
@@ -535,7 +566,7 @@ QUERIES = {f.__name__: f for f in (
     common_ancestors, gapped_columns, consensus_base, spaced_seed_similarity, anchors_by_length, euclid_to_anchor, kmeans_one_step, cigar_ops, nj_tree, midpoint_root, msa_columns, gtr_root,
     affine_pairs, nw_pairs, capped_pairs, affine_assign, affine_sizes, affine_largest, affine_cv, affine_report, affine_mean_between, full_clustering, stream_assign, site_patterns_roots, jc_distance_roots, mean_between_roots, gapped_columns_all, consensus_base_all, spaced_seed_roots,
     aligned_assign, aligned_saved_for_later, aligned_cluster_sizes, aligned_largest_cluster, aligned_size_cv, aligned_nmi, aligned_clstr_lines, aligned_stream_assign,
-    stream_pool, fasta_source, cigar_lengths, seed_counts, fasta_lines,
+    stream_pool, fasta_source, cigar_lengths, seed_counts, fasta_lines, distance_matrix, bisect_level, bisecting_documents, quintet_likelihood,
 )}
 
 # --- the same in SQL --------------------------------------------------------------------------------------------------
@@ -639,6 +670,10 @@ _RUNS = f"c(cigar, a, b) AS (VALUES {_CIGAR_ROWS}), r AS (SELECT cigar, regexp_e
 # Fixed rows: the gapped strings of CIGARS, written out by hand.
 _GAPPED = "g(cigar, x, y) AS (VALUES ('4M', 'ACGT', 'ACGT'), ('1M1X2M', 'ACGT', 'AGGT'), ('2M1D1M', 'ACGT', 'AC-T'), ('1M2D2M', 'ACGGT', 'A--GT'), ('2I3M1X1D', '--ACGTA', 'TTACGA-'), ('', '', ''), ('30D2M', 'AAAAAAAAAAAAAAAAAAAAAAAAAAAAAACG', '------------------------------CG'))"
 
+def _far(x: str, y: str) -> str:
+    return f"sqrt(list_sum(list_transform(list_zip({x}, {y}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+
+
 ORACLES = {
     "seq_stats": f"WITH {_SEQ} SELECT count(*) AS n, max(len)::INT AS max_len, min(len)::INT AS min_len, max(length(name))::INT AS max_name FROM s",
     "seq_length_filter": f"WITH {_SEQ} SELECT seq_id, len::INT AS len FROM s WHERE len BETWEEN 100 AND 6000",
@@ -684,6 +719,27 @@ ORACLES = {
     "kmeans_one_step": f"WITH {_ANCHORS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, anchor_id) AS k FROM d) WHERE k = 1), x AS (SELECT anchor_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS dim FROM b) SELECT anchor_id AS centre_id, count(*) AS n, dim::INT AS dim, round(avg(x), 5) AS x FROM x GROUP BY anchor_id, dim",
     "cigar_ops": f"WITH {_RUNS}, {_GAPPED} SELECT c.cigar, coalesce(sum(n) FILTER (op = 'M'), 0)::BIGINT AS matches, coalesce(sum(n) FILTER (op <> 'M'), 0)::BIGINT AS edits, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE 2 * n END), 0)::BIGINT AS linear, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE 6 + 2 * n END), 0)::BIGINT AS affine, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE least(6 + 2 * n, 24 + n) END), 0)::BIGINT AS affine2, any_value(x) AS x, any_value(y) AS y, true AS valid FROM c LEFT JOIN r ON r.cigar = c.cigar LEFT JOIN g ON g.cigar = c.cigar GROUP BY c.cigar",
     "stream_assign": f"WITH {_ASSIGNED} SELECT seq_id, cluster_id, round(d, 6) AS d, is_assigned FROM g",
+    "distance_matrix": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'affine')}, d AS (SELECT i, j, {_jc('different::DOUBLE', 'sites')} AS d FROM al), b AS (SELECT i, j, d FROM d UNION ALL SELECT j, i, d FROM d UNION ALL SELECT seq_id, seq_id, 0 FROM s), z AS (SELECT seq_id AS j, row_number() OVER (ORDER BY seq_id) - 1 AS z FROM s) SELECT i, (z // 16)::INT AS block, {', '.join(f'round(max(d) FILTER (z % 16 = {k}), 6) AS c{k}' for k in range(16))} FROM b JOIN z USING (j) GROUP BY ALL",
+    "bisect_level": f"""WITH v AS (SELECT vec_id AS seq_id, label::VARCHAR AS node, embedding::DOUBLE[] AS x FROM embeddings),
+        e AS (SELECT seq_id, node, unnest(x) AS y, unnest(range(0, len(x))) AS k FROM v),
+        m AS (SELECT node, list(y ORDER BY k) AS c FROM (SELECT node, k, avg(y) AS y FROM e GROUP BY ALL) GROUP BY node),
+        f1 AS (SELECT node, x AS one FROM v JOIN m USING (node) QUALIFY row_number() OVER (PARTITION BY node ORDER BY {_far("x", "c")} DESC, seq_id) = 1),
+        f2 AS (SELECT node, one, x AS two FROM v JOIN f1 USING (node) QUALIFY row_number() OVER (PARTITION BY node ORDER BY {_far("x", "one")} DESC, seq_id) = 1),
+        n AS (SELECT seq_id, node, {_far("x", "two")} < {_far("x", "one")} AS side FROM v JOIN f2 USING (node))
+        SELECT seq_id, node, CASE WHEN bool_or(side) OVER w AND NOT bool_and(side) OVER w THEN side ELSE row_number() OVER (PARTITION BY node ORDER BY seq_id) - 1 >= count(*) OVER w // 2 END AS side FROM n WINDOW w AS (PARTITION BY node)""",
+    "quintet_likelihood": f"""WITH {_ASSIGNED},
+        w AS (SELECT max(root) FILTER (cluster_id = 0) AS r0, max(root) FILTER (cluster_id = 1) AS r1, max(root) FILTER (cluster_id = 2) AS r2, max(root) FILTER (cluster_id = 3) AS r3 FROM r),
+        y AS (SELECT {", ".join(f"CASE WHEN substr(r{x}, k::INT, 1) = '' THEN 'N' ELSE substr(r{x}, k::INT, 1) END AS l{x}" for x in range(4))}, substr(seq, k::INT, 1) AS l4 FROM (SELECT seq, unnest(range(1, len + 1)) AS k FROM s), w),
+        pat AS (SELECT l0, l1, l2, l3, l4, count(*) AS n FROM y GROUP BY ALL),
+        b(x) AS (VALUES ('A'), ('C'), ('G'), ('T')), o(x) AS (SELECT x FROM b UNION ALL VALUES ('N')),
+        f(k, x, pi) AS (VALUES {", ".join(f"({k}, '{x}', {(*f, 1.0)[i] / (sum(f) + 1)!r}::DOUBLE)" for k, f in enumerate(FREQUENCIES) for i, x in enumerate("ACGT"))}),
+        t(br, t) AS (VALUES {", ".join(f"({k}, {x!r}::DOUBLE)" for k, x in enumerate(BRANCHES))}),
+        p AS (SELECT k, br, b.x AS u, o.x AS v, CASE WHEN o.x = 'N' THEN 1 ELSE CASE WHEN b.x = o.x THEN exp(-t) ELSE 0 END + (1 - exp(-t)) * pi END AS p FROM b, o, t, f WHERE f.x = o.x OR (o.x = 'N' AND f.x = 'A')),
+        m5 AS (SELECT p.k, p.u AS s, x.v AS a, y.v AS b, sum(p.p * x.p * y.p) AS m FROM p JOIN p x ON x.k = p.k AND x.br = 0 AND x.u = p.v JOIN p y ON y.k = p.k AND y.br = 1 AND y.u = p.v WHERE p.br = 5 AND p.v <> 'N' GROUP BY ALL),
+        m6 AS (SELECT p.k, p.u AS s, x.v AS a, y.v AS b, sum(p.p * x.p * y.p) AS m FROM p JOIN p x ON x.k = p.k AND x.br = 2 AND x.u = p.v JOIN p y ON y.k = p.k AND y.br = 3 AND y.u = p.v WHERE p.br = 6 AND p.v <> 'N' GROUP BY ALL),
+        m7 AS (SELECT p.k, p.u AS s, l0, l1, l2, l3, l4, n, sum(p.p * m5.m * m6.m) AS m FROM pat JOIN p ON p.br = 7 AND p.v <> 'N' JOIN m5 ON m5.k = p.k AND m5.s = p.v AND m5.a = l0 AND m5.b = l1 JOIN m6 ON m6.k = p.k AND m6.s = p.v AND m6.a = l2 AND m6.b = l3 GROUP BY ALL),
+        l AS (SELECT m7.k, l0, l1, l2, l3, l4, n, sum(f.pi * m7.m * p.p) AS l FROM m7 JOIN f ON f.k = m7.k AND f.x = m7.s JOIN p ON p.k = m7.k AND p.br = 4 AND p.u = m7.s AND p.v = l4 GROUP BY ALL)
+        SELECT k::INT AS k, round(sum(n * ln(l)), 2) AS loglik FROM l GROUP BY k""",
     "stream_pool": f"WITH {_ASSIGNED} SELECT seq_id, s.len::INT AS len, round(d, 6) AS d FROM g JOIN s USING (seq_id) WHERE NOT is_assigned",
     "fasta_source": f"WITH {_SEQ} SELECT name, len::INT AS len, {_CHECKSUM} AS checksum FROM s",
     "fasta_lines": f"WITH {_SEQ}, t AS (SELECT seq_id, 0 AS place, name, seq FROM s UNION ALL SELECT seq_id, 1, 'end of ' || name, '' FROM s) SELECT seq_id, place::INT AS place, name, {_CHECKSUM} AS checksum FROM t",
