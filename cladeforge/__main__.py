@@ -7,6 +7,7 @@ Writes ``clstr`` (report lines), ``members`` (Parquet), and on demand ``fasta``
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def checked(sequences: DataFrame) -> DataFrame:
 def cluster_files(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     sequences = checked(files.read_fasta(spark, args.input))
     options = Options(args.clusters, args.sample, args.min_descendants, args.threshold, "nw" if args.free_ends else "affine", args.seed)
-    found, roots = run(sequences, options)
+    found, roots = run(sequences, options, lambda figures: print(", ".join(f"{k} {v}" for k, v in figures.items()), file=sys.stderr))
     members = table(found.join(sequences, "seq_id"), "members")
     files.write_clstr(members, f"{args.output}/clstr")
     members.select("round", "cluster_id", "seq_id", "name", "len", "via").write.mode("overwrite").parquet(f"{args.output}/members")
