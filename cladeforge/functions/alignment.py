@@ -1,8 +1,8 @@
 """Pairwise alignment of columns, in Arrow batches.
 
 One numpy step handles an antidiagonal of the dynamic program for all pairs of a batch. Costs are minimised. Two settings are
-offered, which are not interchangeable: ``affine`` (global; mismatch 4, gap of n 6 + 2 n) and ``nw`` (free end gaps; match 2,
-mismatch -1, gap of n -3 - n, as negated costs).
+offered, which are not interchangeable: ``affine`` (global; mismatch 4, gap of n 6 + 2 n; ``affine2``: the lesser of that and
+24 + n, so long gaps cost less) and ``nw`` (free end gaps; match 2, mismatch -1, gap of n -3 - n, as negated costs).
 """
 
 from __future__ import annotations
@@ -24,11 +24,16 @@ CELLS = 96_000_000
 STEP_CELLS = 15_000
 FAR = 1 << 28
 DIAGONAL, UP, LEFT, UP_OPENS, LEFT_OPENS = 0, 1, 2, 4, 8
+#: Bit of a gap of the second piece, and of where one opens.
+SECOND, UP2_OPENS, LEFT2_OPENS = 16, 32, 64
 
 
 @dataclass(frozen=True)
 class Scoring:
-    """Costs; ``free_ends`` leaves gaps at the ends of either sequence without cost; ``sign`` turns costs into the score told."""
+    """Costs; ``free_ends`` leaves gaps at the ends of either sequence without cost; ``sign`` turns costs into the score told.
+
+    ``second``: opening and extending of a gap's second piece, where a gap costs the lesser of both.
+    """
 
     match: int = 0
     mismatch: int = 4
@@ -37,11 +42,13 @@ class Scoring:
     free_ends: bool = False
     sign: int = 1
     gaps_first: bool = False
+    second: tuple[int, int] | None = None
 
 
 # The two settings, and the metrics that are affine costs too.
 SCORINGS = {
     "affine": Scoring(),
+    "affine2": Scoring(second=(24, 1)),
     "nw": Scoring(match=-2, mismatch=1, opening=3, extending=1, free_ends=True, sign=-1, gaps_first=True),
     "linear": Scoring(opening=0),
     "edit": Scoring(mismatch=1, opening=0, extending=1),
@@ -68,6 +75,8 @@ class _Program:
 
     def __init__(self, a: list[str], b: list[str], scoring: Scoring, limit: int | None, slack: int | None):
         self.scoring, self.size = scoring, len(a)
+        if scoring.second is not None and (scoring.gaps_first or scoring.free_ends):
+            raise ValueError("two pieces are for global alignment, the diagonal first")
         longest = max(map(len, a), default=0) + max(map(len, b), default=0)
         # no cell costs more than gaps alone, and a mismatch that costs more than two gaps is never taken
         self.mismatch = min(scoring.mismatch, 2 * (scoring.opening + scoring.extending) + 1)
@@ -82,13 +91,17 @@ class _Program:
         self.buffers = [np.empty((self.height + 1, self.size), dtype=self.kind) for _ in range(5)]
 
     def start(self) -> list:
-        h, h_before, right, down = (np.full((self.height + 2, self.size), self.far, dtype=self.kind) for _ in range(4))
-        h[1] = 0
-        return [h, h_before, right, down, (0, 0), None]
+        arrays = [np.full((self.height + 2, self.size), self.far, dtype=self.kind) for _ in range(4 if self.scoring.second is None else 6)]
+        arrays[0][1] = 0
+        return [*arrays[:4], (0, 0), None, *arrays[4:]]
+
+    @staticmethod
+    def copied(state: list) -> list:
+        return [x.copy() if isinstance(x, np.ndarray) else x for x in state]
 
     def row(self, state: list, d: int, moves: bool) -> tuple[int, np.ndarray | None]:
         """Go on to antidiagonal ``d``; returns the first place of its cells, and their moves if asked for."""
-        h, before, right, down, last_window, window_before = state
+        h, before, right, down, last_window, window_before, *more = state
         s, both, ext = self.scoring, self.scoring.opening + self.scoring.extending, self.scoring.extending
         # gaps come from the last antidiagonal, pairs of letters from the one before
         reach = [w for w in (last_window, window_before) if w is not None]
@@ -116,6 +129,23 @@ class _Program:
             new_down[0] = self.far
         if high == d:
             right[d + 1] = self.far
+        if more:
+            right2, down2 = more
+            both2, ext2 = sum(s.second), s.second[1]
+            np.add(h[above], both2, out=opened)
+            np.add(down2[above], ext2, out=extended)
+            if moves:
+                flags |= (opened <= extended).view(np.uint8) << 5
+            new_down2 = np.minimum(opened, extended)
+            np.add(h[here], both2, out=opened)
+            np.add(right2[here], ext2, out=extended)
+            if moves:
+                flags |= (opened <= extended).view(np.uint8) << 6
+            np.minimum(opened, extended, out=right2[here])
+            if low == 0:
+                new_down2[0] = self.far
+            if high == d:
+                right2[d + 1] = self.far
         # the letter of b at i is d - i - 1: with b backwards both run the same way
         first, last = max(low, 1), min(high, d - 1)
         diagonal[: first - low] = diagonal[last - low + 1 :] = self.far
@@ -129,6 +159,9 @@ class _Program:
             part += t
         np.minimum(diagonal, new_down, out=best)
         np.minimum(best, right[here], out=best)
+        if more:
+            np.minimum(best, new_down2, out=best)
+            np.minimum(best, right2[here], out=best)
         if s.free_ends:
             if low == 0:
                 best[0] = 0
@@ -138,10 +171,19 @@ class _Program:
             if s.gaps_first:
                 across, below = right[here] != best, new_down != best
                 flags |= (~across).view(np.uint8) * LEFT + (across & ~below).view(np.uint8)
+            elif more:
+                # in order: the diagonal, up, left, up and left of the second piece
+                across = diagonal != best
+                past_up = across & (new_down != best)
+                past_left = past_up & (right[here] != best)
+                past_up2 = past_left & (new_down2 != best)
+                flags |= across.view(np.uint8) + past_up + past_left * np.uint8(SECOND - 1) + past_up2
             else:
                 across = diagonal != best
                 flags |= across.view(np.uint8) + (across & (new_down != best)).view(np.uint8)
         down[here] = new_down
+        if more:
+            down2[here] = new_down2
         before[here] = best
         state[0], state[1] = before, h
         cells, window = before, (low, high)
@@ -152,7 +194,7 @@ class _Program:
             near = np.flatnonzero(((best <= bound) & alive).any(axis=1))
             window = (low + int(near[0]), low + int(near[-1])) if len(near) else None
             begin, end = min(low, lowest) + 1, max(high, highest) + 2
-            for array in (cells, right, down):
+            for array in (cells, right, down, *more):
                 if window is None:
                     array[begin:end] = self.far
                 else:
@@ -194,7 +236,7 @@ def align_batch(a: list[str], b: list[str], scoring: Scoring, cap: int | None =
         by_col[m == 0], by_row[n == 0] = 0, 0
     for d in range(1, total + 1):
         if not whole and (d - 1) % block == 0:
-            saved[d] = [x.copy() for x in state[:4]] + state[4:]
+            saved[d] = program.copied(state)
         low, flags = program.row(state, d, whole)
         if whole and flags is not None:
             kept.add(d, low, flags)
@@ -258,17 +300,17 @@ def _way_back(kept: _Moves, k: int, a: str, b: str, at: tuple[int, int], state:
     while u + v >= begin:
         if u and v:
             byte = flat[base[u + v] + u * size + k]
-            now = state if state >= 0 else byte & 3
+            now = state if state >= 0 else byte & (SECOND | 3)
         else:
             byte, now = UP_OPENS | LEFT_OPENS, UP if u else LEFT
         if now == DIAGONAL:
             u, v, state = u - 1, v - 1, -1
             out.append(77 if a[u] == b[v] else 88)
-        elif now == UP:
-            u, state = u - 1, -1 if byte & UP_OPENS else UP
+        elif now & 3 == UP:
+            u, state = u - 1, -1 if byte & (UP_OPENS if now == UP else UP2_OPENS) else now
             out.append(68)
         else:
-            v, state = v - 1, -1 if byte & LEFT_OPENS else LEFT
+            v, state = v - 1, -1 if byte & (LEFT_OPENS if now == LEFT else LEFT2_OPENS) else now
             out.append(73)
     return (u, v), state
 

@@ -174,6 +174,16 @@ def affine_pairs(spark, sf_dir):
     return rows.select("i", "j", "score", "different", "sites", S.cigar_affine_cost(F.col("cigar")).alias("cigar_cost"))
 
 
+def affine2_pairs(spark, sf_dir):
+    """All pairs of ``benchmark`` at two-piece costs, and each sequence with itself set into its middle, so that there are long gaps."""
+    rows = sequences(spark, sf_dir, "benchmark", "item_id").select("seq_id", "seq")
+    half = F.floor(F.length("seq") / 2).cast("int")
+    parted = rows.select(F.col("seq_id").alias("i"), (-F.col("seq_id") - 1).alias("j"), F.col("seq").alias("a"), F.concat(F.left("seq", half), "seq", F.substr("seq", half + 1)).alias("b"))
+    pairs = _pairs_of_benchmark(spark, sf_dir).select("i", "j", "a", "b").union(parted)
+    told = aligned(pairs, "affine2").select("i", "j", "alignment.*")
+    return told.select("i", "j", "score", "different", "sites", S.cigar_affine2_cost(F.col("cigar")).alias("cigar_cost"))
+
+
 def nw_pairs(spark, sf_dir):
     return aligned(_pairs_of_benchmark(spark, sf_dir), "nw").select("i", "j", "alignment.score", "alignment.different", "alignment.sites")
 
@@ -564,7 +574,7 @@ QUERIES = {f.__name__: f for f in (
     site_patterns, jc_distance, edit_distance_pairs, align_edit_score, align_affine_score, align_nw_score, mean_between_groups, nearest_root_assign, saved_for_later, cluster_sizes,
     largest_cluster, size_cv, nmi_vs_taxonomy, taxonomy_join, clstr_lines, length_summary, dup_names, unique_names, dense_ranks, top_branches, nearest_cut, tree_labels,
     common_ancestors, gapped_columns, consensus_base, spaced_seed_similarity, anchors_by_length, euclid_to_anchor, kmeans_one_step, cigar_ops, nj_tree, midpoint_root, msa_columns, gtr_root,
-    affine_pairs, nw_pairs, capped_pairs, affine_assign, affine_sizes, affine_largest, affine_cv, affine_report, affine_mean_between, full_clustering, stream_assign, site_patterns_roots, jc_distance_roots, mean_between_roots, gapped_columns_all, consensus_base_all, spaced_seed_roots,
+    affine_pairs, affine2_pairs, nw_pairs, capped_pairs, affine_assign, affine_sizes, affine_largest, affine_cv, affine_report, affine_mean_between, full_clustering, stream_assign, site_patterns_roots, jc_distance_roots, mean_between_roots, gapped_columns_all, consensus_base_all, spaced_seed_roots,
     aligned_assign, aligned_saved_for_later, aligned_cluster_sizes, aligned_largest_cluster, aligned_size_cv, aligned_nmi, aligned_clstr_lines, aligned_stream_assign,
     stream_pool, fasta_source, cigar_lengths, seed_counts, fasta_lines, distance_matrix, bisect_level, bisecting_documents, quintet_likelihood,
 )}
@@ -628,7 +638,7 @@ def _aligned_sql(pairs: str, aligner: str, path: bool = False) -> str:
     moves = lambda value: f", 'p': {value}" if path else ""
     both, ext, far = s.opening + s.extending, s.extending, f"{{'c': 1000000000, 'd': 0, 's': 0{moves(repr(''))}}}"
 
-    def gap(h: str, g: str, move: str) -> str:
+    def gap(h: str, g: str, move: str, both: int = both, ext: int = ext) -> str:
         return f"CASE WHEN {h}.c + {both} <= {g}.c + {ext} THEN {{'c': {h}.c + {both}, 'd': {h}.d, 's': {h}.s{moves(f'{h}.p || {move!r}')}}} ELSE {{'c': {g}.c + {ext}, 'd': {g}.d, 's': {g}.s{moves(f'{g}.p || {move!r}')}}} END"
 
     x, y = "substr(a, i::INT, 1)", "substr(b, (d - i)::INT, 1)"
@@ -640,15 +650,23 @@ def _aligned_sql(pairs: str, aligner: str, path: bool = False) -> str:
     best = "CASE WHEN q.c <= f[i + 1].c AND q.c <= e[i + 1].c THEN q WHEN f[i + 1].c <= e[i + 1].c THEN f[i + 1] ELSE e[i + 1] END"
     if s.gaps_first:
         best = "CASE WHEN e[i + 1].c <= f[i + 1].c AND e[i + 1].c <= q.c THEN e[i + 1] WHEN f[i + 1].c <= q.c THEN f[i + 1] ELSE q END"
+    end, columns, old, second = f"{s.opening} + {ext} * d", "e1, f1", "e, f", ""
     places = "range(0, length(a) + 1)"
+    if s.second is not None:
+        both2, ext2 = sum(s.second), s.second[1]
+        best = "list_filter([q, f[i + 1], e[i + 1], f2[i + 1], e2[i + 1]], lambda v: v.c = least(q.c, f[i + 1].c, e[i + 1].c, f2[i + 1].c, e2[i + 1].c))[1]"
+        end, columns, old = f"least({end}, {s.second[0]} + {ext2} * d)", "e1, f1, e21, f21", "e, f, e2, f2"
+        second = f""",
+                list_transform({places}, lambda i: CASE WHEN d + 1 - i < 1 OR d + 1 - i > m THEN {far} ELSE {gap("h1[i + 1]", "e21[i + 1]", "I", both2, ext2)} END) AS e2,
+                list_transform({places}, lambda i: CASE WHEN i < 1 OR i > d + 1 OR d + 1 - i > m THEN {far} ELSE {gap("h1[i]", "f21[i]", "D", both2, ext2)} END) AS f2"""
     none = f"list_transform({places}, lambda i: {far})"
-    program = f"""dp(i_, j_, a, b, n, m, d, h1, h2, e1, f1) AS (
-        SELECT i, j, a, b, length(a), length(b), 0, list_transform({places}, lambda i: CASE WHEN i = 0 THEN {zero} ELSE {far} END), {none}, {none}, {none} FROM {pairs}
+    program = f"""dp(i_, j_, a, b, n, m, d, h1, h2, {columns}) AS (
+        SELECT i, j, a, b, length(a), length(b), 0, list_transform({places}, lambda i: CASE WHEN i = 0 THEN {zero} ELSE {far} END), {none}, {", ".join([none] * (2 if s.second is None else 4))} FROM {pairs}
         UNION ALL
-        SELECT i_, j_, a, b, n, m, d, list_transform({places}, lambda i: CASE WHEN i > d OR d - i > m THEN {far} WHEN i = 0 OR i = d THEN {{'c': {"0" if s.free_ends else f"{s.opening} + {ext} * d"}, 'd': 0, 's': 0{edge}}} ELSE list_transform([{pair}], lambda q: {best})[1] END), h1, e, f
+        SELECT i_, j_, a, b, n, m, d, list_transform({places}, lambda i: CASE WHEN i > d OR d - i > m THEN {far} WHEN i = 0 OR i = d THEN {{'c': {"0" if s.free_ends else end}, 'd': 0, 's': 0{edge}}} ELSE list_transform([{pair}], lambda q: {best})[1] END), h1, {old}
         FROM (SELECT i_, j_, a, b, n, m, d + 1 AS d, h1, h2,
                 list_transform({places}, lambda i: CASE WHEN d + 1 - i < 1 OR d + 1 - i > m THEN {far} ELSE {gap("h1[i + 1]", "e1[i + 1]", "I")} END) AS e,
-                list_transform({places}, lambda i: CASE WHEN i < 1 OR i > d + 1 OR d + 1 - i > m THEN {far} ELSE {gap("h1[i]", "f1[i]", "D")} END) AS f
+                list_transform({places}, lambda i: CASE WHEN i < 1 OR i > d + 1 OR d + 1 - i > m THEN {far} ELSE {gap("h1[i]", "f1[i]", "D")} END) AS f{second}
             FROM dp WHERE d < n + m))"""
     last = "SELECT i_, j_, h1[n + 1] AS x FROM dp WHERE d = n + m"
     if s.free_ends:  # the last best place of the last column, else of the last row
@@ -746,6 +764,7 @@ ORACLES = {
     "seed_counts": f"WITH {_SEQ}, o AS (SELECT lang AS seq_id, replace(seq, 'N', 'A') AS z, unnest(range(1, length(seq) - 4)) AS o FROM s), e(lang, code, o) AS ({_SEED_ROWS}) SELECT lang, ({' + '.join(f'{4**(4-k)} * (instr({chr(39)}ACGT{chr(39)}, substr(code, {k+3}, 1)) - 1)' for k in range(5))} + 1024 * left(code, 1)::INT)::INT AS code, count(*) AS n, (min(o) - 1)::INT AS place FROM e GROUP BY ALL",
     "cigar_lengths": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'affine', True)}, r AS (SELECT i, j, path, unnest(regexp_extract_all(path, 'M+|X+|I+|D+')) AS run FROM al), u AS (SELECT i, j, left(run, 1) AS op, sum(length(run))::BIGINT AS n, count(*) AS runs FROM r GROUP BY ALL), v AS (SELECT i, j, path, unnest(['M', 'X', 'I', 'D']) AS op FROM al), w AS (SELECT i, j, op, left(path, (instr(path, op) - 1)::INT) AS before FROM v WHERE instr(path, op) > 0) SELECT i, j, op, n, runs, length(replace(before, 'I', ''))::BIGINT AS a_start, length(replace(before, 'D', ''))::BIGINT AS b_start FROM u JOIN w USING (i, j, op)",
     "affine_pairs": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'affine')} SELECT i, j, score, different, sites, score::BIGINT AS cigar_cost FROM al",
+    "affine2_pairs": f"WITH RECURSIVE {_BENCH_PAIRS}, h AS (SELECT i, j, a, b FROM q UNION ALL SELECT seq_id, -seq_id - 1, seq, left(seq, (length(seq) // 2)::INT) || seq || substr(seq, (length(seq) // 2 + 1)::INT) FROM s), {_aligned_sql('h', 'affine2')} SELECT i, j, score, different, sites, score::BIGINT AS cigar_cost FROM al",
     "nw_pairs": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'nw')} SELECT i, j, score, different, sites FROM al",
     "capped_pairs": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'affine')} SELECT i, j, score, different, sites FROM al WHERE score <= {MOST}",
     "affine_assign": f"WITH RECURSIVE {_BENCH_ASSIGNED} SELECT seq_id, cluster_id, round(d, 6) AS d, is_assigned FROM g",
