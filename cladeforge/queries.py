@@ -80,9 +80,6 @@ def _region_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.from_edges(functools.reduce(DataFrame.union, rows).withColumn("tree_id", F.lit(0).cast("long")))
 
 
-CIGARS = [("4M", "ACGT", "ACGT"), ("1M1X2M", "ACGT", "AGGT"), ("2M1D1M", "ACGT", "ACT"), ("1M2D2M", "ACGGT", "AGT"), ("2I3M1X1D", "ACGTA", "TTACGA"), ("", "", ""), ("30D2M", "A" * 30 + "CG", "CG")]
-
-
 def _pairs_of_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distances.pairs(sequences(spark, sf_dir, "benchmark", "item_id"))
 
@@ -441,10 +438,11 @@ def kmeans_one_step(spark, sf_dir):
 
 
 def cigar_ops(spark, sf_dir):
+    """Counts, costs, gapped strings and validity of the CIGARs of all pairs of ``benchmark``."""
     c = F.col("cigar")
-    rows = spark.createDataFrame(CIGARS, "cigar string, a string, b string")
+    rows = aligned(_pairs_of_benchmark(spark, sf_dir), "affine").select("i", "j", "a", "b", "alignment.cigar")
     x, y = S.gapped(c, F.col("a"), F.col("b"))
-    return rows.select("cigar", S.cigar_matches(c).alias("matches"), S.cigar_edits(c).alias("edits"), S.cigar_linear_cost(c).alias("linear"), S.cigar_affine_cost(c).alias("affine"), S.cigar_affine2_cost(c).alias("affine2"), x.alias("x"), y.alias("y"), S.cigar_is_valid(c, F.col("a"), F.col("b")).alias("valid"))
+    return rows.select("i", "j", S.cigar_matches(c).alias("matches"), S.cigar_edits(c).alias("edits"), S.cigar_linear_cost(c).alias("linear"), S.cigar_affine_cost(c).alias("affine"), S.cigar_affine2_cost(c).alias("affine2"), x.alias("x"), y.alias("y"), S.cigar_is_valid(c, F.col("a"), F.col("b")).alias("valid"))
 
 
 def nj_tree(spark, sf_dir):
@@ -683,10 +681,11 @@ _BENCH_ASSIGNED = f"""{_BENCH_SEQ}, r AS (SELECT (row_number() OVER (ORDER BY se
     k AS (SELECT r.cluster_id AS i, s.seq_id AS j, r.seq AS a, s.seq AS b FROM s, r), {_aligned_sql("k", "affine")},
     g AS (SELECT seq_id, cluster_id, d, d < 1 AND d <= 0.75 AS is_assigned FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY d, cluster_id) AS k FROM (SELECT j AS seq_id, i AS cluster_id, {_jc("different::DOUBLE", "sites")} AS d FROM al)) WHERE k = 1)"""
 _ANCHORS = f"a AS (SELECT vec_id AS anchor_id, embedding AS anchor FROM embeddings ORDER BY md5('{SEED}:' || vec_id), vec_id LIMIT 4), d AS (SELECT e.vec_id, a.anchor_id, e.embedding, sqrt(list_sum(list_transform(list_zip(e.embedding, a.anchor), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM embeddings e, a)"
-_CIGAR_ROWS = ", ".join(f"('{c}', '{a}', '{b}')" for c, a, b in CIGARS)
-_RUNS = f"c(cigar, a, b) AS (VALUES {_CIGAR_ROWS}), r AS (SELECT cigar, regexp_extract(x, '[0-9]+')::BIGINT AS n, right(x, 1) AS op FROM (SELECT cigar, unnest(regexp_extract_all(cigar, '[0-9]+[MXID]')) AS x FROM c))"
-# Fixed rows: the gapped strings of CIGARS, written out by hand.
-_GAPPED = "g(cigar, x, y) AS (VALUES ('4M', 'ACGT', 'ACGT'), ('1M1X2M', 'ACGT', 'AGGT'), ('2M1D1M', 'ACGT', 'AC-T'), ('1M2D2M', 'ACGGT', 'A--GT'), ('2I3M1X1D', '--ACGTA', 'TTACGA-'), ('', '', ''), ('30D2M', 'AAAAAAAAAAAAAAAAAAAAAAAAAAAAAACG', '------------------------------CG'))"
+
+
+def _gapped_sql(seq: str, gap: str) -> str:
+    return f"array_to_string(list_transform(range(1, length(path) + 1), lambda k: CASE WHEN substr(path, k::INT, 1) = '{gap}' THEN '-' ELSE substr({seq}, length(replace(left(path, k::INT), '{gap}', ''))::INT, 1) END), '')"
+
 
 def _far(x: str, y: str) -> str:
     return f"sqrt(list_sum(list_transform(list_zip({x}, {y}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
@@ -735,7 +734,7 @@ ORACLES = {
     "anchors_by_length": f"WITH {_SEQ}, c AS (SELECT count(*) AS n, least(32, count(*)) AS k FROM s) SELECT seq_id, len::INT AS len, rank FROM (SELECT seq_id, len, row_number() OVER (ORDER BY len DESC, seq_id) - 1 AS rank FROM s), c WHERE rank % (n // k) = 0 AND rank < (n // k) * k",
     "euclid_to_anchor": f"WITH {_ANCHORS} SELECT vec_id, anchor_id, round(d, 5) AS d FROM d",
     "kmeans_one_step": f"WITH {_ANCHORS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, anchor_id) AS k FROM d) WHERE k = 1), x AS (SELECT anchor_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS dim FROM b) SELECT anchor_id AS centre_id, count(*) AS n, dim::INT AS dim, round(avg(x), 5) AS x FROM x GROUP BY anchor_id, dim",
-    "cigar_ops": f"WITH {_RUNS}, {_GAPPED} SELECT c.cigar, coalesce(sum(n) FILTER (op = 'M'), 0)::BIGINT AS matches, coalesce(sum(n) FILTER (op <> 'M'), 0)::BIGINT AS edits, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE 2 * n END), 0)::BIGINT AS linear, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE 6 + 2 * n END), 0)::BIGINT AS affine, coalesce(sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE least(6 + 2 * n, 24 + n) END), 0)::BIGINT AS affine2, any_value(x) AS x, any_value(y) AS y, true AS valid FROM c LEFT JOIN r ON r.cigar = c.cigar LEFT JOIN g ON g.cigar = c.cigar GROUP BY c.cigar",
+    "cigar_ops": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'affine', True)}, r AS (SELECT i, j, left(run, 1) AS op, length(run) AS n FROM (SELECT i, j, unnest(regexp_extract_all(path, 'M+|X+|I+|D+')) AS run FROM al)), z AS (SELECT i, j, sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE 6 + 2 * n END)::BIGINT AS affine, sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE least(6 + 2 * n, 24 + n) END)::BIGINT AS affine2, sum(CASE op WHEN 'M' THEN 0 WHEN 'X' THEN 4 * n ELSE 2 * n END)::BIGINT AS linear, coalesce(sum(n) FILTER (op = 'M'), 0)::BIGINT AS matches, coalesce(sum(n) FILTER (op <> 'M'), 0)::BIGINT AS edits FROM r GROUP BY ALL), g AS (SELECT i, j, {_gapped_sql('a', 'I')} AS x, {_gapped_sql('b', 'D')} AS y FROM al JOIN q USING (i, j)) SELECT i, j, coalesce(matches, 0) AS matches, coalesce(edits, 0) AS edits, coalesce(linear, 0) AS linear, coalesce(affine, 0) AS affine, coalesce(affine2, 0) AS affine2, x, y, true AS valid FROM g LEFT JOIN z USING (i, j)",
     "stream_assign": f"WITH {_ASSIGNED} SELECT seq_id, cluster_id, round(d, 6) AS d, is_assigned FROM g",
     "distance_matrix": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'affine')}, d AS (SELECT i, j, {_jc('different::DOUBLE', 'sites')} AS d FROM al), b AS (SELECT i, j, d FROM d UNION ALL SELECT j, i, d FROM d UNION ALL SELECT seq_id, seq_id, 0 FROM s), z AS (SELECT seq_id AS j, row_number() OVER (ORDER BY seq_id) - 1 AS z FROM s) SELECT i, (z // 16)::INT AS block, {', '.join(f'round(max(d) FILTER (z % 16 = {k}), 6) AS c{k}' for k in range(16))} FROM b JOIN z USING (j) GROUP BY ALL",
     "bisect_level": f"""WITH v AS (SELECT vec_id AS seq_id, label::VARCHAR AS node, embedding::DOUBLE[] AS x FROM embeddings),
