@@ -104,3 +104,47 @@ def test_clustering_is_of_documents(spark, tmp_path):
     rows = [(k, "".join(rng.choices("ACGT", k=30)), "en", "web") for k in range(45)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.seq_id for r in Q.QUERIES["full_clustering"](spark, str(tmp_path)).collect()) == list(range(45))
+
+
+def test_aligned_reports_against_plain_ones(spark, sf_dir, tmp_path):
+    """Sizes, the largest, evenness, information, reports and leftovers of the aligned assignment, from distances by the kernel."""
+    import math
+    from collections import Counter
+
+    from cladeforge.functions.alignment import site_counts
+
+    few = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60").withColumn("text", F.substring("text", 1, 500))
+    few.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    at = str(tmp_path)
+    rows = {r.seq_id: r for r in Q.sequences(spark, at).collect()}
+    roots = sorted((r.cluster_id, r.root_seq) for r in Q._roots(spark, at).collect())
+
+    def distance(root, seq):
+        _, paths = align_batch([root], [seq], SCORINGS["affine"])
+        different, sites = site_counts(root, seq, paths[0])
+        if sites < 5:
+            return 1.0
+        p = different / sites
+        return abs(-0.75 * math.log(1 - 4 * p / 3)) if p < 0.7499 else 30.0
+
+    near = {i: min((distance(root, r.seq), c) for c, root in roots) for i, r in rows.items()}
+    got = {r.seq_id: r for r in Q.QUERIES["aligned_assign"](spark, at).collect()}
+    assert {i: r.cluster_id for i, r in got.items()} == {i: c for i, (_, c) in near.items()}
+    assert all(abs(r.d - near[i][0]) < 1e-5 and r.is_assigned == (near[i][0] < 1 and near[i][0] <= 0.75) for i, r in got.items())
+    assert {r.seq_id for r in Q.QUERIES["aligned_saved_for_later"](spark, at).collect()} == {i for i, r in got.items() if not r.is_assigned}
+    sizes = Counter(c for _, c in near.values())
+    assert {r.cluster_id: r.n for r in Q.QUERIES["aligned_cluster_sizes"](spark, at).collect()} == sizes
+    assert tuple(Q.QUERIES["aligned_largest_cluster"](spark, at).first()) == min(sizes.items(), key=lambda x: (-x[1], x[0]))
+    mean = sum(sizes.values()) / len(sizes)
+    cv = math.sqrt(sum((n - mean) ** 2 for n in sizes.values()) / len(sizes)) / mean
+    assert abs(Q.QUERIES["aligned_size_cv"](spark, at).first().cv - cv) < 1e-5
+    cells, taxa, n = Counter((c, rows[i].lang) for i, (_, c) in near.items()), Counter(r.lang for r in rows.values()), len(rows)
+    mutual = sum(k / n * math.log(k * n / (sizes[c] * taxa[t])) for (c, t), k in cells.items())
+    entropy = lambda counts: -sum(k / n * math.log(k / n) for k in counts.values())
+    assert abs(Q.QUERIES["aligned_nmi"](spark, at).first().nmi - 2 * mutual / (entropy(sizes) + entropy(taxa))) < 1e-5
+    lines = {(r.cluster_id, r.pos): r.line for r in Q.QUERIES["aligned_clstr_lines"](spark, at).collect()}
+    expected = {(c, -1): f">Cluster {c}" for c in sizes}
+    for c in sizes:
+        for pos, i in enumerate(sorted(i for i, (_, x) in near.items() if x == c)):
+            expected[c, pos] = f"{pos}\t{rows[i].len}nt, >{rows[i].name}..."
+    assert lines == expected
