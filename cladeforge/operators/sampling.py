@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,5 +38,6 @@ def anchors_by_length(rows: DataFrame, most: int = 32, key: str = "seq_id", leng
 
 def random_member(members: DataFrame, seed: int = 42, cluster: str = "cluster_id", key: str = "seq_id") -> DataFrame:
     """One member of each cluster, the first in the order of the sample."""
-    order = Window.partitionBy(cluster).orderBy(draw(F.col(key), seed), key)
-    return members.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    rest = [c for c in members.columns if c != cluster]
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(draw(F.col(key), seed), F.col(key)))  # summed before rows meet
+    return members.groupBy(cluster).agg(first.alias("one")).select(*[F.col(cluster) if c == cluster else F.col("one").getField(c).alias(c) for c in members.columns])
