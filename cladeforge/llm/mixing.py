@@ -3,8 +3,9 @@
 The exponent is found by sectioning its range until a target entropy, or a limit on how often a source is repeated, is met;
 each step is one aggregate over the table of source totals. A source's budget is a number of whole passes and a rest. For the
 rest, the source's documents are dealt into blocks by hash, the blocks are permuted, and blocks are taken up to the budget;
-in the block that holds the end, documents are taken in order of their hashes. So a decision for a document needs only its
-own hash and its block's row, and no text is moved.
+in the block that holds the end, documents are taken in order of their hashes. That block is narrowed by leading bits of the
+hash, an aggregate a step, until it is few enough for one task to order. So a decision for a document needs only its own hash
+and its block's row, and no text is moved.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .common import fresh, materialize, table
 
 #: Tokens a block has about, and blocks a source has at most; rows of the block table that are broadcast at most.
 BLOCK_TOKENS, MAX_BLOCKS, MAX_BROADCAST = 65_536, 4096, 1_000_000
+#: Documents of the block that holds a source's end which one task orders at most; bits of the hash a step narrows it by beyond.
+CUT_ROWS, CUT_BITS = 100_000, 10
 SECTIONS, WIDTH = 16, 1e-6
 MAX_REPEATS, SEED = 2.0, 11
 
@@ -96,6 +99,40 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def ends(dealt: DataFrame, cut: DataFrame, few: bool = True) -> DataFrame:
+    """``of, block, last``: the hash up to which documents of ``dealt(of, block, h, n)`` are taken in each block of ``cut``.
+
+    ``cut(of, block, room, rows)`` has a row a source: its block that holds the end, the tokens to take there and its
+    documents; ``few``: it may go to all tasks. Documents of one hash are taken together or not at all; no row where none is.
+    While a block has more than CUT_ROWS documents, its hashes are counted by their next CUT_BITS bits and only those that
+    hold the end are looked at again, so a window has 2 ** CUT_BITS or CUT_ROWS rows at most; at the last bit a hash is one row.
+    """
+    nothing = F.lit(None).cast("long")
+    at, shift = cut.select("of", "block", "room", "rows", nothing.alias("prefix"), nothing.alias("last")), 64
+
+    def inside() -> DataFrame:
+        named = at.select(*[F.col(c).alias(f"cut_{c}") for c in at.columns])
+        near = dealt.join(F.broadcast(named) if few else named, _same(F.col("of"), F.col("cut_of")) & (F.col("block") == F.col("cut_block")))
+        # a shift by 64 bits would be one by none
+        return near if shift == 64 else near.filter(F.shiftright("h", shift) == F.col("cut_prefix"))
+
+    while shift and (at.agg(F.max("rows")).first()[0] or 0) > CUT_ROWS:
+        step = max(shift - CUT_BITS, 0)
+        counted_by = inside().groupBy("of", "block", F.shiftright("h", step).alias("prefix")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("h").alias("top"), F.first("cut_room").alias("room"), F.first("cut_last").alias("was"))
+        run = counted_by.withColumn("run", F.sum("n").over(Window.partitionBy("of", "block").orderBy("prefix")))
+        taken = F.col("run") <= F.col("room")
+        end = F.min(F.when(~taken, F.struct("prefix", (F.col("room") - F.col("run") + F.col("n")).alias("room"), "rows"))).alias("end")
+        found = run.groupBy("of", "block").agg(end, F.coalesce(F.max(F.when(taken, F.col("top"))), F.first("was")).alias("last"))
+        at = materialize(found.select("of", "block", "end.room", "end.rows", "end.prefix", "last"), "mix-ends")
+        shift = step
+    if not shift:
+        return at.filter("last IS NOT NULL").select("of", "block", "last")
+    order = Window.partitionBy("of", "block").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = inside().withColumn("run", F.sum("n").over(order)).filter("run <= cut_room").groupBy("of", "block").agg(F.max("h").alias("h"))
+    before = at.filter("last IS NOT NULL").select("of", "block", F.col("last").alias("h"))
+    return taken.union(before).groupBy("of", "block").agg(F.max("h").alias("last"))
+
+
 def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = MAX_REPEATS, budget: float | None = None, text: str = "text", source: str = "source", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Sources with their weights; and blocks with ``share`` (1 taken, 0 not, between: hashes up to ``last``) and rank."""
     sums = totals(docs, text, source)
@@ -106,17 +143,14 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
     few = F.broadcast(sources) if sources.count() <= MAX_BROADCAST else sources
     meta = docs.select(F.col(f"`{source}`").alias("of"), _hash(F.col(f"`{key}`")).alias("h"), tokens(F.col(f"`{text}`")).alias("n"))
     dealt = materialize(meta.join(few, _same(F.col("of"), F.col("source"))).select("of", F.pmod("h", F.col("blocks")).alias("block"), "h", "n"), "mix-tokens")
-    sized = dealt.groupBy("of", "block").agg(F.sum("n").alias("n"))
+    sized = dealt.groupBy("of", "block").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     order = Window.partitionBy("of").orderBy(_hash(F.col("block")), "block")
     ranked = sized.withColumns({"rank": F.row_number().over(order), "before": F.sum("n").over(order) - F.col("n")})
     ranked = ranked.join(few.select("source", "rest"), _same(F.col("of"), F.col("source"))).drop("source")
     state = F.when(F.col("rest") == 0, 0).when(F.col("before") + F.col("n") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0).otherwise(2)
     ranked = materialize(ranked.withColumn("state", state), "mix-blocks")
-    cut = ranked.filter("state = 2").select(F.col("of").alias("cut_of"), F.col("block").alias("cut_block"), (F.col("rest") - F.col("before")).alias("room"))
-    inside = dealt.join(cut, _same(F.col("of"), F.col("cut_of")) & (F.col("block") == F.col("cut_block")))
-    run = F.sum("n").over(Window.partitionBy("of", "block").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    last = inside.withColumn("run", run).filter("run <= room").groupBy("of", "block").agg(F.max("h").alias("last"))
-    last = last.select(F.col("of").alias("last_of"), F.col("block").alias("last_block"), "last")
+    cut = ranked.filter("state = 2").select("of", "block", (F.col("rest") - F.col("before")).alias("room"), "rows")
+    last = ends(dealt, cut, few is not sources).select(F.col("of").alias("last_of"), F.col("block").alias("last_block"), "last")
     blocks = ranked.join(last, _same(F.col("of"), F.col("last_of")) & (F.col("block") == F.col("last_block")), "left")
     return sources, materialize(blocks.select("of", "block", "rank", "state", "last"), "mix-plan")
 

@@ -489,6 +489,37 @@ def test_entropy_target(spark):
     assert mixing.solve(sums, target_entropy=2.0)["exponent"] == 0 and mixing.solve(sums, target_entropy=0.1)["exponent"] == 1
 
 
+def test_mixing_against_a_plan_by_hand(spark, monkeypatch):
+    """Blocks, ranks and copies by the definition, however often the block with the end is narrowed."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(5000), " ".join(["w"] * rng.choice([0, 1, 3, 40, 400])), rng.choice(["big"] * 9 + ["small", None, "tiny"])) for _ in range(1500)]
+    rows += [(7, "same id again", "big")] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 9_000)
+    hashed = {r.doc_id: r.h for r in docs.select("doc_id", mixing._hash(F.col("doc_id")).alias("h")).collect()}
+    for most, bits in ((100_000, 10), (20, 3), (0, 10)):
+        monkeypatch.setattr(mixing, "CUT_ROWS", most)
+        monkeypatch.setattr(mixing, "CUT_BITS", bits)
+        sources, blocks = mixing.plan(docs, budget=150_000.0)
+        got = sorted((r.doc_id, r.text, r.source or "", *r.mix[2:]) for r in mixing.counted(docs, sources, blocks).collect())
+        want = []
+        for s in sources.collect():
+            own = [(hashed[i], len(t.split()), i, t) for i, t, of in rows if of == s.source]
+            ranks = [r.block for r in spark.range(s.blocks).select(F.col("id").alias("block")).orderBy(mixing._hash(F.col("block")), "block").collect()]
+            ranks = [b for b in ranks if any(h % s.blocks == b for h, *_ in own)]
+            room, open_ = s.rest, s.rest > 0
+            for rank, b in enumerate(ranks, 1):
+                inside = sorted(r for r in own if r[0] % s.blocks == b)
+                whole = open_ and sum(r[1] for r in inside) <= room
+                run = 0
+                for h in sorted({r[0] for r in inside}):
+                    same = [r for r in inside if r[0] == h]
+                    run += sum(r[1] for r in same)
+                    want += [(i, t, s.source or "", b, rank, s.passes + (whole or open_ and room > 0 and run <= room)) for _, _, i, t in same]
+                open_, room = whole, room - sum(r[1] for r in inside)
+        assert got == sorted(want), (most, bits)
+
+
 def test_mixing_awkward_rows(spark):
     docs, texts = awkward(spark)
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs).count() >= len(texts)
