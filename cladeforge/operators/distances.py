@@ -93,14 +93,20 @@ def number_of_pairs(n: Column) -> Column:
     return (n * (n - 1) / 2).cast("long")
 
 
+#: Members, or clusters, whose ids and numbers are sent to all tasks at most.
+MAX_MEMBERS = 1_000_000
+
+
 def mean_between(distances: DataFrame, members: DataFrame, leave_out: int | None = None) -> DataFrame:
     """One row ``mean``: the mean over pairs of clusters of the mean distance between their members.
 
-    ``leave_out``: a cluster (the residual one) that takes no part.
+    ``leave_out``: a cluster (the residual one) that takes no part. Members are written once; up to MAX_MEMBERS of them, counted
+    as they are written, go to all tasks, and more are joined by id.
     """
     of = members.select("seq_id", "cluster_id")
-    of = of if leave_out is None else of.filter(F.col("cluster_id") != leave_out)
-    named = distances.select("i", "j", "d").join(F.broadcast(of.toDF("i", "ci")), "i").join(F.broadcast(of.toDF("j", "cj")), "j").filter("ci <> cj")
+    of, n = counted(of if leave_out is None else of.filter(F.col("cluster_id") != leave_out), "members")
+    few = F.broadcast if n <= MAX_MEMBERS else lambda x: x
+    named = distances.select("i", "j", "d").join(few(of.toDF("i", "ci")), "i").join(few(of.toDF("j", "cj")), "j").filter("ci <> cj")
     each = named.groupBy(F.least("ci", "cj").alias("ci"), F.greatest("ci", "cj").alias("cj")).agg(F.avg("d").alias("d"))
     return each.agg(F.avg("d").alias("mean"))
 

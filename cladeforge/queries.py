@@ -84,9 +84,30 @@ def _pairs_of_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distances.pairs(sequences(spark, sf_dir, "benchmark", "item_id"))
 
 
-def _benchmark_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = distances.pair_distances(_pairs_of_benchmark(spark, sf_dir))
-    return rows.select(F.lit(0).cast("long").alias("tree_id"), "i", "j", "d")
+#: Sequences of a cluster of ``benchmark``; the last cluster may have fewer.
+CLUSTER = 8
+
+
+def _benchmark_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cluster_id, seq_id, seq``: all of ``benchmark`` in clusters of CLUSTER sequences that follow each other by their letters.
+
+    Clusters grow in number with the table, not in size, so what is built of each (a tree, an alignment, a root) is a small task.
+    """
+    rows = sequences(spark, sf_dir, "benchmark", "item_id").select("seq_id", "seq")
+    placed = files.ranked(rows, ["seq", "seq_id"], "place")
+    return files.table(placed.select(F.floor(F.col("place") / CLUSTER).alias("cluster_id"), "seq_id", "seq"), "clusters")
+
+
+def _cluster_distances(members: DataFrame) -> DataFrame:
+    """``cluster_id, i, j, d`` of the pairs within clusters, by affine alignment."""
+    return distances.pair_distances(distances.pairs(members, within="cluster_id"), "affine", ["cluster_id"]).select("cluster_id", "i", "j", "d")
+
+
+def _cluster_trees(spark: SparkSession, sf_dir: str, midpoint: bool = False) -> DataFrame:
+    """A tree of each cluster of ``benchmark``; one of a single sequence is its leaf."""
+    members = _benchmark_clusters(spark, sf_dir)
+    itself = members.select("cluster_id", F.col("seq_id").alias("i"), F.col("seq_id").alias("j"), F.lit(0.0).alias("d"))
+    return trees.trees(_cluster_distances(members).union(itself).withColumnRenamed("cluster_id", "tree_id"), midpoint)
 
 
 def seq_stats(spark, sf_dir):
@@ -446,24 +467,28 @@ def cigar_ops(spark, sf_dir):
 
 
 def nj_tree(spark, sf_dir):
-    return trees.trees(_benchmark_distances(spark, sf_dir))
+    """Of each cluster of ``benchmark``."""
+    return _cluster_trees(spark, sf_dir)
 
 
 def midpoint_root(spark, sf_dir):
-    return trees.trees(_benchmark_distances(spark, sf_dir), midpoint=True)
-
-
-def _benchmark_members(spark, sf_dir):
-    return sequences(spark, sf_dir, "benchmark", "item_id").select(F.lit(0).cast("long").alias("cluster_id"), "seq_id", "seq")
+    """Of each cluster of ``benchmark``."""
+    return _cluster_trees(spark, sf_dir, midpoint=True)
 
 
 def msa_columns(spark, sf_dir):
-    return alignments.columns(alignments.msa(_benchmark_members(spark, sf_dir)))
+    """Of each cluster of ``benchmark``."""
+    return alignments.columns(alignments.msa(_benchmark_clusters(spark, sf_dir)))
 
 
 def gtr_root(spark, sf_dir):
-    pairs = _benchmark_distances(spark, sf_dir).withColumnRenamed("tree_id", "cluster_id")
-    return likelihood.roots(alignments.msa(_benchmark_members(spark, sf_dir)), pairs).select("cluster_id", "root_seq", F.round("loglik", 2).alias("loglik"))
+    """Roots of the clusters of ``benchmark``: the ancestral sequence of those of more than 3, a member of others (without ``loglik``)."""
+    members = _benchmark_clusters(spark, sf_dir)
+    count = clusters.sizes(members)
+    large = files.table(members.join(count.filter("n > 3"), "cluster_id", "left_semi"), "large-clusters")
+    small = sampling.random_member(members.join(count.filter("n <= 3"), "cluster_id", "left_semi"), SEED)
+    fitted = likelihood.roots(alignments.msa(large), _cluster_distances(large)).select("cluster_id", "root_seq", F.round("loglik", 2).alias("loglik"))
+    return fitted.union(small.select("cluster_id", "seq", F.lit(None).cast("double")))
 
 
 #: Sampled sequences of a round of ``full_clustering``: all of their pairs are aligned.
@@ -515,6 +540,47 @@ def fasta_source(spark, sf_dir):
     return fasta.fasta_table(spark, at).select("name", "len", S.gcg_checksum(F.col("seq")).alias("checksum"))
 
 
+def _written(spark: SparkSession, name: str) -> str:
+    return f"{files.shared_folder(spark)}/cladeforge/{name}-{uuid.uuid4().hex}"
+
+
+def fasta_by_language(spark, sf_dir):
+    """Documents written as FASTA, a folder a language, and read back with the folders' column."""
+    at = _written(spark, "fasta")
+    files.write_fasta(sequences(spark, sf_dir).withColumn("lang", F.coalesce("lang", F.lit("none"))), at, "lang")
+    return files.read_fasta(spark, at, "lang").select("lang", "name", "len", S.gcg_checksum(F.col("seq")).alias("checksum"))
+
+
+def taxonomy_files(spark, sf_dir):
+    """A taxonomy with a line a document, by source, language and length, written and read back: of equal names the first line stays."""
+    at = _written(spark, "taxonomy")
+    name = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("len") % 10)
+    rows = sequences(spark, sf_dir).repartitionByRange("seq_id").sortWithinPartitions("seq_id")
+    files.write_taxonomy(rows.select(F.concat_ws(";", "lang", "source", F.concat(F.lit("doc"), "seq_id")).alias("lineage"), name.alias("name")), at)
+    return files.read_taxonomy(spark, at).select("name", "lineage", F.size("ranks").alias("n_ranks"))
+
+
+def root_files(spark, sf_dir):
+    """Roots written and read back; those of even length as if they stood in for a small cluster's."""
+    at = _written(spark, "roots")
+    files.write_roots(_roots(spark, sf_dir).withColumn("random", F.length("root_seq") % 2 == 0), at)
+    return files.read_fasta(spark, at).select("name", "len", S.gcg_checksum(F.col("seq")).alias("checksum"))
+
+
+def alignment_files(spark, sf_dir):
+    """All of ``benchmark``, side by side, written as Clustal, MSF and FASTA and read back by what each file is found to be."""
+    rows, parts = files.table(_side_by_side(spark, sf_dir).select("seq_id", F.concat(F.lit("doc"), "seq_id").alias("name"), "aligned"), "aligned"), []
+    for kind in ("clustal", "msf", "fasta"):
+        at = _written(spark, kind)
+        files.write_alignment(rows, at, kind)
+        found = files.detect_format(spark, at)
+        read = {"clustal": files.read_clustal, "msf": files.read_msf}.get(found)
+        back = read(spark, at) if read else files.read_fasta(spark, at).select("name", F.col("seq").alias("aligned"))
+        state = files.is_aligned(back.select(F.col("name").alias("seq_id"), F.col("aligned").alias("seq")))
+        parts.append(back.select(F.lit(found).alias("format"), F.lit(state).alias("state"), "name", F.length("aligned").alias("len"), S.gcg_checksum(F.col("aligned")).alias("checksum")))
+    return functools.reduce(DataFrame.union, parts)
+
+
 def cigar_lengths(spark, sf_dir):
     """Letters of each operation, over the CIGARs of all pairs of ``benchmark``, by a table function in SQL."""
     table_functions.register(spark)
@@ -575,6 +641,7 @@ QUERIES = {f.__name__: f for f in (
     affine_pairs, affine2_pairs, nw_pairs, capped_pairs, affine_assign, affine_sizes, affine_largest, affine_cv, affine_report, affine_mean_between, full_clustering, stream_assign, site_patterns_roots, jc_distance_roots, mean_between_roots, gapped_columns_all, consensus_base_all, spaced_seed_roots,
     aligned_assign, aligned_saved_for_later, aligned_cluster_sizes, aligned_largest_cluster, aligned_size_cv, aligned_nmi, aligned_clstr_lines, aligned_stream_assign,
     stream_pool, fasta_source, cigar_lengths, seed_counts, fasta_lines, distance_matrix, bisect_level, bisecting_documents, quintet_likelihood,
+    fasta_by_language, taxonomy_files, root_files, alignment_files,
 )}
 
 # --- the same in SQL --------------------------------------------------------------------------------------------------
@@ -762,6 +829,12 @@ ORACLES = {
     "fasta_lines": f"WITH {_SEQ}, t AS (SELECT seq_id, 0 AS place, name, seq FROM s UNION ALL SELECT seq_id, 1, 'end of ' || name, '' FROM s) SELECT seq_id, place::INT AS place, name, {_CHECKSUM} AS checksum FROM t",
     "seed_counts": f"WITH {_SEQ}, o AS (SELECT lang AS seq_id, replace(seq, 'N', 'A') AS z, unnest(range(1, length(seq) - 4)) AS o FROM s), e(lang, code, o) AS ({_SEED_ROWS}) SELECT lang, ({' + '.join(f'{4**(4-k)} * (instr({chr(39)}ACGT{chr(39)}, substr(code, {k+3}, 1)) - 1)' for k in range(5))} + 1024 * left(code, 1)::INT)::INT AS code, count(*) AS n, (min(o) - 1)::INT AS place FROM e GROUP BY ALL",
     "cigar_lengths": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'affine', True)}, r AS (SELECT i, j, path, unnest(regexp_extract_all(path, 'M+|X+|I+|D+')) AS run FROM al), u AS (SELECT i, j, left(run, 1) AS op, sum(length(run))::BIGINT AS n, count(*) AS runs FROM r GROUP BY ALL), v AS (SELECT i, j, path, unnest(['M', 'X', 'I', 'D']) AS op FROM al), w AS (SELECT i, j, op, left(path, (instr(path, op) - 1)::INT) AS before FROM v WHERE instr(path, op) > 0) SELECT i, j, op, n, runs, length(replace(before, 'I', ''))::BIGINT AS a_start, length(replace(before, 'D', ''))::BIGINT AS b_start FROM u JOIN w USING (i, j, op)",
+    "fasta_by_language": f"WITH {_SEQ} SELECT coalesce(lang, 'none') AS lang, name, len::INT AS len, {_CHECKSUM} AS checksum FROM s",
+    "taxonomy_files": f"""WITH {_SEQ}, l AS (SELECT seq_id, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), len % 10) AS name, concat_ws(';', lang, source, name) AS lineage FROM s)
+        SELECT name, arg_min(lineage, seq_id) AS lineage, len(string_split(arg_min(lineage, seq_id), ';'))::INT AS n_ranks FROM l GROUP BY name""",
+    "root_files": f"WITH {_ASSIGNED}, w AS (SELECT CASE WHEN length(root) % 2 = 0 THEN 'random' ELSE '' END || cluster_id AS name, root AS seq FROM r) SELECT name, length(seq)::INT AS len, {_CHECKSUM} AS checksum FROM w",
+    "alignment_files": f"""WITH {_BENCH}, w AS (SELECT 'doc' || seq_id AS name, rpad(seq, (SELECT max(length(seq)) FROM s)::INT, '-') AS seq FROM s)
+        SELECT unnest(['clustal', 'msf', 'fasta']) AS format, CASE WHEN (SELECT count(*) FROM w WHERE contains(seq, '-')) > 0 THEN 'aligned' ELSE 'maybe' END AS state, name, length(seq)::INT AS len, {_CHECKSUM} AS checksum FROM w""",
     "affine_pairs": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'affine')} SELECT i, j, score, different, sites, score::BIGINT AS cigar_cost FROM al",
     "affine2_pairs": f"WITH RECURSIVE {_BENCH_PAIRS}, h AS (SELECT i, j, a, b FROM q UNION ALL SELECT seq_id, -seq_id - 1, seq, left(seq, (length(seq) // 2)::INT) || seq || substr(seq, (length(seq) // 2 + 1)::INT) FROM s), {_aligned_sql('h', 'affine2')} SELECT i, j, score, different, sites, score::BIGINT AS cigar_cost FROM al",
     "nw_pairs": f"WITH RECURSIVE {_BENCH_PAIRS}, {_aligned_sql('q', 'nw')} SELECT i, j, score, different, sites FROM al",

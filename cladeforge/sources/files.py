@@ -56,26 +56,33 @@ def place_within(rows: DataFrame, group: str, order: str | list[str], name: str)
     return placed.join(first, group).withColumn(name, F.col("__rank") - F.col("__first")).drop("__rank", "__first")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
     """``seq_id, name, seq, len``: records in file order, wrapped lines joined, upper case; headers end at the line's end.
 
-    Empty records have an empty sequence; text before the first header is no record; CR LF line ends are allowed.
+    Empty records have an empty sequence; text before the first header is no record; CR LF line ends are allowed. ``by``: the
+    column whose folders ``write_fasta`` made; it is kept.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    kept = [by] if by else []
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value", *kept)
     record = F.regexp_replace("value", "^>", "")
     # a record that is first in its file and has no mark of its own is text before the first header
     place = F.struct("block", "at")
     firsts = raw.groupBy("file").agg(F.min(place).alias("first"), F.min(F.when(~F.col("value").startswith(">"), place)).alias("plain"))
     stray = firsts.filter("first = plain").select("file", F.col("first.at").alias("at"))
     raw = raw.join(stray, ["file", "at"], "left_anti")
-    cut = raw.filter(F.trim(record) != "").select("file", "block", "at", F.regexp_replace(F.substring_index(record, "\n", 1), "\r$", "").alias("name"), F.when(F.instr(record, "\n") > 0, F.upper(F.regexp_replace(F.expr("substring(value, instr(value, '\n') + 1)"), r"[\s]", ""))).otherwise("").alias("seq"))
-    return ranked(cut, ["file", "block", "at"]).select("seq_id", "name", "seq", F.length("seq").alias("len"))
+    cut = raw.filter(F.trim(record) != "").select("file", "block", "at", F.regexp_replace(F.substring_index(record, "\n", 1), "\r$", "").alias("name"), F.when(F.instr(record, "\n") > 0, F.upper(F.regexp_replace(F.expr("substring(value, instr(value, '\n') + 1)"), r"[\s]", ""))).otherwise("").alias("seq"), *kept)
+    return ranked(cut, ["file", "block", "at"]).select("seq_id", "name", "seq", F.length("seq").alias("len"), *kept)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``at, value``: lines and their places, which follow the order of files by name (Spark reads the largest first)."""
+    return spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"), "value")
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """``name, lineage, ranks`` of a tab-separated file; of repeated names the first stays."""
     parts = F.split("value", "\t", 2)
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.get(parts, 0).alias("name"), F.regexp_replace(F.get(parts, 1), "\r$", "").alias("lineage")).filter("lineage IS NOT NULL")
+    rows = _lines(spark, path).select("at", F.get(parts, 0).alias("name"), F.regexp_replace(F.get(parts, 1), "\r$", "").alias("lineage")).filter("lineage IS NOT NULL")
     return rows.groupBy("name").agg(F.min_by("lineage", "at").alias("lineage")).withColumn("ranks", F.split("lineage", ";"))
 
 
@@ -148,14 +155,14 @@ def merged(*tables: DataFrame) -> DataFrame:
 def read_clustal(spark: SparkSession, path: str) -> DataFrame:
     """``name, aligned`` of a Clustal file: blocks of ``name letters`` lines are joined in file order."""
     line = F.trim(F.regexp_replace("value", "\r$", ""))
-    rows = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).filter(~F.col("value").rlike(r"^(CLUSTAL|\s|$)"))
+    rows = _lines(spark, path).filter(~F.col("value").rlike(r"^(CLUSTAL|\s|$)"))
     cut = rows.select("at", F.regexp_extract(line, r"^(\S+)\s+([A-Za-z.-]+)", 1).alias("name"), F.regexp_extract(line, r"^(\S+)\s+([A-Za-z.-]+)", 2).alias("part")).filter("part <> ''")
     return _joined(cut)
 
 
 def read_msf(spark: SparkSession, path: str) -> DataFrame:
     """``name, aligned`` of an MSF file: what stands after the ``//`` line, dots and tildes as gaps."""
-    rows = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    rows = _lines(spark, path)
     start = rows.filter(F.col("value").rlike("^//")).agg(F.min("at").alias("start"))
     cut = rows.join(F.broadcast(start), F.col("at") > F.col("start")).select("at", F.regexp_extract("value", r"^\s*(\S+)\s+(.*)$", 1).alias("name"), F.translate(F.regexp_replace(F.regexp_extract("value", r"^\s*(\S+)\s+(.*)$", 2), r"\s", ""), ".~", "--").alias("part"))
     return _joined(cut.filter((F.col("part") != "") & ~F.col("part").rlike("^[0-9]+$")))
@@ -180,6 +187,12 @@ def alignment_lines(msa: DataFrame, kind: str = "clustal", width: int = 60) -> D
     return total.union(heads).union(spark.createDataFrame([(0, "2", "//")], "part int, pos string, line string")).union(body)
 
 
+def write_alignment(msa: DataFrame, path: str, kind: str = "clustal") -> None:
+    """``alignment_lines`` in order, in files that follow each other by name."""
+    lines = alignment_lines(msa, kind).repartitionByRange("part", "pos").sortWithinPartitions("part", "pos")
+    lines.select("line").write.mode("overwrite").text(path)
+
+
 def newick(tree: DataFrame) -> str:
     """Newick text of one tree ``node_id, parent, bl, label``: for looking at, since a tree of a sample is small."""
     children, labels, root = {}, {}, None

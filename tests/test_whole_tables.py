@@ -1,13 +1,16 @@
 """Queries that once read a sample, or a cheaper stand-in, do the whole job."""
 
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cladeforge import queries as Q
 from cladeforge.functions.alignment import SCORINGS, align_batch
-from cladeforge.operators import alignments
+from cladeforge.operators import alignments, distances, likelihood, trees
 
 
 def test_alignment_scores_are_of_every_document(spark, sf_dir, tmp_path):
@@ -96,7 +99,39 @@ def test_all_benchmark_rows_take_part(spark, tmp_path):
         assert len(got) == 60 * 59 // 2
         assert all(d <= 12 for d in got.values())
     assert Q.QUERIES["nj_tree"](spark, at).filter("label IS NOT NULL").count() == 60
-    assert Q._benchmark_members(spark, at).count() == 60
+    members = Q._benchmark_clusters(spark, at).collect()
+    sizes = Counter(r.cluster_id for r in members)
+    assert sorted(r.seq_id for r in members) == list(range(60)) and [sizes[k] for k in sorted(sizes)] == [8] * 7 + [4]
+
+
+def test_clusters_of_benchmark_against_one_at_a_time(spark, sf_dir):
+    """Trees, alignments and roots of all clusters side by side are those of each cluster by itself."""
+    members = Q._benchmark_clusters(spark, sf_dir)
+    d = {(r.i, r.j): r.d for r in distances.pair_distances(Q._pairs_of_benchmark(spark, sf_dir)).collect()}
+    held = {}
+    for r in members.collect():
+        held.setdefault(r.cluster_id, {})[r.seq_id] = r.seq
+    got = {name: {} for name in ("nj_tree", "midpoint_root", "msa_columns", "gtr_root")}
+    for name, by in got.items():
+        for r in Q.QUERIES[name](spark, sf_dir).collect():
+            by.setdefault(r["tree_id" if "tree_id" in r else "cluster_id"], []).append(r)
+        assert set(by) == set(held), name
+    for c, seqs in held.items():
+        ids = sorted(seqs)
+        matrix = np.array([[0.0 if i == j else d[min(i, j), max(i, j)] for j in ids] for i in ids])
+        tree = trees.join_neighbours(matrix)
+        for name, (parent, length) in (("nj_tree", tree), ("midpoint_root", trees.rooted_at_midpoint(*tree, len(ids)))):
+            rows = sorted(got[name][c], key=lambda r: r.node_id)
+            assert [r.parent for r in rows] == [None if p < 0 else p for p in parent] and np.allclose([r.bl for r in rows], length)
+            assert [r.label for r in rows[: len(ids)]] == ids and rows[-1].nd == len(ids)
+        aligned = alignments.align_cluster([seqs[i] for i in ids])
+        assert {r.col: (r.n, r.A, r.C, r.G, r.T) for r in got["msa_columns"][c]} == {k: (len(ids), *((col == b).sum() for b in range(4))) for k, col in enumerate(aligned.T)}
+        (root,) = got["gtr_root"][c]
+        if len(ids) > 3:
+            seq, value, _ = likelihood.root_sequence(aligned, *trees.rooted_at_midpoint(*tree, len(ids)))
+            assert root.root_seq == seq and math.isclose(root.loglik, value, abs_tol=0.006)
+        else:
+            assert root.root_seq in seqs.values() and root.loglik is None
 
 
 def test_clustering_is_of_documents(spark, tmp_path):
