@@ -186,4 +186,5 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text") -> DataFra
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, and digests of the ids and of what they decode to. A null text is empty: no tokens."""
     return encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), tokenizer_path())

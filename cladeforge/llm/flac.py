@@ -529,4 +529,5 @@ def media_digest(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op4_flac_media(spark, sf_dir: str) -> DataFrame:
+    """Every document's payload and stored stream, digested as read back, and features. A null or empty text is 192 blanks."""
     return media_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -169,6 +169,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, text: str = "text") -> DataF
 
 
 def op8_byte_cnn(spark, sf_dir: str) -> DataFrame:
+    """Every document's predicted language and score, learnt from rows that are not held out; ``und`` without a letter or text."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"), 4, 2)))
     return predict(docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text"), model)

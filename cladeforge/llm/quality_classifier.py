@@ -199,6 +199,7 @@ def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str
 
 
 def op5_rule_ensemble(spark, sf_dir: str) -> DataFrame:
+    """Every document's score and prediction, learnt from labelled rows that are not held out. Null texts score as empty ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stats, names = statistics(docs)
     model = train(stats.filter(~held_out(F.col("doc_id"), 5, 0)), table(spark, sf_dir, "labels").select("doc_id", "quality"), names)

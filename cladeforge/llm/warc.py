@@ -287,6 +287,7 @@ def archive_folder(spark: SparkSession) -> str:
 
 
 def op1_warc_index(spark, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives: payload size and digest, and what it revisits. Null html is empty."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = archive_folder(spark)
     index = build_index(write_archives(pages, folder), folder)
