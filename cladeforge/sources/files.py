@@ -40,10 +40,12 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 def ranked(rows: DataFrame, order: list[str], name: str = "seq_id") -> DataFrame:
     """``rows`` with dense 0-based ranks in the order of the columns, without one task that holds all.
 
-    Rows are dealt out by ranges; a rank is the place in its partition plus the sizes of the partitions before it.
+    Rows are dealt out by ranges; a rank is the place in its partition plus the sizes of the partitions before it. The dealt
+    rows are written before they are counted: planned twice, once with fewer columns, they would be sampled and joined into
+    partitions in another way, and the sizes would be those of other partitions.
     """
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    sorted_rows = sorted_rows.withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
+    sorted_rows = table(sorted_rows.withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33)), "ranked")
     sizes = sorted_rows.groupBy("__p").count()
     before = sizes.select("__p", (F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).alias("__b"))
     return sorted_rows.join(F.broadcast(before), "__p").withColumn(name, F.col("__i") + F.coalesce("__b", F.lit(0))).drop("__p", "__i", "__b")
