@@ -26,8 +26,11 @@ def start_assigning(sequences: DataFrame, roots: DataFrame, threshold: float, ou
     """Append assignments of a streaming ``sequences(seq_id, seq)`` to a Parquet folder, from where the last run stopped.
 
     Rows with ``is_assigned`` false are the pool of a later clustering run. ``roots`` fit one block (``clusters.root_blocks``);
-    for more, ``start_pooling``.
+    for more, ``start_pooling``. What is aligned is dealt out evenly first: alignment is long for few bytes, and one file
+    would be one task.
     """
+    if aligner != "ungapped":
+        sequences = sequences.repartition(int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     told = assign(sequences, roots, threshold, aligner)
     return told.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
